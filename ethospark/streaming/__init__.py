@@ -1,0 +1 @@
+"""Intentionally empty: the engine being matched reads whole files and has no streams."""
