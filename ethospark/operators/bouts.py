@@ -13,7 +13,12 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ethospark.operators.frames import PIECE, position_in_key, runs, runs_of_intervals
+from ethospark.operators.frames import (
+    frames_of,
+    position_in_key,
+    runs,
+    runs_of_intervals,
+)
 
 NONE, NOT_BEHAVIOR, BEHAVIOR = -1, 0, 1
 
@@ -24,13 +29,11 @@ def encode(states: DataFrame, keys: Sequence[str], state: str = "state") -> Data
 
 
 def decode(bouts: DataFrame, keys: Sequence[str], state: str = "state") -> DataFrame:
-    """Bout table → one row per frame. A very long bout is cut first so it spreads out."""
+    """Bout table → one row per frame."""
     last = F.col("end") if "end" in bouts.columns else F.col("start") + F.col("duration") - 1
-    cut = bouts.withColumn("_last", last).withColumn(
-        "_from", F.explode(F.sequence(F.col("start"), F.col("_last"), F.lit(PIECE)))
+    return frames_of(bouts.select(*keys, "start", last.alias("end"), state)).select(
+        *keys, "frame", state
     )
-    upto = F.least(F.col("_last"), F.col("_from") + F.lit(PIECE - 1))
-    return cut.select(*keys, F.explode(F.sequence("_from", upto)).alias("frame"), state)
 
 
 def numbered(bouts: DataFrame, keys: Sequence[str]) -> DataFrame:

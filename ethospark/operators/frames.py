@@ -157,12 +157,17 @@ def runs_of_intervals(
             F.max("end").alias("end"),
             *[F.first(s).alias(s) for s in state],
         )
-        .withColumn("_first", F.row_number().over(here) == 1)
-        .withColumn("_last", F.lead("start").over(here).isNull())
+        .withColumns({
+            "_first": (F.row_number().over(here) == 1) & (F.col("_piece") > 0),
+            "_last": F.lead("start").over(here).isNull()
+            & (piece_of(F.col("end") + 1, piece) > F.col("_piece")),
+            **_touching(here, state),
+        })
     )
-    local = local.select("*", *_touching(here, state))
 
-    # Only the first and last run of a piece can continue in another piece.
+    # Only the first and last run of a piece can continue in another piece; frames start at 0,
+    # so nothing precedes piece 0. Sequences of one piece have no such runs at all, and AQE
+    # then drops the second half of the plan.
     inner = local.filter(~F.col("_first") & ~F.col("_last"))
     edge = local.filter(F.col("_first") | F.col("_last"))
     across = Window.partitionBy(*keys).orderBy("start")
@@ -204,12 +209,11 @@ def runs_of_intervals(
     )
 
 
-def _touching(spec: WindowSpec, state: Sequence[str]) -> list[Column]:
+def _touching(spec: WindowSpec, state: Sequence[str]) -> dict[str, Column]:
     before = F.lag("end").over(spec) + 1 == F.col("start")
     after = F.lead("start").over(spec) == F.col("end") + 1
-    return [F.when(before, F.lag(s).over(spec)).alias(f"prev_{s}") for s in state] + [
-        F.when(after, F.lead(s).over(spec)).alias(f"next_{s}") for s in state
-    ]
+    prev = {f"prev_{s}": F.when(before, F.lag(s).over(spec)) for s in state}
+    return prev | {f"next_{s}": F.when(after, F.lead(s).over(spec)) for s in state}
 
 
 def runs(
@@ -269,3 +273,45 @@ def nearest_value(
     return joined.withColumn(f"{value}_filled", chosen).drop(
         "_piece", "_known", "_before", "_after", "_prev", "_next"
     )
+
+
+def frames_of(
+    intervals: DataFrame, start: str = "start", end: str = "end", name: str = "frame"
+) -> DataFrame:
+    """One row per frame of each interval (both ends included); ``start``/``end`` are dropped.
+
+    Long intervals are cut into pieces first, so one interval is not one huge generator row.
+    """
+    others = [c for c in intervals.columns if c not in (start, end, name)]
+    first, last = F.col(start).cast("int"), F.col(end).cast("int")
+    cut = intervals.filter(first <= last).withColumns({
+        "_to": last, "_from": F.explode(F.sequence(first, last, F.lit(PIECE)))
+    })
+    upto = F.least(F.col("_to"), F.col("_from") + F.lit(PIECE - 1))
+    return cut.select(*others, F.explode(F.sequence(F.col("_from"), upto)).alias(name))
+
+
+def overlap_join(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    left_range: tuple[str, str],
+    right_range: tuple[str, str],
+    cell: int = 1024,
+) -> DataFrame:
+    """Pairs of intervals that share at least one frame (inner join).
+
+    Both sides are spread over cells of ``cell`` frames and joined on (keys, cell), so a hot
+    video is many small joins. A pair is kept only in the first cell both reach, hence once.
+    """
+    (ls, le), (rs, re) = left_range, right_range
+
+    def spread(df: DataFrame, start: str, end: str) -> DataFrame:
+        return df.withColumn(
+            "_cell", F.explode(F.sequence(piece_of(start, cell), piece_of(end, cell)))
+        )
+
+    joined = spread(left, ls, le).join(spread(right, rs, re), [*keys, "_cell"])
+    first_shared = piece_of(F.greatest(F.col(ls), F.col(rs)), cell)
+    meets = (F.col(ls) <= F.col(re)) & (F.col(rs) <= F.col(le))
+    return joined.filter(meets & (first_shared == F.col("_cell"))).drop("_cell")

@@ -1,6 +1,10 @@
 """Registered queries. Importing this package registers all of them."""
 
-from ethospark.plans import bout_queries  # noqa: F401
+from ethospark.plans import (  # noqa: F401
+    bout_queries,
+    label_queries,
+    window_queries,
+)
 from ethospark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

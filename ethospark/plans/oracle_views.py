@@ -52,6 +52,23 @@ SQL_VIEWS: dict[str, str] = {
     "v_label_b": """
         SELECT video, identity, frame, (event_id % 3 - 1)::INT AS label
         FROM v_sequence WHERE event_id % 3 <> 0""",
+    "v_label_multi": """
+        SELECT video, identity,
+               CASE WHEN event_type IN ('purchase', 'signup') THEN 'walk'
+                    WHEN event_type = 'click' THEN 'rest' ELSE 'None' END AS behavior,
+               frame, (event_type <> 'signup')::INT AS label
+        FROM v_sequence WHERE event_type <> 'error'""",
+    "v_present": """
+        SELECT video, identity, frame FROM v_sequence WHERE value > 5""",
+    "v_length": """
+        SELECT video, identity, (max(frame) + 1)::INT AS num_frames
+        FROM v_sequence GROUP BY ALL""",
+    "v_event_run": """
+        SELECT video, identity, min(frame) AS "start", max(frame) AS "end", event_type
+        FROM (SELECT *, frame - row_number() OVER
+                        (PARTITION BY video, identity, event_type ORDER BY frame) AS island
+              FROM v_sequence)
+        GROUP BY video, identity, event_type, island""",
     "v_label_frame": """
         SELECT *, 'walk' AS behavior FROM v_label_a
         UNION ALL SELECT *, 'rest' AS behavior FROM v_label_b""",

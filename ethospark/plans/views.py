@@ -107,6 +107,44 @@ class Views:
             (F.col("label") == 1).alias("present"),
         )
 
+    def label_multi(self) -> DataFrame:
+        """Exclusive labelling: at most one behaviour (or the background track) per frame."""
+        behavior = (
+            F.when(F.col("event_type").isin("purchase", "signup"), "walk")
+            .when(F.col("event_type") == "click", "rest")
+            .when(F.col("event_type") == "view", "None")
+        )
+        return (
+            self.sequence()
+            .withColumn("behavior", behavior)
+            .filter(F.col("behavior").isNotNull())
+            .select(
+                "video", "identity", "behavior", "frame",
+                (F.col("event_type") != "signup").cast("int").alias("label"),
+            )
+        )
+
+    def label_frame(self) -> DataFrame:
+        """Two behaviours labelled independently of each other (they do overlap)."""
+        walk = self.label_a().withColumn("behavior", F.lit("walk"))
+        return walk.unionByName(self.label_b().withColumn("behavior", F.lit("rest")))
+
+    def present(self) -> DataFrame:
+        """Frames with the animal in view."""
+        return self.sequence().filter(F.col("value") > 5).select("video", "identity", "frame")
+
+    def lengths(self) -> DataFrame:
+        """Frames per sequence."""
+        return self.sequence().groupBy("video", "identity").agg(
+            (F.max("frame") + 1).alias("num_frames")
+        )
+
+    def event_run(self) -> DataFrame:
+        """Runs of one event type."""
+        return runs(self.sequence(), ["video", "identity"], ["event_type"]).select(
+            "video", "identity", "start", "end", "event_type"
+        )
+
     def num_frames(self) -> DataFrame:
         """Video lengths: the longest sequence of the video."""
         return self.sequence().groupBy("video").agg(
