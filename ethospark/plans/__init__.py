@@ -3,6 +3,7 @@
 from ethospark.plans import (  # noqa: F401
     bout_queries,
     label_queries,
+    pose_queries,
     window_queries,
 )
 from ethospark.plans.registry import ORACLES, QUERIES

@@ -1,8 +1,8 @@
 """The views of ``views.py`` in DuckDB SQL, written independently of the operators."""
 
 _XY = ",\n".join(
-    f"(embedding[{2 * k + 1}]::DOUBLE + 1) * 400 AS rx_{k}, "
-    f"(embedding[{2 * k + 2}]::DOUBLE + 1) * 400 AS ry_{k}, "
+    f"(embedding[{2 * k + 1}]::DOUBLE + 1) * 400 + 90 * (vec_id % 3) AS rx_{k}, "
+    f"(embedding[{2 * k + 2}]::DOUBLE + 1) * 400 + 60 * (vec_id % 3) AS ry_{k}, "
     f"embedding[{25 + k}]::DOUBLE + 0.5 AS conf_{k}"
     for k in range(12)
 )
@@ -91,11 +91,50 @@ SQL_VIEWS: dict[str, str] = {
     "v_raw_instance": f"""
         SELECT 'v' || label AS video, (vec_id % 3)::INT AS instance, vec_id,
                (vec_id % 3 + 1)::INT AS embed_id,
-               (embedding[44]::DOUBLE > 0.35)::INT AS id_mask,
+               (embedding[44]::DOUBLE > 0.15)::INT AS id_mask,
                (row_number() OVER (PARTITION BY label, vec_id % 3 ORDER BY vec_id) - 1)::INT
                  AS frame,
                embedding, {_XY}
         FROM embeddings""",
     "v_pose": f"""
         SELECT video, instance AS identity, frame, {_VALID} FROM v_raw_instance""",
+    # valid body points, one row each
+    "v_body": f"""
+        SELECT video, identity, frame, k, x, y FROM (
+            SELECT video, identity, frame, unnest(range(10)) AS k,
+                   unnest([{', '.join(f'x_{k}' for k in range(10))}]) AS x,
+                   unnest([{', '.join(f'y_{k}' for k in range(10))}]) AS y
+            FROM v_pose) WHERE x IS NOT NULL""",
+    "v_pose_present": """
+        SELECT video, identity, frame FROM v_body GROUP BY ALL HAVING count(*) >= 3""",
+    # i → j is a counter-clockwise hull edge iff every other point lies on its left
+    "v_hull_edge": """
+        SELECT a.video, a.identity, a.frame, a.k AS i, b.k AS j,
+               any_value(a.x) AS ax, any_value(a.y) AS ay, any_value(b.x) AS tx, any_value(b.y) AS ty
+        FROM v_body a JOIN v_body b USING (video, identity, frame)
+        JOIN v_body c USING (video, identity, frame)
+        SEMI JOIN v_pose_present USING (video, identity, frame)
+        WHERE a.k <> b.k
+        GROUP BY a.video, a.identity, a.frame, a.k, b.k
+        HAVING count(*) FILTER (c.k <> a.k AND c.k <> b.k AND
+            (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0) = 0""",
+    "v_centroid": """
+        SELECT video, identity, frame, count(*) AS vertices, sum(ax * ty - tx * ay) / 2 AS area,
+               sum((ax + tx) * (ax * ty - tx * ay)) / (3 * sum(ax * ty - tx * ay)) AS cx,
+               sum((ay + ty) * (ax * ty - tx * ay)) / (3 * sum(ax * ty - tx * ay)) AS cy
+        FROM v_hull_edge GROUP BY video, identity, frame""",
+    "v_pose_length": """
+        SELECT video, (max(frame) + 1)::INT AS num_frames FROM v_pose GROUP BY video""",
+    "v_bearing": """
+        SELECT p.video, p.identity, p.frame,
+               degrees(atan2((CASE WHEN neck THEN y_3 ELSE y_0 END) - y_9,
+                             (CASE WHEN neck THEN x_3 ELSE x_0 END) - x_9)) AS bearing
+        FROM v_pose p SEMI JOIN v_pose_present USING (video, identity, frame)
+        JOIN (SELECT video, bool_or(x_3 IS NOT NULL) AS neck FROM v_pose GROUP BY video) n
+          ON n.video = p.video""",
+    "v_prep": """
+        SELECT p.*, b.bearing, c.cx, c.cy, l.num_frames, c.cx IS NOT NULL AS present
+        FROM v_pose p JOIN v_pose_length l USING (video)
+        LEFT JOIN v_bearing b USING (video, identity, frame)
+        LEFT JOIN v_centroid c USING (video, identity, frame)""",
 }

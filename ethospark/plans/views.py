@@ -166,8 +166,8 @@ class Views:
         e = _elements()
         keypoints = F.array(*[
             F.struct(
-                ((e(2 * k + 1) + 1) * 400).alias("x"),
-                ((e(2 * k + 2) + 1) * 400).alias("y"),
+                ((e(2 * k + 1) + 1) * 400 + 90 * (F.col("vec_id") % 3)).alias("x"),
+                ((e(2 * k + 2) + 1) * 400 + 60 * (F.col("vec_id") % 3)).alias("y"),
                 (e(25 + k) + 0.5).alias("conf"),
             )
             for k in range(NUM_KEYPOINTS)
@@ -177,7 +177,7 @@ class Views:
             (F.col("vec_id") % 3).cast("int").alias("instance"),
             "vec_id",
             (F.col("vec_id") % 3 + 1).cast("int").alias("embed_id"),
-            (e(44) > 0.35).cast("int").alias("id_mask"),
+            (e(44) > 0.15).cast("int").alias("id_mask"),
             keypoints.alias("keypoints"),
             "embedding",
         )
@@ -196,13 +196,14 @@ class Views:
         )
 
     def track(self) -> DataFrame:
-        """Raw tracks: short track ids with gaps; frame is the row number in the video."""
+        """Raw tracks: one row per (video, frame, track); two labels share a video."""
         rows = self.table("embeddings").select(
             F.concat(F.lit("v"), F.col("label") % 5).alias("video"),
-            (F.col("label") * 100000 + F.floor(F.col("vec_id") / 50)).cast("bigint").alias("track_id"),
             F.floor(F.col("vec_id") / 10).cast("int").alias("frame"),
-        )
-        return rows.distinct()
+            (F.floor(F.col("vec_id") / 100) * 10 + F.col("label")).cast("bigint").alias("track_id"),
+        ).distinct()
+        order = Window.partitionBy("video", "frame").orderBy("track_id")  # two tracks at most
+        return rows.withColumn("instance", (F.row_number().over(order) - 1).cast("int"))
 
     def boxes(self) -> tuple[DataFrame, DataFrame]:
         """Bounding boxes by identity of two pose versions (the second one shifted)."""
@@ -223,36 +224,43 @@ class Views:
         return src, dst
 
     def contour(self) -> DataFrame:
-        """One external contour per animal and frame: 8 points ordered around their mean."""
+        """Contours per animal and frame: 8 padded points around their mean, and a small hole."""
         e = _elements()
         points = F.array(*[
             F.struct(
-                F.floor((e(45 + 2 * i) + 1) * 400).cast("int").alias("x"),
-                F.floor((e(46 + 2 * i) + 1) * 400).cast("int").alias("y"),
+                F.floor((e(45 + 2 * i) + 1) * 400).cast("double").alias("x"),
+                F.floor((e(46 + 2 * i) + 1) * 400).cast("double").alias("y"),
             )
             for i in range(8)
         ])
-        mean = lambda axis: sum((F.floor((e((45 if axis == "x" else 46) + 2 * i) + 1) * 400) for i in range(8)), F.lit(0)) / 8.0
+        mean = lambda axis: F.aggregate("points", F.lit(0.0), lambda s, p: s + p[axis]) / 8
+        angle = lambda p: F.atan2(p["y"] - F.col("my"), p["x"] - F.col("mx"))
         around = F.transform(
-            F.array_sort(
-                F.transform(
-                    "points",
-                    lambda p: F.struct(
-                        F.atan2(p["y"] - F.col("cy"), p["x"] - F.col("cx")).alias("a"), p.alias("p")
-                    ),
-                )
-            ),
+            F.array_sort(F.transform("points", lambda p: F.struct(angle(p).alias("a"), p.alias("p")))),
             lambda s: s["p"],
         )
+        inner = F.transform(
+            "around",
+            lambda p: F.struct(
+                F.floor(F.col("mx") + (p["x"] - F.col("mx")) / 4).cast("double").alias("x"),
+                F.floor(F.col("my") + (p["y"] - F.col("my")) / 4).cast("double").alias("y"),
+            ),
+        )
+        padding = F.array(F.struct(F.lit(-1.0).alias("x"), F.lit(-1.0).alias("y")))
+        both = F.array(
+            F.struct(F.lit(0).alias("contour"), F.lit(True).alias("is_external"),
+                     F.concat("around", padding).alias("pts")),
+            F.struct(F.lit(1).alias("contour"), F.lit(False).alias("is_external"), inner.alias("pts")),
+            F.struct(F.lit(2).alias("contour"), F.lit(True).alias("is_external"), padding.alias("pts")),
+        )
+        seg_id = F.when(F.col("id_mask") == 0, F.col("embed_id")).otherwise(0)
         return (
             self.raw_instance()
-            .select(
-                "video", "frame", F.col("embed_id").alias("seg_id"), F.lit(0).alias("contour"),
-                F.lit(True).alias("is_external"), points.alias("points"),
-                mean("x").alias("cx"), mean("y").alias("cy"),
-            )
-            .withColumn("pts", around)
-            .drop("points", "cx", "cy")
+            .withColumns({"points": points, "seg_id": seg_id})
+            .withColumns({"mx": mean("x"), "my": mean("y")})
+            .withColumn("around", around)
+            .select("video", "frame", "seg_id", F.explode(both).alias("c"))
+            .select("video", "frame", "seg_id", "c.*")
         )
 
     def static_object(self) -> DataFrame:
@@ -262,7 +270,7 @@ class Views:
         ).distinct()
         return videos.select(
             "video", F.explode(reduce(F.concat, [
-                _points("corners", [[(100, 100), (100, 700), (700, 700), (700, 100)]]),
+                _points("corners", [CORNERS]),
                 _points("lixit", LIXITS),
                 _points("food_hopper", [HOPPER]),
             ])).alias("o"),
@@ -330,8 +338,9 @@ class Views:
         )
 
 
+CORNERS = [(100, 100), (700, 700), (100, 700), (700, 100)]
 LIXITS = [[(62, 166), (50, 150), (50, 182)], [(740, 400), (752, 384), (752, 416)]]
-HOPPER = [(7, 291), (7, 528), (44, 518), (44, 296)]
+HOPPER = [(330, 291), (330, 528), (444, 518), (444, 296)]
 
 
 def _points(name: str, instances: list[list[tuple[int, int]]]) -> Column:
@@ -348,7 +357,3 @@ def _points(name: str, instances: list[list[tuple[int, int]]]) -> Column:
 def _elements():
     """n-th element (1-based) of the embedding as DOUBLE."""
     return lambda n: F.element_at("embedding", n).cast("double")
-
-
-def grouped_window(*keys: str, order: str) -> Window:
-    return Window.partitionBy(*keys).orderBy(order)
