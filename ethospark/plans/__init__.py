@@ -2,6 +2,7 @@
 
 from ethospark.plans import (  # noqa: F401
     bout_queries,
+    feature_queries,
     label_queries,
     pose_queries,
     window_queries,
