@@ -186,7 +186,10 @@ def hull_distance(ax, ay, bx, by) -> np.ndarray:
 
 
 def smallest_rectangle(hx: np.ndarray, hy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sides (short, long) of the smallest enclosing rectangle; one side lies on a hull edge."""
+    """Sides (short, long) of the smallest enclosing rectangle; one side lies on a hull edge.
+
+    Rectangles of equal area (every triangle has three) are decided for the narrowest.
+    """
     dx, dy = np.roll(hx, -1, axis=1) - hx, np.roll(hy, -1, axis=1) - hy
     length = np.hypot(dx, dy)
     ok = length > 0
@@ -196,7 +199,8 @@ def smallest_rectangle(hx: np.ndarray, hy: np.ndarray) -> tuple[np.ndarray, np.n
     across = hy[:, :, None] * ux[:, None, :] - hx[:, :, None] * uy[:, None, :]
     w, h = np.ptp(along, axis=1), np.ptp(across, axis=1)
     area = np.where(ok, w * h, np.inf)
-    best = area.argmin(axis=1)
+    smallest = area <= area.min(axis=1, keepdims=True) * (1 + 1e-9)
+    best = np.where(smallest, np.minimum(w, h), np.inf).argmin(axis=1)
     row = np.arange(len(hx))
     a, b = w[row, best], h[row, best]
     return np.minimum(a, b), np.maximum(a, b)

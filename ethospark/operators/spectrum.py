@@ -1,8 +1,7 @@
 """Spectrum of a feature in a sliding window, and its summaries.
 
-Detrending, tapering and the Fourier sum over 2k+1 samples are one fixed linear map, so a piece of
-a sequence is transformed by a single matrix product. Spark cuts and shuffles the pieces (see
-``frames.with_halo``); the product runs on Arrow batches of at most one piece.
+Detrending, tapering and the Fourier sum over 2k+1 samples are one fixed linear map. ``spectra``
+applies it as column expressions; ``window_matrix`` uses the numpy form for wide tables.
 """
 
 from __future__ import annotations
@@ -10,13 +9,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ethospark.operators.frames import PIECE, with_halo
-from ethospark.operators.windows import check_sizes, missing_to_null, quoted, window_name
+from ethospark.operators.frames import sliding
+from ethospark.operators.windows import check_sizes, missing_to_null, quoted
 from ethospark.skeleton import BANDS, DEFAULT_FPS
 
 SUMMARY_OPS = [f"fft_band-{lo}Hz-{hi}Hz" for lo, hi in BANDS] + [
@@ -73,42 +70,6 @@ def summaries(amplitude: np.ndarray, k: int, fps: float) -> dict[str, np.ndarray
     return out
 
 
-def spectral_features(
-    df: DataFrame,
-    keys: Sequence[str],
-    k: int,
-    columns: Sequence[str],
-    fps: float = DEFAULT_FPS,
-    ops: Sequence[str] = tuple(SUMMARY_OPS),
-    frame: str = "frame",
-) -> DataFrame:
-    """Keys, frame and one column per (feature, spectral summary) for window size ``k``."""
-    (k,) = check_sizes([k])
-    keys, columns, ops = list(keys), list(columns), list(ops)
-    rows = missing_to_null(df.select(*keys, frame, *map(quoted, columns)), columns)
-    names = [window_name(c, op) for c in columns for op in ops]
-    fields = [rows.schema[c] for c in [*keys, frame]]
-    schema = T.StructType(fields + [T.StructField(n, T.DoubleType()) for n in names])
-
-    def piece_spectra(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf[frame].to_numpy() // PIECE == group[-1]
-        at = pdf[frame].to_numpy()
-        first = at.min()
-        out = pdf.loc[own, [*keys, frame]].reset_index(drop=True)
-        where = at[own] - first
-        data = {}
-        for c in columns:
-            dense = np.zeros(at.max() - first + 1)
-            dense[at - first] = np.nan_to_num(pdf[c].to_numpy(dtype=float), nan=0.0)
-            stats = summaries(amplitudes(dense, k, fps)[where], k, fps)
-            data.update({window_name(c, op): stats[op] for op in ops})
-        numbers = pd.DataFrame(data).replace([np.inf, -np.inf], np.nan)
-        return pd.concat([out, numbers.astype(object).where(numbers.notna(), None)], axis=1)
-
-    halo = with_halo(rows, frame, k, k)
-    return halo.groupBy(*keys, "_piece").applyInPandas(piece_spectra, schema)
-
-
 def spectra(
     df: DataFrame,
     keys: Sequence[str],
@@ -117,13 +78,11 @@ def spectra(
     fps: float = DEFAULT_FPS,
     frame: str = "frame",
 ) -> DataFrame:
-    """The amplitude array itself (k+1 bins) per frame, inside the JVM.
+    """Add ``spectrum``: the amplitude array (k+1 bins) of each frame, inside the JVM.
 
-    Meant for one or a few columns; ``spectral_features`` is the path for wide tables.
+    Meant for one or a few columns; ``window_matrix`` is the path for wide tables.
     """
     (k,) = check_sizes([k])
-    from ethospark.operators.frames import sliding
-
     matrix = transform_matrix(k, fps)
     rows = missing_to_null(df, [column])
 
@@ -144,3 +103,36 @@ def spectra(
 
     bins = F.array(*[F.hypot(part(matrix[:, i].real), part(matrix[:, i].imag)) for i in range(k + 1)])
     return sliding(rows, keys, frame, k, k, make).withColumn("spectrum", bins).drop("_samples")
+
+
+def summary_columns(k: int, fps: float = DEFAULT_FPS, spectrum: str = "spectrum") -> dict[str, Column]:
+    """Band means and whole-spectrum statistics of a ``spectrum`` column; NULL where undefined."""
+    freq = frequencies(k, fps)
+    p = F.col(spectrum)
+    n = k + 1
+
+    def mean(values: Column, count: int) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / count
+
+    out: dict[str, Column] = {}
+    for lo, hi in BANDS:
+        inside = np.flatnonzero((freq >= lo) & (freq < hi))
+        band = F.slice(p, int(inside[0]) + 1, len(inside)) if len(inside) else None
+        value = F.lit(None).cast("double") if band is None else mean(band, len(inside))
+        out[f"fft_band-{lo}Hz-{hi}Hz"] = value
+    centre = mean(p, n)
+    moment = lambda power: mean(F.transform(p, lambda x: F.pow(x - centre, F.lit(power))), n)
+    spread = moment(2.0)
+    flat = spread <= F.pow(np.finfo(float).eps * centre, F.lit(2.0))
+    ordered = F.array_sort(p)
+    out["psd_sum"] = centre * n
+    out["psd_max"] = F.array_max(p)
+    out["psd_min"] = F.array_min(p)
+    out["psd_mean"] = centre
+    out["psd_std_dev"] = F.sqrt(spread)
+    out["psd_skew"] = F.when(~flat, moment(3.0) / F.pow(spread, F.lit(1.5)))
+    out["psd_kurtosis"] = F.when(~flat, moment(4.0) / (spread * spread) - 3)
+    out["psd_median"] = (F.get(ordered, F.lit((n - 1) // 2)) + F.get(ordered, F.lit(n // 2))) / 2
+    top = F.array_position(p, F.array_max(p)).cast("int") - 1
+    out["psd_top_freq"] = F.get(F.array(*[F.lit(float(f)) for f in freq]), top)
+    return out

@@ -559,9 +559,10 @@ _DESCRIPTORS = f"""{_SEGMENT},
         FROM shape_edge e JOIN hull_points p USING (video, identity, frame)
         GROUP BY video, identity, frame, ax, ay, tx, ty),
     rectangles AS (
-        SELECT video, identity, frame, arg_min(least(w, h), w * h) AS short,
-               arg_min(greatest(w, h), w * h) AS long
-        FROM boxes GROUP BY ALL),
+        SELECT video, identity, frame, min(least(w, h)) AS short,
+               arg_min(greatest(w, h), least(w, h)) AS long
+        FROM (SELECT *, min(w * h) OVER (PARTITION BY video, identity, frame) AS best FROM boxes)
+        WHERE w * h <= best * (1 + 1e-9) GROUP BY video, identity, frame),
     ellipse AS (
         SELECT *, mu20 / m00 * scale * scale AS ea, 2 * mu11 / m00 * scale * scale AS eb,
                mu02 / m00 * scale * scale AS ec, gx * scale AS sx, gy * scale AS sy

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ethospark.operators import spectrum as S
 from ethospark.operators import windows as W
+from ethospark.operators.window_matrix import window_matrix as window_matrix_of
 from ethospark.plans.registry import query, rounded
 
 KEYS = ["video", "identity"]
@@ -138,6 +139,43 @@ _BAND_SQL = ",\n".join(
     FROM centred GROUP BY video, identity, frame""",
 )
 def window_spectral_features(v):
-    signal = v.signal().withColumnRenamed("value", "signal value")
-    out = S.spectral_features(signal, KEYS, K, ["signal value"])
-    return _named(out, "signal value", S.SUMMARY_OPS)
+    rows = S.spectra(v.signal(), KEYS, K, "value")
+    clean = lambda op: op.replace("-", "_").replace(".", "p")
+    return rows.select(
+        *KEYS, "frame", *[rounded(c).alias(clean(op)) for op, c in S.summary_columns(K).items()]
+    )
+
+
+@query(
+    "window_matrix",
+    _SPECTRUM
+    + f""", lists AS (
+        SELECT video, identity, frame,
+               list(value) FILTER (value IS NOT NULL) OVER {_AROUND} AS l FROM v_signal),
+    turns AS (
+        SELECT video, identity, frame, value, avg(sin(radians(value))) OVER {_AROUND} AS s,
+               avg(cos(radians(value))) OVER {_AROUND} AS c FROM v_angle),
+    tops AS (SELECT video, identity, frame, sum(a) AS psd_sum, arg_max(hz, a) AS psd_top_freq
+             FROM bins GROUP BY ALL)
+    SELECT video, identity, frame, round(list_avg(l), 6) AS mean, round(list_median(l), 6) AS median,
+           round(list_max(l), 6) AS max, round(list_min(l), 6) AS min,
+           round(sqrt(list_sum(list_transform(l, lambda x: power(x - list_avg(l), 2))) / len(l)), 6)
+             AS std_dev,
+           round(psd_sum, 6) AS psd_sum, round(psd_top_freq, 6) AS psd_top_freq,
+           CASE WHEN value IS NOT NULL THEN
+             round(degrees(sqrt(-2 * ln(least(1, sqrt(s * s + c * c))))), 6) END AS turn_std_dev
+    FROM lists JOIN turns USING (video, identity, frame) JOIN tops USING (video, identity, frame)""",
+)
+def window_matrix(v):
+    """The wide path: statistics, circular statistics and spectra of several columns in one pass."""
+    rows = v.signal().withColumnRenamed("value", "signal value")
+    turned = v.angle().withColumnRenamed("value", "angle value")
+    both = rows.join(turned, [*KEYS, "frame"]).withColumn("present", W.quoted("angle value").isNotNull())
+    out = window_matrix_of(
+        both, KEYS, K, ["signal value"], {"angle value": -180.0},
+        ops=["mean", "median", "max", "min", "std_dev"], spectral_ops=["psd_sum", "psd_top_freq"],
+    )
+    names = {op: W.window_name("signal value", op)
+             for op in ["mean", "median", "max", "min", "std_dev", "psd_sum", "psd_top_freq"]}
+    names["turn_std_dev"] = W.window_name("angle value", "std_dev")
+    return out.select(*KEYS, "frame", *[rounded(W.quoted(c)).alias(n) for n, c in names.items()])
