@@ -4,6 +4,7 @@ from ethospark.plans import (  # noqa: F401
     bout_queries,
     feature_queries,
     label_queries,
+    matrix_queries,
     pose_queries,
     window_queries,
 )
