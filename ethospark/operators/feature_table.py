@@ -8,7 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ethospark.operators import base_features, landmark_features, segmentation_features, social_features
-from ethospark.operators.matrix import available_modules, is_circular, selected_columns
+from ethospark.operators.matrix import (
+    SEGMENTATION_MODULES,
+    SOCIAL_MODULES,
+    available_modules,
+    is_circular,
+    selected_columns,
+)
 from ethospark.operators.pose import ANIMAL, video_lengths
 from ethospark.operators.window_matrix import window_matrix
 from ethospark.operators.windows import quoted
@@ -26,41 +32,48 @@ def per_frame_table(
     object_names: Sequence[str] = (),
     lixit_points: int = 0,
     fps: float = DEFAULT_FPS,
+    modules: Sequence[str] | None = None,
     **settings,
 ) -> DataFrame:
     """Keys, frame, ``present`` and every per-frame feature the inputs and settings allow.
 
+    ``modules`` narrows the table to the named modules.
+
     ``version``, ``object_names`` and ``lixit_points`` describe what all videos have (see
     ``project.capability``); modules that need more are not planned at all.
     """
     rows = base_features.prepare(pose, scales, version)
     columns = base_features.base_features(fps)
-    modules = set(available_modules(version, object_names, lixit_points))
-    if "corner_distances" in modules:
+    allowed = set(available_modules(version, object_names, lixit_points))
+    if modules is not None:
+        allowed &= set(modules)
+    if allowed & {"corner_distances", "corner_bearings"}:
         rows = landmark_features.with_corners(rows, objects)
         columns |= landmark_features.corner_distances() | landmark_features.corner_bearings()
-    if "lixit_distances" in modules:
+    if allowed & {"lixit_distances", "lixit_bearings", "mouse_lixit_angle"}:
         rows = landmark_features.with_lixit(rows, objects)
         columns |= landmark_features.lixit_distances() | landmark_features.lixit_bearings()
-        if "mouse_lixit_angle" in modules:
+        if "mouse_lixit_angle" in allowed:
             columns |= landmark_features.mouse_lixit_angle()
-    if "food_hopper" in modules:
+    if "food_hopper" in allowed:
         rows = landmark_features.with_hopper(rows, objects)
         columns |= landmark_features.food_hopper()
+    if modules is not None:
+        columns = {n: c for n, c in columns.items() if n.split(" ", 1)[0] in modules}
     keep = set(selected_columns(list(columns), **settings))
     own = {n: c for n, c in columns.items() if n in keep}
-    with_social = "closest_distances" in modules and settings.get("social", True)
+    with_social = bool(allowed & set(SOCIAL_MODULES)) and settings.get("social", True)
     # the social step regroups rows by frame, so everything else is computed before it and
     # carried along under its final name
     done = rows.select("*", *[c.alias(n) for n, c in own.items()])
     names = list(own)
     if with_social:
         done = social_features.nearest_animals(done)
-        social = social_features.social_features()
+        social = {n: c for n, c in social_features.social_features().items() if n.split(" ", 1)[0] in allowed}
         done = done.select("*", *[c.alias(n) for n, c in social.items()])
         names += list(social)
     table = done.select(*FRAME, "present", *map(quoted, names))
-    if contours is not None and "moments" in modules and settings.get("segmentation", True):
+    if contours is not None and allowed & set(SEGMENTATION_MODULES) and settings.get("segmentation", True):
         shapes = segmentation_features.with_moments(segmentation_features.shape_rows(contours, scales))
         shapes = segmentation_features.with_outline(shapes)
         shapes = segmentation_features.with_centroid_speed(shapes, video_lengths(pose), fps)
@@ -69,6 +82,7 @@ def per_frame_table(
             | segmentation_features.hu_moments()
             | segmentation_features.shape_descriptors()
         )
+        found = {n: c for n, c in found.items() if n.split(" ", 1)[0] in allowed}
         table = table.join(shapes.select(*FRAME, *[c.alias(n) for n, c in found.items()]), FRAME, "left")
     return table
 

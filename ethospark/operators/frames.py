@@ -315,3 +315,53 @@ def overlap_join(
     first_shared = piece_of(F.greatest(F.col(ls), F.col(rs)), cell)
     meets = (F.col(ls) <= F.col(re)) & (F.col(rs) <= F.col(le))
     return joined.filter(meets & (first_shared == F.col("_cell"))).drop("_cell")
+
+
+def smallest_per_group(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, spread: Column
+) -> DataFrame:
+    """The first ``n`` rows per key. Each ``spread`` part of a key is cut to ``n`` rows first."""
+    parts = Window.partitionBy(*keys, "_part").orderBy(*order)
+    whole = Window.partitionBy(*keys).orderBy(*order)
+    few = df.withColumn("_part", spread).withColumn("_rank", F.row_number().over(parts))
+    few = few.filter(F.col("_rank") <= n)
+    return few.withColumn("_rank", F.row_number().over(whole)).filter(F.col("_rank") <= n).drop(
+        "_part", "_rank"
+    )
+
+
+def exact_median(
+    df: DataFrame, keys: Sequence[str], value: str, low: float = 0.0, high: float = 1.0, cells: int = 1024
+) -> DataFrame:
+    """Median of ``value`` (in [low, high]) per key, without gathering a key's values in one place.
+
+    Equal values are counted together first. Counts per value cell tell which cells hold the middle
+    ranks; only those cells are ordered.
+    """
+    keys = list(keys)
+    cell = F.floor((F.col(value) - low) / (high - low) * cells).cast("int")
+    values = (
+        df.filter(F.col(value).isNotNull()).groupBy(*keys, value)
+        .agg(F.count(F.lit(1)).alias("_n")).withColumn("_cell", cell)
+    )
+    per_key = Window.partitionBy(*keys)
+    cells_of = values.groupBy(*keys, "_cell").agg(F.sum("_n").alias("_size"))
+    before = per_key.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells_of = cells_of.withColumns({
+        "_start": F.coalesce(F.sum("_size").over(before), F.lit(0)),
+        "_total": F.sum("_size").over(per_key),
+    })
+    lower, upper = F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2)
+
+    def holds(rank: Column, start: Column, size: Column) -> Column:
+        return (rank >= start) & (rank < start + size)
+
+    middle = cells_of.filter(
+        holds(lower, F.col("_start"), F.col("_size")) | holds(upper, F.col("_start"), F.col("_size"))
+    )
+    inside = Window.partitionBy(*keys, "_cell").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = values.join(middle, [*keys, "_cell"]).withColumn(
+        "_at", F.col("_start") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
+    )
+    at = lambda rank: F.max(F.when(holds(rank, F.col("_at"), F.col("_n")), F.col(value)))
+    return ranked.groupBy(*keys).agg(((at(lower) + at(upper)) / 2).alias("median"))

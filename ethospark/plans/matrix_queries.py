@@ -14,6 +14,8 @@ from ethospark.operators.windows import quoted, window_features
 from ethospark.plans.label_queries import _COUNTS, _counts
 from ethospark.plans.pose_queries import _SCALE, scales
 from ethospark.plans.registry import query, rounded
+from ethospark.session import scratch_folder
+from ethospark.sources import tables as T
 
 FRAME = M.FRAME
 NUMBERS = ["n_letters", "left_words", "right_words", "LEFT_ratio", "right_RATIO"]
@@ -485,23 +487,21 @@ def cross_validate(v):
 @query("classify_videos")
 def classify_videos(v):
     """Poses → features → window features → model → class and confidence for every frame."""
-    pose, objects = v.pose(), v.static_object()
+    modules = ["angles", "centroid_velocity_dir", "centroid_velocity_mag", "corner_distances"]
     per_frame = FT.per_frame_table(
-        pose, objects, None, scales(v), version=5, object_names=["corners"], social=False
+        v.pose(), v.static_object(), None, scales(v), version=5, object_names=["corners"], modules=modules
     )
-    window = FT.window_table(per_frame, 2, fft=False)
-    table = FT.training_matrix(per_frame, window)
-    names = [c for c in table.columns if c.startswith(("angles", "centroid_velocity", "corner_distances"))]
+    table = FT.training_matrix(per_frame, FT.window_table(per_frame, 2, fft=False))
+    names = [c for c in table.columns if c not in (*FRAME, "present")]
     label = (F.element_at("embedding", 63) > 0).cast("int")
     labels = v.raw_instance().select("video", F.col("instance").alias("identity"), "frame", label.alias("label"))
-    rows = table.select(*FRAME, *map(quoted, names)).persist()
-    try:
-        model = C.train(rows.join(labels, FRAME), names, numTrees=5, maxDepth=4)
-        out = model.predict_frames(rows, pose)
-        # the result holds the model, not the cached rows
-        return out.select(*FRAME, "cls", rounded("prob", 4).alias("prob"))
-    finally:
-        rows.unpersist()
+    # the table feeds training and prediction, so it is stored once
+    path = scratch_folder(v.spark, "features")
+    T.write_features(table, path)
+    rows = T.read_features(v.spark, path, names)
+    model = C.train(rows.join(labels, FRAME), names, numTrees=5, maxDepth=4)
+    out = model.predict_frames(rows, v.pose())
+    return out.select(*FRAME, "cls", rounded("prob", 4).alias("prob"))
 
 
 @query("features_all_modules")

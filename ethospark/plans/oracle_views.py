@@ -47,6 +47,10 @@ SQL_VIEWS: dict[str, str] = {
                     ELSE 0.5::DOUBLE + (q.event_id % 50) / 100.0::DOUBLE END AS prob
         FROM v_state s JOIN v_sequence q USING (video, identity, frame)
         CROSS JOIN (VALUES ('walk'), ('rest')) b(behavior)""",
+    "v_scored": """
+        SELECT *, least(1, greatest(0, CASE WHEN cls = 0 THEN 1 - (prob + 2.220446049250313e-16)
+                                            ELSE prob + 2.220446049250313e-16 END)) AS confidence
+        FROM v_prediction""",
     "v_label_a": """
         SELECT video, identity, frame, state AS label FROM v_state WHERE state <> -1""",
     "v_label_b": """

@@ -45,8 +45,9 @@ def with_views(sql: str) -> str:
     if not needed:
         return own
     parts = ",\n".join(f"{n} AS ({SQL_VIEWS[n].strip()})" for n in needed)
-    if own.upper().startswith("WITH "):
-        return f"WITH {parts},\n{own[5:]}"
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if own.upper().startswith(head):
+            return f"{head}{parts},\n{own[len(head):]}"
     return f"WITH {parts}\n{own}"
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -44,3 +45,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="ethospark-checkpoint-"))
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder every executor can reach, for intermediate tables."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
