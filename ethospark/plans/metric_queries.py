@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ethospark.operators import keypoint_metrics as M
 from ethospark.plans.registry import query, rounded
 
-SIGMAS = [0.15, 0.15, 0.15, 0.2, 0.25]
+SIGMAS = [0.3, 0.3, 0.35, 0.4, 0.5]
 
 _XY = ", ".join(
     f"embedding[{2 * k + 1}]::DOUBLE * 100 AS x_{k}, embedding[{2 * k + 2}]::DOUBLE * 100 AS y_{k}, "

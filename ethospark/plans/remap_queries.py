@@ -145,17 +145,41 @@ def remap_counts(v):
     return R.remap_counts(R.remap_blocks(_pose_blocks(v), *v.boxes(), MIN_IOU, counts))
 
 
+# a destination whose animals are moved apart, so that all source animals resemble identity 0
+_CROWDED = f"""{_BOXES}, {_BLOCKS},
+    apart AS (SELECT video, identity, frame, x1 + 300 * identity AS x1, y1, x2 + 300 * identity AS x2, y2 FROM dst),
+    pairs AS (
+        SELECT s.video, s.identity, s.frame, d.identity AS dst,
+               greatest(0, least(s.x2, d.x2) - greatest(s.x1, d.x1))
+                 * greatest(0, least(s.y2, d.y2) - greatest(s.y1, d.y1)) AS inter,
+               (s.x2 - s.x1) * (s.y2 - s.y1) + (d.x2 - d.x1) * (d.y2 - d.y1) AS areas
+        FROM src s JOIN apart d USING (video, frame)),
+    scores AS (
+        SELECT b.video, b.identity, b."start", b."end", b.present, i.dst, median(inter / (areas - inter)) AS iou
+        FROM blocks b JOIN pairs i ON i.video = b.video AND i.identity = b.identity
+         AND i.frame BETWEEN b."start" AND b."end" GROUP BY ALL),
+    chosen AS (
+        SELECT * FROM scores WHERE iou > 0
+        QUALIFY row_number() OVER (PARTITION BY video, identity, "start", "end", present
+                                   ORDER BY iou DESC, dst) = 1),
+    painted AS (
+        SELECT video, dst AS identity, identity AS src, "start" AS began,
+               unnest(range("start", "end" + 1))::INT AS frame, present::INT AS label
+        FROM chosen WHERE iou >= 0.1)"""
+
+
 @query(
     "remap_overlap_report",
-    f"""WITH {_PAINTED}, earlier AS (
+    f"""WITH {_CROWDED}, earlier AS (
         SELECT *, lag(label) OVER (PARTITION BY video, identity, frame ORDER BY src, began) AS before FROM painted)
     SELECT video, 'rear' AS behavior, src AS src_identity, identity AS dst_identity, began AS "start",
            count(*) FILTER (before = label) AS identical, count(*) FILTER (before <> label) AS conflicting
     FROM earlier WHERE before IS NOT NULL GROUP BY ALL""",
 )
 def remap_overlap_report(v):
-    """A low threshold lets several source animals end up on one destination animal."""
-    return R.overlap_report(_remapped(v))
+    src, dst = v.boxes()
+    apart = dst.withColumns({c: F.col(c) + 300 * F.col("identity") for c in ("x1", "x2")})
+    return R.overlap_report(R.remap_blocks(_pose_blocks(v), src, apart, 0.1))
 
 
 @query(
