@@ -79,32 +79,29 @@ def delete(bouts: DataFrame, keys: Sequence[str], flag: Column) -> DataFrame:
     do); touching ones raise.
     """
     rows = runs_of_intervals(bouts.withColumn("_gone", flag), keys, ("state", "_gone"))
-    clash = F.col("_gone") & (
-        F.coalesce("prev__gone", F.lit(False)) | F.coalesce("next__gone", F.lit(False))
-    )
-    rows = rows.withColumn(
+    checked = rows.withColumn(
         "_gone",
-        F.when(clash, F.raise_error(F.lit("touching bouts cannot be deleted together")).cast("boolean"))
-        .otherwise(F.col("_gone")),
+        F.expr("""CASE WHEN _gone AND (coalesce(prev__gone, FALSE) OR coalesce(next__gone, FALSE))
+            THEN CAST(raise_error('touching bouts cannot be deleted together') AS BOOLEAN)
+            ELSE _gone END"""),
     )
-    return _absorb(rows, keys, F.col("_gone"))
-
-
-def _absorb(bouts: DataFrame, keys: Sequence[str], flag: Column) -> DataFrame:
-    prev, nxt = F.col("prev_state"), F.col("next_state")
-    middle = F.col("start") + F.floor(F.col("duration") / 2).cast("int")
+    return _absorb(checked, keys, "_gone")
 
-    def part(start: Column, end: Column, state: Column) -> Column:
-        return F.struct(start.alias("start"), end.alias("end"), state.alias("state"))
 
-    whole = F.array(part(F.col("start"), F.col("end"), F.coalesce(prev, nxt, F.col("state"))))
-    halves = F.array(
-        part(F.col("start"), middle - 1, prev), part(middle, F.col("end"), nxt)
-    )
-    kept = F.array(part(F.col("start"), F.col("end"), F.col("state")))
-    parts = F.when(~flag, kept).when(prev != nxt, halves).otherwise(whole)
-    pieces = bouts.select(*keys, F.explode(parts).alias("p")).select(*keys, "p.*")
-    return runs_of_intervals(pieces.filter(F.col("start") <= F.col("end")), keys)
+def _absorb(bouts: DataFrame, keys: Sequence[str], flag: str) -> DataFrame:
+    """Give the frames of flagged bouts (SQL condition) to their neighbours and merge."""
+    part = "named_struct('start', {}, 'end', {}, 'state', {})".format
+    middle = "start + CAST(floor(duration / 2) AS INT)"
+    kept = part("start", "end", "state")
+    whole = part("start", "end", "coalesce(prev_state, next_state, state)")
+    halves = f"{part('start', f'{middle} - 1', 'prev_state')}, {part(middle, 'end', 'next_state')}"
+    key = [f"`{k}`" for k in keys]
+    pieces = bouts.selectExpr(
+        *key,
+        f"""explode(CASE WHEN NOT ({flag}) THEN array({kept})
+            WHEN prev_state <> next_state THEN array({halves}) ELSE array({whole}) END) AS p""",
+    ).selectExpr(*key, "p.*")
+    return runs_of_intervals(pieces.filter("start <= end"), keys)
 
 
 # --- clean-up stages -------------------------------------------------------------------
@@ -121,33 +118,24 @@ def _positive(name: str, value: Any) -> int:
 def interpolate_gaps(max_interpolation_gap: int) -> Stage:
     """Fill stretches without a prediction of at most this many frames."""
     limit = _positive("max_interpolation_gap", max_interpolation_gap)
-
-    def run(bouts: DataFrame, keys: Sequence[str]) -> DataFrame:
-        return _absorb(bouts, keys, (F.col("state") == NONE) & (F.col("duration") <= limit))
-
-    return run
+    return lambda bouts, keys: _absorb(bouts, keys, f"state = {NONE} AND duration <= {limit}")
 
 
 def stitch(max_stitch_gap: int) -> Stage:
     """Join bouts separated by at most this many NOT_BEHAVIOR frames."""
     limit = _positive("max_stitch_gap", max_stitch_gap)
-
-    def run(bouts: DataFrame, keys: Sequence[str]) -> DataFrame:
-        short = (F.col("state") == NOT_BEHAVIOR) & (F.col("duration") <= limit)
-        return _absorb(bouts, keys, short)
-
-    return run
+    return lambda bouts, keys: _absorb(bouts, keys, f"state = {NOT_BEHAVIOR} AND duration <= {limit}")
 
 
 def drop_short(min_duration: int) -> Stage:
     """Remove BEHAVIOR bouts shorter than this; a lone short bout becomes NOT_BEHAVIOR."""
     limit = _positive("min_duration", min_duration)
+    short = f"state = {BEHAVIOR} AND duration < {limit}"
+    alone = "prev_state IS NULL AND next_state IS NULL"
 
     def run(bouts: DataFrame, keys: Sequence[str]) -> DataFrame:
-        flag = (F.col("state") == BEHAVIOR) & (F.col("duration") < limit)
-        alone = F.col("prev_state").isNull() & F.col("next_state").isNull()
-        reset = F.when(flag & alone, F.lit(NOT_BEHAVIOR)).otherwise(F.col("state"))
-        return _absorb(bouts.withColumn("state", reset.cast("int")), keys, flag)
+        reset = F.expr(f"CASE WHEN {short} AND {alone} THEN {NOT_BEHAVIOR} ELSE state END")
+        return _absorb(bouts.withColumn("state", reset), keys, short)
 
     return run
 

@@ -6,6 +6,9 @@ whole sequence into one task: sequences are cut into *pieces* of ``PIECE``
 consecutive frames, rows next to a cut are copied to the neighbour piece (the
 halo), and what has to travel further than a halo (run borders, nearest valid
 values, row offsets) travels as one small summary row per piece.
+
+Longer expressions are written as SQL text: it reads well for window clauses, and a plan of
+hundreds of columns is built in a fraction of the calls.
 """
 
 from __future__ import annotations
@@ -18,8 +21,13 @@ from pyspark.sql import functions as F
 PIECE = 1 << 14
 
 
-def _cols(names: Sequence[str]) -> list[Column]:
-    return [F.col(n) for n in names]
+def listed(names: Sequence[str]) -> str:
+    """Column names for SQL text."""
+    return ", ".join(f"`{n}`" for n in names)
+
+
+def piece_sql(order: str, piece: int = PIECE) -> str:
+    return f"CAST(floor(({order}) / {piece}) AS BIGINT)"
 
 
 def piece_of(order: Column | str, piece: int = PIECE) -> Column:
@@ -34,9 +42,9 @@ def with_halo(
 
     Adds ``_piece``; a row belongs to the piece where ``piece_of(order) == _piece``.
     """
-    first = piece_of(F.col(order) - F.lit(after), piece)
-    last = piece_of(F.col(order) + F.lit(before), piece)
-    return df.withColumn("_piece", F.explode(F.sequence(first, last)))
+    first = piece_sql(f"`{order}` - {after}", piece)
+    last = piece_sql(f"`{order}` + {before}", piece)
+    return df.selectExpr("*", f"explode(sequence({first}, {last})) AS _piece")
 
 
 def sliding(
@@ -56,7 +64,23 @@ def sliding(
     spec = Window.partitionBy(*keys, "_piece").orderBy(order)
     halo = with_halo(df, order, before, after, piece)
     wide = halo.select("*", *[c.alias(n) for n, c in make(spec).items()])
-    return wide.filter(piece_of(order, piece) == F.col("_piece")).drop("_piece")
+    return wide.filter(f"{piece_sql(f'`{order}`', piece)} = _piece").drop("_piece")
+
+
+def with_neighbours(
+    df: DataFrame, keys: Sequence[str], columns: Sequence[str], frame: str = "frame", piece: int = PIECE
+) -> DataFrame:
+    """Add ``before``/``after``: structs of ``columns`` one frame away, NULL without such a row."""
+    spec = f"OVER (PARTITION BY {listed(keys)}, _piece ORDER BY `{frame}`)"
+    packed = f"struct(`{frame}`, {listed(columns)})"
+    halo = with_halo(df, frame, 1, 1, piece).selectExpr(
+        "*", f"lag({packed}) {spec} AS _prev", f"lead({packed}) {spec} AS _next"
+    )
+    return halo.filter(f"{piece_sql(f'`{frame}`', piece)} = _piece").selectExpr(
+        "*",
+        f"CASE WHEN _prev.`{frame}` = `{frame}` - 1 THEN _prev END AS before",
+        f"CASE WHEN _next.`{frame}` = `{frame}` + 1 THEN _next END AS after",
+    ).drop("_piece", "_prev", "_next")
 
 
 def at_offset(column: Column | str, spec: WindowSpec, offset: int) -> Column:
@@ -69,42 +93,45 @@ def number_frames(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    bucket: Column,
+    bucket: str,
     name: str = "frame",
 ) -> DataFrame:
     """0-based dense row number per ``keys`` in ``order``.
 
-    ``bucket`` must be a coarse, order-preserving image of the first order column. Rows are
-    numbered inside a bucket and shifted by the row count of the earlier buckets, so
+    ``bucket`` (SQL text) must be a coarse, order-preserving image of the first order column.
+    Rows are numbered inside a bucket and shifted by the row count of the earlier buckets, so
     no task sorts a whole sequence.
     """
-    df = df.withColumn("_bucket", bucket)
-    sizes = df.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
-    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, -1
+    key = listed(keys)
+    df = df.selectExpr("*", f"{bucket} AS _bucket")
+    starts = (
+        df.groupBy(*keys, "_bucket").agg(F.expr("count(1) AS _rows"))
+        .selectExpr(
+            *[f"`{k}`" for k in keys], "_bucket",
+            f"""coalesce(sum(_rows) OVER (PARTITION BY {key} ORDER BY _bucket
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _start""",
+        )
     )
-    starts = sizes.select(
-        *keys, "_bucket", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start")
+    numbered = df.selectExpr(
+        "*", f"row_number() OVER (PARTITION BY {key}, _bucket ORDER BY {listed(order)}) - 1 AS _local"
     )
-    local = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    numbered = df.withColumn("_local", F.row_number().over(local) - 1)
     return (
         numbered.join(starts, [*keys, "_bucket"])
-        .withColumn(name, (F.col("_start") + F.col("_local")).cast("int"))
+        .selectExpr("*", f"CAST(_start + _local AS INT) AS `{name}`")
         .drop("_bucket", "_local", "_start")
     )
 
 
 def spine(lengths: DataFrame, keys: Sequence[str], count: str = "num_frames") -> DataFrame:
     """One row per frame 0..count-1; pieces are exploded first so a long video spreads out."""
-    pieces = lengths.filter(F.col(count) > 0).withColumn(
-        "_piece", F.explode(F.sequence(F.lit(0), piece_of(F.col(count) - 1)))
+    pieces = lengths.filter(f"`{count}` > 0").selectExpr(
+        "*", f"explode(sequence(0L, {piece_sql(f'`{count}` - 1')})) AS _piece"
     )
-    last = F.least(F.col(count) - 1, (F.col("_piece") + 1) * PIECE - 1)
+    last = f"least(CAST(`{count}` - 1 AS BIGINT), (_piece + 1) * {PIECE} - 1)"
     return (
         pieces.repartition(*keys, "_piece")
-        .withColumn("frame", F.explode(F.sequence(F.col("_piece") * PIECE, last)))
-        .select(*keys, F.col("frame").cast("int").alias("frame"))
+        .selectExpr(*[f"`{k}`" for k in keys], f"explode(sequence(_piece * {PIECE}, {last})) AS _f")
+        .selectExpr(*[f"`{k}`" for k in keys], "CAST(_f AS INT) AS frame")
     )
 
 
@@ -116,11 +143,17 @@ def lookup_join(
     The attribute side is copied ``spread`` times and the frame side salted. Spark still
     broadcasts the attribute side by itself while its size estimate allows.
     """
-    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    rows = big.withColumn("_salt", F.pmod(F.hash(*big.columns[: len(keys) + 2]), F.lit(spread)))
+    salted = small.selectExpr("*", f"explode(sequence(0, {spread - 1})) AS _salt")
+    rows = big.selectExpr("*", f"pmod(hash({listed(_salt_columns(big, keys))}), {spread}) AS _salt")
     return rows.join(salted, [*keys, "_salt"], how).drop("_salt")
 
 
+def _salt_columns(df: DataFrame, keys: Sequence[str]) -> list[str]:
+    """What tells rows of one key apart: the frame if there is one, else the simple columns."""
+    frames = [c for c in ("identity", "frame", "sample_frame", "instance") if c in df.columns]
+    return frames or [n for n, kind in df.dtypes if not kind.startswith(("map", "array", "struct"))]
+
+
 def runs_of_intervals(
     df: DataFrame,
     keys: Sequence[str],
@@ -136,86 +169,70 @@ def runs_of_intervals(
     state of the run that touches on that side (NULL where nothing touches).
     """
     keys, state = list(keys), list(state)
-    rows = df.select(
-        *keys, F.col(start).alias("start"), F.col(end).alias("end"), *state,
-        piece_of(start, piece).alias("_piece"),
-    )
-    here = Window.partitionBy(*keys, "_piece").orderBy("start")
+    key = listed(keys)
+    here = f"OVER (PARTITION BY {key}, _piece ORDER BY start)"
+    across = f"OVER (PARTITION BY {key} ORDER BY start)"
 
-    def same(spec: WindowSpec) -> Column:
-        equal = F.lag("end").over(spec) + 1 == F.col("start")
-        for s in state:
-            equal = equal & F.lag(s).over(spec).eqNullSafe(F.col(s))
-        return F.coalesce(equal, F.lit(False))
+    def begins(over: str) -> str:
+        equal = [f"lag(end) {over} + 1 = start", *[f"lag(`{s}`) {over} <=> `{s}`" for s in state]]
+        return f"CASE WHEN {' AND '.join(equal)} THEN 0 ELSE 1 END AS _new"
 
+    def number(over: str) -> str:
+        return f"sum(_new) {over[:-1]} ROWS UNBOUNDED PRECEDING) AS _run"
+
+    def touching(over: str, first: str, last: str, known: bool) -> list[str]:
+        out = []
+        for s in state:
+            prev = f"CASE WHEN lag(end) {over} + 1 = start THEN lag(`{s}`) {over} END"
+            following = f"CASE WHEN lead(start) {over} = end + 1 THEN lead(`{s}`) {over} END"
+            if known:
+                prev = f"CASE WHEN {first} THEN {prev} ELSE `prev_{s}` END"
+                following = f"CASE WHEN {last} THEN {following} ELSE `next_{s}` END"
+            out += [f"{prev} AS `prev_{s}`", f"{following} AS `next_{s}`"]
+        return out
+
+    plain = [f"`{c}`" for c in [*keys, *state]]
+    firsts = [F.expr(f"first(`{s}`) AS `{s}`") for s in state]
     local = (
-        rows.withColumn("_new", F.when(same(here), 0).otherwise(1))
-        .withColumn("_run", F.sum("_new").over(here.rowsBetween(Window.unboundedPreceding, 0)))
+        df.selectExpr(
+            *plain, f"`{start}` AS start", f"`{end}` AS end", f"{piece_sql(f'`{start}`', piece)} AS _piece"
+        )
+        .selectExpr("*", begins(here))
+        .selectExpr("*", number(here))
         .groupBy(*keys, "_piece", "_run")
-        .agg(
-            F.min("start").alias("start"),
-            F.max("end").alias("end"),
-            *[F.first(s).alias(s) for s in state],
+        .agg(F.expr("min(start) AS start"), F.expr("max(end) AS end"), *firsts)
+        .selectExpr(
+            *plain, "start", "end",
+            f"row_number() {here} = 1 AND _piece > 0 AS _first",
+            f"lead(start) {here} IS NULL AND {piece_sql('end + 1', piece)} > _piece AS _last",
+            *touching(here, "", "", False),
         )
-        .withColumns({
-            "_first": (F.row_number().over(here) == 1) & (F.col("_piece") > 0),
-            "_last": F.lead("start").over(here).isNull()
-            & (piece_of(F.col("end") + 1, piece) > F.col("_piece")),
-            **_touching(here, state),
-        })
     )
-
     # Only the first and last run of a piece can continue in another piece; frames start at 0,
     # so nothing precedes piece 0. Sequences of one piece have no such runs at all, and AQE
-    # then drops the second half of the plan.
-    inner = local.filter(~F.col("_first") & ~F.col("_last"))
-    edge = local.filter(F.col("_first") | F.col("_last"))
-    across = Window.partitionBy(*keys).orderBy("start")
-    # neighbours across a cut come from the adjacent edge run, all others are known locally
-    outer_prev = {
-        f"prev_{s}": F.when(
-            F.col("_first"),
-            F.when(F.lag("end").over(across) + 1 == F.col("start"), F.lag(s).over(across)),
-        ).otherwise(F.col(f"prev_{s}"))
-        for s in state
-    }
-    outer_next = {
-        f"next_{s}": F.when(
-            F.col("_last"),
-            F.when(F.lead("start").over(across) == F.col("end") + 1, F.lead(s).over(across)),
-        ).otherwise(F.col(f"next_{s}"))
+    # then drops the second half of the plan. Neighbours across a cut come from the adjacent edge
+    # run; all others are known locally.
+    inner = local.filter("NOT _first AND NOT _last")
+    keep = [c for s in state for c in (f"`prev_{s}`", f"`next_{s}`")]
+    outer = [
+        F.expr(f"{pick}(`{side}_{s}`, start) AS `{side}_{s}`")
         for s in state
-    }
+        for pick, side in (("min_by", "prev"), ("max_by", "next"))
+    ]
     edge = (
-        edge.withColumn("_new", F.when(same(across), 0).otherwise(1))
-        .withColumns({**outer_prev, **outer_next})
-        .withColumn("_run", F.sum("_new").over(across.rowsBetween(Window.unboundedPreceding, 0)))
+        local.filter("_first OR _last")
+        .selectExpr(*plain, "start", "end", begins(across), *touching(across, "_first", "_last", True))
+        .selectExpr("*", number(across))
         .groupBy(*keys, "_run")
-        .agg(
-            F.min("start").alias("_start"),
-            F.max("end").alias("end"),
-            *[F.first(s).alias(s) for s in state],
-            *[F.min_by(f"prev_{s}", "start").alias(f"prev_{s}") for s in state],
-            *[F.max_by(f"next_{s}", "start").alias(f"next_{s}") for s in state],
-        )
+        .agg(F.expr("min(start) AS _start"), F.expr("max(end) AS end"), *firsts, *outer)
         .withColumnRenamed("_start", "start")
     )
-    out = [*keys, "start", "end", *state]
-    out += [f"prev_{s}" for s in state] + [f"next_{s}" for s in state]
-    return (
-        inner.select(*out)
-        .unionByName(edge.select(*out))
-        .withColumn("duration", F.col("end") - F.col("start") + 1)
+    out = [*plain[: len(keys)], "start", "end", *plain[len(keys):], *keep]
+    return inner.selectExpr(*out).unionByName(edge.selectExpr(*out)).selectExpr(
+        "*", "end - start + 1 AS duration"
     )
 
 
-def _touching(spec: WindowSpec, state: Sequence[str]) -> dict[str, Column]:
-    before = F.lag("end").over(spec) + 1 == F.col("start")
-    after = F.lead("start").over(spec) == F.col("end") + 1
-    prev = {f"prev_{s}": F.when(before, F.lag(s).over(spec)) for s in state}
-    return prev | {f"next_{s}": F.when(after, F.lead(s).over(spec)) for s in state}
-
-
 def runs(
     df: DataFrame, keys: Sequence[str], state: Sequence[str] = ("state",), frame: str = "frame",
     piece: int = PIECE,
@@ -228,7 +245,7 @@ def position_in_key(
     df: DataFrame, keys: Sequence[str], order: str, name: str, piece: int = PIECE
 ) -> DataFrame:
     """0-based position of each row within its key, counted piece by piece."""
-    return number_frames(df, keys, [order], piece_of(order, piece), name)
+    return number_frames(df, keys, [order], piece_sql(f"`{order}`", piece), name)
 
 
 def nearest_value(
@@ -283,12 +300,14 @@ def frames_of(
     Long intervals are cut into pieces first, so one interval is not one huge generator row.
     """
     others = [c for c in intervals.columns if c not in (start, end, name)]
-    first, last = F.col(start).cast("int"), F.col(end).cast("int")
-    cut = intervals.filter(first <= last).withColumns({
-        "_to": last, "_from": F.explode(F.sequence(first, last, F.lit(PIECE)))
-    })
-    upto = F.least(F.col("_to"), F.col("_from") + F.lit(PIECE - 1))
-    return cut.select(*others, F.explode(F.sequence(F.col("_from"), upto)).alias(name))
+    cut = intervals.filter(f"`{start}` <= `{end}`").selectExpr(
+        *[f"`{c}`" for c in others], f"CAST(`{end}` AS INT) AS _to",
+        f"explode(sequence(CAST(`{start}` AS INT), CAST(`{end}` AS INT), {PIECE})) AS _from",
+    )
+    return cut.selectExpr(
+        *[f"`{c}`" for c in others],
+        f"explode(sequence(_from, least(_to, _from + {PIECE - 1}))) AS `{name}`",
+    )
 
 
 def overlap_join(

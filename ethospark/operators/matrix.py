@@ -210,7 +210,7 @@ def balance(rows: DataFrame, key: Sequence[str], label: str = "label", seed: int
     limits = counts.select(label, F.min("_n").over(Window.partitionBy(F.lit(0))).alias("_limit"))
     hashed = rows.withColumn("_hash", F.xxhash64(F.lit(seed), *map(quoted, key)))
     ranked = number_frames(
-        hashed, [label], ["_hash", *[f"`{k}`" for k in key]], F.shiftright("_hash", 52), "_rank"
+        hashed, [label], ["_hash", *key], "shiftright(_hash, 52)", "_rank"
     )
     return ranked.join(F.broadcast(limits), label).filter(F.col("_rank") < F.col("_limit")).drop(
         "_hash", "_rank", "_limit"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ethospark.operators.frames import number_frames, runs
 from ethospark.skeleton import NUM_KEYPOINTS
 
+STATE = "CASE WHEN event_type IN ('purchase', 'click') THEN 1 WHEN event_type = 'error' THEN -1 ELSE 0 END"
 HOUR_BUCKET = 6  # hours of events numbered together
 
 
@@ -26,22 +27,19 @@ class Views:
     def sequence(self) -> DataFrame:
         """Events as frames: video, identity, frame, and the event columns."""
         events = self.table("events")
-        seconds = F.unix_timestamp(F.date_trunc("hour", "ts"))
-        rows = events.select(
-            F.concat(F.lit("video"), F.col("user_id") % 7).alias("video"),
-            F.col("user_id").alias("identity"),
+        rows = events.selectExpr(
+            "concat('video', user_id % 7) AS video", "user_id AS identity",
             "event_id", "event_type", "value", "props", "ts",
         )
         return number_frames(
             rows, ["video", "identity"], ["ts", "event_id"],
-            F.floor(seconds / F.lit(3600 * HOUR_BUCKET)),
+            f"floor(unix_timestamp(date_trunc('hour', ts)) / {3600 * HOUR_BUCKET})",
         )
 
     def signal(self) -> DataFrame:
         """A feature column with gaps: NULL where the event is an error."""
-        return self.sequence().select(
-            "video", "identity", "frame",
-            F.when(F.col("event_type") != "error", F.col("value")).alias("value"),
+        return self.sequence().selectExpr(
+            "video", "identity", "frame", "CASE WHEN event_type <> 'error' THEN value END AS value"
         )
 
     def angle(self) -> DataFrame:
@@ -53,26 +51,14 @@ class Views:
 
     def state(self) -> DataFrame:
         """Class vector: 1 behaviour, 0 not, -1 no prediction."""
-        return self.sequence().select(
-            "video", "identity", "frame",
-            F.when(F.col("event_type").isin("purchase", "click"), 1)
-            .when(F.col("event_type") == "error", -1)
-            .otherwise(0)
-            .alias("state"),
-        )
+        return self.sequence().selectExpr("video", "identity", "frame", f"{STATE} AS state")
 
     def prediction(self) -> DataFrame:
         """Binary predictions of two behaviours (the second is the first one inverted)."""
-        rows = self.sequence()
-        cls = (
-            F.when(F.col("event_type").isin("purchase", "click"), 1)
-            .when(F.col("event_type") == "error", -1)
-            .otherwise(0)
-        )
-        prob = F.when(cls == -1, F.lit(0.0)).otherwise(
-            F.lit(0.5) + (F.col("event_id") % 50) / F.lit(100.0)
+        base = self.sequence().selectExpr(
+            "video", "identity", "frame", f"{STATE} AS cls",
+            f"CASE WHEN {STATE} = -1 THEN 0.0D ELSE 0.5D + (event_id % 50) / 100.0D END AS prob",
         )
-        base = rows.select("video", "identity", "frame", cls.alias("cls"), prob.alias("prob"))
         walk = base.withColumn("behavior", F.lit("walk"))
         rest = base.withColumn("behavior", F.lit("rest")).withColumn(
             "cls", F.when(F.col("cls") == -1, -1).otherwise(1 - F.col("cls"))
@@ -163,26 +149,20 @@ class Views:
     # --- poses from the embedding table: three animals per video ---------------------
     def raw_instance(self) -> DataFrame:
         """One row per detected instance before identities are known."""
-        e = _elements()
-        keypoints = F.array(*[
-            F.struct(
-                ((e(2 * k + 1) + 1) * 400 + 90 * (F.col("vec_id") % 3)).alias("x"),
-                ((e(2 * k + 2) + 1) * 400 + 60 * (F.col("vec_id") % 3)).alias("y"),
-                (e(25 + k) + 0.5).alias("conf"),
-            )
+        x = "(double(embedding[{}]) + 1) * 400 + 90 * (vec_id % 3)"
+        y = "(double(embedding[{}]) + 1) * 400 + 60 * (vec_id % 3)"
+        points = ", ".join(
+            f"named_struct('x', {x.format(2 * k)}, 'y', {y.format(2 * k + 1)}, "
+            f"'conf', double(embedding[{24 + k}]) + 0.5D)"
             for k in range(NUM_KEYPOINTS)
-        ])
-        rows = self.table("embeddings").select(
-            F.concat(F.lit("v"), F.col("label")).alias("video"),
-            (F.col("vec_id") % 3).cast("int").alias("instance"),
-            "vec_id",
-            (F.col("vec_id") % 3 + 1).cast("int").alias("embed_id"),
-            (e(44) > 0.15).cast("int").alias("id_mask"),
-            keypoints.alias("keypoints"),
-            "embedding",
+        )
+        rows = self.table("embeddings").selectExpr(
+            "concat('v', label) AS video", "int(vec_id % 3) AS instance", "vec_id",
+            "int(vec_id % 3 + 1) AS embed_id", "int(double(embedding[43]) > 0.15D) AS id_mask",
+            f"array({points}) AS keypoints", "embedding",
         )
         return number_frames(
-            rows, ["video", "instance"], ["vec_id"], F.floor(F.col("vec_id") / 4096)
+            rows, ["video", "instance"], ["vec_id"], "floor(vec_id / 4096)"
         )
 
     def pose(self) -> DataFrame:

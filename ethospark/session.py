@@ -24,6 +24,8 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("ETHOSPARK_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        # call sites of every column expression: helpful while debugging, slow for wide tables
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
