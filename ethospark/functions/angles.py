@@ -1,24 +1,38 @@
-"""Angle and vector expressions (degrees)."""
+"""Angle and vector expressions (degrees), as SQL text.
 
-from __future__ import annotations
+Feature tables have hundreds of such columns; text keeps the formulas readable and the plan quick
+to build.
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from __future__ import annotations
 
 
-def wrap(degrees: Column, low: float = -180.0) -> Column:
+def wrap(degrees: str, low: float = -180.0) -> str:
     """Shift by whole turns into [low, low + 360)."""
-    return degrees - 360 * F.floor((degrees - low) / 360).cast("double")
+    if low == 0:
+        return f"pmod({degrees}, 360D)"
+    return f"(pmod({degrees} - ({low}D), 360D) + ({low}D))"
 
 
-def direction(dx: Column, dy: Column) -> Column:
-    return F.degrees(F.atan2(dy, dx))
+def direction(dx: str, dy: str) -> str:
+    return f"degrees(atan2({dy}, {dx}))"
 
 
-def corner_angle(ax, ay, bx, by, cx, cy) -> Column:
+def corner_angle(ax: str, ay: str, bx: str, by: str, cx: str, cy: str) -> str:
     """Turn from b→a to b→c, unwrapped."""
-    return F.degrees(F.atan2(cy - by, cx - bx) - F.atan2(ay - by, ax - bx))
+    return f"degrees(atan2({cy} - {by}, {cx} - {bx}) - atan2({ay} - {by}, {ax} - {bx}))"
+
+
+def length(dx: str, dy: str) -> str:
+    return f"sqrt(({dx}) * ({dx}) + ({dy}) * ({dy}))"
+
+
+def distance(ax: str, ay: str, bx: str, by: str) -> str:
+    return length(f"{ax} - {bx}", f"{ay} - {by}")
 
 
-def distance(ax, ay, bx, by) -> Column:
-    return F.sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by))
+def sine_cosine(name: str, angle: str) -> dict[str, str]:
+    """An angle column with its sine and cosine."""
+    return {
+        name: angle, f"{name} sine": f"sin(radians({angle}))", f"{name} cosine": f"cos(radians({angle}))"
+    }

@@ -1,89 +1,82 @@
-"""Polygon expressions and the Arrow helpers for convex hulls.
+"""Polygon expressions (SQL text) and the Arrow helpers for convex hulls.
 
-Polygons in columns are arrays of structs (x, y). The numpy helpers work on whole batches at once:
-row i of the (n, p) arrays is one animal on one frame.
+Polygons in columns are arrays of structs (x, y); their edges arrays of (ax, ay, tx, ty). The numpy
+helpers work on whole batches at once: row i of the (n, p) arrays is one animal on one frame.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
+# --- SQL text ------------------------------------------------------------------------------
 
-# --- column expressions -----------------------------------------------------------------
 
-
-def edges(points: Column) -> Column:
-    """Closed polygon as an array of (ax, ay, bx, by)."""
-    following = F.concat(F.slice(points, 2, F.greatest(F.size(points), F.lit(1))), F.slice(points, 1, 1))
-    return F.zip_with(
-        points, following,
-        lambda a, b: F.struct(
-            a["x"].cast("double").alias("ax"), a["y"].cast("double").alias("ay"),
-            b["x"].cast("double").alias("bx"), b["y"].cast("double").alias("by"),
-        ),
+def edges(points: str) -> str:
+    """Closed polygon as an array of edges."""
+    following = f"concat(slice({points}, 2, size({points})), slice({points}, 1, 1))"
+    return (
+        f"zip_with({points}, {following}, (a, b) -> named_struct("
+        "'ax', double(a.x), 'ay', double(a.y), 'tx', double(b.x), 'ty', double(b.y)))"
     )
 
 
-def edge_distance_squared(px: Column, py: Column, e: Column) -> Column:
-    """Squared distance of a point to one edge."""
-    dx, dy = e["bx"] - e["ax"], e["by"] - e["ay"]
-    length = dx * dx + dy * dy
-    along = (px - e["ax"]) * dx + (py - e["ay"]) * dy
-    t = F.when(length > 0, F.least(F.greatest(along / length, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
-    rx, ry = px - (e["ax"] + t * dx), py - (e["ay"] + t * dy)
-    return rx * rx + ry * ry
+def edge_distance_squared(px: str, py: str) -> str:
+    """Squared distance of a point to the edge ``e``."""
+    dx, dy = "(e.tx - e.ax)", "(e.ty - e.ay)"
+    square = f"({dx} * {dx} + {dy} * {dy})"
+    along = f"(({px} - e.ax) * {dx} + ({py} - e.ay) * {dy})"
+    t = f"(CASE WHEN {square} > 0 THEN least(greatest({along} / {square}, 0D), 1D) ELSE 0D END)"
+    return f"pow({px} - (e.ax + {t} * {dx}), 2D) + pow({py} - (e.ay + {t} * {dy}), 2D)"
 
 
-def signed_distance(px: Column, py: Column, polygon_edges: Column) -> Column:
+def signed_distance(px: str, py: str, polygon_edges: str) -> str:
     """Distance of a point to a polygon's outline: positive inside, negative outside."""
-    nearest = F.sqrt(F.array_min(F.transform(polygon_edges, lambda e: edge_distance_squared(px, py, e))))
-
-    def crosses(e: Column) -> Column:
-        spans = (e["ay"] > py) != (e["by"] > py)
-        at = e["ax"] + (py - e["ay"]) / (e["by"] - e["ay"]) * (e["bx"] - e["ax"])
-        return spans & (px < at)
-
-    inside = F.size(F.filter(polygon_edges, crosses)) % 2 == 1
-    return F.when(px.isNotNull() & py.isNotNull(), F.when(inside, nearest).otherwise(-nearest))
-
-
-def polygon_moments(points: Column) -> Column:
-    """Raw area moments up to order 3 (Green's theorem), counted positive, as a struct."""
-    names = ["m00", "m10", "m01", "m20", "m11", "m02", "m30", "m21", "m12", "m03"]
-
-    def terms(e: Column) -> dict[str, Column]:
-        x0, y0, x1, y1 = e["ax"], e["ay"], e["bx"], e["by"]
-        a = x0 * y1 - x1 * y0
-        return {
-            "m00": a / 2,
-            "m10": a * (x0 + x1) / 6,
-            "m01": a * (y0 + y1) / 6,
-            "m20": a * (x0 * x0 + x0 * x1 + x1 * x1) / 12,
-            "m11": a * (x0 * (2 * y0 + y1) + x1 * (y0 + 2 * y1)) / 24,
-            "m02": a * (y0 * y0 + y0 * y1 + y1 * y1) / 12,
-            "m30": a * (x0 + x1) * (x0 * x0 + x1 * x1) / 20,
-            "m21": a * (x0 * x0 * (3 * y0 + y1) + 2 * x0 * x1 * (y0 + y1) + x1 * x1 * (y0 + 3 * y1)) / 60,
-            "m12": a * (y0 * y0 * (3 * x0 + x1) + 2 * y0 * y1 * (x0 + x1) + y1 * y1 * (x0 + 3 * x1)) / 60,
-            "m03": a * (y0 + y1) * (y0 * y0 + y1 * y1) / 20,
-        }
-
-    zero = F.struct(*[F.lit(0.0).alias(n) for n in names])
-    total = F.aggregate(
-        edges(points), zero, lambda s, e: F.struct(*[(s[n] + t).alias(n) for n, t in terms(e).items()])
+    nearest = f"sqrt(array_min(transform({polygon_edges}, e -> {edge_distance_squared(px, py)})))"
+    crossing = (
+        f"((e.ay > {py}) != (e.ty > {py})) "
+        f"AND {px} < e.ax + ({py} - e.ay) / (e.ty - e.ay) * (e.tx - e.ax)"
+    )
+    inside = f"size(filter({polygon_edges}, e -> {crossing})) % 2 = 1"
+    return (
+        f"CASE WHEN {px} IS NULL OR {py} IS NULL THEN NULL WHEN {inside} THEN {nearest} ELSE -{nearest} END"
     )
-    sign = F.when(total["m00"] < 0, -1.0).otherwise(1.0)
-    return F.struct(*[(total[n] * sign).alias(n) for n in names])
 
 
-def perimeter(points: Column) -> Column:
-    return F.aggregate(
-        edges(points), F.lit(0.0),
-        lambda s, e: s + F.hypot(e["bx"] - e["ax"], e["by"] - e["ay"]),
+# Area moments of a polygon up to order 3 by Green's theorem, per edge; a is the edge's cross product.
+MOMENT_TERMS = {
+    "m00": "a / 2",
+    "m10": "a * (x0 + x1) / 6",
+    "m01": "a * (y0 + y1) / 6",
+    "m20": "a * (x0 * x0 + x0 * x1 + x1 * x1) / 12",
+    "m11": "a * (x0 * (2 * y0 + y1) + x1 * (y0 + 2 * y1)) / 24",
+    "m02": "a * (y0 * y0 + y0 * y1 + y1 * y1) / 12",
+    "m30": "a * (x0 + x1) * (x0 * x0 + x1 * x1) / 20",
+    "m21": "a * (x0 * x0 * (3 * y0 + y1) + 2 * x0 * x1 * (y0 + y1) + x1 * x1 * (y0 + 3 * y1)) / 60",
+    "m12": "a * (y0 * y0 * (3 * x0 + x1) + 2 * y0 * y1 * (x0 + x1) + y1 * y1 * (x0 + 3 * x1)) / 60",
+    "m03": "a * (y0 + y1) * (y0 * y0 + y1 * y1) / 20",
+}
+
+
+def polygon_moments(points: str) -> str:
+    """Raw area moments, counted positive whichever way the outline runs, as a struct."""
+    names = {"x0": "e.ax", "y0": "e.ay", "x1": "e.tx", "y1": "e.ty", "a": "(e.ax * e.ty - e.tx * e.ay)"}
+
+    def term(text: str) -> str:
+        return " ".join(names.get(w, w) for w in text.replace("(", "( ").replace(")", " )").split())
+
+    zero = ", ".join(f"'{m}', 0D" for m in MOMENT_TERMS)
+    step = ", ".join(f"'{m}', s.{m} + {term(t)}" for m, t in MOMENT_TERMS.items())
+    final = ", ".join(f"'{m}', IF(s.m00 < 0, -s.{m}, s.{m})" for m in MOMENT_TERMS)
+    return (
+        f"aggregate({edges(points)}, named_struct({zero}), (s, e) -> named_struct({step}), "
+        f"s -> named_struct({final}))"
     )
 
 
+def perimeter(points: str) -> str:
+    return f"aggregate({edges(points)}, 0D, (s, e) -> s + hypot(e.tx - e.ax, e.ty - e.ay))"
+
+
 # --- numpy helpers for Arrow batches -------------------------------------------------------
 
 

@@ -1,16 +1,24 @@
 """Per-frame features of one animal: distances, angles, speeds, directions.
 
-Input is a *prepared* pose (see ``prepare``). Every function returns a dict of columns named
-``module feature``, so one ``select`` computes any choice of modules in a single stage.
+Input is a *prepared* pose (see ``prepare``). Every module is a dict of SQL expressions named
+``module feature``, so one projection computes any choice of modules in a single stage.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, WindowSpec
-from pyspark.sql import functions as F
+from collections.abc import Callable, Mapping, Sequence
 
-from ethospark.functions.angles import corner_angle, direction, distance, wrap
-from ethospark.operators.frames import lookup_join, sliding
+from pyspark.sql import DataFrame
+
+from ethospark.functions.angles import (
+    corner_angle,
+    direction,
+    distance,
+    length,
+    sine_cosine,
+    wrap,
+)
+from ethospark.operators.frames import lookup_join, with_neighbours
 from ethospark.operators.pose import (
     ANIMAL,
     POINTS,
@@ -22,21 +30,7 @@ from ethospark.operators.pose import (
 )
 from ethospark.skeleton import ANGLES, DEFAULT_FPS, INDEX, KEYPOINTS
 
-
-def x(k: int) -> Column:
-    return F.col(f"x_{k}")
-
-
-def y(k: int) -> Column:
-    return F.col(f"y_{k}")
-
-
-def sine_cosine(name: str, angle: Column) -> dict[str, Column]:
-    return {
-        name: angle,
-        f"{name} sine": F.sin(F.radians(angle)),
-        f"{name} cosine": F.cos(F.radians(angle)),
-    }
+Features = dict[str, str]
 
 
 def prepare(
@@ -51,102 +45,102 @@ def prepare(
     rows = with_centroid(with_bearing(with_presence(scaled(pose, scales), version)))
     rows = lookup_join(rows, lengths, ["video"])
     carried = [f"{a}_{k}" for a in "xy" for k in POINTS] + ["cx", "cy", "bearing"]
-    packed = F.struct("frame", *carried)
+    return with_neighbours(rows, ANIMAL, carried)
 
-    def neighbours(spec: WindowSpec) -> dict[str, Column]:
-        prev, following = F.lag(packed).over(spec), F.lead(packed).over(spec)
-        return {
-            "before": F.when(prev["frame"] == F.col("frame") - 1, prev),
-            "after": F.when(following["frame"] == F.col("frame") + 1, following),
-        }
 
-    return sliding(rows, ANIMAL, "frame", 1, 1, neighbours)
-
-
-def gradient(name: str) -> Column:
+def gradient(name: str) -> str:
     """Change per frame: central inside the video, one-sided at its first and last frame."""
-    here, before, after = F.col(name), F.col("before")[name], F.col("after")[name]
     return (
-        F.when(F.col("num_frames") == 1, F.lit(None).cast("double"))
-        .when(F.col("frame") == 0, after - here)
-        .when(F.col("frame") == F.col("num_frames") - 1, here - before)
-        .otherwise((after - before) / 2)
+        f"(CASE WHEN num_frames = 1 THEN NULL WHEN frame = 0 THEN after.{name} - {name} "
+        f"WHEN frame = num_frames - 1 THEN {name} - before.{name} "
+        f"ELSE (after.{name} - before.{name}) / 2 END)"
     )
 
 
-def point_mask() -> dict[str, Column]:
-    return {f"point_mask point_mask {n}": F.col(f"ok_{k}").cast("double") for k, n in enumerate(KEYPOINTS)}
+def point_mask() -> Features:
+    return {f"point_mask point_mask {n}": f"double(ok_{k})" for k, n in enumerate(KEYPOINTS)}
 
 
-def pairwise_distances() -> dict[str, Column]:
+def pairwise_distances() -> Features:
     return {
-        f"pairwise_distances {KEYPOINTS[i]}-{KEYPOINTS[j]}": distance(x(i), y(i), x(j), y(j)) * F.col("scale")
+        f"pairwise_distances {KEYPOINTS[i]}-{KEYPOINTS[j]}":
+        f"{distance(f'x_{i}', f'y_{i}', f'x_{j}', f'y_{j}')} * scale"
         for i in POINTS
         for j in POINTS
         if i < j
     }
 
 
-def angles() -> dict[str, Column]:
+def angles() -> Features:
     """Turn at the middle point of each named triple, in [0, 360), with sine and cosine."""
-    out: dict[str, Column] = {}
+    out: Features = {}
     for names in ANGLES:
-        a, b, c = (INDEX[n] for n in names)
-        turn = wrap(corner_angle(x(a), y(a), x(b), y(b), x(c), y(c)), 0.0)
-        out |= sine_cosine(f"angles angle {'-'.join(names)}", turn)
+        points = [f"{a}_{INDEX[n]}" for n in names for a in "xy"]
+        out |= sine_cosine(f"angles angle {'-'.join(names)}", wrap(corner_angle(*points), 0))
     return out
 
 
-def angular_velocity(fps: float = DEFAULT_FPS) -> dict[str, Column]:
+def angular_velocity(fps: float = DEFAULT_FPS) -> Features:
     """Turn of the bearing to the next frame per second, the short way round."""
-    diff = wrap(F.col("after")["bearing"], 0.0) - wrap(F.col("bearing"), 0.0)
-    short = F.when(diff > 180, diff - 360).when(diff < -180, diff + 360).otherwise(diff)
-    return {"angular_velocity angular_velocity": short * fps}
+    diff = f"({wrap('after.bearing', 0)} - {wrap('bearing', 0)})"
+    short = f"CASE WHEN {diff} > 180 THEN {diff} - 360 WHEN {diff} < -180 THEN {diff} + 360 ELSE {diff} END"
+    return {"angular_velocity angular_velocity": f"({short}) * {fps}D"}
 
 
-def point_speeds(fps: float = DEFAULT_FPS) -> dict[str, Column]:
+def point_speeds(fps: float = DEFAULT_FPS) -> Features:
     return {
-        f"point_speeds {n} speed": F.sqrt(
-            gradient(f"x_{k}") * gradient(f"x_{k}") + gradient(f"y_{k}") * gradient(f"y_{k}")
-        ) * fps * F.col("scale")
+        f"point_speeds {n} speed": f"{length(gradient(f'x_{k}'), gradient(f'y_{k}'))} * {fps}D * scale"
         for k, n in enumerate(KEYPOINTS)
     }
 
 
-def point_velocity_dirs() -> dict[str, Column]:
+def point_velocity_dirs() -> Features:
     """Direction of motion relative to the bearing, turned by half a turn, in [-180, 180)."""
-    out: dict[str, Column] = {}
+    out: Features = {}
     for k, n in enumerate(KEYPOINTS):
         motion = direction(gradient(f"x_{k}"), gradient(f"y_{k}"))
-        relative = wrap(motion - F.col("bearing"), 0.0) - 180
+        relative = f"({wrap(f'{motion} - bearing', 0)} - 180)"
         out |= sine_cosine(f"point_velocity_dirs {n} velocity direction", relative)
     return out
 
 
-def centroid_velocity_dir() -> dict[str, Column]:
+def centroid_velocity_dir() -> Features:
     motion = direction(gradient("cx"), gradient("cy"))
-    return sine_cosine("centroid_velocity_dir centroid_velocity_dir", wrap(motion - F.col("bearing")))
+    return sine_cosine("centroid_velocity_dir centroid_velocity_dir", wrap(f"{motion} - bearing"))
 
 
-def centroid_velocity_mag(fps: float = DEFAULT_FPS) -> dict[str, Column]:
-    speed = F.sqrt(gradient("cx") * gradient("cx") + gradient("cy") * gradient("cy"))
-    return {"centroid_velocity_mag centroid_velocity_mag": speed * fps * F.col("scale")}
+def centroid_velocity_mag(fps: float = DEFAULT_FPS) -> Features:
+    speed = length(gradient("cx"), gradient("cy"))
+    return {"centroid_velocity_mag centroid_velocity_mag": f"{speed} * {fps}D * scale"}
 
 
-def base_features(fps: float = DEFAULT_FPS) -> dict[str, Column]:
-    """All modules every pose version has."""
-    return (
-        point_mask()
-        | pairwise_distances()
-        | angles()
-        | angular_velocity(fps)
-        | point_speeds(fps)
-        | point_velocity_dirs()
-        | centroid_velocity_dir()
-        | centroid_velocity_mag(fps)
-    )
+# modules every pose version has
+MODULES: dict[str, Callable[[float], Features]] = {
+    "point_mask": lambda fps: point_mask(),
+    "pairwise_distances": lambda fps: pairwise_distances(),
+    "angles": lambda fps: angles(),
+    "angular_velocity": angular_velocity,
+    "point_speeds": point_speeds,
+    "point_velocity_dirs": lambda fps: point_velocity_dirs(),
+    "centroid_velocity_dir": lambda fps: centroid_velocity_dir(),
+    "centroid_velocity_mag": centroid_velocity_mag,
+}
+
+
+def base_features(fps: float = DEFAULT_FPS, modules: Sequence[str] | None = None) -> Features:
+    """The expressions of all (or the named) modules."""
+    out: Features = {}
+    for name, build in MODULES.items():
+        if modules is None or name in modules:
+            out |= build(fps)
+    return out
+
+
+def with_features(df: DataFrame, features: Mapping[str, str]) -> DataFrame:
+    """Add feature columns."""
+    return df.selectExpr("*", *[f"{e} AS `{n}`" for n, e in features.items()])
 
 
-def select_features(prepared: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Keys, frame and the feature columns."""
-    return prepared.select(*ANIMAL, "frame", *[c.alias(n) for n, c in columns.items()])
+def select_features(df: DataFrame, features: Mapping[str, str]) -> DataFrame:
+    """Keys, frame and the feature columns only."""
+    return df.selectExpr(*ANIMAL, "frame", *[f"{e} AS `{n}`" for n, e in features.items()])

@@ -17,7 +17,6 @@ from ethospark.operators.matrix import (
 )
 from ethospark.operators.pose import ANIMAL, video_lengths
 from ethospark.operators.window_matrix import window_matrix
-from ethospark.operators.windows import quoted
 from ethospark.skeleton import DEFAULT_FPS
 
 FRAME = [*ANIMAL, "frame"]
@@ -43,7 +42,7 @@ def per_frame_table(
     ``project.capability``); modules that need more are not planned at all.
     """
     rows = base_features.prepare(pose, scales, version)
-    columns = base_features.base_features(fps)
+    columns = base_features.base_features(fps, modules)
     allowed = set(available_modules(version, object_names, lixit_points))
     if modules is not None:
         allowed &= set(modules)
@@ -65,14 +64,14 @@ def per_frame_table(
     with_social = bool(allowed & set(SOCIAL_MODULES)) and settings.get("social", True)
     # the social step regroups rows by frame, so everything else is computed before it and
     # carried along under its final name
-    done = rows.select("*", *[c.alias(n) for n, c in own.items()])
+    done = base_features.with_features(rows, own)
     names = list(own)
     if with_social:
         done = social_features.nearest_animals(done)
         social = {n: c for n, c in social_features.social_features().items() if n.split(" ", 1)[0] in allowed}
-        done = done.select("*", *[c.alias(n) for n, c in social.items()])
+        done = base_features.with_features(done, social)
         names += list(social)
-    table = done.select(*FRAME, "present", *map(quoted, names))
+    table = done.selectExpr(*FRAME, "present", *[f"`{n}`" for n in names])
     if contours is not None and allowed & set(SEGMENTATION_MODULES) and settings.get("segmentation", True):
         shapes = segmentation_features.with_moments(segmentation_features.shape_rows(contours, scales))
         shapes = segmentation_features.with_outline(shapes)
@@ -83,7 +82,7 @@ def per_frame_table(
             | segmentation_features.shape_descriptors()
         )
         found = {n: c for n, c in found.items() if n.split(" ", 1)[0] in allowed}
-        table = table.join(shapes.select(*FRAME, *[c.alias(n) for n, c in found.items()]), FRAME, "left")
+        table = table.join(base_features.select_features(shapes, found), FRAME, "left")
     return table
 
 

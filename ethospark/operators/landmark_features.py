@@ -8,64 +8,59 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ethospark.functions import polygons
-from ethospark.functions.angles import corner_angle, distance, wrap
-from ethospark.operators.base_features import sine_cosine, x, y
+from ethospark.functions.angles import corner_angle, distance, length, sine_cosine, wrap
+from ethospark.operators.base_features import Features
 from ethospark.operators.frames import lookup_join, nearest_value
-from ethospark.operators.pose import ANIMAL, body_arrays, body_columns, body_count
+from ethospark.operators.pose import ANIMAL, BODY_COUNT, body_arrays, body_columns
 from ethospark.skeleton import BODY, INDEX, KEYPOINTS
 
 NOSE, NECK, TAIL = INDEX["NOSE"], INDEX["BASE_NECK"], INDEX["BASE_TAIL"]
 
 
-def bearing_to(tx: Column, ty: Column) -> Column:
+def bearing_to(tx: str, ty: str) -> str:
     """Turn from the neck→nose direction to a target, in [-180, 180)."""
-    return wrap(corner_angle(x(NOSE), y(NOSE), x(NECK), y(NECK), tx, ty))
+    return wrap(corner_angle(f"x_{NOSE}", f"y_{NOSE}", f"x_{NECK}", f"y_{NECK}", tx, ty))
 
 
 # --- arena ----------------------------------------------------------------------------------
 
 
 def _ordered_points(objects: DataFrame, name: str) -> DataFrame:
-    point = F.struct("instance", "point", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     return objects.filter(F.col("object") == name).groupBy("video").agg(
-        F.array_sort(F.collect_list(point)).alias("points")
+        F.expr("array_sort(collect_list(struct(instance, point, double(x) AS x, double(y) AS y))) AS points")
     )
 
 
 def clockwise_corners(objects: DataFrame) -> DataFrame:
     """Per video: corners ordered by angle about their mean; the first input corner stays first."""
-    rows = _ordered_points(objects, "corners")
-    mean = lambda axis: F.aggregate("points", F.lit(0.0), lambda s, p: s + p[axis]) / F.size("points")
-    rows = rows.withColumns({"center_x": mean("x"), "center_y": mean("y")})
-    around = F.array_sort(
-        F.transform(
-            "points",
-            lambda p, i: F.struct(
-                F.atan2(p["x"] - F.col("center_x"), p["y"] - F.col("center_y")).alias("a"),
-                i.alias("i"), p["x"].alias("x"), p["y"].alias("y"),
-            ),
-        )
+    mean = "aggregate(points, 0D, (s, p) -> s + p.{0}) / size(points) AS center_{0}"
+    around = """array_sort(transform(points, (p, i) -> named_struct(
+        'a', atan2(p.x - center_x, p.y - center_y), 'i', i, 'x', p.x, 'y', p.y))) AS s"""
+    first = "int(array_position(transform(s, c -> c.i), 0)) AS first"
+    turned = """transform(concat(slice(s, first, size(s)), slice(s, 1, first - 1)),
+        c -> named_struct('x', c.x, 'y', c.y)) AS corners"""
+    return (
+        _ordered_points(objects, "corners")
+        .selectExpr("video", "points", mean.format("x"), mean.format("y"))
+        .selectExpr("video", "center_x", "center_y", around)
+        .selectExpr("*", first)
+        .selectExpr("video", "center_x", "center_y", turned)
     )
-    rows = rows.withColumn("_s", around)
-    first = F.array_position(F.transform("_s", lambda c: c["i"]), F.lit(0)).cast("int")
-    turned = F.concat(F.slice("_s", first, F.size("_s")), F.slice("_s", F.lit(1), first - 1))
-    corners = F.transform(turned, lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y")))
-    return rows.select("video", "center_x", "center_y", corners.alias("corners"))
 
 
 def average_wall_length(objects: DataFrame, scales: DataFrame | None = None) -> DataFrame:
     """Mean side of the arena per video, in cm where a scale is known."""
     rows = clockwise_corners(objects)
-    mean = polygons.perimeter(F.col("corners")) / F.size("corners")
+    mean = f"{polygons.perimeter('corners')} / size(corners)"
     if scales is None:
-        return rows.select("video", mean.alias("avg_wall_length"))
-    known = scales.select("video", F.col("cm_per_pixel").alias("_s"))
-    return rows.join(known, "video", "left").select(
-        "video", (mean * F.coalesce("_s", F.lit(1.0))).alias("avg_wall_length")
+        return rows.selectExpr("video", f"{mean} AS avg_wall_length")
+    known = scales.selectExpr("video", "cm_per_pixel AS _s")
+    return rows.join(known, "video", "left").selectExpr(
+        "video", f"{mean} * coalesce(_s, 1D) AS avg_wall_length"
     )
 
 
@@ -87,64 +82,56 @@ def _hull_to_points(count: int):
 
 def with_corners(prepared: DataFrame, objects: DataFrame) -> DataFrame:
     """Add the corner columns the modules below read (``corner`` struct, NULL if absent)."""
-    arena = clockwise_corners(objects)
-    rows = lookup_join(prepared, arena, ["video"])
-    at = lambda i, axis: F.get("corners", F.lit(i))[axis]
-    seen = F.col("present") & (body_count() >= 3) & F.col("corners").isNotNull()
-    targets = [at(i, a) for a in "xy" for i in range(4)]
-    targets = [*targets[:4], F.col("center_x"), *targets[4:], F.col("center_y")]
-    rows = rows.withColumn("_d", _hull_to_points(5)(*body_columns(), *targets))
-    nearest = F.array_min(F.slice("_d", 1, 4))
-    which = (F.array_position(F.slice("_d", 1, 4), nearest) - 1).cast("int")
-    walls = polygons.edges(F.col("corners"))
-    signed = polygons.signed_distance(F.col("cx"), F.col("cy"), walls)
+    rows = lookup_join(prepared, clockwise_corners(objects), ["video"])
+    targets = [f"corners[{i}].x" for i in range(4)] + ["center_x"]
+    targets += [f"corners[{i}].y" for i in range(4)] + ["center_y"]
+    rows = rows.withColumn("_d", _hull_to_points(5)(*body_columns(), *map(F.expr, targets)))
 
     # wall i joins corner i and the corner before it; the raw cross products are rescaled so that
     # the smallest equals the distance to the outline
-    def raw(i: int) -> Column:
-        px, py, qx, qy = at(i, "x"), at(i, "y"), at((i + 3) % 4, "x"), at((i + 3) % 4, "y")
-        return F.abs((F.col("cx") - px) * (qy - py) - (F.col("cy") - py) * (qx - px))
-
-    rows = rows.withColumns({"_near": nearest, "_which": which, "_signed": signed})
-    rows = rows.withColumn("_raw", F.array(*[raw(i) for i in range(4)]))
-    ratio = F.col("_signed") / F.array_min("_raw")
-    corner = F.struct(
-        F.col("_which").alias("id"),
-        F.col("_near").alias("distance"),
-        F.get("_d", F.lit(4)).alias("center_distance"),
-        F.col("_signed").alias("wall"),
-        F.get("corners", F.col("_which"))["x"].alias("x"),
-        F.get("corners", F.col("_which"))["y"].alias("y"),
-        F.transform("_raw", lambda w: F.abs(w * ratio)).alias("walls"),
-    )
-    return rows.withColumn("corner", F.when(seen, corner)).drop(
-        "_d", "_near", "_which", "_signed", "_raw"
+    def raw(i: int) -> str:
+        p, q = f"corners[{i}]", f"corners[{(i + 3) % 4}]"
+        return f"abs((cx - {p}.x) * ({q}.y - {p}.y) - (cy - {p}.y) * ({q}.x - {p}.x))"
+
+    signed = polygons.signed_distance("cx", "cy", "_walls")
+    return (
+        rows.selectExpr(
+            "*", "array_min(slice(_d, 1, 4)) AS _near", f"{polygons.edges('corners')} AS _walls",
+            f"array({', '.join(raw(i) for i in range(4))}) AS _raw",
+        )
+        .selectExpr("*", "int(array_position(slice(_d, 1, 4), _near)) - 1 AS _which", f"{signed} AS _signed")
+        .selectExpr(
+            "*",
+            f"""CASE WHEN present AND {BODY_COUNT} >= 3 AND corners IS NOT NULL THEN named_struct(
+                'id', _which, 'distance', _near, 'center_distance', _d[4], 'wall', _signed,
+                'x', corners[_which].x, 'y', corners[_which].y,
+                'walls', transform(_raw, w -> abs(w * (_signed / array_min(_raw))))) END AS corner""",
+        )
+        .drop("_d", "_near", "_walls", "_raw", "_which", "_signed")
     )
 
 
-def corner_distances() -> dict[str, Column]:
+def corner_distances() -> Features:
     return {
-        "corner_distances distance to corner": F.col("corner.distance") * F.col("scale"),
-        "corner_distances distance to center": F.col("corner.center_distance") * F.col("scale"),
-        "corner_distances distance to wall": F.col("corner.wall") * F.col("scale"),
+        "corner_distances distance to corner": "corner.distance * scale",
+        "corner_distances distance to center": "corner.center_distance * scale",
+        "corner_distances distance to wall": "corner.wall * scale",
     }
 
 
-def corner_bearings() -> dict[str, Column]:
-    seen = F.col("corner").isNotNull()
-    to_corner = F.when(seen, bearing_to(F.col("corner.x"), F.col("corner.y")))
-    to_center = F.when(seen, bearing_to(F.col("center_x"), F.col("center_y")))
+def corner_bearings() -> Features:
+    to_corner = bearing_to("corner.x", "corner.y")
+    to_center = f"CASE WHEN corner IS NOT NULL THEN {bearing_to('center_x', 'center_y')} END"
     return sine_cosine("corner_bearings bearing to corner", to_corner) | sine_cosine(
         "corner_bearings bearing to center", to_center
     )
 
 
-def corner_side_columns() -> dict[str, Column]:
+def corner_side_columns() -> Features:
     """Closest corner (-1 for none) and the distance to each wall."""
-    out = {"closest_corners": F.coalesce(F.col("corner.id"), F.lit(-1))}
-    for i in range(4):
-        out[f"wall_{i}"] = F.get(F.col("corner.walls"), F.lit(i)) * F.col("scale")
-    return out
+    return {"closest_corners": "coalesce(corner.id, -1)"} | {
+        f"wall_{i}": f"corner.walls[{i}] * scale" for i in range(4)
+    }
 
 
 # --- lixit (water spout) ----------------------------------------------------------------------
@@ -174,47 +161,41 @@ def with_lixit(prepared: DataFrame, objects: DataFrame) -> DataFrame:
     the first lixit if the animal never has one.
     """
     rows = lookup_join(prepared, lixits(objects), ["video"])
-    away = F.transform("lixits", lambda s: distance(F.col("cx"), F.col("cy"), s["tip_x"], s["tip_y"]))
-    known = F.col("present") & F.col("cx").isNotNull()
-    choice = (F.array_position("_away", F.array_min("_away")) - 1).cast("int")
-    rows = rows.withColumn("_away", F.when(known, away)).withColumn("lixit_choice", choice)
-    filled = nearest_value(rows, ANIMAL, "lixit_choice")
-    chosen = F.when(F.col("lixits").isNotNull(), F.coalesce("lixit_choice_filled", F.lit(0)))
+    away = f"transform(lixits, s -> {distance('cx', 'cy', 's.tip_x', 's.tip_y')})"
+    rows = rows.selectExpr("*", f"CASE WHEN present AND cx IS NOT NULL THEN {away} END AS _away")
+    rows = rows.selectExpr("*", "int(array_position(_away, array_min(_away))) - 1 AS lixit_choice")
     return (
-        filled.withColumn("lixit_id", chosen)
-        .withColumn("lixit", F.get("lixits", F.col("lixit_id")))
+        nearest_value(rows, ANIMAL, "lixit_choice")
+        .selectExpr("*", "IF(lixits IS NOT NULL, coalesce(lixit_choice_filled, 0), NULL) AS lixit_id")
+        .selectExpr("*", "get(lixits, lixit_id) AS lixit")
         .drop("_away", "lixit_choice", "lixit_choice_filled", "lixits")
     )
 
 
-def lixit_distances() -> dict[str, Column]:
-    tx, ty = F.col("lixit.tip_x"), F.col("lixit.tip_y")
+def lixit_distances() -> Features:
     return {
-        f"lixit_distances distance to lixit {n}": distance(x(k), y(k), tx, ty) * F.col("scale")
+        f"lixit_distances distance to lixit {n}":
+        distance(f"x_{k}", f"y_{k}", "lixit.tip_x", "lixit.tip_y") + " * scale"
         for k, n in enumerate(KEYPOINTS)
     }
 
 
-def lixit_bearings() -> dict[str, Column]:
-    return sine_cosine(
-        "lixit_bearings bearing to lixit", bearing_to(F.col("lixit.tip_x"), F.col("lixit.tip_y"))
-    )
+def lixit_bearings() -> Features:
+    return sine_cosine("lixit_bearings bearing to lixit", bearing_to("lixit.tip_x", "lixit.tip_y"))
 
 
-def mouse_lixit_angle() -> dict[str, Column]:
+def mouse_lixit_angle() -> Features:
     """Cosines between the lixit's axis and the animal's front and back halves."""
-    lx = F.col("lixit.tip_x") - F.col("lixit.side_x")
-    ly = F.col("lixit.tip_y") - F.col("lixit.side_y")
+    lx, ly = "(lixit.tip_x - lixit.side_x)", "(lixit.tip_y - lixit.side_y)"
 
-    def cosine(ax: Column, ay: Column) -> Column:
-        value = (ax * lx + ay * ly) / (F.hypot(ax, ay) * F.hypot(lx, ly))
-        return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(-1.0)), F.lit(1.0)))
+    def cosine(ax: str, ay: str) -> str:
+        value = f"(({ax}) * {lx} + ({ay}) * {ly}) / ({length(ax, ay)} * {length(lx, ly)})"
+        # least and greatest skip NULL, so a missing point needs its own branch
+        return f"CASE WHEN present AND {value} IS NOT NULL THEN least(greatest({value}, -1D), 1D) END"
 
-    cx = F.when(F.col("present"), F.col("cx"))
-    cy = F.when(F.col("present"), F.col("cy"))
     return {
-        "mouse_lixit_angle centroid - nose": cosine(x(NOSE) - cx, y(NOSE) - cy),
-        "mouse_lixit_angle base-tail - centroid": cosine(cx - x(TAIL), cy - y(TAIL)),
+        "mouse_lixit_angle centroid - nose": cosine(f"x_{NOSE} - cx", f"y_{NOSE} - cy"),
+        "mouse_lixit_angle base-tail - centroid": cosine(f"cx - x_{TAIL}", f"cy - y_{TAIL}"),
     }
 
 
@@ -223,16 +204,16 @@ def mouse_lixit_angle() -> dict[str, Column]:
 
 def with_hopper(prepared: DataFrame, objects: DataFrame) -> DataFrame:
     """Add ``hopper``: the food hopper's edges."""
-    outline = _ordered_points(objects, "food_hopper").select(
-        "video", polygons.edges(F.col("points")).alias("hopper")
+    outline = _ordered_points(objects, "food_hopper").selectExpr(
+        "video", f"{polygons.edges('points')} AS hopper"
     )
     return lookup_join(prepared, outline, ["video"])
 
 
-def food_hopper() -> dict[str, Column]:
+def food_hopper() -> Features:
     """Signed distance of each body point to the hopper outline, positive inside."""
     return {
-        f"food_hopper food hopper {n}": polygons.signed_distance(x(INDEX[n]), y(INDEX[n]), F.col("hopper"))
-        * F.col("scale")
+        f"food_hopper food hopper {n}":
+        f"({polygons.signed_distance(f'x_{INDEX[n]}', f'y_{INDEX[n]}', 'hopper')}) * scale"
         for n in BODY
     }

@@ -44,35 +44,30 @@ def widen(poses: DataFrame, keep_unsure: bool = False) -> DataFrame:
     Points that do not count become NULL. ``keep_unsure`` (pose versions 2 and 3) keeps their
     coordinates and only clears ``ok``.
     """
-    columns: dict[str, Column] = {}
+    columns = []
     for k in POINTS:
-        p = F.get("keypoints", F.lit(k))
-        sure = F.coalesce(p["conf"] > MIN_CONFIDENCE, F.lit(False))
-        for axis in ("x", "y"):
-            value = F.nanvl(p[axis], F.lit(None).cast("double"))
-            columns[f"{axis}_{k}"] = value if keep_unsure else F.when(sure, value)
-        columns[f"ok_{k}"] = sure
-    return poses.withColumns(columns).drop("keypoints")
+        sure = f"coalesce(keypoints[{k}].conf > {MIN_CONFIDENCE}D, FALSE)"
+        for axis in "xy":
+            value = f"nanvl(keypoints[{k}].{axis}, CAST(NULL AS DOUBLE))"
+            columns.append(f"{value if keep_unsure else f'IF({sure}, {value}, NULL)'} AS {axis}_{k}")
+        columns.append(f"{sure} AS ok_{k}")
+    return poses.selectExpr("*", *columns).drop("keypoints")
 
 
-def body_count() -> Column:
-    return sum((F.col(f"ok_{k}").cast("int") for k in BODY_POINTS), F.lit(0))
+BODY_COUNT = " + ".join(f"int(ok_{k})" for k in BODY_POINTS)
 
 
 def with_presence(pose: DataFrame, version: int = 4) -> DataFrame:
     """Add ``present``: three valid body points, or one for pose version 3."""
-    return pose.withColumn("present", body_count() >= (1 if version == 3 else 3))
+    return pose.selectExpr("*", f"{BODY_COUNT} >= {1 if version == 3 else 3} AS present")
 
 
 def keypoint_availability(pose: DataFrame) -> DataFrame:
     """Per video: whether each keypoint is ever valid, and the skeleton layout (12 or 5)."""
-    seen = pose.groupBy("video").agg(*[F.bool_or(f"ok_{k}").alias(f"ok_{k}") for k in POINTS])
     five = {"NOSE", "LEFT_EAR", "RIGHT_EAR", "BASE_TAIL", "TIP_TAIL"}  # the reduced skeleton
-    extra = [F.col(f"ok_{k}") for name, k in INDEX.items() if name not in five]
-    full = extra[0]
-    for column in extra[1:]:
-        full = full | column
-    return seen.withColumn("layout", F.when(full, 12).otherwise(5))
+    extra = " OR ".join(f"ok_{k}" for name, k in INDEX.items() if name not in five)
+    seen = pose.groupBy("video").agg(*[F.expr(f"bool_or(ok_{k}) AS ok_{k}") for k in POINTS])
+    return seen.selectExpr("*", f"IF({extra}, 12, 5) AS layout")
 
 
 def with_bearing(pose: DataFrame) -> DataFrame:
@@ -80,16 +75,13 @@ def with_bearing(pose: DataFrame) -> DataFrame:
 
     Needs ``present``; NULL on frames without the animal.
     """
-    neck = keypoint_availability(pose).select("video", F.col(f"ok_{INDEX['BASE_NECK']}").alias("_neck"))
-    joined = lookup_join(pose, neck, ["video"])
-
-    def ahead(axis: str) -> Column:
-        front = F.when(F.col("_neck"), F.col(f"{axis}_{INDEX['BASE_NECK']}"))
-        front = front.otherwise(F.col(f"{axis}_{INDEX['NOSE']}"))
-        return front - F.col(f"{axis}_{INDEX['BASE_TAIL']}")
-
-    angle = F.when(F.col("present"), direction(ahead("x"), ahead("y")))
-    return joined.withColumn("bearing", angle).drop("_neck")
+    neck, nose, tail = INDEX["BASE_NECK"], INDEX["NOSE"], INDEX["BASE_TAIL"]
+    has_neck = pose.groupBy("video").agg(F.expr(f"bool_or(ok_{neck}) AS _neck"))
+    ahead = {a: f"(IF(_neck, {a}_{neck}, {a}_{nose}) - {a}_{tail})" for a in "xy"}
+    angle = direction(ahead["x"], ahead["y"])
+    return lookup_join(pose, has_neck, ["video"]).selectExpr(
+        "*", f"CASE WHEN present THEN {angle} END AS bearing"
+    ).drop("_neck")
 
 
 def scaled(pose: DataFrame, scales: DataFrame | None) -> DataFrame:
@@ -104,7 +96,7 @@ def to_cm(pose: DataFrame, scales: DataFrame) -> DataFrame:
     """Coordinates in cm instead of pixels."""
     rows = scaled(pose, scales)
     return rows.withColumns(
-        {f"{a}_{k}": F.col(f"{a}_{k}") * F.col("scale") for a in "xy" for k in POINTS}
+        {f"{a}_{k}": F.expr(f"{a}_{k} * scale") for a in "xy" for k in POINTS}
     ).drop("scale")
 
 
@@ -133,7 +125,7 @@ def body_arrays(batch: Sequence[pd.Series]) -> tuple[np.ndarray, np.ndarray]:
 
 def body_columns() -> list[Column]:
     """Valid body points as UDF arguments (all x, then all y)."""
-    return [F.when(F.col(f"ok_{k}"), F.col(f"{a}_{k}")) for a in "xy" for k in BODY_POINTS]
+    return [F.expr(f"IF(ok_{k}, {a}_{k}, NULL)") for a in "xy" for k in BODY_POINTS]
 
 
 def with_hull(pose: DataFrame) -> DataFrame:
@@ -150,7 +142,7 @@ def with_hull(pose: DataFrame) -> DataFrame:
             "area": area, "cx": cx, "cy": cy,
         })
 
-    return pose.withColumn("hull", F.when(body_count() >= 3, hull(*body_columns())))
+    return pose.withColumn("hull", F.when(F.expr(f"{BODY_COUNT} >= 3"), hull(*body_columns())))
 
 
 def with_centroid(pose: DataFrame) -> DataFrame:
@@ -163,10 +155,9 @@ def with_centroid(pose: DataFrame) -> DataFrame:
         return pd.DataFrame({"cx": cx, "cy": cy})
 
     rows = pose.withColumn("_c", centroid(*body_columns()))
-    enough = body_count() >= 3
-    return rows.withColumns({
-        "cx": F.when(enough, F.col("_c.cx")), "cy": F.when(enough, F.col("_c.cy"))
-    }).drop("_c")
+    return rows.selectExpr(
+        "*", *[f"CASE WHEN {BODY_COUNT} >= 3 THEN _c.{c} END AS {c}" for c in ("cx", "cy")]
+    ).drop("_c")
 
 
 # --- identities ------------------------------------------------------------------------------

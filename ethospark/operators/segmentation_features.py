@@ -8,15 +8,17 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ethospark.functions import polygons
-from ethospark.operators.frames import lookup_join, sliding
+from ethospark.functions.angles import length
+from ethospark.operators.base_features import Features, gradient
+from ethospark.operators.frames import lookup_join, with_neighbours
 from ethospark.operators.pose import ANIMAL, scaled, trim_contours
 from ethospark.skeleton import DEFAULT_FPS
 
-RAW = ["m00", "m10", "m01", "m20", "m11", "m02", "m30", "m21", "m12", "m03"]
+RAW = list(polygons.MOMENT_TERMS)
 # The moments that become features.
 MOMENTS = [
     "m00", "mu20", "mu11", "mu02", "mu30", "mu21", "mu12", "mu03",
@@ -29,70 +31,72 @@ def shape_rows(contours: DataFrame, scales: DataFrame | None = None) -> DataFram
 
     An animal has a handful of contours per frame, so gathering its points is bounded.
     """
-    rows = trim_contours(contours)
-    rows = rows.withColumn("_m", polygons.polygon_moments(F.col("pts")))
-    sign = F.when(F.col("is_external"), 1.0).otherwise(-1.0)
-    shapes = rows.groupBy(*ANIMAL, "frame").agg(
-        *[F.sum(F.col(f"_m.{m}") * sign).alias(m) for m in RAW],
-        F.sum(polygons.perimeter(F.col("pts"))).alias("outline"),
-        F.sum(F.when(~F.col("is_external"), F.col("_m.m00")).otherwise(0.0)).alias("hole_area"),
-        F.sum(F.when(F.col("is_external"), 1).otherwise(-1)).cast("double").alias("euler"),
-        F.flatten(F.collect_list("pts")).alias("points"),
+    rows = trim_contours(contours).selectExpr(
+        *ANIMAL, "frame", "is_external", "pts", "IF(is_external, 1, -1) AS sign",
+        f"{polygons.polygon_moments('pts')} AS m", f"{polygons.perimeter('pts')} AS length",
     )
+    shapes = rows.groupBy(*ANIMAL, "frame").agg(*map(F.expr, [
+        *[f"sum(m.{n} * sign) AS {n}" for n in RAW],
+        "sum(length) AS outline",
+        "sum(IF(is_external, 0D, m.m00)) AS hole_area",
+        "double(sum(sign)) AS euler",
+        "flatten(collect_list(pts)) AS points",
+    ]))
     return scaled(shapes, scales)
 
 
+# Central moments from raw ones, about the centre of mass (gx, gy).
+CENTRAL = {
+    "mu20": "m20 - gx * m10",
+    "mu11": "m11 - gx * m01",
+    "mu02": "m02 - gy * m01",
+    "mu30": "m30 - 3 * gx * m20 + 2 * gx * gx * m10",
+    "mu21": "m21 - 2 * gx * m11 - gy * m20 + 2 * gx * gx * m01",
+    "mu12": "m12 - 2 * gy * m11 - gx * m02 + 2 * gy * gy * m10",
+    "mu03": "m03 - 3 * gy * m02 + 2 * gy * gy * m01",
+}
+
+
+def _order(moment: str) -> int:
+    return int(moment[-1]) + int(moment[-2])
+
+
 def with_moments(shapes: DataFrame) -> DataFrame:
     """Add central (mu) and scale-free (nu) moments next to the raw ones."""
-    xm, ym = F.col("m10") / F.col("m00"), F.col("m01") / F.col("m00")
-    m = {n: F.col(n) for n in RAW}
-    mu = {
-        "mu20": m["m20"] - xm * m["m10"],
-        "mu11": m["m11"] - xm * m["m01"],
-        "mu02": m["m02"] - ym * m["m01"],
-        "mu30": m["m30"] - 3 * xm * m["m20"] + 2 * xm * xm * m["m10"],
-        "mu21": m["m21"] - 2 * xm * m["m11"] - ym * m["m20"] + 2 * xm * xm * m["m01"],
-        "mu12": m["m12"] - 2 * ym * m["m11"] - xm * m["m02"] + 2 * ym * ym * m["m10"],
-        "mu03": m["m03"] - 3 * ym * m["m02"] + 2 * ym * ym * m["m01"],
-    }
-    rows = shapes.withColumns(mu)
-    order = lambda name: int(name[-1]) + int(name[-2])
-    nu = {
-        n.replace("mu", "nu"): F.col(n) / F.pow(F.col("m00"), F.lit(order(n) / 2 + 1)) for n in mu
-    }
-    return rows.withColumns(nu)
+    nu = [f"{n} / pow(m00, {_order(n) / 2 + 1}D) AS {n.replace('mu', 'nu')}" for n in CENTRAL]
+    return (
+        shapes.selectExpr("*", "m10 / m00 AS gx", "m01 / m00 AS gy")
+        .selectExpr("*", *[f"{e} AS {n}" for n, e in CENTRAL.items()])
+        .selectExpr("*", *nu)
+    )
 
 
-def moments() -> dict[str, Column]:
-    """Area moments in cm: a moment of order p+q scales with the (p+q+2)th power."""
-    out = {}
-    for name in MOMENTS:
-        power = int(name[-1]) + int(name[-2]) + 2
-        out[f"moments {name}"] = F.col(name) * F.pow(F.col("scale"), F.lit(float(power)))
-    return out
+def _in_cm(moment: str) -> str:
+    """A moment of order p+q scales with the (p+q+2)th power."""
+    return f"{moment} * pow(scale, {_order(moment) + 2}D)"
 
 
-def hu_moments() -> dict[str, Column]:
+def moments() -> Features:
+    return {f"moments {name}": _in_cm(name) for name in MOMENTS}
+
+
+def hu_moments() -> Features:
     """The seven Hu invariants of the nu moments the features carry; 0 where the area is 0."""
-    nu = {
-        n: F.col(n) * F.pow(F.col("scale"), F.lit(float(int(n[-1]) + int(n[-2]) + 2)))
-        for n in MOMENTS
-        if n.startswith("nu")
-    }
+    nu = {n: f"({_in_cm(n)})" for n in MOMENTS if n.startswith("nu")}
     n20, n11, n02 = nu["nu20"], nu["nu11"], nu["nu02"]
-    a, b = nu["nu30"] + nu["nu12"], nu["nu21"] + nu["nu03"]
-    c, d = nu["nu30"] - 3 * nu["nu12"], 3 * nu["nu21"] - nu["nu03"]
+    a, b = f"({nu['nu30']} + {nu['nu12']})", f"({nu['nu21']} + {nu['nu03']})"
+    c, d = f"({nu['nu30']} - 3 * {nu['nu12']})", f"(3 * {nu['nu21']} - {nu['nu03']})"
+    cubic_a, cubic_b = f"({a} * {a} - 3 * {b} * {b})", f"(3 * {a} * {a} - {b} * {b})"
     hu = [
-        n20 + n02,
-        (n20 - n02) * (n20 - n02) + 4 * n11 * n11,
-        c * c + d * d,
-        a * a + b * b,
-        c * a * (a * a - 3 * b * b) + d * b * (3 * a * a - b * b),
-        (n20 - n02) * (a * a - b * b) + 4 * n11 * a * b,
-        d * a * (a * a - 3 * b * b) - c * b * (3 * a * a - b * b),
+        f"{n20} + {n02}",
+        f"({n20} - {n02}) * ({n20} - {n02}) + 4 * {n11} * {n11}",
+        f"{c} * {c} + {d} * {d}",
+        f"{a} * {a} + {b} * {b}",
+        f"{c} * {a} * {cubic_a} + {d} * {b} * {cubic_b}",
+        f"({n20} - {n02}) * ({a} * {a} - {b} * {b}) + 4 * {n11} * {a} * {b}",
+        f"{d} * {a} * {cubic_a} - {c} * {b} * {cubic_b}",
     ]
-    empty = F.col("m00") == 0
-    return {f"hu_moments hu{i}": F.when(empty, 0.0).otherwise(v) for i, v in enumerate(hu, 1)}
+    return {f"hu_moments hu{i}": f"IF(m00 = 0, 0D, {v})" for i, v in enumerate(hu, 1)}
 
 
 def with_outline(shapes: DataFrame) -> DataFrame:
@@ -111,50 +115,34 @@ def with_outline(shapes: DataFrame) -> DataFrame:
         short, long = polygons.smallest_rectangle(hx, hy)
         return pd.DataFrame({"hull_length": length, "hull_area": area, "short": short, "long": long})
 
-    axis = lambda a: F.transform("points", lambda p: p[a].cast("double"))
-    return shapes.withColumn("_o", outline(axis("x"), axis("y"))).select("*", "_o.*").drop("_o")
+    axis = "transform(points, p -> double(p.{}))"
+    return shapes.withColumn("_o", outline(F.expr(axis.format("x")), F.expr(axis.format("y")))).select("*", "_o.*").drop("_o")
 
 
 def with_centroid_speed(shapes: DataFrame, lengths: DataFrame, fps: float = DEFAULT_FPS) -> DataFrame:
     """Add ``centroid_speed`` in cm per second; needs the neighbour frames (NULL beside gaps)."""
-    rows = lookup_join(shapes, lengths, ["video"]).withColumns({
-        "mass_x": F.col("m10") / F.col("m00") * F.col("scale"),
-        "mass_y": F.col("m01") / F.col("m00") * F.col("scale"),
-    })
-    packed = F.struct("frame", "mass_x", "mass_y")
-
-    def neighbours(spec):
-        prev, following = F.lag(packed).over(spec), F.lead(packed).over(spec)
-        return {
-            "before": F.when(prev["frame"] == F.col("frame") - 1, prev),
-            "after": F.when(following["frame"] == F.col("frame") + 1, following),
-        }
-
-    from ethospark.operators.base_features import gradient
-
-    rows = sliding(rows, ANIMAL, "frame", 1, 1, neighbours)
-    speed = F.hypot(gradient("mass_x"), gradient("mass_y")) * fps
-    return rows.withColumn("centroid_speed", speed).drop("before", "after")
+    rows = lookup_join(shapes, lengths, ["video"]).selectExpr(
+        "*", "m10 / m00 * scale AS mass_x", "m01 / m00 * scale AS mass_y"
+    )
+    rows = with_neighbours(rows, ANIMAL, ["mass_x", "mass_y"])
+    speed = length(gradient("mass_x"), gradient("mass_y"))
+    return rows.selectExpr("*", f"{speed} * {fps}D AS centroid_speed").drop("before", "after")
 
 
-def shape_descriptors() -> dict[str, Column]:
+def shape_descriptors() -> Features:
     """Ellipse, outline and hull descriptors; needs ``with_outline`` and ``with_centroid_speed``."""
-    s = F.col("scale")
-    a = F.col("mu20") / F.col("m00") * s * s
-    b = 2 * F.col("mu11") / F.col("m00") * s * s
-    c = F.col("mu02") / F.col("m00") * s * s
-    root = F.sqrt(b * b + (a - c) * (a - c))
-    half = lambda v: 0.5 * F.sqrt(8 * v)
+    a, b, c = "mu20 / m00", "2 * mu11 / m00", "mu02 / m00"
+    root = f"sqrt(pow({b}, 2) + pow({a} - {c}, 2))"
     values = {
-        "centroid_speed": F.col("centroid_speed"),
-        "ellipse_w": half(a + c - root),
-        "ellipse_l": half(a + c + root),
-        "perimeter": F.col("outline") * s,
-        "elongation": 1 - F.col("short") / F.col("long"),
-        "rectangularity": F.col("m00") / (F.col("short") * F.col("long")),
-        "convexity": F.col("hull_length") / F.col("outline"),
-        "solidity": F.col("m00") / F.col("hull_area"),
-        "euler_number": F.col("euler"),
-        "hole_area_ratio": F.col("hole_area") / F.col("m00"),
+        "centroid_speed": "centroid_speed",
+        "ellipse_w": f"0.5D * sqrt(8 * ({a} + {c} - {root})) * scale",
+        "ellipse_l": f"0.5D * sqrt(8 * ({a} + {c} + {root})) * scale",
+        "perimeter": "outline * scale",
+        "elongation": "1 - short / long",
+        "rectangularity": "m00 / (short * long)",
+        "convexity": "hull_length / outline",
+        "solidity": "m00 / hull_area",
+        "euler_number": "euler",
+        "hole_area_ratio": "hole_area / m00",
     }
     return {f"shape_descriptor {n}": v for n, v in values.items()}

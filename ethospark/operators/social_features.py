@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ethospark.functions import polygons
-from ethospark.functions.angles import corner_angle, distance, wrap
-from ethospark.operators.base_features import sine_cosine
-from ethospark.operators.pose import BODY_POINTS, body_count
+from ethospark.functions.angles import corner_angle, distance, sine_cosine, wrap
+from ethospark.operators.base_features import Features
+from ethospark.operators.frames import listed
+from ethospark.operators.pose import BODY_COUNT, BODY_POINTS
 from ethospark.skeleton import HALF_FIELD_OF_VIEW, INDEX, SOCIAL_KEYPOINTS
 
 NOSE, NECK = INDEX["NOSE"], INDEX["BASE_NECK"]
@@ -58,88 +59,68 @@ def nearest_animals(prepared: DataFrame) -> DataFrame:
     The animal itself needs a hull, nose and neck; others need a hull. The nearest hull wins, the
     lowest identity on ties; ``near_fov`` looks only within the field of view. NULL if nobody.
     """
-    has_hull = body_count() >= 3
-    body = F.array(*[F.when(F.col(f"ok_{k}"), F.col(f"{a}_{k}")) for a in "xy" for k in BODY_POINTS])
-    social = [F.struct(F.col(f"x_{INDEX[n]}").alias("x"), F.col(f"y_{INDEX[n]}").alias("y")) for n in SOCIAL_KEYPOINTS]
+    body = ", ".join(f"IF(ok_{k}, {a}_{k}, NULL)" for a in "xy" for k in BODY_POINTS)
+    social = ", ".join(f"named_struct('x', x_{INDEX[n]}, 'y', y_{INDEX[n]})" for n in SOCIAL_KEYPOINTS)
     rest = [c for c in prepared.columns if c not in ("video", "identity", "frame", "before", "after")]
-    kept = prepared.select(
+    kept = prepared.selectExpr(
         "video", "frame",
-        F.struct(
-            F.col("identity"), has_hull.alias("hull"), F.col("present").alias("present"),
-            F.col("cx"), F.col("cy"), F.array(*social).alias("points"), body.alias("body"),
-            F.struct(*rest).alias("row"),
-        ).alias("animal"),
+        f"""struct(identity, {BODY_COUNT} >= 3 AS hull, present, cx, cy, array({social}) AS points,
+            array({body}) AS body, struct({listed(rest)}) AS row) AS animal""",
     )
     frames = kept.groupBy("video", "frame").agg(
-        F.array_sort(F.collect_list("animal")).alias("all")  # struct order: identity first
+        F.expr("array_sort(collect_list(animal)) AS all")  # struct order: identity first
     )
-    body_of_all = F.flatten(F.transform("all", lambda a: a["body"]))
-    frames = frames.withColumn("apart", _frame_distances()(body_of_all))
-    mine = frames.select("video", "frame", "all", "apart", F.posexplode("all").alias("i", "me"))
-    n = F.size("all")
-
-    def other(o: Column, j: Column) -> Column:
-        me = F.col("me")
-        r = me["row"]
-        angle = wrap(
-            corner_angle(r[f"x_{NOSE}"], r[f"y_{NOSE}"], r[f"x_{NECK}"], r[f"y_{NECK}"], o["cx"], o["cy"])
-        )
-        return F.struct(
-            F.get(F.col("apart"), F.col("i") * n + j).alias("distance"), o["identity"].alias("identity"),
-            angle.alias("angle"), o["points"].alias("points"), o["hull"].alias("hull"),
-        )
-
-    others = F.filter(
-        F.transform("all", other), lambda o: o["hull"] & (o["identity"] != F.col("me")["identity"])
-    )
-    r = F.col("me")["row"]
-    sees = F.col("me")["present"] & F.col("me")["hull"] & r[f"ok_{NOSE}"] & r[f"ok_{NECK}"]
-    in_view = F.filter("_others", lambda o: F.abs(o["angle"]) <= HALF_FIELD_OF_VIEW)
+    bodies = F.expr("flatten(transform(all, a -> a.body))")
+    frames = frames.withColumn("apart", _frame_distances()(bodies))
+    mine = frames.selectExpr("video", "frame", "all", "apart", "posexplode(all) AS (i, me)")
+    angle = wrap(corner_angle(
+        f"me.row.x_{NOSE}", f"me.row.y_{NOSE}", f"me.row.x_{NECK}", f"me.row.y_{NECK}", "o.cx", "o.cy"
+    ))
+    other = f"""named_struct('distance', apart[i * size(all) + j], 'identity', o.identity,
+        'angle', {angle}, 'points', o.points, 'hull', o.hull)"""
+    sees = f"me.present AND me.hull AND me.row.ok_{NOSE} AND me.row.ok_{NECK}"
     # structs compare field by field: distance, then identity
-    return (
-        mine.withColumn("_others", F.when(sees, others))
-        .select(
-            "video", F.col("me.identity").alias("identity"), "frame", "me.row.*",
-            F.array_min("_others").alias("near"), F.array_min(in_view).alias("near_fov"),
-        )
+    return mine.selectExpr(
+        "video", "frame", "me",
+        f"""CASE WHEN {sees} THEN filter(transform(all, (o, j) -> {other}),
+            o -> o.hull AND o.identity != me.identity) END AS others""",
+    ).selectExpr(
+        "video", "me.identity AS identity", "frame", "me.row.*", "array_min(others) AS near",
+        f"array_min(filter(others, o -> abs(o.angle) <= {HALF_FIELD_OF_VIEW}D)) AS near_fov",
     )
 
 
-def closest_ids() -> dict[str, Column]:
+def closest_ids() -> Features:
     """Side columns: identity of the nearest animal, overall and in view; -1 for none."""
     return {
-        "closest_identities": F.coalesce(F.col("near.identity"), F.lit(-1)),
-        "closest_fov_identities": F.coalesce(F.col("near_fov.identity"), F.lit(-1)),
+        "closest_identities": "coalesce(near.identity, -1)",
+        "closest_fov_identities": "coalesce(near_fov.identity, -1)",
     }
 
 
-def closest_distances(scale: bool = False) -> dict[str, Column]:
+def closest_distances(scale: bool = False) -> Features:
     """Hull distances, in pixels unless ``scale`` is set."""
-    unit = F.col("scale") if scale else F.lit(1.0)
+    unit = "scale" if scale else "1D"
     return {
-        "closest_distances closest social distance": F.col("near.distance") * unit,
-        "closest_fov_distances closest social distance in FoV": F.col("near_fov.distance") * unit,
+        "closest_distances closest social distance": f"near.distance * {unit}",
+        "closest_fov_distances closest social distance in FoV": f"near_fov.distance * {unit}",
     }
 
 
-def closest_fov_angles() -> dict[str, Column]:
-    return sine_cosine("closest_fov_angles angle of closest social distance in FoV", F.col("near_fov.angle"))
+def closest_fov_angles() -> Features:
+    return sine_cosine("closest_fov_angles angle of closest social distance in FoV", "near_fov.angle")
 
 
-def social_pairwise() -> dict[str, Column]:
+def social_pairwise() -> Features:
     """Distances between own and the nearest animal's nose, neck and tail base."""
-    out: dict[str, Column] = {}
-    for module, near in (("social_pairwise_distances", "near"), ("social_pairwise_fov_distances", "near_fov")):
-        for a in SOCIAL_KEYPOINTS:
-            for j, b in enumerate(SOCIAL_KEYPOINTS):
-                p = F.get(F.col(f"{near}.points"), F.lit(j))
-                out[f"{module} social dist. {a}-{b}"] = distance(
-                    F.col(f"x_{INDEX[a]}"), F.col(f"y_{INDEX[a]}"), p["x"], p["y"]
-                ) * F.col("scale")
-    return out
-
-
-def social_features() -> dict[str, Column]:
-    return closest_distances() | closest_fov_angles() | social_pairwise()
+    return {
+        f"{module} social dist. {a}-{b}":
+        distance(f"x_{INDEX[a]}", f"y_{INDEX[a]}", f"{near}.points[{j}].x", f"{near}.points[{j}].y") + " * scale"
+        for module, near in (("social_pairwise_distances", "near"), ("social_pairwise_fov_distances", "near_fov"))
+        for a in SOCIAL_KEYPOINTS
+        for j, b in enumerate(SOCIAL_KEYPOINTS)
+    }
 
 
+def social_features() -> Features:
+    return closest_distances() | closest_fov_angles() | social_pairwise()

@@ -14,7 +14,9 @@ from ethospark.skeleton import ANGLES, BODY, INDEX, KEYPOINTS, SOCIAL_KEYPOINTS
 
 
 def _select(df, columns, digits=6):
-    return df.select(*ANIMAL, "frame", *[rounded(c, digits).alias(n) for n, c in columns.items()])
+    return df.selectExpr(
+        *ANIMAL, "frame", *[f"round(double({e}), {digits}) + 0D AS `{n}`" for n, e in columns.items()]
+    )
 
 
 def _sql(columns: dict[str, str], digits: int = 6) -> str:
@@ -380,7 +382,7 @@ def _lixit(name: str, sql_columns: dict[str, str], make) -> None:
         return _select(LM.with_lixit(_prepared(v), v.static_object()), make())
 
 
-_lixit("features_lixit_choice", {"closest_lixit": "l.id"}, lambda: {"closest_lixit": F.col("lixit_id")})
+_lixit("features_lixit_choice", {"closest_lixit": "l.id"}, lambda: {"closest_lixit": "lixit_id"})
 _lixit(
     "features_lixit_distances",
     {
@@ -506,8 +508,8 @@ def _relative(name: str) -> int:
 )
 def features_moments(v):
     rows = SG.with_moments(_shapes(v))
-    size = lambda n: F.pow(F.col("m00"), F.lit(_relative(n.split()[-1]) / 2))
-    return _select(rows, {n: c / size(n) for n, c in SG.moments().items()})
+    size = lambda n: f"pow(m00, {_relative(n.split()[-1]) / 2}D)"
+    return _select(rows, {n: f"({e}) / {size(n)}" for n, e in SG.moments().items()})
 
 
 _HU = {

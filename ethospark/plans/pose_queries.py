@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ethospark.functions.polygons import perimeter
 from ethospark.operators import frames as FR
 from ethospark.operators import pose as P
 from ethospark.plans.registry import query, rounded
@@ -249,15 +250,11 @@ def pose_bearing(v):
     LEFT JOIN v_centroid USING (video, identity, frame)""",
 )
 def pose_hull(v):
-    h = F.col("hull")
-    points = F.zip_with(h["hx"], h["hy"], lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-    from ethospark.functions.polygons import perimeter
-
-    return P.with_hull(v.pose()).select(
-        *ANIMAL, "frame", F.size(h["hx"]).alias("vertices"),
-        rounded(F.when(h.isNotNull(), perimeter(points))).alias("outline"),
-        rounded(h["area"]).alias("area"),
-    ).withColumn("vertices", F.when(F.col("area").isNotNull(), F.col("vertices")))
+    points = "zip_with(hull.hx, hull.hy, (x, y) -> named_struct('x', x, 'y', y))"
+    return P.with_hull(v.pose()).selectExpr(
+        *ANIMAL, "frame", "IF(hull IS NULL, NULL, size(hull.hx)) AS vertices",
+        f"IF(hull IS NULL, NULL, round({perimeter(points)}, 6)) AS outline", "round(hull.area, 6) AS area",
+    )
 
 
 @query(
