@@ -10,15 +10,18 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ethospark.operators.frames import (
     frames_of,
     position_in_key,
+    running_before,
     runs,
     runs_of_intervals,
 )
+from ethospark.session import ensure_checkpoint_dir
 
 NONE, NOT_BEHAVIOR, BEHAVIOR = -1, 0, 1
 
@@ -76,7 +79,7 @@ def delete(bouts: DataFrame, keys: Sequence[str], flag: Column) -> DataFrame:
 
     Each bout's new owner depends on its two neighbours only, which ``encode`` has already put
     on the row. Two flagged bouts must not touch (stages flag a single state, so theirs never
-    do); touching ones raise.
+    do); touching ones raise, see ``delete_touching``.
     """
     rows = runs_of_intervals(bouts.withColumn("_gone", flag), keys, ("state", "_gone"))
     checked = rows.withColumn(
@@ -88,20 +91,83 @@ def delete(bouts: DataFrame, keys: Sequence[str], flag: Column) -> DataFrame:
     return _absorb(checked, keys, "_gone")
 
 
+def delete_touching(bouts: DataFrame, keys: Sequence[str], flag: Column) -> DataFrame:
+    """``delete`` for flagged bouts that may touch each other; they go from last to first.
+
+    Single flagged bouts take the closed form first: they never change what a stretch of touching
+    ones does. In a stretch every deletion may use up one kept bout to its right. Matching each
+    flagged bout with a kept one to its right, like brackets, therefore tells how far a stretch can
+    reach; such groups are cut out (with the bout before them) and settled one bout after the other
+    in a task of their own. A group grows with its stretches, not with the sequence.
+    """
+    keys = list(keys)
+    flagged = bouts.withColumn("_gone", flag)
+    rows = runs_of_intervals(flagged, keys, ("state", "_gone"))
+    touches = "coalesce(prev__gone, FALSE) OR coalesce(next__gone, FALSE)"
+    parts = rows.selectExpr("*", f"_gone AND ({touches}) AS _stretch")
+    single = _pieces(parts, keys, "_gone AND NOT _stretch", ["_stretch"])
+    # pieces of equal state merge again; a stretch bout keeps its mark and stays apart
+    left = runs_of_intervals(single, keys, ("state", "_stretch")).select(
+        *keys, "start", "end", "state", "_stretch"
+    )
+    ensure_checkpoint_dir(bouts.sparkSession)
+    left = left.checkpoint()  # read several times below
+    ranked = position_in_key(left, keys, "start", "_i")
+    depth = running_before(ranked, keys, "_i", "IF(_stretch, 1, -1)", "sum", "_depth")
+    depth = depth.selectExpr("*", "coalesce(_depth, 0) + IF(_stretch, 1, -1) AS _sum")
+    lowest = running_before(depth, keys, "_i", "_sum", "min", "_lowest")
+    # an unmatched kept bout takes the sum to a new low
+    matched = lowest.filter("_stretch OR _sum >= least(0, _lowest)")
+    groups = runs(matched, keys, [], "_i").selectExpr(
+        *[f"`{k}`" for k in keys], "greatest(start - 1, 0) AS start", "end", "start AS _group"
+    )
+    grouped = ranked.join(frames_of(groups, name="_i"), [*keys, "_i"], "left")
+    schema = left.drop("_stretch").schema
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        waiting = pdf.sort_values("start").to_dict("records")
+        done: list[dict] = []  # nearest bout last
+        while waiting:
+            bout = waiting.pop()
+            before = waiting[-1] if waiting else None
+            after = done[-1] if done else None
+            if not bout["_stretch"] or (before is None and after is None):
+                done.append(bout)
+            elif before is None:
+                after["start"] = bout["start"]
+            elif after is None:
+                before["end"] = bout["end"]
+            elif before["state"] == after["state"]:
+                before["end"] = done.pop()["end"]
+            else:
+                before["end"] += (bout["end"] - bout["start"] + 1) // 2
+                after["start"] = before["end"] + 1
+        return pd.DataFrame(done, columns=pdf.columns)[schema.names]
+
+    settled = grouped.filter("_group IS NOT NULL").groupBy(*keys, "_group").applyInPandas(settle, schema)
+    rest = grouped.filter("_group IS NULL").select(*schema.names)
+    return runs_of_intervals(rest.unionByName(settled), keys)
+
+
 def _absorb(bouts: DataFrame, keys: Sequence[str], flag: str) -> DataFrame:
     """Give the frames of flagged bouts (SQL condition) to their neighbours and merge."""
+    return runs_of_intervals(_pieces(bouts, keys, flag), keys)
+
+
+def _pieces(bouts: DataFrame, keys: Sequence[str], flag: str, carry: Sequence[str] = ()) -> DataFrame:
+    """Bouts, with each flagged one under its neighbours' states; not merged yet."""
     part = "named_struct('start', {}, 'end', {}, 'state', {})".format
     middle = "start + CAST(floor(duration / 2) AS INT)"
     kept = part("start", "end", "state")
     whole = part("start", "end", "coalesce(prev_state, next_state, state)")
     halves = f"{part('start', f'{middle} - 1', 'prev_state')}, {part(middle, 'end', 'next_state')}"
-    key = [f"`{k}`" for k in keys]
+    names = [f"`{k}`" for k in [*keys, *carry]]
     pieces = bouts.selectExpr(
-        *key,
+        *names,
         f"""explode(CASE WHEN NOT ({flag}) THEN array({kept})
             WHEN prev_state <> next_state THEN array({halves}) ELSE array({whole}) END) AS p""",
-    ).selectExpr(*key, "p.*")
-    return runs_of_intervals(pieces.filter("start <= end"), keys)
+    )
+    return pieces.selectExpr(*names, "p.*").filter("start <= end")
 
 
 # --- clean-up stages -------------------------------------------------------------------

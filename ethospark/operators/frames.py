@@ -171,7 +171,6 @@ def runs_of_intervals(
     keys, state = list(keys), list(state)
     key = listed(keys)
     here = f"OVER (PARTITION BY {key}, _piece ORDER BY start)"
-    across = f"OVER (PARTITION BY {key} ORDER BY start)"
 
     def begins(over: str) -> str:
         equal = [f"lag(end) {over} + 1 = start", *[f"lag(`{s}`) {over} <=> `{s}`" for s in state]]
@@ -202,34 +201,35 @@ def runs_of_intervals(
         .groupBy(*keys, "_piece", "_run")
         .agg(F.expr("min(start) AS start"), F.expr("max(end) AS end"), *firsts)
         .selectExpr(
-            *plain, "start", "end",
+            *plain, "_piece", "start", "end",
             f"row_number() {here} = 1 AND _piece > 0 AS _first",
             f"lead(start) {here} IS NULL AND {piece_sql('end + 1', piece)} > _piece AS _last",
             *touching(here, "", "", False),
         )
     )
-    # Only the first and last run of a piece can continue in another piece; frames start at 0,
-    # so nothing precedes piece 0. Sequences of one piece have no such runs at all, and AQE
-    # then drops the second half of the plan. Neighbours across a cut come from the adjacent edge
-    # run; all others are known locally.
-    inner = local.filter("NOT _first AND NOT _last")
-    keep = [c for s in state for c in (f"`prev_{s}`", f"`next_{s}`")]
+    # Only the first and last run of a piece can continue in another piece (frames start at 0, so
+    # nothing precedes piece 0). Those edge runs, at most two per piece, meet in one group per key
+    # and are joined there; all others stay in a group of their piece, where they are final.
+    side = "CASE WHEN _first OR _last THEN -1 ELSE _piece END AS _side"
+    across = f"OVER (PARTITION BY {key}, _side ORDER BY start)"
     outer = [
-        F.expr(f"{pick}(`{side}_{s}`, start) AS `{side}_{s}`")
+        F.expr(f"{pick}(`{way}_{s}`, start) AS `{way}_{s}`")
         for s in state
-        for pick, side in (("min_by", "prev"), ("max_by", "next"))
+        for pick, way in (("min_by", "prev"), ("max_by", "next"))
     ]
-    edge = (
-        local.filter("_first OR _last")
-        .selectExpr(*plain, "start", "end", begins(across), *touching(across, "_first", "_last", True))
+    keep = [c for s in state for c in (f"`prev_{s}`", f"`next_{s}`")]
+    return (
+        local.selectExpr("*", side)
+        .selectExpr(
+            *plain, "_side", "start", "end", begins(across), *touching(across, "_first", "_last", True)
+        )
         .selectExpr("*", number(across))
-        .groupBy(*keys, "_run")
+        .groupBy(*keys, "_side", "_run")
         .agg(F.expr("min(start) AS _start"), F.expr("max(end) AS end"), *firsts, *outer)
-        .withColumnRenamed("_start", "start")
-    )
-    out = [*plain[: len(keys)], "start", "end", *plain[len(keys):], *keep]
-    return inner.selectExpr(*out).unionByName(edge.selectExpr(*out)).selectExpr(
-        "*", "end - start + 1 AS duration"
+        .selectExpr(
+            *plain[: len(keys)], "_start AS start", "end", *plain[len(keys):], *keep,
+            "end - _start + 1 AS duration",
+        )
     )
 
 
@@ -248,6 +248,27 @@ def position_in_key(
     return number_frames(df, keys, [order], piece_sql(f"`{order}`", piece), name)
 
 
+def running_before(
+    df: DataFrame, keys: Sequence[str], order: str, value: str, how: str, name: str, piece: int = PIECE
+) -> DataFrame:
+    """Add ``sum``/``min``/``max`` of ``value`` (SQL text) over all earlier rows of the key.
+
+    ``order`` is an integer column; earlier pieces enter as one value each. NULL on first rows.
+    """
+    key = listed(keys)
+    rows = df.selectExpr("*", f"{value} AS _v", f"{piece_sql(f'`{order}`', piece)} AS _piece")
+    earlier = f"OVER (PARTITION BY {key} ORDER BY _piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    pieces = rows.groupBy(*keys, "_piece").agg(F.expr(f"{how}(_v) AS _part")).selectExpr(
+        *[f"`{k}`" for k in keys], "_piece", f"{how}(_part) {earlier} AS _outer"
+    )
+    here = f"""OVER (PARTITION BY {key}, _piece ORDER BY `{order}`
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+    joined = rows.selectExpr("*", f"{how}(_v) {here} AS _inner").join(pieces, [*keys, "_piece"])
+    both = {"sum": "coalesce(_outer + _inner, _outer, _inner)", "min": "least(_outer, _inner)",
+            "max": "greatest(_outer, _inner)"}[how]
+    return joined.selectExpr("*", f"{both} AS `{name}`").drop("_v", "_piece", "_outer", "_inner")
+
+
 def nearest_value(
     df: DataFrame, keys: Sequence[str], value: str, frame: str = "frame", piece: int = PIECE
 ) -> DataFrame:

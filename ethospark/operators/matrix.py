@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ethospark.operators.frames import number_frames
+from ethospark.operators.frames import lookup_join, number_frames
 from ethospark.operators.labels import BEHAVIOR, NONE, multiclass_labels
 from ethospark.operators.windows import LINEAR_OPS, quoted
 from ethospark.skeleton import TRAINING_SEED
@@ -212,6 +212,5 @@ def balance(rows: DataFrame, key: Sequence[str], label: str = "label", seed: int
     ranked = number_frames(
         hashed, [label], ["_hash", *key], "shiftright(_hash, 52)", "_rank"
     )
-    return ranked.join(F.broadcast(limits), label).filter(F.col("_rank") < F.col("_limit")).drop(
-        "_hash", "_rank", "_limit"
-    )
+    kept = lookup_join(ranked, limits, [label], "inner").filter(F.col("_rank") < F.col("_limit"))
+    return kept.drop("_hash", "_rank", "_limit")

@@ -103,6 +103,45 @@ def bouts_delete(v):
     )
 
 
+# frames of a sequence in reverse; each flagged bout is settled with its current neighbours
+_SETTLE = """WITH RECURSIVE flagged AS (
+        SELECT *, duration <= 1 AND (state <> 0 OR "start" % 2 = 0) AS gone,
+               count(*) OVER (PARTITION BY video, identity) AS n FROM v_bout),
+    -- lists over the bouts of a sequence: start and state of those not yet visited stay as they are
+    steps AS (
+        SELECT video, identity, n AS i, CAST([] AS STRUCT(s INT, e INT, st INT)[]) AS done,
+               NULL::INT AS reach
+        FROM flagged WHERE bout_id = 0
+        UNION ALL
+        SELECT t.video, t.identity, t.i - 1,
+               CASE WHEN NOT f.gone OR (f.bout_id = 0 AND len(t.done) = 0)
+                      THEN list_prepend({'s': f."start", 'e': coalesce(t.reach, f."end"), 'st': f.state}, t.done)
+                    WHEN f.bout_id = 0
+                      THEN list_prepend({'s': f."start", 'e': t.done[1].e, 'st': t.done[1].st}, t.done[2:])
+                    WHEN len(t.done) = 0 THEN t.done
+                    WHEN b.state = t.done[1].st THEN t.done[2:]
+                    ELSE list_prepend({'s': b."end" + (coalesce(t.reach, f."end") - f."start" + 1) // 2 + 1,
+                                       'e': t.done[1].e, 'st': t.done[1].st}, t.done[2:]) END,
+               CASE WHEN NOT f.gone OR f.bout_id = 0 THEN NULL
+                    WHEN len(t.done) = 0 THEN coalesce(t.reach, f."end")
+                    WHEN b.state = t.done[1].st THEN t.done[1].e
+                    ELSE b."end" + (coalesce(t.reach, f."end") - f."start" + 1) // 2 END
+        FROM steps t JOIN flagged f ON f.video = t.video AND f.identity = t.identity AND f.bout_id = t.i - 1
+        LEFT JOIN flagged b ON b.video = t.video AND b.identity = t.identity AND b.bout_id = t.i - 2
+        WHERE t.i > 0)
+    SELECT video, identity, u.s AS "start", (u.e - u.s + 1)::INT AS duration, u.st AS state
+    FROM (SELECT video, identity, unnest(done) AS u FROM steps WHERE i = 0)"""
+
+
+@query("bouts_delete_touching", _SETTLE)
+def bouts_delete_touching(v):
+    """Single-frame bouts of any state: many of them touch."""
+    gone = (F.col("duration") <= 1) & ((F.col("state") != 0) | (F.col("start") % 2 == 0))
+    return B.delete_touching(B.encode(v.state(), KEYS), KEYS, gone).select(
+        *KEYS, "start", "duration", "state"
+    )
+
+
 def _stage(name: str, flag: str, stage: B.Stage) -> None:
     @query(
         name, chain_sql([flag]) + " SELECT video, identity, frame, state FROM f0"
