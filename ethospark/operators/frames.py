@@ -122,15 +122,17 @@ def number_frames(
     )
 
 
-def spine(lengths: DataFrame, keys: Sequence[str], count: str = "num_frames") -> DataFrame:
+def spine(
+    lengths: DataFrame, keys: Sequence[str], count: str = "num_frames", piece: int = PIECE
+) -> DataFrame:
     """One row per frame 0..count-1; pieces are exploded first so a long video spreads out."""
     pieces = lengths.filter(f"`{count}` > 0").selectExpr(
-        "*", f"explode(sequence(0L, {piece_sql(f'`{count}` - 1')})) AS _piece"
+        "*", f"explode(sequence(0L, {piece_sql(f'`{count}` - 1', piece)})) AS _piece"
     )
-    last = f"least(CAST(`{count}` - 1 AS BIGINT), (_piece + 1) * {PIECE} - 1)"
+    last = f"least(CAST(`{count}` - 1 AS BIGINT), (_piece + 1) * {piece} - 1)"
     return (
         pieces.repartition(*keys, "_piece")
-        .selectExpr(*[f"`{k}`" for k in keys], f"explode(sequence(_piece * {PIECE}, {last})) AS _f")
+        .selectExpr(*[f"`{k}`" for k in keys], f"explode(sequence(_piece * {piece}, {last})) AS _f")
         .selectExpr(*[f"`{k}`" for k in keys], "CAST(_f AS INT) AS frame")
     )
 
@@ -314,7 +316,7 @@ def nearest_value(
 
 
 def frames_of(
-    intervals: DataFrame, start: str = "start", end: str = "end", name: str = "frame"
+    intervals: DataFrame, start: str = "start", end: str = "end", name: str = "frame", piece: int = PIECE
 ) -> DataFrame:
     """One row per frame of each interval (both ends included); ``start``/``end`` are dropped.
 
@@ -323,11 +325,11 @@ def frames_of(
     others = [c for c in intervals.columns if c not in (start, end, name)]
     cut = intervals.filter(f"`{start}` <= `{end}`").selectExpr(
         *[f"`{c}`" for c in others], f"CAST(`{end}` AS INT) AS _to",
-        f"explode(sequence(CAST(`{start}` AS INT), CAST(`{end}` AS INT), {PIECE})) AS _from",
+        f"explode(sequence(CAST(`{start}` AS INT), CAST(`{end}` AS INT), {piece})) AS _from",
     )
     return cut.selectExpr(
         *[f"`{c}`" for c in others],
-        f"explode(sequence(_from, least(_to, _from + {PIECE - 1}))) AS `{name}`",
+        f"explode(sequence(_from, least(_to, _from + {piece - 1}))) AS `{name}`",
     )
 
 
