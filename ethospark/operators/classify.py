@@ -81,12 +81,12 @@ class Classifier:
 
 
 def _assemble(rows: DataFrame, columns: Sequence[str], learner: str) -> DataFrame:
-    # Spark's trees have no missing-value branch, so gaps are filled for every learner
-    ready = clean(rows, columns, learner).na.fill(0.0, list(columns))
-    # the assembler resolves plain names only
+    # Spark's trees have no missing-value branch, so gaps are filled for every learner; the
+    # assembler resolves plain names only
+    ready = clean(rows, columns, learner)
     short = {c: f"f{i}" for i, c in enumerate(columns)}
-    others = [c for c in rows.columns if c not in short]
-    renamed = ready.select(*map(quoted, others), *[quoted(c).alias(n) for c, n in short.items()])
+    others = [f"`{c}`" for c in rows.columns if c not in short]
+    renamed = ready.selectExpr(*others, *[f"coalesce(`{c}`, 0D) AS {n}" for c, n in short.items()])
     assembler = VectorAssembler(inputCols=list(short.values()), outputCol="features")
     return assembler.transform(renamed)
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ethospark.operators import base_features, landmark_features, segmentation_features, social_features
 from ethospark.operators.matrix import (
@@ -91,7 +90,8 @@ def feature_columns(table: DataFrame) -> list[str]:
 
 
 def window_table(
-    per_frame: DataFrame, k: int, fps: float = DEFAULT_FPS, window: bool = True, fft: bool = True
+    per_frame: DataFrame, k: int, fps: float = DEFAULT_FPS, window: bool = True, fft: bool = True,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Keys, frame and every window feature of size ``k``; point masks have none."""
     names = [c for c in feature_columns(per_frame) if not c.startswith("point_mask ")]
@@ -100,10 +100,16 @@ def window_table(
     options = {} if window else {"ops": ()}
     options |= {} if fft else {"spectral_ops": ()}
     return window_matrix(
-        per_frame, ANIMAL, k, linear, circular if window else {}, "present", fps=fps, **options
+        per_frame, ANIMAL, k, linear, circular if window else {}, "present", fps=fps, carry=carry, **options
     )
 
 
-def training_matrix(per_frame: DataFrame, window: DataFrame) -> DataFrame:
-    """Both tables side by side, for frames with the animal present."""
-    return per_frame.filter(F.col("present")).join(window, FRAME)
+def training_matrix(
+    per_frame: DataFrame, k: int, fps: float = DEFAULT_FPS, window: bool = True, fft: bool = True
+) -> DataFrame:
+    """Per-frame and window features side by side, for frames with the animal present.
+
+    Both come out of the same pass over the per-frame table, without a join.
+    """
+    both = window_table(per_frame, k, fps, window, fft, ["present", *feature_columns(per_frame)])
+    return both.filter("present")

@@ -86,17 +86,21 @@ def _candidates(pairs: DataFrame, thresholds: Sequence[float]) -> DataFrame:
 
 
 def _match_in_task(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Greedy matching of one image at one threshold."""
-    taken: set[int] = set()
-    out = []
-    ordered = pdf.sort_values(["score", "det"], ascending=[False, True], kind="stable")
-    for det, mine in ordered.groupby("det", sort=False):
-        free = mine[~mine["gt"].isin(taken)]
-        if len(free):
-            best = free.sort_values(["similarity", "gt"])["gt"].iloc[-1]
-            taken.add(best)
-            out.append((mine["threshold"].iloc[0], mine["image"].iloc[0], det, best))
-    return pd.DataFrame(out, columns=[*MATCH, "gt"])
+    """Greedy matching of one image at all thresholds.
+
+    With pairs in order of score, detection and preference, a pair is taken iff both sides are free.
+    """
+    ordered = pdf.sort_values(
+        ["threshold", "score", "det", "similarity", "gt"], ascending=[True, False, True, False, False]
+    )
+    used: set[tuple] = set()
+    keep = []
+    for level, det, gt in zip(ordered["threshold"], ordered["det"], ordered["gt"]):
+        free = (level, "d", det) not in used and (level, "g", gt) not in used
+        keep.append(free)
+        if free:
+            used.update(((level, "d", det), (level, "g", gt)))
+    return ordered.loc[keep, [*MATCH, "gt"]]
 
 
 def _match_in_rounds(open_pairs: DataFrame) -> DataFrame:
@@ -131,16 +135,16 @@ def greedy_match(
     """
     near = _candidates(pairs, thresholds)
     plain = near.filter(~F.col("crowd"))
-    sizes = plain.groupBy("threshold", "image").agg(F.count(F.lit(1)).alias("_n"))
-    huge = sizes.filter(F.col("_n") > big).select("threshold", "image")
+    sizes = plain.groupBy("image").agg(F.count(F.lit(1)).alias("_n"))
+    huge = sizes.filter(F.col("_n") > big).select("image")
     columns = ["threshold", "image", "det", "gt", "score", "similarity"]
     schema = plain.select(*MATCH, "gt").schema
     small = plain.select(*columns)
     rounds = None
     if not huge.isEmpty():
-        rounds = _match_in_rounds(small.join(huge, ["threshold", "image"], "left_semi"))
-        small = small.join(huge, ["threshold", "image"], "left_anti")
-    matched = small.groupBy("threshold", "image").applyInPandas(_match_in_task, schema)
+        rounds = _match_in_rounds(small.join(huge, ["image"], "left_semi"))
+        small = small.join(huge, ["image"], "left_anti")
+    matched = small.groupBy("image").applyInPandas(_match_in_task, schema)
     if rounds is not None:
         matched = matched.unionByName(rounds)
     absorbed = near.filter("crowd").select(*MATCH).distinct().withColumn("_crowd", F.lit(True))

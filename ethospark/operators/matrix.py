@@ -6,7 +6,7 @@ import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ethospark.operators.frames import lookup_join, number_frames
@@ -165,14 +165,13 @@ def included_rows(rows: DataFrame, excluded_groups: DataFrame, group: str = "gro
 def clean(features: DataFrame, columns: Sequence[str], learner: str) -> DataFrame:
     """Boosted trees: infinities become NULL. Random forest: infinities and gaps become 0."""
     forest = learner == "random_forest"
-
-    def cleaned(c: Column) -> Column:
-        odd = F.isnan(c) | (F.abs(c) == float("inf"))
-        if forest:
-            return F.when(odd | c.isNull(), F.lit(0.0)).otherwise(c)
-        return F.when(~odd, c)
-
-    return features.withColumns({c: cleaned(quoted(c).cast("double")) for c in columns})
+    odd = "isnan(double(`{0}`)) OR abs(double(`{0}`)) = double('Infinity')"
+    if forest:
+        text = f"CASE WHEN `{{0}}` IS NULL OR {odd} THEN 0D ELSE double(`{{0}}`) END AS `{{0}}`"
+    else:
+        text = f"CASE WHEN NOT ({odd}) THEN double(`{{0}}`) END AS `{{0}}`"
+    wanted = set(columns)
+    return features.selectExpr(*[text.format(c) if c in wanted else f"`{c}`" for c in features.columns])
 
 
 def mirrored_name(name: str) -> str:
@@ -193,9 +192,9 @@ def augment_symmetric(features: DataFrame, columns: Sequence[str]) -> DataFrame:
     partner = {c: by_name.get(mirrored_name(c), c) for c in columns}
     others = [c for c in features.columns if c not in set(columns)]
     twice = features.withColumn("_mirror", F.explode(F.array(F.lit(False), F.lit(True))))
-    return twice.select(
-        *map(quoted, others),
-        *[F.when(F.col("_mirror"), quoted(partner[c])).otherwise(quoted(c)).alias(c) for c in columns],
+    return twice.selectExpr(
+        *[f"`{c}`" for c in others],
+        *[f"IF(_mirror, `{partner[c]}`, `{c}`) AS `{c}`" for c in columns],
     )
 
 

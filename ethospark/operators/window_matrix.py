@@ -8,7 +8,7 @@ by column in numpy. Results equal the column-wise operators.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -80,9 +80,12 @@ def window_matrix(
     spectral_ops: Sequence[str] = tuple(spectrum.SUMMARY_OPS),
     fps: float = DEFAULT_FPS,
     frame: str = "frame",
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Keys, frame and every window column of window size ``k``.
 
+    ``carry`` names per-frame columns to keep next to them, which saves a join.
+
     ``circular_columns`` maps a column to the low end of its range (-180 or 0); they use only frames
     with ``present`` and are NULL on frames without. Linear columns get ``ops`` and
     ``spectral_ops``.
@@ -91,24 +94,32 @@ def window_matrix(
     keys, linear_columns = list(keys), list(linear_columns)
     circular_columns = dict(circular_columns or {})
     inputs = [*linear_columns, *circular_columns]
-    marks = [present] if circular_columns else []
-    rows = missing_to_null(df.select(*keys, frame, *marks, *map(quoted, inputs)), inputs)
+    marks = [present] if circular_columns and present not in carry else []
+    needed = list(dict.fromkeys([*carry, *inputs]))
+    rows = missing_to_null(df.select(*keys, frame, *marks, *map(quoted, needed)), inputs)
     names = [window_name(c, op) for c in linear_columns for op in [*ops, *spectral_ops]]
     names += [window_name(c, op) for c in circular_columns for op in CIRCULAR_OPS]
-    fields = [rows.schema[c] for c in [*keys, frame]]
+    kept = [*keys, frame, *carry]
+    fields = [rows.schema[c] for c in kept]
     schema = T.StructType(fields + [T.StructField(n, T.DoubleType()) for n in names])
     piece = max(256, CELLS_PER_PIECE // max(1, len(names)))
+    unit = [*keys, "_piece"]
 
-    def compute(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def compute(pdf: pd.DataFrame) -> pd.DataFrame:
+        """All columns of some whole pieces: they are laid out one after the other, k gaps apart."""
         at = pdf[frame].to_numpy()
-        own = at // piece == group[-1]
-        first = at.min()
-        where = at[own] - first
-        length = at.max() - first + 1
+        begins = _changes(pdf, unit)
+        starts = np.flatnonzero(begins)
+        lengths = at[np.append(starts[1:], len(at)) - 1] - at[starts] + 1
+        offsets = np.concatenate([[0], np.cumsum(lengths + k)[:-1]])
+        position = at - np.repeat(at[starts] - offsets, np.diff(np.append(starts, len(at))))
+        size = int(position[-1]) + 1
+        own = at // piece == pdf["_piece"].to_numpy()
+        where = position[own]
 
         def dense(values: np.ndarray) -> np.ndarray:
-            out = np.full(length, np.nan)
-            out[at - first] = values
+            out = np.full(size, np.nan)
+            out[position] = values
             return out
 
         def segments(values: np.ndarray) -> np.ndarray:
@@ -118,7 +129,7 @@ def window_matrix(
         data: dict[str, np.ndarray] = {}
         for c in linear_columns:
             values = dense(pdf[c].to_numpy(dtype=float))
-            stats = _statistics(segments(values), ops)
+            stats = _statistics(segments(values), ops) if ops else {}
             if spectral_ops:
                 amplitude = spectrum.amplitudes(np.nan_to_num(values, nan=0.0), k, fps)[where]
                 found = spectrum.summaries(amplitude, k, fps)
@@ -130,9 +141,41 @@ def window_matrix(
                 values = np.where(here, dense(pdf[c].to_numpy(dtype=float)), np.nan)
                 for op, v in _circular(segments(values), low, CIRCULAR_OPS).items():
                     data[window_name(c, op)] = np.where(here[where], v, np.nan)
-        out = pdf.loc[own, [*keys, frame]].reset_index(drop=True)
+        out = pdf.loc[own, kept].reset_index(drop=True)
         return pd.concat([out, pd.DataFrame(data, columns=names)], axis=1)
 
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Whole pieces at a time; the last piece of a batch waits for its remaining rows."""
+        held = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            cut = int(np.flatnonzero(_changes(rows, unit))[-1])
+            held = rows.iloc[cut:]
+            for part in _parts(rows.iloc[:cut], unit, piece):
+                yield compute(part)
+        if held is not None and len(held):
+            yield compute(held)
+
     halo = with_halo(rows, frame, k, k, piece)
-    wide = halo.groupBy(*keys, "_piece").applyInPandas(compute, schema)
-    return missing_to_null(wide, names)
+    ordered = halo.repartition(*unit).sortWithinPartitions(*unit, frame)
+    return missing_to_null(ordered.mapInPandas(stream, schema), names)
+
+
+def _changes(pdf: pd.DataFrame, unit: Sequence[str]) -> np.ndarray:
+    """True on the first row of every (keys, piece)."""
+    out = np.zeros(len(pdf), dtype=bool)
+    out[:1] = True
+    for c in unit:
+        values = pdf[c].to_numpy()
+        out[1:] |= values[1:] != values[:-1]
+    return out
+
+
+def _parts(pdf: pd.DataFrame, unit: Sequence[str], rows: int) -> Iterator[pd.DataFrame]:
+    """Cut between pieces into parts of about ``rows`` rows, which bounds the output at a time."""
+    starts = np.append(np.flatnonzero(_changes(pdf, unit)), len(pdf)) if len(pdf) else np.array([0])
+    begin = 0
+    for end, following in zip(starts[1:], np.append(starts[2:], len(pdf) + rows + 1)):
+        if following - begin > rows:
+            yield pdf.iloc[begin:end].reset_index(drop=True)
+            begin = end

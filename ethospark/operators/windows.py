@@ -30,7 +30,9 @@ def quoted(name: str) -> Column:
 
 def missing_to_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """NaN → NULL; aggregates skip NULL but are poisoned by NaN."""
-    return df.withColumns({c: F.nanvl(quoted(c), F.lit(None).cast("double")) for c in columns})
+    wanted = set(columns)
+    text = "nanvl(double(`{0}`), CAST(NULL AS DOUBLE)) AS `{0}`"
+    return df.selectExpr(*[text.format(c) if c in wanted else f"`{c}`" for c in df.columns])
 
 
 def linear(column: Column, spec: WindowSpec, op: str) -> Column:

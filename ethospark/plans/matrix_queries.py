@@ -491,7 +491,7 @@ def classify_videos(v):
     per_frame = FT.per_frame_table(
         v.pose(), v.static_object(), None, scales(v), version=5, object_names=["corners"], modules=modules
     )
-    table = FT.training_matrix(per_frame, FT.window_table(per_frame, 2, fft=False))
+    table = FT.training_matrix(per_frame, 2, fft=False)
     names = [c for c in table.columns if c not in (*FRAME, "present")]
     label = (F.element_at("embedding", 63) > 0).cast("int")
     labels = v.raw_instance().select("video", F.col("instance").alias("identity"), "frame", label.alias("label"))

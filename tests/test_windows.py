@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 
 from ethospark.operators import spectrum as S
+from ethospark.operators import window_matrix as WM
 from ethospark.operators import windows as W
-from ethospark.operators.window_matrix import window_matrix
 
 KEY = ["identity"]
 
@@ -61,18 +61,24 @@ def test_transform_removes_lines():
     assert S.frequencies(5, 30.0)[-1] == pytest.approx(5 * 30 / 11)
 
 
-def test_wide_path_equals_columns(spark):
+def test_wide_path_equals_columns(spark, monkeypatch):
     rng = np.random.default_rng(4)
     rows = []
-    for identity, n in enumerate([1, 3, 30]):
+    for identity, n in enumerate([1, 3, 30, 600]):
         for f in range(n):
             x = None if rng.random() < 0.2 else float(rng.normal())
             rows.append((identity, f, x, float(rng.uniform(-180, 180)), bool(rng.random() < 0.8)))
     df = spark.createDataFrame(rows, "identity int, frame int, `m x` double, `m a` double, present boolean")
     k = 3
-    wide = {
-        (r.identity, r.frame): r for r in window_matrix(df, KEY, k, ["m x"], {"m a": -180.0}).collect()
-    }
+    # small Arrow batches and pieces: a piece arrives in several batches, a batch holds several
+    monkeypatch.setattr(WM, "CELLS_PER_PIECE", 0)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = WM.window_matrix(df, KEY, k, ["m x"], {"m a": -180.0}).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    wide = {(r.identity, r.frame): r for r in out}
+    assert len(out) == len(wide)
     narrow = W.window_features(df, KEY, k, ["m x"], ["m a"], present="present").collect()
     spectral = S.spectra(df, KEY, k, "m x").select(
         "identity", "frame", *[c.alias(f"m {op} x") for op, c in S.summary_columns(k).items()]
