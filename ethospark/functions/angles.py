@@ -32,7 +32,5 @@ def distance(ax: str, ay: str, bx: str, by: str) -> str:
 
 
 def sine_cosine(name: str, angle: str) -> dict[str, str]:
-    """An angle column with its sine and cosine."""
-    return {
-        name: angle, f"{name} sine": f"sin(radians({angle}))", f"{name} cosine": f"cos(radians({angle}))"
-    }
+    """An angle column with its sine and cosine, which are written in terms of that column."""
+    return {name: angle, f"{name} sine": f"sin(radians(`{name}`))", f"{name} cosine": f"cos(radians(`{name}`))"}

@@ -18,12 +18,12 @@ from ethospark.functions.angles import (
     sine_cosine,
     wrap,
 )
-from ethospark.operators.frames import lookup_join, with_neighbours
+from ethospark.operators.frames import with_neighbours
 from ethospark.operators.pose import (
     ANIMAL,
     POINTS,
     scaled,
-    video_lengths,
+    video_facts,
     with_bearing,
     with_centroid,
     with_presence,
@@ -34,18 +34,18 @@ Features = dict[str, str]
 
 
 def prepare(
-    pose: DataFrame, scales: DataFrame | None = None, version: int = 4, lengths: DataFrame | None = None
+    pose: DataFrame, scales: DataFrame | None = None, version: int = 4
 ) -> DataFrame:
     """Add what the feature modules share: presence, bearing, scale, hull centroid, neighbours.
 
-    ``before``/``after`` hold the coordinates, centroid and bearing of the animal one frame away
-    (NULL struct where that frame has no row). One windowed pass serves all modules.
+    ``g_<name>`` is the gradient of a coordinate or of the centroid and ``next_bearing`` the bearing
+    one frame later. One windowed pass serves all modules.
     """
-    lengths = video_lengths(pose) if lengths is None else lengths
-    rows = with_centroid(with_bearing(with_presence(scaled(pose, scales), version)))
-    rows = lookup_join(rows, lengths, ["video"])
-    carried = [f"{a}_{k}" for a in "xy" for k in POINTS] + ["cx", "cy", "bearing"]
-    return with_neighbours(rows, ANIMAL, carried)
+    rows = with_centroid(with_bearing(with_presence(scaled(pose, scales), version), video_facts(pose)))
+    moving = [f"{a}_{k}" for a in "xy" for k in POINTS] + ["cx", "cy"]
+    around = with_neighbours(rows, ANIMAL, [*moving, "bearing"])
+    gradients = [f"{gradient(name)} AS g_{name}" for name in moving]
+    return around.selectExpr("*", *gradients, "after.bearing AS next_bearing").drop("before", "after")
 
 
 def gradient(name: str) -> str:
@@ -82,14 +82,14 @@ def angles() -> Features:
 
 def angular_velocity(fps: float = DEFAULT_FPS) -> Features:
     """Turn of the bearing to the next frame per second, the short way round."""
-    diff = f"({wrap('after.bearing', 0)} - {wrap('bearing', 0)})"
+    diff = f"({wrap('next_bearing', 0)} - {wrap('bearing', 0)})"
     short = f"CASE WHEN {diff} > 180 THEN {diff} - 360 WHEN {diff} < -180 THEN {diff} + 360 ELSE {diff} END"
     return {"angular_velocity angular_velocity": f"({short}) * {fps}D"}
 
 
 def point_speeds(fps: float = DEFAULT_FPS) -> Features:
     return {
-        f"point_speeds {n} speed": f"{length(gradient(f'x_{k}'), gradient(f'y_{k}'))} * {fps}D * scale"
+        f"point_speeds {n} speed": f"{length(f'g_x_{k}', f'g_y_{k}')} * {fps}D * scale"
         for k, n in enumerate(KEYPOINTS)
     }
 
@@ -98,19 +98,19 @@ def point_velocity_dirs() -> Features:
     """Direction of motion relative to the bearing, turned by half a turn, in [-180, 180)."""
     out: Features = {}
     for k, n in enumerate(KEYPOINTS):
-        motion = direction(gradient(f"x_{k}"), gradient(f"y_{k}"))
+        motion = direction(f"g_x_{k}", f"g_y_{k}")
         relative = f"({wrap(f'{motion} - bearing', 0)} - 180)"
         out |= sine_cosine(f"point_velocity_dirs {n} velocity direction", relative)
     return out
 
 
 def centroid_velocity_dir() -> Features:
-    motion = direction(gradient("cx"), gradient("cy"))
+    motion = direction("g_cx", "g_cy")
     return sine_cosine("centroid_velocity_dir centroid_velocity_dir", wrap(f"{motion} - bearing"))
 
 
 def centroid_velocity_mag(fps: float = DEFAULT_FPS) -> Features:
-    speed = length(gradient("cx"), gradient("cy"))
+    speed = length("g_cx", "g_cy")
     return {"centroid_velocity_mag centroid_velocity_mag": f"{speed} * {fps}D * scale"}
 
 
@@ -137,10 +137,13 @@ def base_features(fps: float = DEFAULT_FPS, modules: Sequence[str] | None = None
 
 
 def with_features(df: DataFrame, features: Mapping[str, str]) -> DataFrame:
-    """Add feature columns."""
-    return df.selectExpr("*", *[f"{e} AS `{n}`" for n, e in features.items()])
+    """Add feature columns: the values first, then the sines and cosines of those."""
+    derived = (" sine", " cosine")
+    first = [f"{e} AS `{n}`" for n, e in features.items() if not n.endswith(derived)]
+    second = [f"{e} AS `{n}`" for n, e in features.items() if n.endswith(derived)]
+    return df.selectExpr("*", *first).selectExpr("*", *second)
 
 
 def select_features(df: DataFrame, features: Mapping[str, str]) -> DataFrame:
     """Keys, frame and the feature columns only."""
-    return df.selectExpr(*ANIMAL, "frame", *[f"{e} AS `{n}`" for n, e in features.items()])
+    return with_features(df, features).selectExpr(*ANIMAL, "frame", *[f"`{n}`" for n in features])

@@ -64,6 +64,8 @@ def per_frame_table(
     # the social step regroups rows by frame, so everything else is computed before it and
     # carried along under its final name
     done = base_features.with_features(rows, own)
+    # what is not needed any more must not travel with the frames
+    done = done.drop(*[c for c in done.columns if c.startswith("g_")], "next_bearing", "bearing")
     names = list(own)
     if with_social:
         done = social_features.nearest_animals(done)

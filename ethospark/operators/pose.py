@@ -70,18 +70,26 @@ def keypoint_availability(pose: DataFrame) -> DataFrame:
     return seen.selectExpr("*", f"IF({extra}, 12, 5) AS layout")
 
 
-def with_bearing(pose: DataFrame) -> DataFrame:
+def video_facts(pose: DataFrame) -> DataFrame:
+    """What features need to know about a whole video: its length and whether the neck ever shows."""
+    neck = INDEX["BASE_NECK"]
+    return pose.groupBy("video").agg(
+        F.expr("CAST(max(frame) + 1 AS INT) AS num_frames"), F.expr(f"bool_or(ok_{neck}) AS has_neck")
+    )
+
+
+def with_bearing(pose: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """Add ``bearing``: direction from tail base to neck, or to the nose in videos without neck.
 
-    Needs ``present``; NULL on frames without the animal.
+    Needs ``present``; NULL on frames without the animal. The video facts are joined along the way.
     """
+    facts = video_facts(pose) if facts is None else facts
     neck, nose, tail = INDEX["BASE_NECK"], INDEX["NOSE"], INDEX["BASE_TAIL"]
-    has_neck = pose.groupBy("video").agg(F.expr(f"bool_or(ok_{neck}) AS _neck"))
-    ahead = {a: f"(IF(_neck, {a}_{neck}, {a}_{nose}) - {a}_{tail})" for a in "xy"}
+    ahead = {a: f"(IF(has_neck, {a}_{neck}, {a}_{nose}) - {a}_{tail})" for a in "xy"}
     angle = direction(ahead["x"], ahead["y"])
-    return lookup_join(pose, has_neck, ["video"]).selectExpr(
+    return lookup_join(pose, facts, ["video"]).selectExpr(
         "*", f"CASE WHEN present THEN {angle} END AS bearing"
-    ).drop("_neck")
+    ).drop("has_neck")
 
 
 def scaled(pose: DataFrame, scales: DataFrame | None) -> DataFrame:

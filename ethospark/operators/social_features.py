@@ -61,7 +61,7 @@ def nearest_animals(prepared: DataFrame) -> DataFrame:
     """
     body = ", ".join(f"IF(ok_{k}, {a}_{k}, NULL)" for a in "xy" for k in BODY_POINTS)
     social = ", ".join(f"named_struct('x', x_{INDEX[n]}, 'y', y_{INDEX[n]})" for n in SOCIAL_KEYPOINTS)
-    rest = [c for c in prepared.columns if c not in ("video", "identity", "frame", "before", "after")]
+    rest = [c for c in prepared.columns if c not in ("video", "identity", "frame")]
     kept = prepared.selectExpr(
         "video", "frame",
         f"""struct(identity, {BODY_COUNT} >= 3 AS hull, present, cx, cy, array({social}) AS points,

@@ -14,8 +14,8 @@ from ethospark.skeleton import ANGLES, BODY, INDEX, KEYPOINTS, SOCIAL_KEYPOINTS
 
 
 def _select(df, columns, digits=6):
-    return df.selectExpr(
-        *ANIMAL, "frame", *[f"round(double({e}), {digits}) + 0D AS `{n}`" for n, e in columns.items()]
+    return B.select_features(df, columns).selectExpr(
+        *ANIMAL, "frame", *[f"round(double(`{n}`), {digits}) + 0D AS `{n}`" for n in columns]
     )
 
 
