@@ -488,8 +488,9 @@ def cross_validate(v):
 def classify_videos(v):
     """Poses → features → window features → model → class and confidence for every frame."""
     modules = ["angles", "centroid_velocity_dir", "centroid_velocity_mag", "corner_distances"]
+    pose = v.stored(v.pose())
     per_frame = FT.per_frame_table(
-        v.pose(), v.static_object(), None, scales(v), version=5, object_names=["corners"], modules=modules
+        pose, v.static_object(), None, scales(v), version=5, object_names=["corners"], modules=modules
     )
     table = FT.training_matrix(per_frame, 2, fft=False)
     names = [c for c in table.columns if c not in (*FRAME, "present")]
@@ -500,7 +501,7 @@ def classify_videos(v):
     T.write_features(table, path)
     rows = T.read_features(v.spark, path, names)
     model = C.train(rows.join(labels, FRAME), names, numTrees=5, maxDepth=4)
-    out = model.predict_frames(rows, v.pose())
+    out = model.predict_frames(rows, pose)
     return out.select(*FRAME, "cls", rounded("prob", 4).alias("prob"))
 
 
@@ -509,7 +510,7 @@ def features_all_modules(v):
     """Every per-frame module at once (253 columns and the keys)."""
     contours = P.segments_by_identity(v.contour())
     return FT.per_frame_table(
-        v.pose(), v.static_object(), contours, scales(v), 8, ["corners", "lixit", "food_hopper"], 3
+        v.stored(v.pose()), v.static_object(), contours, scales(v), 8, ["corners", "lixit", "food_hopper"], 3
     )
 
 

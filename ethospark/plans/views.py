@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ethospark.operators.frames import number_frames, runs
+from ethospark.session import ensure_checkpoint_dir
 from ethospark.skeleton import NUM_KEYPOINTS
 
 STATE = "CASE WHEN event_type IN ('purchase', 'click') THEN 1 WHEN event_type = 'error' THEN -1 ELSE 0 END"
@@ -23,6 +24,11 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def stored(self, df: DataFrame) -> DataFrame:
+        """A view written down once, for queries that read it many times."""
+        ensure_checkpoint_dir(self.spark)
+        return df.checkpoint()
+
     # --- sequences from the event table: one animal per user -------------------------
     def sequence(self) -> DataFrame:
         """Events as frames: video, identity, frame, and the event columns."""
