@@ -151,9 +151,10 @@ def lookup_join(
 
 
 def _salt_columns(df: DataFrame, keys: Sequence[str]) -> list[str]:
-    """What tells rows of one key apart: the frame if there is one, else the simple columns."""
-    frames = [c for c in ("identity", "frame", "sample_frame", "instance") if c in df.columns]
-    return frames or [n for n, kind in df.dtypes if not kind.startswith(("map", "array", "struct"))]
+    """What tells rows of one key apart: the frame or start if there is one, else simple columns."""
+    others = [(n, kind) for n, kind in df.dtypes if n not in keys]
+    times = [n for n, _ in others if n in ("frame", "sample_frame", "start", "_i")]
+    return times or [n for n, kind in others if not kind.startswith(("map", "array", "struct"))]
 
 
 def runs_of_intervals(

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ethospark.operators.frames import frames_of, overlap_join, runs, spine
+from ethospark.operators.frames import frames_of, lookup_join, overlap_join, runs, spine
 
 TRACK = ["video", "identity", "behavior"]
 NONE, NOT_BEHAVIOR, BEHAVIOR, MIX, PAD = -1, 0, 1, 2, 3
@@ -158,8 +158,7 @@ def downsample(
     bin_size = F.ceil(F.col("num_frames") / size)
     tracks = lengths.select(*keys, bin_size.alias("_bin_size"), "num_frames")
     tallies = (
-        frames.filter(F.col("label") != NONE)
-        .join(tracks.drop("num_frames"), list(keys))
+        lookup_join(frames.filter(F.col("label") != NONE), tracks.drop("num_frames"), keys, "inner")
         .groupBy(*keys, F.floor(F.col("frame") / F.col("_bin_size")).cast("int").alias("bin"))
         .agg(
             F.count_if(F.col("label") == BEHAVIOR).alias("_yes"),
@@ -191,7 +190,7 @@ def class_shares(
     run contributes one row per bin it reaches, not one per frame.
     """
     width = F.col("num_frames") / F.lit(float(size))
-    reach = class_runs.join(lengths, list(keys)).withColumn("_width", width)
+    reach = lookup_join(class_runs, lengths, keys, "inner").withColumn("_width", width)
     begin, stop = F.col("start").cast("double"), F.col("end") + F.lit(1.0)
     first = F.floor(begin / F.col("_width")).cast("int")
     last = F.least(F.ceil(stop / F.col("_width")).cast("int"), F.lit(size)) - 1

@@ -362,7 +362,8 @@ def identity_to_track(instances: DataFrame, identities: DataFrame, lengths: Data
     animals = lengths.join(counts, "video").withColumn(
         "identity", F.explode(F.sequence(F.lit(0), F.col("_last")))
     )
-    owned = instances.select("video", "frame", "track_id").join(identities, ["video", "track_id"])
+    shown = instances.select("video", "frame", "track_id")
+    owned = lookup_join(shown, identities, ["video", "track_id"], "inner")
     return (
         spine(animals.select(*ANIMAL, "num_frames"), ANIMAL)
         .join(owned, [*ANIMAL, "frame"], "left")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ethospark.operators.frames import (
     exact_median,
     frames_of,
+    lookup_join,
     piece_of,
     runs,
     smallest_per_group,
@@ -165,10 +166,11 @@ def missing_frames(
     counts = pose.groupBy("video").agg((F.max("identity") + 1).alias("_identities"))
     totals = points.groupBy("video", "frame").agg(F.sum("seen").alias("_all"))
     frames = frames_of(bouts.select("video", "identity", "start", "end"))
+    enough = counts.filter(F.col("_identities") >= min_identities)
     joined = (
-        frames.join(points, ["video", "identity", "frame"], "left")
+        lookup_join(frames, enough, ["video"], "inner")
+        .join(points, ["video", "identity", "frame"], "left")
         .join(totals, ["video", "frame"], "left")
-        .join(counts.filter(F.col("_identities") >= min_identities), "video")
         .na.fill(0, ["seen", "_all"])
     )
     slots = (F.col("_identities") - 1) * expected

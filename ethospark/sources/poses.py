@@ -52,7 +52,7 @@ def eartag_poses(rows: DataFrame, lengths: DataFrame) -> DataFrame:
         "video", "frame", F.trim(F.coalesce("eartag_code", F.lit(""))).alias("tag"), *points,
         "bb_left", "bb_top", "bb_right", "bb_bottom",
     )
-    found = tagged.join(identities, ["video", "tag"]).withColumn("_seen", F.lit(True))
+    found = lookup_join(tagged, identities, ["video", "tag"], "inner").withColumn("_seen", F.lit(True))
     animals = identities.join(lengths, "video").select("video", "identity", "num_frames")
     dense = spine(animals, ["video", "identity"]).join(found, ["video", "identity", "frame"], "left")
     slots = {INDEX[name]: number for number, name in EARTAG_KEYPOINTS.items()}
