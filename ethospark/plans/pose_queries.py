@@ -287,12 +287,50 @@ def pose_track_table(v):
     return P.track_table(v.track()).drop("instance")
 
 
-@query("pose_allocate_identities")
+# the allocation as a walk over stretch ends and starts, with the free identities as a list
+_ALLOCATED = f"""WITH RECURSIVE {_TRACKS},
+    stretches AS (
+        SELECT video, track_id, min(frame) AS began, max(frame) AS ended
+        FROM (SELECT *, frame - row_number() OVER (PARTITION BY video, track_id ORDER BY frame) AS island
+              FROM track_rows)
+        GROUP BY video, track_id, island),
+    happenings AS (
+        SELECT video, track_id, began AS frame, 1 AS kind,
+               began = min(began) OVER (PARTITION BY video, track_id) AS is_new FROM stretches
+        UNION ALL SELECT video, track_id, ended + 1, 0, FALSE FROM stretches),
+    walk AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY frame, kind, track_id) AS i FROM happenings),
+    steps AS (
+        SELECT DISTINCT video, 0::BIGINT AS i, range(100) AS free, CAST([] AS STRUCT(t BIGINT, id BIGINT)[]) AS owners
+        FROM track_rows
+        UNION ALL
+        SELECT s.video, w.i,
+               CASE WHEN w.kind = 0
+                      THEN list_sort(list_append(s.free, list_filter(s.owners, lambda o: o.t = w.track_id)[1].id))
+                    WHEN w.is_new THEN s.free[2:] ELSE s.free END,
+               CASE WHEN w.is_new THEN list_append(s.owners, {{'t': w.track_id, 'id': s.free[1]}}) ELSE s.owners END
+        FROM steps s JOIN walk w ON w.video = s.video AND w.i = s.i + 1),
+    allocated AS (
+        SELECT video, o.t AS track_id, o.id::INT AS identity
+        FROM (SELECT video, unnest(owners) AS o FROM steps
+              QUALIFY i = max(i) OVER (PARTITION BY video)))"""
+
+
+@query("pose_allocate_identities", f"{_ALLOCATED} SELECT * FROM allocated")
 def pose_allocate_identities(v):
     return P.allocate_identities(v.track())
 
 
-@query("pose_identity_to_track")
+@query(
+    "pose_identity_to_track",
+    f"""{_ALLOCATED},
+    sizes AS (SELECT video, max(frame) + 1 AS n FROM track_rows GROUP BY video),
+    counts AS (SELECT video, max(identity) + 1 AS ids FROM allocated GROUP BY video),
+    animals AS (SELECT video, n, unnest(range(ids))::INT AS identity FROM counts JOIN sizes USING (video)),
+    dense AS (SELECT video, identity, unnest(range(n))::INT AS frame FROM animals)
+    SELECT d.video, d.identity, d.frame, coalesce(o.track_id, -1) AS track_id
+    FROM dense d LEFT JOIN (SELECT r.*, a.identity FROM track_rows r JOIN allocated a USING (video, track_id)) o
+      ON o.video = d.video AND o.identity = d.identity AND o.frame = d.frame""",
+)
 def pose_identity_to_track(v):
     tracks = v.track()
     return P.identity_to_track(tracks, P.allocate_identities(tracks), P.video_lengths(tracks))

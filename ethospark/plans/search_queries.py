@@ -191,6 +191,22 @@ def missing_keypoints_frames(v):
     return out.select("video", "frame", rounded("missing").alias("missing"), rounded("others_missing").alias("others_missing"))
 
 
-@query("missing_keypoints_top_frames")
+@query(
+    "missing_keypoints_top_frames",
+    f"""WITH RECURSIVE {_MISSING},
+    ranked AS (SELECT *, row_number() OVER (ORDER BY missing DESC, video, frame) AS i FROM worst WHERE missing >= 0.08),
+    steps AS (
+        SELECT 0::BIGINT AS i, CAST([] AS STRUCT(v VARCHAR, f INT)[]) AS chosen
+        UNION ALL
+        SELECT r.i, CASE WHEN len(s.chosen) < 20
+                     AND len(list_filter(s.chosen, lambda c: c.v = r.video AND abs(c.f - r.frame) < 3)) = 0
+                    THEN list_append(s.chosen, {{'v': r.video, 'f': r.frame}}) ELSE s.chosen END
+        FROM steps s JOIN ranked r ON r.i = s.i + 1),
+    kept AS (SELECT c.v AS video, c.f AS frame FROM (
+        SELECT unnest(chosen) AS c FROM (SELECT chosen FROM steps ORDER BY i DESC LIMIT 1)))
+    SELECT video, frame, round(missing, 6) + 0.0 AS missing, round(others_missing, 6) + 0.0 AS others_missing
+    FROM worst JOIN kept USING (video, frame)""",
+)
 def missing_keypoints_top_frames(v):
-    return S.top_frames(S.missing_frames(_pose_bouts(v), v.pose(), 0.08), 20, 3)
+    out = S.top_frames(S.missing_frames(_pose_bouts(v), v.pose(), 0.08), 20, 3)
+    return out.select("video", "frame", rounded("missing").alias("missing"), rounded("others_missing").alias("others_missing"))
