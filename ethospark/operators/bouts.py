@@ -7,7 +7,7 @@ in bout form (one row per run, not per frame) and only the last step goes back t
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Any
 
 import pandas as pd
@@ -111,8 +111,8 @@ def delete_touching(bouts: DataFrame, keys: Sequence[str], flag: Column) -> Data
         *keys, "start", "end", "state", "_stretch"
     )
     ensure_checkpoint_dir(bouts.sparkSession)
-    left = left.checkpoint()  # read several times below
-    ranked = position_in_key(left, keys, "start", "_i")
+    left = left.checkpoint()  # both tables are read several times
+    ranked = position_in_key(left, keys, "start", "_i").checkpoint()
     depth = running_before(ranked, keys, "_i", "IF(_stretch, 1, -1)", "sum", "_depth")
     depth = depth.selectExpr("*", "coalesce(_depth, 0) + IF(_stretch, 1, -1) AS _sum")
     lowest = running_before(depth, keys, "_i", "_sum", "min", "_lowest")
@@ -123,32 +123,50 @@ def delete_touching(bouts: DataFrame, keys: Sequence[str], flag: Column) -> Data
     )
     grouped = ranked.join(frames_of(groups, name="_i"), [*keys, "_i"], "left")
     schema = left.drop("_stretch").schema
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        waiting = pdf.sort_values("start").to_dict("records")
-        done: list[dict] = []  # nearest bout last
-        while waiting:
-            bout = waiting.pop()
-            before = waiting[-1] if waiting else None
-            after = done[-1] if done else None
-            if not bout["_stretch"] or (before is None and after is None):
-                done.append(bout)
-            elif before is None:
-                after["start"] = bout["start"]
-            elif after is None:
-                before["end"] = bout["end"]
-            elif before["state"] == after["state"]:
-                before["end"] = done.pop()["end"]
-            else:
-                before["end"] += (bout["end"] - bout["start"] + 1) // 2
-                after["start"] = before["end"] + 1
-        return pd.DataFrame(done, columns=pdf.columns)[schema.names]
-
-    settled = grouped.filter("_group IS NOT NULL").groupBy(*keys, "_group").applyInPandas(settle, schema)
+    names = [*keys, "_group", "start", "end", "state", "_stretch"]
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unit, waiting = None, []
+        for batch in batches:
+            out = []
+            for row in zip(*(batch[n].tolist() for n in names)):
+                if row[:-4] != unit:
+                    out += [(*unit[:-1], *bout) for bout in _settled(waiting)] if unit else []
+                    unit, waiting = row[:-4], []
+                waiting.append(list(row[-4:]))
+            yield pd.DataFrame(out, columns=schema.names)
+        if unit:
+            last = [(*unit[:-1], *bout) for bout in _settled(waiting)]
+            yield pd.DataFrame(last, columns=schema.names)
+
+    ordered = grouped.filter("_group IS NOT NULL").select(*names)
+    ordered = ordered.repartition(*keys, "_group").sortWithinPartitions(*keys, "_group", "start")
+    settled = ordered.mapInPandas(stream, schema)
     rest = grouped.filter("_group IS NULL").select(*schema.names)
     return runs_of_intervals(rest.unionByName(settled), keys)
 
 
+def _settled(waiting: list[list]) -> list[tuple]:
+    """Delete the marked bouts of one group, last to first; bouts are [start, end, state, marked]."""
+    done: list[list] = []  # nearest bout last
+    while waiting:
+        bout = waiting.pop()
+        before = waiting[-1] if waiting else None
+        after = done[-1] if done else None
+        if not bout[3] or (before is None and after is None):
+            done.append(bout)
+        elif before is None:
+            after[0] = bout[0]
+        elif after is None:
+            before[1] = bout[1]
+        elif before[2] == after[2]:
+            before[1] = done.pop()[1]
+        else:
+            before[1] += (bout[1] - bout[0] + 1) // 2
+            after[0] = before[1] + 1
+    return [tuple(bout[:3]) for bout in done]
+
+
 def _absorb(bouts: DataFrame, keys: Sequence[str], flag: str) -> DataFrame:
     """Give the frames of flagged bouts (SQL condition) to their neighbours and merge."""
     return runs_of_intervals(_pieces(bouts, keys, flag), keys)
