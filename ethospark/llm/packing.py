@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +34,12 @@ from ethospark.llm.text import pieces
 
 CAPACITY = 1024
 POOL = 512
-CACHE = 400_000  # words whose ids a task remembers
+CACHE = 400_000  # words of a generation; a task remembers the ids of two generations of words
 END_ID = 0
 #: Fixed value: the pattern of byte-level BPE that splits a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _MIDDLE = re.compile(r"\s ")
+_WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([^\w\s]+)")
 
 
 def _byte_of() -> dict[str, int]:
@@ -48,6 +50,19 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
 
 
+class _Marks(dict):
+    """Ids of runs of marks that follow a word."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder = encoder
+
+    def __missing__(self, marks: str) -> bytes:
+        found = self.encoder.whole(marks)
+        if len(marks) <= 8 and len(self) < 50_000:
+            self[marks] = found
+        return found
+
+
 class Encoder(dict):
     """Texts → little-endian 32-bit ids of a byte-level BPE file; the dict has words after a space."""
 
@@ -68,15 +83,21 @@ class Encoder(dict):
         special, byte_of = {t["content"] for t in spec["added_tokens"]}, _byte_of()
         ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         self.bpe = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.before: dict[str, bytes] = {}
+        self.marks = _Marks(self)
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.bpe.encode_ordinary(text), "<u4").tobytes()
+        return array("I", self.bpe.encode_ordinary(text)).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        found = self.whole(" " + word)
+        marked = _WORD_AND_MARKS.fullmatch(word)
+        if marked:  # letters, then marks: two tokens of the pattern
+            return self[marked[1]] + self.marks[marked[2]]
+        found = self.before.get(word) or self.whole(" " + word)
         if len(word) <= 64:
+            if len(self) >= CACHE:
+                self.before = dict(self)
+                self.clear()
             self[word] = found
         return found
 
@@ -96,12 +117,13 @@ class Encoder(dict):
 
 
 class Packer:
-    """The sequences of one task. Pieces are [doc, start, ids, loss, total]: ids and loss per token."""
+    """The sequences of one task. A piece is (doc, start, ids, loss, total): ids and loss per token."""
 
     def __init__(self, first_id: int, capacity: int, max_segments: int, max_loss: int, emit):
         self.limits = np.array([capacity, max_segments, max_loss], float)
-        self.capacity, self.max_segments, self.max_loss = capacity, max_segments, max_loss
-        self.sequence, self.emit, self.pool = first_id, emit, []
+        self.capacity, self.max_loss = capacity, max_loss
+        self.sequence, self.emit = first_id, emit
+        self.pool, self.demands = [], []  # pending pieces and their (tokens, 1, loss-bearing tokens)
 
     @staticmethod
     def _cut(piece, n: int):
@@ -123,55 +145,60 @@ class Packer:
                 n = 1 << (n.bit_length() - 1)
             head, piece = self._cut(piece, n)
             self._close([head])
-        if len(piece[2]):
-            self.pool.append(piece)
+        self._pend(piece)
         if len(self.pool) >= POOL:
             self._fill(POOL // 2)
 
     def finish(self) -> None:
         self._fill(0)
 
-    def _close(self, pieces_) -> None:
+    def _pend(self, piece) -> None:
+        if len(piece[2]):
+            self.pool.append(piece)
+            self.demands.append((len(piece[2]), 1, np.count_nonzero(piece[3])))
+
+    def _close(self, chosen) -> None:
         offset = 0
-        for p in pieces_:
+        for p in chosen:
             self.emit(p, self.sequence, offset)
             offset += len(p[2])
         self.sequence += 1
 
     def _fill(self, until: int) -> None:
         while len(self.pool) > until:
-            demand = np.array([(len(p[2]), 1, p[3].sum()) for p in self.pool], float)
-            there = np.ones(len(self.pool), bool)
-            room, chosen = self.limits.copy(), []
+            demand = np.array(self.demands, float)
+            there, taken = np.ones(len(self.pool), bool), []
+            room = self.limits.copy()
             while True:
-                fits = there & (demand <= room).all(axis=1)
-                if not fits.any():
+                fits = np.flatnonzero(there & (demand <= room).all(axis=1))
+                if not len(fits):
                     break
-                value = (demand / self.limits) @ (room / self.limits)
-                value[~fits] = -1
-                best = int(np.argmax(value))
+                best = fits[np.argmax((demand[fits] / self.limits) @ (room / self.limits))]
                 there[best] = False
                 room -= demand[best]
-                chosen.append(self.pool[best])
-            rest = [p for p, x in zip(self.pool, there) if x]
-            if room[0] and room[1] and rest:
-                longest = max(range(len(rest)), key=lambda k: len(rest[k][2]))
-                n = self._fits(rest[longest], int(room[0]), int(room[2]))
+                taken.append(best)
+            chosen, rest = [self.pool[k] for k in taken], []
+            if room[0] and room[1] and there.any():
+                longest = int(np.argmax(np.where(there, demand[:, 0], -1)))
+                n = self._fits(self.pool[longest], int(room[0]), int(room[2]))
                 if n:
-                    head, rest[longest] = self._cut(rest[longest], n)
+                    there[longest] = False
+                    head, tail = self._cut(self.pool[longest], n)
                     chosen.append(head)
-                    rest = [p for p in rest if len(p[2])]
-            self.pool = rest
+                    rest.append(tail)
             total = sum(len(p[2]) for p in chosen)
             beyond = 0 if total == self.capacity else total - (1 << (total.bit_length() - 1))
             while beyond:
                 last = chosen.pop()
-                n = len(last[2])
-                if n > beyond:
-                    head, last = self._cut(last, n - beyond)
+                if len(last[2]) > beyond:
+                    head, last = self._cut(last, len(last[2]) - beyond)
                     chosen.append(head)
-                self.pool.append(last)
+                rest.append(last)
                 beyond -= len(last[2])
+            stay = np.flatnonzero(there)
+            self.pool, self.demands = [self.pool[k] for k in stay], [self.demands[k] for k in stay]
+            for p in rest:
+                self._pend(p)
             self._close(chosen)
 
 

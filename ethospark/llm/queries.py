@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ethospark.llm import chat_format, line_dedup, lm_scoring, packing, quality_rules
+from ethospark.llm import chat_format, jaccard_join, line_dedup, lm_scoring, packing, quality_rules
 from ethospark.llm.common import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,9 +31,12 @@ def tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-@query(
-    "op4_quality_rules",
-)
+@query("op3_jaccard_join")
+def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, folder, "documents"))
+
+
+@query("op4_quality_rules")
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     scored = quality_rules.score_quality(table(spark, folder, "documents"))
     first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
