@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ethospark.llm import chat_format, jaccard_join, line_dedup, lm_scoring, packing, quality_rules
+from ethospark.llm import (
+    chat_format,
+    decontaminate,
+    html_text,
+    jaccard_join,
+    language_id,
+    line_dedup,
+    lm_scoring,
+    packing,
+    quality_rules,
+    suffix_dedup,
+)
 from ethospark.llm.common import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +42,20 @@ def tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query("op1_language_id")
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").withColumn("held_out", fold_of("doc_id", 3) == 1)
+    profile = language_id.fit(docs.filter(~F.col("held_out")))
+    return language_id.predict(docs.select("doc_id", "held_out", "text"), profile).select(
+        "doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected"
+    )
+
+
+@query("op2_decontamination")
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query("op3_jaccard_join")
 def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, folder, "documents"))
@@ -43,6 +68,16 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select(*first, *[c for c in scored.columns if c not in first])
 
 
+@query("op5_html_extraction")
+def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract_text(table(spark, folder, "pages"))
+
+
+@query("op6_suffix_dedup")
+def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(table(spark, folder, "documents"))
+
+
 @query("op7_packing")
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     packed = packing.pack(table(spark, folder, "documents"), tokenizer())
