@@ -7,12 +7,13 @@ document, the smallest id that links reach.
 Method: T-occurrence search by DivideSkip. A partner shares at least T = ceil(percent / 100 * n) of
 a set's n shingles, so if the T - 1 longest inverted lists are set aside, it still occurs in one of
 the others. Here every set is ordered by shingle hash, the first n - T + 1 + E shingles (E: the
-extension) are its probe lists, and lists with more than ``LONG`` documents are the long ones. By the
-same count, partners share at least 1 + E probe lists (E of the smaller set), or the whole overlap if that
-is less; a document with fewer long lists than that meets each partner in a short list. Documents
-with more ("dense") meet in the long lists as well. The lists are merged by Spark's shuffle on the shingle; the candidates' remaining
-shingles are then binary-probed in the partner's sorted array, and pairs that reach the required
-overlap are links.
+extension) are its probe lists, and lists with more than ``LONG`` documents are the long ones. By
+the same count, partners share at least 1 + E probe lists (E of the smaller set), or the whole
+overlap if that is less; a document with fewer long lists than that meets each partner in a short
+list. Documents with more ("dense") meet in the long lists as well. The lists are merged by Spark's
+shuffle on the shingle, and a candidate pair must share as many probe lists as the count says. All
+shingles of what remains, those of the long lists too, are then binary-probed in the partner's sorted
+array, and pairs that reach the required overlap are links.
 
 Groups of copies: documents with equal sets are one class from the start (a digest and the smallest
 id), and a list does not emit all its pairs. First each list compares its members with its smallest
@@ -21,11 +22,11 @@ give all of them, long lists let further members (16, 64, 256, …) meet all mem
 components, until no list has two components whose members have not met. So a group of g near
 copies costs about g comparisons, and no link between different components is lost.
 
-Scale: the text is read three times (counts, lists, sets of candidates) and never shuffled whole
-but for candidates; shuffled are one key for each probe list entry, the few entries whose list has
-a second document, and the sets of candidates. A fixed-size bit map of the repeated keys, sized by
-their count and at most 128 MB, is broadcast to drop the other entries before the shuffle; exact
-joins follow, so a full map costs time, not results.
+Scale: the text is read for the sizes, the keys, the entries and, in each round, the sets of pairs that
+share enough lists; it is never shuffled. Shuffled are one key for each probe list entry, the few
+entries whose list has a second document, and the sets of those pairs. Bit maps of the repeated keys
+and of the ids that need a set, sized by their count and at most 128 MB, are broadcast to drop the
+other entries and rows as they are read; exact joins follow, so a full map costs time, not results.
 
 Defined cases: null or empty texts and texts without words have an empty set, n_shingles 0, and are
 their own component, as are rows without a partner; rows that share an id must be copies of each
@@ -120,8 +121,8 @@ def _repeated_keys(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def _bit_map(keys: DataFrame, n: int) -> np.ndarray:
-    """Bits of the keys, eight for each if the bounds allow; gathered as at most 2**24 words of 64 bits."""
-    bits = min(MAP_BITS[1], max(MAP_BITS[0], (8 * n).bit_length()))
+    """Bits of the keys, 32 for each if the bounds allow; gathered as at most 2**24 words of 64 bits."""
+    bits = min(MAP_BITS[1], max(MAP_BITS[0], (32 * n).bit_length()))
     cell = F.shiftrightunsigned("key", 64 - bits)
     words = keys.select(F.shiftright(cell, 6).alias("w"), F.expr("shiftleft(1L, cast(shiftrightunsigned(key, %d) & 63 as int))" % (64 - bits)).alias("b"))
     found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
@@ -152,15 +153,23 @@ def _lists(docs: DataFrame, repeated: DataFrame, representatives: DataFrame, siz
 
 
 def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(id, shingles): the ascending set of each id as binary."""
+    """(id, shingles): the ascending set of each id as binary; other rows are dropped as they are read."""
+    marks = ids.select(F.xxhash64("id").alias("key"))
+    sent = docs.sparkSession.sparkContext.broadcast(_bit_map(marks, marks.count()))
 
     def task(batches):
-        for piece in pieces(batches):
-            grams, bounds = shingle_sets(Words(piece.column("text")), size)
-            data = [grams[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
-            yield pa.record_batch([piece.column("id"), pa.array(data, pa.binary())], ["id", "shingles"])
+        array = sent.value
+        shift = np.uint64(64 - (len(array).bit_length() + 5))
+        for batch in batches:
+            cell = batch.column("mark").to_numpy().view(np.uint64) >> shift
+            there = (array[cell >> np.uint64(6)] >> (cell & np.uint64(63))) & np.uint64(1)
+            for piece in pieces([batch.filter(pa.array(there.astype(bool)))]):
+                grams, bounds = shingle_sets(Words(piece.column("text")), size)
+                data = [grams[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+                yield pa.record_batch([piece.column("id"), pa.array(data, pa.binary())], ["id", "shingles"])
 
-    return docs.join(ids, "id", "left_semi").mapInArrow(task, f"id {_kind(docs)}, shingles binary")
+    marked = docs.select("id", "text", F.xxhash64("id").alias("mark"))
+    return marked.mapInArrow(task, f"id {_kind(docs)}, shingles binary").join(ids, "id", "left_semi").dropDuplicates(["id"])
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -208,16 +217,28 @@ def link_classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> t
         entries.join(sizes, "key").select("key", "id", "n", "place", "c", F.col("first.id").alias("p"), F.col("first.n").alias("pn"), F.col("first.place").alias("pp")),
         "jaccard-lists",
     )
-    sets = stored(_sets(docs, lists.select("id").distinct(), size).dropDuplicates(["id"]), "jaccard-sets")
-
-    def met(rows: DataFrame) -> DataFrame:
-        """Possible pairs, each once."""
-        return rows.filter(_possible(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    keys = stored(lists.groupBy("id").agg(F.collect_list("key").alias("keys")), "jaccard-keys-of")
+
+    def linked(rows: DataFrame) -> DataFrame:
+        """Links among possible pairs: they share enough probe lists, then enough of their sets."""
+        pairs = rows.filter(_possible(percent)).select(
+            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("na", "nb").alias("least"), (F.col("na") + F.col("nb")).alias("both")
+        ).distinct()
+        shared = F.size(F.array_intersect("ka", "kb"))
+        overlap = F.ceil(F.lit(percent) * F.col("both") / (100 + percent))
+        pairs = (
+            pairs.join(keys.select(F.col("id").alias("a"), F.col("keys").alias("ka")), "a")
+            .join(keys.select(F.col("id").alias("b"), F.col("keys").alias("kb")), "b")
+            .filter(shared >= F.least(overlap, F.floor(F.col("least") / 20) + 3)).select("a", "b")
+        )
+        pairs = stored(pairs, "jaccard-pairs")
+        ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "jaccard-ids")
+        return _linked(pairs, stored(_sets(docs, ids, size), "jaccard-sets"), percent)
 
     with_first = lists.filter("id <> p").select(
         F.col("p").alias("a"), F.col("id").alias("b"), F.col("pn").alias("na"), F.col("n").alias("nb"), F.col("pp").alias("pa"), F.col("place").alias("pb")
     )
-    links = stored(_linked(met(with_first), sets, percent), "jaccard-links")
+    links = stored(linked(with_first), "jaccard-links")
     found = components(links)
 
     # documents with more long lists than the extension meet in those, too
@@ -240,7 +261,7 @@ def link_classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> t
         one = short.unionByName(ranked).select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("component").alias("ca"), F.col("c").alias("ac"))
         two = rows.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("component").alias("cb"))
         pairs = one.join(two, "key").filter((F.col("ca") != F.col("cb")) & ((F.col("a") < F.col("b")) | (F.col("ac") > LONG)))
-        links = stored(links.unionByName(_linked(met(pairs), sets, percent)), "jaccard-links")
+        links = stored(links.unionByName(linked(pairs)), "jaccard-links")
         found = components(links)
         left = stored(rows.filter(F.col("c") > LONG).join(ranked.select("key", "id"), ["key", "id"], "left_anti").select("key", "id", "n", "place", "c"), "jaccard-left")
         pivots *= 4

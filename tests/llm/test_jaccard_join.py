@@ -64,4 +64,4 @@ def test_components_of_a_long_chain_and_a_hub(spark):
     links = [(k, k + 1) for k in range(100, 160)] + [(5, k) for k in range(300, 400)]
     df = spark.createDataFrame([(b, a) for a, b in links], "a long, b long")
     found = {r.id: r.component for r in components(df).collect()}
-    assert found == {k: (100 if k < 200 else 5) for k in [*range(100, 161), 5, *range(300, 400)]}
+    assert found == {k: (100 if 100 <= k < 200 else 5) for k in [*range(100, 161), 5, *range(300, 400)]}
