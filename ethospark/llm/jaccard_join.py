@@ -6,23 +6,22 @@ document, the smallest id that links reach.
 
 Method: T-occurrence search by DivideSkip. A partner shares at least T = ceil(percent / 100 * n) of
 a set's n shingles, so if the T - 1 longest inverted lists are set aside, it still occurs in one of
-the others. Here every set is ordered by shingle hash, the first n - T + 1 + E shingles (E: the
-extension) are its probe lists, and lists with more than ``LONG`` documents are the long ones. By
-the same count, partners share at least 1 + E probe lists (E of the smaller set), or the whole
-overlap if that is less; a document with fewer long lists than that meets each partner in a short
-list. Documents with more ("dense") meet in the long lists as well. The lists are merged by Spark's
-shuffle on the shingle, and a candidate pair must share as many probe lists as the count says. All
-shingles of what remains, those of the long lists too, are then binary-probed in the partner's sorted
-array, and pairs that reach the required overlap are links.
+the others. Here all sets have one order of shingles, those of long lists last (``_frequent``), then
+by hash; the first n - T + 1 + E shingles (E: the extension) are the short lists of a set, its probe
+lists. Spark's shuffle on the shingle merges them. By the same count, the first shingle that partners
+share leaves enough of both sets for the overlap, and they share at least 1 + E probe lists (E of the
+smaller set), or the whole overlap if that is less; other candidates go. All shingles of what remains,
+those of the long lists too, are then binary-probed in the partner's sorted array, and pairs that
+reach the required overlap are links.
 
 Groups of copies: documents with equal sets are one class from the start (a digest and the smallest
 id), and a list does not emit all its pairs. First each list compares its members with its smallest
 one; what links is one component. Then only pairs across components of a list are left: short lists
-give all of them, long lists let further members (16, 64, 256, …) meet all members of other
+give all of them, long lists let further members (16, 256, …) meet all members of other
 components, until no list has two components whose members have not met. So a group of g near
 copies costs about g comparisons, and no link between different components is lost.
 
-Scale: the text is read for the sizes, the keys, the entries and, in each round, the sets of pairs that
+Scale: the text is read for the sizes, the frequent shingles, the keys, the entries and, in each round, the sets of pairs that
 share enough lists; it is never shuffled. Shuffled are one key for each probe list entry, the few
 entries whose list has a second document, and the sets of those pairs. Bit maps of the repeated keys
 and of the ids that need a set, sized by their count and at most 128 MB, are broadcast to drop the
@@ -47,7 +46,10 @@ from ethospark.llm.text import Words, as_long, fold, mix, pieces
 
 SIZE, PERCENT = 4, 85
 LONG = 64  # documents that make an inverted list a long one
-PIVOTS = 16  # members that meet their whole long list in a round; four times as many in the next
+PIVOTS = 16  # members that meet their whole long list in a round; sixteen times as many in the next
+OFTEN = 16  # reported occurrences that make the shingles of a cell frequent
+CELLS = range(1 << 22)
+CELL = np.uint64(len(CELLS) - 1)
 MAP_BITS = (20, 30)  # least and greatest size of the bit map, as a power of two
 
 
@@ -73,22 +75,51 @@ def required(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * n // 100)
 
 
-def probe_lists(n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(probe lists, extension E) of a set of n."""
+def probe_lists(n: np.ndarray, percent: int) -> np.ndarray:
+    """Probe lists of a set of n: those a partner must share one of, and the extension E."""
     extension = n // 20 + 2
-    return np.minimum(n, n - required(n, percent) + 1 + extension), extension
+    return np.minimum(n, n - required(n, percent) + 1 + extension)
 
 
-def _entries(words: Words, size: int, percent: int):
+def _entries(words: Words, size: int, percent: int, frequent: np.ndarray):
     """(row, hash, place) of every probe list entry, and the size of each row's set."""
     grams, bounds = shingle_sets(words, size)
     n = np.diff(bounds)
-    lists, _ = probe_lists(n, percent)
+    owner = np.repeat(np.arange(words.rows), n)
+    grams = grams[np.lexsort((grams, frequent[grams & CELL], owner))]
+    lists = probe_lists(n, percent)
     rows = np.repeat(np.arange(words.rows), lists)
     place = np.arange(len(rows)) - np.repeat(np.cumsum(lists) - lists, lists)
     return rows, grams[bounds[rows] + place], place, n
 
 
+def _frequent(docs: DataFrame, size: int) -> np.ndarray:
+    """For each of the cells that shingles fall into, whether it holds frequent ones.
+
+    Every task counts its cells and reports those far above the mean. What this misses only lets a
+    long list come earlier in the common order of shingles; any order finds the same pairs.
+    """
+
+    def task(batches):
+        counts, waiting, n = np.zeros(len(CELLS), np.int64), [], 0
+        for piece in pieces(batches):
+            waiting.append((shingle_sets(Words(piece.column("text")), size)[0] & CELL).astype(np.int64))
+            n += len(waiting[-1])
+            if n >= len(CELLS):
+                counts += np.bincount(np.concatenate(waiting), minlength=len(CELLS))
+                waiting, n = [], 0
+        if waiting:
+            counts += np.bincount(np.concatenate(waiting), minlength=len(CELLS))
+        mean = counts.mean()
+        many = np.flatnonzero(counts > mean + 6 * np.sqrt(mean) + 4)
+        yield pa.record_batch([pa.array(many), pa.array(counts[many])], ["cell", "c"])
+
+    found = docs.select("text").mapInArrow(task, "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c"))
+    frequent = np.zeros(len(CELLS), bool)
+    frequent[found.filter(F.col("c") >= OFTEN).select("cell").toArrow().column("cell").to_numpy()] = True
+    return frequent
+
+
 def _summaries(docs: DataFrame, size: int) -> DataFrame:
     """(id, n, d1, d2): size and 128-bit digest of every row's set."""
 
@@ -109,12 +140,12 @@ def _kind(docs: DataFrame) -> str:
     return docs.schema["id"].dataType.simpleString()
 
 
-def _repeated_keys(docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _repeated_keys(docs: DataFrame, size: int, percent: int, frequent) -> DataFrame:
     """Keys of probe lists with two or more entries, copies included."""
 
     def task(batches):
         for piece in pieces(batches):
-            yield pa.record_batch([as_long(_entries(Words(piece.column("text")), size, percent)[1])], ["key"])
+            yield pa.record_batch([as_long(_entries(Words(piece.column("text")), size, percent, frequent.value)[1])], ["key"])
 
     counted = docs.select("text").mapInArrow(task, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("c"))
     return counted.filter("c > 1").select("key")
@@ -131,7 +162,7 @@ def _bit_map(keys: DataFrame, n: int) -> np.ndarray:
     return array.view(np.uint64)
 
 
-def _lists(docs: DataFrame, repeated: DataFrame, representatives: DataFrame, size: int, percent: int) -> DataFrame:
+def _lists(docs: DataFrame, repeated: DataFrame, representatives: DataFrame, size: int, percent: int, frequent) -> DataFrame:
     """(key, id, n, place): entries of lists with two or more classes."""
     sent = docs.sparkSession.sparkContext.broadcast(_bit_map(repeated, repeated.count()))
 
@@ -139,7 +170,7 @@ def _lists(docs: DataFrame, repeated: DataFrame, representatives: DataFrame, siz
         array = sent.value
         shift = np.uint64(64 - (len(array).bit_length() + 5))
         for piece in pieces(batches):
-            rows, keys, place, n = _entries(Words(piece.column("text")), size, percent)
+            rows, keys, place, n = _entries(Words(piece.column("text")), size, percent, frequent.value)
             cell = keys >> shift
             there = np.flatnonzero((array[cell >> np.uint64(6)] >> (cell & np.uint64(63))) & np.uint64(1))
             rows, keys, place = rows[there], keys[there], place[there]
@@ -197,10 +228,15 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(task, f"a {kind}, b {kind}")
 
 
+def _overlap(both, percent: int):
+    """Shared shingles that two sets of together ``both`` shingles need."""
+    return F.ceil(F.lit(percent) * both / (100 + percent))
+
+
 def _possible(percent: int):
-    """Sizes and places of one shared shingle that still allow the overlap (na, nb, pa, pb)."""
-    most = F.least("pa", "pb") + 1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
-    return 100 * most >= percent * (F.col("na") + F.col("nb") - most)
+    """Places of the first shingle two sets share that leave enough for the overlap (na, nb, pa, pb).
+    Partners pass at least at that shingle; others need not."""
+    return F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= _overlap(F.col("na") + F.col("nb"), percent)
 
 
 def link_classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -210,8 +246,9 @@ def link_classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> t
     representatives = stored(
         summaries.filter("n > 0 and id is not null").groupBy("d1", "d2", "n").agg(F.min("id").alias("id")).select("id", "n"), "jaccard-classes"
     )
-    repeated = stored(_repeated_keys(docs, size, percent), "jaccard-keys")
-    entries = stored(_lists(docs, repeated, representatives, size, percent), "jaccard-entries")
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, size))
+    repeated = stored(_repeated_keys(docs, size, percent, frequent), "jaccard-keys")
+    entries = stored(_lists(docs, repeated, representatives, size, percent, frequent), "jaccard-entries")
     sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "n", "place")).alias("first")).filter("c > 1")
     lists = stored(
         entries.join(sizes, "key").select("key", "id", "n", "place", "c", F.col("first.id").alias("p"), F.col("first.n").alias("pn"), F.col("first.place").alias("pp")),
@@ -225,30 +262,24 @@ def link_classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> t
             F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("na", "nb").alias("least"), (F.col("na") + F.col("nb")).alias("both")
         ).distinct()
         shared = F.size(F.array_intersect("ka", "kb"))
-        overlap = F.ceil(F.lit(percent) * F.col("both") / (100 + percent))
         pairs = (
             pairs.join(keys.select(F.col("id").alias("a"), F.col("keys").alias("ka")), "a")
             .join(keys.select(F.col("id").alias("b"), F.col("keys").alias("kb")), "b")
-            .filter(shared >= F.least(overlap, F.floor(F.col("least") / 20) + 3)).select("a", "b")
+            .filter(shared >= F.least(_overlap(F.col("both"), percent), F.floor(F.col("least") / 20) + 3)).select("a", "b")
         )
         pairs = stored(pairs, "jaccard-pairs")
         ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "jaccard-ids")
         return _linked(pairs, stored(_sets(docs, ids, size), "jaccard-sets"), percent)
 
+    # the first shingle that partners share is among the first n - T + 1
+    lists = lists.filter(F.col("n") - F.col("place") >= F.ceil(F.lit(percent) * F.col("n") / 100))
     with_first = lists.filter("id <> p").select(
         F.col("p").alias("a"), F.col("id").alias("b"), F.col("pn").alias("na"), F.col("n").alias("nb"), F.col("pp").alias("pa"), F.col("place").alias("pb")
     )
     links = stored(linked(with_first), "jaccard-links")
     found = components(links)
 
-    # documents with more long lists than the extension meet in those, too
-    least = F.ceil(F.lit(percent) * F.col("n") / 100)  # size of the smallest partner
-    dense = (
-        lists.groupBy("id").agg(F.sum((F.col("c") > LONG).cast("int")).alias("long"), F.first("n").alias("n"))
-        .filter(F.col("long") >= F.least(least, F.floor(least / 20) + 3)).select("id")
-    )
-    long = lists.filter(F.col("c") > LONG).join(dense, "id", "left_semi")
-    left = stored(lists.filter(F.col("c") <= LONG).unionByName(long).filter("id <> p").select("key", "id", "n", "place", "c"), "jaccard-left")
+    left = stored(lists.filter("id <> p").select("key", "id", "n", "place", "c"), "jaccard-left")
     pivots = PIVOTS
     while True:
         labelled = left.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -264,7 +295,7 @@ def link_classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> t
         links = stored(links.unionByName(linked(pairs)), "jaccard-links")
         found = components(links)
         left = stored(rows.filter(F.col("c") > LONG).join(ranked.select("key", "id"), ["key", "id"], "left_anti").select("key", "id", "n", "place", "c"), "jaccard-left")
-        pivots *= 4
+        pivots *= 16
 
 
 def _chosen(rows: DataFrame, pivots: int) -> DataFrame:
