@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ethospark.llm.hash_array import HashArray
-from ethospark.llm.text import U64, Words, as_long, pieces
+from ethospark.llm.text import U64, Words, pieces
 
 SEED, SEED_RATE = 3, 1e-8
 MATCH, OTHER = 2, -1  # value of equal words; of a mismatch or a gap
@@ -79,10 +79,12 @@ class Items:
         grams, first = words.grams(SEED)
         found = self.seeds.find(grams)
         first, found = first[found >= 0], found[found >= 0]
+        if not len(found):
+            return (np.zeros(0, np.int64),) * 4
         n = self.seed_begin[found + 1] - self.seed_begin[found]
         at = np.repeat(self.seed_begin[found] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         item, first = self.seed_item[at], np.repeat(first, n)
-        row, start = words.doc[first] if len(first) else first, first - self.seed_place[at]
+        row, start = words.doc[first], first - self.seed_place[at]
         order = np.lexsort((start, item, row))
         row, item, start = row[order], item[order], start[order]
         slack = self.length[item] // 4 + 8
