@@ -101,18 +101,18 @@ def _frequent(docs: DataFrame, size: int) -> np.ndarray:
     """
 
     def task(batches):
-        counts, waiting, n = np.zeros(len(CELLS), np.int64), [], 0
+        counts, waiting, n = np.zeros(len(CELLS), np.int32), [], 0
         for piece in pieces(batches):
             waiting.append((shingle_sets(Words(piece.column("text")), size)[0] & CELL).astype(np.int64))
             n += len(waiting[-1])
-            if n >= len(CELLS):
-                counts += np.bincount(np.concatenate(waiting), minlength=len(CELLS))
+            if n >= len(CELLS) // 4:
+                counts += np.bincount(np.concatenate(waiting), minlength=len(CELLS)).astype(np.int32)
                 waiting, n = [], 0
         if waiting:
-            counts += np.bincount(np.concatenate(waiting), minlength=len(CELLS))
+            counts += np.bincount(np.concatenate(waiting), minlength=len(CELLS)).astype(np.int32)
         mean = counts.mean()
         many = np.flatnonzero(counts > mean + 6 * np.sqrt(mean) + 4)
-        yield pa.record_batch([pa.array(many), pa.array(counts[many])], ["cell", "c"])
+        yield pa.record_batch([pa.array(many), pa.array(counts[many].astype(np.int64))], ["cell", "c"])
 
     found = docs.select("text").mapInArrow(task, "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c"))
     frequent = np.zeros(len(CELLS), bool)

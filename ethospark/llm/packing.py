@@ -34,7 +34,7 @@ from ethospark.llm.text import pieces
 
 CAPACITY = 1024
 POOL = 512
-CACHE = 400_000  # words of a generation; a task remembers the ids of two generations of words
+CACHE = 250_000  # words of a generation; a task remembers the ids of two generations of words
 END_ID = 0
 #: Fixed value: the pattern of byte-level BPE that splits a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
