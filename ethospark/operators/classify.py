@@ -28,12 +28,10 @@ def _boosted(classes: int, seed: int, **params):
     return tree if classes <= 2 else OneVsRest(classifier=tree)
 
 
-# learners by name; boosted trees stand in for the gradient boosting libraries
+# learners by name; the boosting libraries are not among them
 LEARNERS: dict[str, Callable] = {
     "random_forest": _forest,
     "gradient_boosting": _boosted,
-    "xgboost": _boosted,
-    "catboost": _boosted,
 }
 
 
@@ -138,7 +136,8 @@ def cross_validate(
     spark = rows.sparkSession
     counts = crossval.label_group_counts(rows)
     validity = crossval.split_validity(counts, excluded, threshold, min_test_classes)
-    valid = validity.filter("valid").orderBy("group_id")
+    draw = F.xxhash64(F.lit(training.get("seed", TRAINING_SEED)), "group_id")  # the order that folds are drawn in
+    valid = validity.filter("valid").orderBy(draw, "group_id")
     available = valid.count()
     folds = crossval.resolve_splits(k, available)
     schema = (

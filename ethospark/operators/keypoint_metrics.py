@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +18,6 @@ from ethospark.session import ensure_checkpoint_dir
 THRESHOLDS = [round(0.5 + 0.05 * i, 2) for i in range(10)]
 RECALL_GRID = [float(r) for r in np.linspace(0.0, 1.0, 101)]
 
-BIG_IMAGE = 1_000_000  # candidate pairs of one image that still go through one task
 
 
 def _point_distance_squared(a: Column, b: Column) -> Column:
@@ -85,26 +83,8 @@ def _candidates(pairs: DataFrame, thresholds: Sequence[float]) -> DataFrame:
     )
 
 
-def _match_in_task(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Greedy matching of one image at all thresholds.
-
-    With pairs in order of score, detection and preference, a pair is taken iff both sides are free.
-    """
-    ordered = pdf.sort_values(
-        ["threshold", "score", "det", "similarity", "gt"], ascending=[True, False, True, False, False]
-    )
-    used: set[tuple] = set()
-    keep = []
-    for level, det, gt in zip(ordered["threshold"], ordered["det"], ordered["gt"]):
-        free = (level, "d", det) not in used and (level, "g", gt) not in used
-        keep.append(free)
-        if free:
-            used.update(((level, "d", det), (level, "g", gt)))
-    return ordered.loc[keep, [*MATCH, "gt"]]
-
-
 def _match_in_rounds(open_pairs: DataFrame) -> DataFrame:
-    """The same matching for images too big for one task.
+    """Greedy matching, whatever the size of an image.
 
     Every detection proposes to its best open ground truth, which keeps the proposal with the
     highest score; the others strike that pair and propose again. Since all ground truths rank
@@ -124,7 +104,7 @@ def _match_in_rounds(open_pairs: DataFrame) -> DataFrame:
 
 
 def greedy_match(
-    pairs: DataFrame, detection: DataFrame, thresholds: Sequence[float], big: int = BIG_IMAGE
+    pairs: DataFrame, detection: DataFrame, thresholds: Sequence[float]
 ) -> DataFrame:
     """Match detections to ground truths per image and threshold.
 
@@ -135,18 +115,7 @@ def greedy_match(
     """
     near = _candidates(pairs, thresholds)
     plain = near.filter(~F.col("crowd"))
-    sizes = plain.groupBy("image").agg(F.count(F.lit(1)).alias("_n"))
-    huge = sizes.filter(F.col("_n") > big).select("image")
-    columns = ["threshold", "image", "det", "gt", "score", "similarity"]
-    schema = plain.select(*MATCH, "gt").schema
-    small = plain.select(*columns)
-    rounds = None
-    if not huge.isEmpty():
-        rounds = _match_in_rounds(small.join(huge, ["image"], "left_semi"))
-        small = small.join(huge, ["image"], "left_anti")
-    matched = small.groupBy("image").applyInPandas(_match_in_task, schema)
-    if rounds is not None:
-        matched = matched.unionByName(rounds)
+    matched = _match_in_rounds(plain.select("threshold", "image", "det", "gt", "score", "similarity"))
     absorbed = near.filter("crowd").select(*MATCH).distinct().withColumn("_crowd", F.lit(True))
     levels = F.array(*[F.lit(float(t)) for t in thresholds])
     every = detection.select(F.explode(levels).alias("threshold"), "image", "det", "score")
@@ -235,12 +204,12 @@ def average_precision(matches: DataFrame, total_gt: int) -> DataFrame:
 
 def evaluate(
     detection: DataFrame, truth: DataFrame, sigmas: Sequence[float] | None = None,
-    thresholds: Sequence[float] = tuple(THRESHOLDS), big: int = BIG_IMAGE,
+    thresholds: Sequence[float] = tuple(THRESHOLDS),
 ) -> DataFrame:
     """AP and AR per threshold: pose evaluation with ``sigmas``, box evaluation without."""
     if detection.isEmpty() and truth.isEmpty():
         raise ValueError("nothing to evaluate")
-    matches = greedy_match(pair_table(detection, truth, sigmas), detection, thresholds, big)
+    matches = greedy_match(pair_table(detection, truth, sigmas), detection, thresholds)
     total = truth.filter(~F.col("crowd")).count()
     levels = F.array(*[F.lit(float(t)) for t in thresholds])
     every = detection.sparkSession.range(1).select(F.explode(levels).alias("threshold"))

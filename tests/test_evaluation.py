@@ -134,7 +134,7 @@ def greedy(sim, scores, crowd, threshold):
     return out
 
 
-def test_matching_in_tasks_and_in_rounds(spark):
+def test_matching(spark):
     rng = np.random.default_rng(5)
     images = []
     for _ in range(12):
@@ -147,11 +147,20 @@ def test_matching_in_tasks_and_in_rounds(spark):
     ]
     table = spark.createDataFrame(pairs, "image int, det int, gt int, score double, crowd boolean, similarity double")
     dets = table.select("image", "det", "score").distinct()
-    for big in (10**6, 0):
-        got = M.greedy_match(table, dets, [0.5, 0.75], big).collect()
-        for r in got:
-            sim, s, c = images[r.image]
-            assert (r.gt, r.ignored) == greedy(sim, s, c, r.threshold)[r.det]
+    for r in M.greedy_match(table, dets, [0.5, 0.75]).collect():
+        sim, s, c = images[r.image]
+        assert (r.gt, r.ignored) == greedy(sim, s, c, r.threshold)[r.det]
+
+
+def test_matching_one_image_of_chained_conflicts(spark):
+    """Each detection prefers the truth that a stronger one takes, so refusals go round by round."""
+    n = 9
+    pairs = [(0, d, g, 1.0 - d / 100, False, 0.9 - abs(g - d + 1) / 50) for d in range(n) for g in range(n)]
+    table = spark.createDataFrame(pairs, "image int, det int, gt int, score double, crowd boolean, similarity double")
+    sim = [[0.9 - abs(g - d + 1) / 50 for g in range(n)] for d in range(n)]
+    expected = greedy(np.array(sim), np.array([1.0 - d / 100 for d in range(n)]), np.array([False] * n), 0.5)
+    got = M.greedy_match(table, table.select("image", "det", "score").distinct(), [0.5]).collect()
+    assert {r.det: (r.gt, r.ignored) for r in got} == expected and len(got) == n
 
 
 def test_oks(spark):
