@@ -8,7 +8,7 @@ in bout form (one row per run, not per frame) and only the last step goes back t
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
-from typing import Any
+from typing import Any, NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -88,7 +88,7 @@ def delete(bouts: DataFrame, keys: Sequence[str], flag: Column) -> DataFrame:
             THEN CAST(raise_error('touching bouts cannot be deleted together') AS BOOLEAN)
             ELSE _gone END"""),
     )
-    return _absorb(checked, keys, "_gone")
+    return runs_of_intervals(_pieces(checked, keys, "_gone"), keys)
 
 
 def delete_touching(bouts: DataFrame, keys: Sequence[str], flag: Column) -> DataFrame:
@@ -167,11 +167,6 @@ def _settled(waiting: list[list]) -> list[tuple]:
     return [tuple(bout[:3]) for bout in done]
 
 
-def _absorb(bouts: DataFrame, keys: Sequence[str], flag: str) -> DataFrame:
-    """Give the frames of flagged bouts (SQL condition) to their neighbours and merge."""
-    return runs_of_intervals(_pieces(bouts, keys, flag), keys)
-
-
 def _pieces(bouts: DataFrame, keys: Sequence[str], flag: str, carry: Sequence[str] = ()) -> DataFrame:
     """Bouts, with each flagged one under its neighbours' states; not merged yet."""
     part = "named_struct('start', {}, 'end', {}, 'state', {})".format
@@ -190,7 +185,19 @@ def _pieces(bouts: DataFrame, keys: Sequence[str], flag: str, carry: Sequence[st
 
 # --- clean-up stages -------------------------------------------------------------------
 
-Stage = Callable[[DataFrame, Sequence[str]], DataFrame]
+class Stage(NamedTuple):
+    """Bouts under the SQL condition ``flag`` give their frames to their neighbours.
+
+    Those under ``alone`` have no neighbours and become NOT_BEHAVIOR.
+    """
+
+    flag: str
+    alone: str = "FALSE"
+
+    def __call__(self, bouts: DataFrame, keys: Sequence[str]) -> DataFrame:
+        if self.alone != "FALSE":
+            bouts = bouts.withColumn("state", F.expr(f"CASE WHEN {self.alone} THEN {NOT_BEHAVIOR} ELSE state END"))
+        return runs_of_intervals(_pieces(bouts, keys, self.flag), keys)
 
 
 def _positive(name: str, value: Any) -> int:
@@ -202,26 +209,20 @@ def _positive(name: str, value: Any) -> int:
 def interpolate_gaps(max_interpolation_gap: int) -> Stage:
     """Fill stretches without a prediction of at most this many frames."""
     limit = _positive("max_interpolation_gap", max_interpolation_gap)
-    return lambda bouts, keys: _absorb(bouts, keys, f"state = {NONE} AND duration <= {limit}")
+    return Stage(f"state = {NONE} AND duration <= {limit}")
 
 
 def stitch(max_stitch_gap: int) -> Stage:
     """Join bouts separated by at most this many NOT_BEHAVIOR frames."""
     limit = _positive("max_stitch_gap", max_stitch_gap)
-    return lambda bouts, keys: _absorb(bouts, keys, f"state = {NOT_BEHAVIOR} AND duration <= {limit}")
+    return Stage(f"state = {NOT_BEHAVIOR} AND duration <= {limit}")
 
 
 def drop_short(min_duration: int) -> Stage:
     """Remove BEHAVIOR bouts shorter than this; a lone short bout becomes NOT_BEHAVIOR."""
     limit = _positive("min_duration", min_duration)
     short = f"state = {BEHAVIOR} AND duration < {limit}"
-    alone = "prev_state IS NULL AND next_state IS NULL"
-
-    def run(bouts: DataFrame, keys: Sequence[str]) -> DataFrame:
-        reset = F.expr(f"CASE WHEN {short} AND {alone} THEN {NOT_BEHAVIOR} ELSE state END")
-        return _absorb(bouts.withColumn("state", reset), keys, short)
-
-    return run
+    return Stage(short, f"{short} AND prev_state IS NULL AND next_state IS NULL")
 
 
 # Stage names as they appear in configuration files (fixed values).
@@ -283,6 +284,8 @@ def clean_by_behavior(
 ) -> DataFrame:
     """Apply each behaviour's own stages to its predictions.
 
+    All behaviours take their first stage together, then their second, and so on: the condition of a
+    stage is looked up by behaviour, so the passes do not depend on how many behaviours there are.
     Only the configured behaviours are processed. Behaviours without rows, and multi-class
     predictions (``class_names`` set), are errors.
     """
@@ -300,11 +303,20 @@ def clean_by_behavior(
     multi = [b for b, names in found.items() if names]
     if multi:
         raise ValueError(f"clean-up needs binary predictions, these are multi-class: {multi}")
-    parts = [
-        clean_predictions(predictions.filter(F.col("behavior") == b), keys, config)
-        for b, config in configs.items()
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    stages = {b: build_stages(config) for b, config in configs.items()}
+    keyed = [*[k for k in keys if k != "behavior"], "behavior"]
+    chosen = predictions.filter(F.col("behavior").isin(*configs))
+    bouts = encode(chosen, keyed, "cls")
+    for nth in range(max(map(len, stages.values()))):
+        step = {b: s[nth] for b, s in stages.items() if nth < len(s)}
+        flag, alone = (_by_behavior({b: s[part] for b, s in step.items()}) for part in range(2))
+        bouts = Stage(flag, alone)(bouts, keyed)
+    post = decode(bouts, keyed).withColumnRenamed("state", "cls_post")
+    return chosen.join(post, [*keyed, "frame"]).select(*predictions.columns, "cls_post")
+
+
+def _by_behavior(conditions: Mapping[str, str]) -> str:
+    """The condition of a bout's behaviour; behaviours without one have none of their bouts changed."""
+    quoted = {b.replace("\\", "\\\\").replace("'", "\\'"): c for b, c in conditions.items()}
+    cases = " ".join(f"WHEN '{b}' THEN {c}" for b, c in quoted.items() if c != "FALSE")
+    return f"(CASE behavior {cases} ELSE FALSE END)" if cases else "FALSE"

@@ -137,6 +137,11 @@ def spine(
     )
 
 
+def seeded_draw(seed: int, columns: Sequence[str]) -> Column:
+    """A seeded random order of rows, as text: digest of the seed and the columns that tell rows apart."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(f"`{c}`").cast("string") for c in columns]))
+
+
 def lookup_join(
     big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left", spread: int = 16
 ) -> DataFrame:
@@ -154,7 +159,7 @@ def _salt_columns(df: DataFrame, keys: Sequence[str]) -> list[str]:
     """What tells rows of one key apart: the frame or start if there is one, else simple columns."""
     others = [(n, kind) for n, kind in df.dtypes if n not in keys]
     times = [n for n, _ in others if n in ("frame", "sample_frame", "start", "_i")]
-    return times or [n for n, kind in others if not kind.startswith(("map", "array", "struct"))]
+    return times or [n for n, kind in others if not kind.startswith(("map", "array", "struct"))] or list(keys)
 
 
 def runs_of_intervals(

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ethospark.operators.frames import lookup_join, number_frames
+from ethospark.operators.frames import lookup_join, number_frames, seeded_draw
 from ethospark.operators.labels import BEHAVIOR, NONE, multiclass_labels
 from ethospark.operators.windows import LINEAR_OPS, quoted
 from ethospark.skeleton import TRAINING_SEED
@@ -201,15 +201,13 @@ def augment_symmetric(features: DataFrame, columns: Sequence[str]) -> DataFrame:
 def balance(rows: DataFrame, key: Sequence[str], label: str = "label", seed: int = TRAINING_SEED) -> DataFrame:
     """Down-sample every class to the size of the rarest, without replacement.
 
-    Rows are ranked within their class by a seeded hash of their key. The rank is counted per hash
-    range first, so a class that holds most rows is spread over many tasks.
+    Rows are ranked within their class by a seeded digest of their key. The rank is counted per digest
+    range first (65,536 of them), so a class that holds most rows is spread over many tasks.
     """
     counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     # one row per class from here on
     limits = counts.select(label, F.min("_n").over(Window.partitionBy(F.lit(0))).alias("_limit"))
-    hashed = rows.withColumn("_hash", F.xxhash64(F.lit(seed), *map(quoted, key)))
-    ranked = number_frames(
-        hashed, [label], ["_hash", *key], "shiftright(_hash, 52)", "_rank"
-    )
+    drawn = rows.withColumn("_draw", seeded_draw(seed, key))
+    ranked = number_frames(drawn, [label], ["_draw", *key], "left(_draw, 4)", "_rank")
     kept = lookup_join(ranked, limits, [label], "inner").filter(F.col("_rank") < F.col("_limit"))
-    return kept.drop("_hash", "_rank", "_limit")
+    return kept.drop("_draw", "_rank", "_limit")

@@ -15,6 +15,7 @@ from ethospark.operators.frames import (
     lookup_join,
     piece_of,
     runs,
+    seeded_draw,
     smallest_per_group,
 )
 from ethospark.operators.pose import POINTS
@@ -102,7 +103,7 @@ def ordered_hits(hits: DataFrame) -> DataFrame:
 
 
 def _shuffled(frames: DataFrame, seed: int) -> DataFrame:
-    return frames.withColumn("_draw", F.xxhash64(F.lit(seed), *frames.columns))
+    return frames.withColumn("_draw", seeded_draw(seed, frames.columns))
 
 
 def sample_per_bout(bouts: DataFrame, frames_per_bout: int, seed: int = TRAINING_SEED) -> DataFrame:

@@ -15,6 +15,7 @@ from ethospark.plans.label_queries import _COUNTS, _counts
 from ethospark.plans.pose_queries import _SCALE, scales
 from ethospark.plans.registry import query, rounded
 from ethospark.session import scratch_folder
+from ethospark.skeleton import TRAINING_SEED
 from ethospark.sources import tables as T
 
 FRAME = M.FRAME
@@ -201,7 +202,14 @@ def matrix_balance(v):
     )
 
 
-@query("matrix_balanced_rows")
+@query(
+    "matrix_balanced_rows",
+    f"""WITH {_MATRIX}, counts AS (SELECT quality, count(*) AS n FROM matrix GROUP BY quality),
+        drawn AS (
+            SELECT *, row_number() OVER (PARTITION BY quality ORDER BY md5(concat_ws('|', {TRAINING_SEED}, doc_id)), doc_id) AS place
+            FROM matrix)
+    SELECT doc_id, quality AS label, {_NUMBERS_SQL} FROM drawn WHERE place <= (SELECT min(n) FROM counts)""",
+)
 def matrix_balanced_rows(v):
     rows = v.matrix().withColumnRenamed("quality", "label")
     return _numbers(M.balance(rows, ["doc_id"]), "doc_id", "label")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ethospark.operators import search as S
 from ethospark.operators.frames import runs
 from ethospark.plans.registry import query, rounded
-from ethospark.skeleton import KEYPOINTS
+from ethospark.skeleton import KEYPOINTS, TRAINING_SEED
 
 _HIT = """video AS file, identity::VARCHAR AS identity, behavior, "start" AS start_frame, "end" AS end_frame"""
 
@@ -85,7 +85,18 @@ def _bouts(v):
     return runs(states, ["video", "identity"], ["state"]).select("video", "identity", "start", "end")
 
 
-@query("sample_per_bout")
+@query(
+    "sample_per_bout",
+    f"""WITH islands AS (
+            SELECT video, identity, frame, frame - row_number() OVER (PARTITION BY video, identity ORDER BY frame) AS island
+            FROM v_state WHERE state = 1),
+        named AS (SELECT *, min(frame) OVER (PARTITION BY video, identity, island) AS bout_start FROM islands),
+        drawn AS (
+            SELECT video, frame, row_number() OVER (PARTITION BY video, identity, bout_start
+                ORDER BY md5(concat_ws('|', {TRAINING_SEED}, video, identity, bout_start, frame)), frame) AS place
+            FROM named)
+        SELECT DISTINCT video, frame FROM drawn WHERE place = 1""",
+)
 def sample_per_bout(v):
     return S.sample_per_bout(_bouts(v), 1)
 
@@ -99,7 +110,11 @@ def sample_all_of_short_bouts(v):
     return S.sample_per_bout(_bouts(v), 1000)
 
 
-@query("sample_total")
+@query(
+    "sample_total",
+    f"""SELECT video, frame FROM (SELECT DISTINCT video, frame FROM v_state WHERE state = 1)
+        ORDER BY md5(concat_ws('|', {TRAINING_SEED}, video, frame)), video, frame LIMIT 100""",
+)
 def sample_total(v):
     return S.sample_total(_bouts(v), 100)
 

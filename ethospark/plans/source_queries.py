@@ -5,12 +5,13 @@ from pyspark.sql import functions as F
 from ethospark.functions import names as N
 from ethospark.operators import labels as L
 from ethospark.operators import search as SE
+from ethospark.operators.frames import lookup_join
 from ethospark.operators.pose import video_lengths
 from ethospark.plans.label_queries import _FRAGMENTED
 from ethospark.plans.registry import query, rounded
 from ethospark.plans.search_queries import _PER_BOUT, _pose_bouts
 from ethospark.session import scratch_folder
-from ethospark.skeleton import KEYPOINTS
+from ethospark.skeleton import KEYPOINTS, TRAINING_SEED
 from ethospark.sources import annotations as A
 from ethospark.sources import poses as P
 from ethospark.sources import tables as T
@@ -253,9 +254,8 @@ def sink_training_set(v):
         v.spark, path, rows, v.lengths(), {"balance_labels": True, "window_size": 5}, "rest", "Random Forest", 7, 5
     )
     stored = T.read_training_set(v.spark, path)
-    settings = stored["settings"].select(F.element_at("behaviors", 1).alias("behavior"), "learner")
-    # the settings are a single row
-    return stored["rows"].join(F.broadcast(settings.limit(1)), F.lit(True))
+    settings = stored["settings"].select("set_id", F.element_at("behaviors", 1).alias("behavior"), "learner")
+    return lookup_join(stored["rows"], settings, ["set_id"], "inner").drop("set_id")
 
 
 @query(
@@ -313,24 +313,20 @@ def source_keypoint_annotations(v):
 @query(
     "source_inference_runs",
     """SELECT 'video' || label AS path, count(*) AS frame_count, 'uniform' AS strategy, 256 AS input_width,
-              '{"label": ' || label || '}' AS extra FROM embeddings GROUP BY label""",
+              '{"label":' || label || '}' AS extra FROM embeddings GROUP BY label""",
 )
 def source_inference_runs(v):
-    """One run record per label, written and read back (the labels are a handful)."""
-    counts = v.table("embeddings").groupBy("label").count().collect()
-    records = [
-        {
-            "video": {"path": f"video{r['label']}", "width": 800, "height": 800, "fps": 30.0, "frame_count": r["count"]},
-            "model": {"checkpoint_path": "model", "backbone": "net", "num_keypoints": 12, "input_size": [256, 256],
-                      "output_stride": 4, "decode_use_dark": True, "decode_sigma": 2.0},
-            "sampling": {"num_frames": 5, "frame_indices": [0, 1, 2, 3, 4], "strategy": "uniform"},
-            "aggregation": {"confidence_threshold": 0.5, "confidence_metric": "mean", "method": "mean"},
-            "created_at": None, "extra": {"label": r["label"]},
-        }
-        for r in counts
-    ]
+    """One run record per label, written and read back."""
+    records = v.table("embeddings").groupBy("label").count().selectExpr(
+        "named_struct('path', concat('video', label), 'width', 800, 'height', 800, 'fps', 30D, 'frame_count', count) AS video",
+        """named_struct('checkpoint_path', 'model', 'backbone', 'net', 'num_keypoints', 12, 'input_size', array(256, 256),
+            'output_stride', 4, 'decode_use_dark', true, 'decode_sigma', 2D) AS model""",
+        "named_struct('num_frames', 5, 'frame_indices', sequence(0, 4), 'strategy', 'uniform') AS sampling",
+        "named_struct('confidence_threshold', 0.5D, 'confidence_metric', 'mean', 'method', 'mean') AS aggregation",
+        "CAST(NULL AS STRING) AS created_at", "named_struct('label', label) AS extra",
+    )
     path = scratch_folder(v.spark, "runs")
-    T.inference_runs(v.spark, records).write.parquet(path)
+    T.inference_runs(records).write.parquet(path)
     return v.spark.read.parquet(path).select(
         "video.path", "video.frame_count", "sampling.strategy",
         F.get("model.input_size", F.lit(0)).alias("input_width"), "extra",
@@ -381,6 +377,10 @@ def source_clip_samples(v):
     return P.clip_samples(v.dynamic_object(), starts, 60, ANIMAL)
 
 
-@query("source_clip_random_starts")
+@query(
+    "source_clip_random_starts",
+    f"""SELECT video, (('0x' || left(md5(concat_ws('|', {TRAINING_SEED}, video)), 15))::BIGINT % (num_frames - 19))::INT AS clip_start
+        FROM v_num_frames WHERE num_frames >= 20""",
+)
 def source_clip_random_starts(v):
     return P.clip_starts(v.num_frames(), 20)

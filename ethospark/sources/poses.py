@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ethospark.functions.names import pose_stem, pose_version
-from ethospark.operators.frames import lookup_join, spine
+from ethospark.operators.frames import lookup_join, seeded_draw, spine
 from ethospark.skeleton import INDEX, NUM_KEYPOINTS, TRAINING_SEED
 
 # Ear-tag keypoint number → keypoint.
@@ -107,7 +107,8 @@ def clip_starts(
     if start_frame is not None:
         start = F.lit(start_frame - 1)
     else:
-        start = F.pmod(F.xxhash64(F.lit(seed), F.col("video")), (F.greatest(room, F.lit(0)) + 1).cast("bigint"))
+        draw = F.conv(F.left(seeded_draw(seed, ["video"]), F.lit(15)), 16, 10).cast("bigint")
+        start = draw % (F.greatest(room, F.lit(0)) + 1)
     starts = lengths.select("video", start.cast("int").alias("clip_start"), room.alias("_room"))
     fits = (F.col("_room") >= 0) & F.col("clip_start").between(0, F.col("_room"))
     return starts.filter(fits).select("video", "clip_start")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ethospark import schemas
 from ethospark.operators.frames import piece_of
@@ -124,21 +126,23 @@ def write_training_set(
 ) -> None:
     """Labelled features, group table and settings as three tables under ``path``.
 
-    A list of behaviours marks a multi-class set; class 0 is the background.
+    A list of behaviours marks a multi-class set; class 0 is the background. Rows and settings carry
+    ``set_id``, a digest of the settings, so that tables of several sets can be put together.
     """
     multi = not isinstance(behavior, str)
-    rows.write.mode("overwrite").parquet(f"{path}/rows")
     groups.write.mode("overwrite").parquet(f"{path}/groups")
     names = ["None", *behavior] if multi else [behavior]
     record = (
         FEATURE_VERSION, min_pose_version, "multiclass" if multi else "binary", list(names), learner, seed,
         distance_unit, json.dumps(dict(settings), sort_keys=True),
     )
+    set_id = hashlib.md5(json.dumps(record).encode()).hexdigest()
+    rows.withColumn("set_id", F.lit(set_id)).write.mode("overwrite").parquet(f"{path}/rows")
     schema = (
-        "file_version int, min_pose_version int, mode string, behaviors array<string>, learner string, "
+        "set_id string, file_version int, min_pose_version int, mode string, behaviors array<string>, learner string, "
         "training_seed long, distance_unit string, settings string"
     )
-    spark.createDataFrame([record], schema).write.mode("overwrite").parquet(f"{path}/settings")
+    spark.createDataFrame([(set_id, *record)], schema).write.mode("overwrite").parquet(f"{path}/settings")
 
 
 def read_training_set(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -193,10 +197,11 @@ def keypoint_annotations(frames: DataFrame, threshold: float, keys: Sequence[str
     )
 
 
-def inference_runs(spark: SparkSession, records: Sequence[Mapping]) -> DataFrame:
-    """Run metadata rows; ``extra`` is stored as JSON text."""
-    rows = [{**r, "extra": json.dumps(r.get("extra") or {}, sort_keys=True)} for r in records]
-    return spark.createDataFrame(rows, schemas.INFERENCE_RUN)
+def inference_runs(records: DataFrame) -> DataFrame:
+    """Run metadata rows in the stored schema; ``extra`` (a struct or map) becomes JSON text."""
+    extra = F.coalesce(F.to_json("extra"), F.lit("{}")) if "extra" in records.columns else F.lit("{}")
+    schema = StructType.fromDDL(schemas.INFERENCE_RUN)
+    return records.withColumn("extra", extra).to(schema)
 
 
 # --- reports ------------------------------------------------------------------------------------
