@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ethospark.operators import crossval, evaluate
 from ethospark.operators.matrix import augment_symmetric, balance, clean, model_columns
 from ethospark.operators.windows import quoted
+from ethospark.session import scratch_folder
 from ethospark.skeleton import LABEL_THRESHOLD, TRAINING_SEED
 
 FRAME = ["video", "identity", "frame"]
@@ -105,10 +106,15 @@ def train(
     columns = list(columns)
     if symmetric:
         rows = augment_symmetric(rows, columns)
-        key = [*key, *columns]
+    rows = rows.withColumn("_image", F.xxhash64(*map(quoted, columns)))  # tells a row from its mirror image
+    key = [k for k in key if k in rows.columns]
+    label = F.col("label").cast("double").alias("label")
+    path = scratch_folder(rows.sparkSession, "training-vectors")
+    _assemble(rows, columns, learner).select(*key, "_image", label, "features").write.parquet(path)
+    vectors = rows.sparkSession.read.parquet(path)  # features are computed once, whatever follows reads
     if balanced:
-        rows = balance(rows, key, "label", seed)
-    vectors = _assemble(rows, columns, learner).select("features", F.col("label").cast("double").alias("label"))
+        vectors = balance(vectors, [*key, "_image"], "label", seed)
+    vectors = vectors.select("features", "label")
     seen = vectors.agg(F.countDistinct("label").alias("n"), F.max("label").alias("top")).first()
     if seen["n"] < 2:
         raise ValueError(f"training needs at least 2 classes, found {seen['n']}")
