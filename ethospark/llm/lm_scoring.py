@@ -1,18 +1,22 @@
 """LM scoring: a smoothed word n-gram model as a weighted backoff automaton, log10 scores of texts.
 
-States are the kept histories of up to two words. An arc (state, word) carries the interpolated
-probability with absolute discount; where a state has no arc for a word, its failure arc leads to
-the state without the oldest word and costs the mass that the discounts left over. The root knows
-every word: (c + 0.5) / (N + 0.5 (V + 1)), with counts over all training tokens and one end token a
-text. One left-to-right pass over a text carries the state; arcs are found in sorted hash arrays
-for all positions of a slice at once.
-
-Scale: word counts cover the whole training table and stay a distributed table. What is broadcast
-is bounded by construction, because a kept n-gram has at least a fixed share of all tokens: at most
-1 / WORD_SHARE words and 1 / GRAM_SHARE bigrams and trigrams each, whatever the corpus. The
-remaining, rare words have no arcs: the automaton falls back to its root there, and their root
-costs come from a join with the distributed counts, summed per row. Rare words have few rows each.
-Counts are added up inside a task before they are shuffled.
+States are the histories of up to two words that occur LEAST times. An arc (state, word), for every
+bigram and trigram that occurs LEAST times, carries the interpolated probability with absolute
+discount; where a state has no arc for a word, its failure arc leads to the state without the oldest
+word and costs the mass that the discounts left over. The root knows every word:
+(c + 0.5) / (N + 0.5 (V + 1)), with counts over all training tokens and one end token a text.
+
+The cost of a text is a sum over its words, bigrams and trigrams: a word adds its root cost and, as a
+history, its failure cost; a bigram adds what its arc costs more than the way by the root, and its
+failure cost; a trigram what its arc costs more than the way by the bigram. So n-grams are looked up
+independently of each other, and the costs of a row are added up.
+
+Scale: words, bigrams and trigrams with their costs are distributed tables that grow with the input;
+counts are added up inside a task before they are shuffled, and a row's n-grams meet their costs in
+one join. What is broadcast only saves shuffling and changes no result: the frequent n-grams (at
+most 1 / WORD_SHARE words and 1 / GRAM_SHARE bigrams and trigrams each, whatever the corpus) are
+looked up in sorted hash arrays, and a bitmap of 2**FILTER_BITS bits leaves out most n-grams that are
+in no table, as long as it isn't full. What is joined has few rows a key in the training table.
 
 Defined cases: a null or empty text is one end token; repeated rows are scored each; a null id is
 in the fold of the empty text; without training rows every token has probability 1. An empty table
@@ -26,22 +30,74 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ethospark.llm.common import stored
 from ethospark.llm.hash_array import HashArray, Tally
-from ethospark.llm.text import U64, Words, as_long, mix, pieces, segment_sum
+from ethospark.llm.text import U64, Words, as_long, fold, mix, pieces, segment_sum
 
+LEAST = 2  # occurrences that make a bigram or trigram an arc
 WORD_SHARE = 2.5e-7  # words with at least this share of the tokens are known by every task
-GRAM_SHARE = 1e-6  # bigrams and trigrams with at least this share of the tokens have an arc
+GRAM_SHARE = 1e-6  # arcs with at least this share of the tokens are known by every task
+FILTER_BITS = 28
 DISCOUNT = 0.75
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
+START = np.uint64(0x57A257A257A257A2)
+_THREE = np.full(1, 0x3333333333333333, U64)
 
 
-def _key(state: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Key of the arc from ``state`` for ``word``, both small numbers."""
-    return mix((state.astype(U64) << U64(32)) | word.astype(U64))
+def _none() -> np.ndarray:
+    return np.zeros(0)
+
+
+def sequence(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash, whether it is the first of its text) of every token, ends included."""
+    n = len(words.hash) + words.rows
+    rows, hashes, first = np.empty(n, np.int64), np.empty(n, U64), np.zeros(n, bool)
+    at = np.arange(len(words.hash)) + words.doc
+    rows[at], hashes[at] = words.doc, words.hash
+    ends = words.bounds[1:] + np.arange(words.rows)
+    rows[ends], hashes[ends] = np.arange(words.rows), END
+    first[words.bounds[:-1] + np.arange(words.rows)] = True
+    return rows, hashes, first
+
+
+def bigrams_of(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word before each token or START, key of the bigram)."""
+    before = np.append(START, hashes[:-1])[: len(hashes)]
+    before[first] = START
+    return before, fold([before, hashes])
+
+
+def trigram_key(state: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Key of the trigram of two bigrams that share a word."""
+    return fold([state, last, _THREE])
+
+
+class Bitmap:
+    """Which leading FILTER_BITS bits keys have: a fixed size, compressed on its way to the tasks."""
+
+    def __init__(self, keys: DataFrame):
+        bit = F.shiftrightunsigned("key", 64 - FILTER_BITS) + 1
+        found = (
+            keys.select(F.bitmap_bucket_number(bit).alias("at"), F.bitmap_bit_position(bit).alias("bit"))
+            .groupBy("at").agg(F.bitmap_construct_agg("bit").alias("bits")).toArrow()
+        )
+        self.bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+        for at, bits in zip(found.column("at").to_pylist(), found.column("bits"), strict=True):
+            self.bits[(at - 1) * 4096 : at * 4096] = np.frombuffer(bits.as_py(), np.uint8)
+
+    def __getstate__(self):
+        return len(self.bits), pa.compress(self.bits.tobytes(), "zstd", asbytes=True)
+
+    def __setstate__(self, state):
+        self.bits = np.frombuffer(pa.decompress(state[1], state[0], "zstd", asbytes=True), np.uint8)
+
+    def maybe(self, keys: np.ndarray) -> np.ndarray:
+        """False where a key is not one of those given."""
+        bit = keys >> U64(64 - FILTER_BITS)
+        return (self.bits[bit >> U64(3)] >> (bit & U64(7)).astype(np.uint8)) & 1 == 1
 
 
 @dataclass
@@ -51,159 +107,194 @@ class Automaton:
     words: HashArray
     total: int = 0  # N
     types: int = 0  # V
-    log_word: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    bigrams: HashArray | None = None
-    log_bigram: np.ndarray | None = None
-    fall_word: np.ndarray | None = None  # of the states of one word; the last is the start of a text
-    trigrams: HashArray | None = None
-    log_trigram: np.ndarray | None = None
-    fall_bigram: np.ndarray | None = None
+    log_word: np.ndarray = field(default_factory=_none)
+    fall_word: np.ndarray = field(default_factory=_none)  # the last is the start of a text
+    bigrams: HashArray = field(default_factory=lambda: HashArray(np.zeros(0, U64)))
+    cost_bigram: np.ndarray = field(default_factory=_none)
+    fall_bigram: np.ndarray = field(default_factory=_none)
+    trigrams: HashArray = field(default_factory=lambda: HashArray(np.zeros(0, U64)))
+    cost_trigram: np.ndarray = field(default_factory=_none)
+    others: Bitmap | None = None  # the arcs that are only in the tables
 
     def tokens(self, words: Words):
         """(known word or -1, the one before it, row, hash) of every token, ends included."""
-        n = len(words.hash) + words.rows
-        rows = np.empty(n, np.int64)
-        hashes = np.empty(n, U64)
-        at = np.arange(len(words.hash)) + words.doc
-        rows[at], hashes[at] = words.doc, words.hash
-        ends = words.bounds[1:] + np.arange(words.rows)
-        rows[ends], hashes[ends] = np.arange(words.rows), END
+        rows, hashes, first = sequence(words)
         known = self.words.find(hashes).astype(np.int64)
-        before = np.empty(n, np.int64)
+        before = np.empty(len(known), np.int64)
         before[1:] = known[:-1]
-        before[words.bounds[:-1] + np.arange(words.rows)] = len(self.words)  # the start of a text
+        before[first] = len(self.words)  # the start of a text
         return known, before, rows, hashes
 
-    def bigram_keys(self, known, before):
-        both = np.flatnonzero((known >= 0) & (before >= 0))
-        return both, _key(before[both], known[both])
-
-    def bigram_at(self, known, before) -> np.ndarray:
-        both, keys = self.bigram_keys(known, before)
-        found = np.full(len(known), -1, np.int64)
-        found[both] = self.bigrams.find(keys)
-        return found
-
-    def history(self, bigram: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """State of two words before each token, -1 if there is none."""
-        state = np.append(-1, bigram[:-1]) if len(bigram) else bigram
-        state[before == len(self.words)] = -1
-        return state
-
-    def trigram_keys(self, known, before):
-        state = self.history(self.bigram_at(known, before), before)
-        both = np.flatnonzero((state >= 0) & (known >= 0))
-        return both, _key(state[both], known[both])
-
     def costs(self, known, before) -> tuple[np.ndarray, np.ndarray]:
-        """log10 at the root and along the automaton; rare words without their root cost."""
+        """log10 at the root and along the automaton, of what every task holds."""
+        return self.look_up(self.words.keys[known], known, before)[:2]
+
+    def look_up(self, hashes, known, before):
+        """(root cost, cost, tokens whose bigram or trigram may be in the tables, its key)."""
+        first = before == len(self.words)
+        two = bigrams_of(hashes, first)[1]
+        later = np.flatnonzero(~first)
+        three = trigram_key(two[later - 1], two[later])
+        bigram, trigram = self.bigrams.find(two), self.trigrams.find(three)
         root = np.append(self.log_word, 0.0)[known]
-        bigram = self.bigram_at(known, before)
-        fall = np.append(self.fall_word, 0.0)[before]  # rare words (-1) are no states: no cost
-        lower = np.where(bigram >= 0, self.log_bigram[bigram], fall + root)
-        state = self.history(bigram, before)
-        cost = lower + np.append(self.fall_bigram, 0.0)[state]
-        both = np.flatnonzero((state >= 0) & (known >= 0))
-        arc = self.trigrams.find(_key(state[both], known[both]))
-        cost[both[arc >= 0]] = self.log_trigram[arc[arc >= 0]]
-        return root, cost
+        fall = np.append(self.fall_word, 0.0)[before]  # rare words (-1): from the tables
+        cost = root + fall + np.append(self.cost_bigram, 0.0)[bigram]
+        cost[later] += np.append(self.fall_bigram, 0.0)[bigram[later - 1]] + np.append(self.cost_trigram, 0.0)[trigram]
+        at = np.concatenate([np.flatnonzero(bigram < 0), later[trigram < 0]])
+        keys = np.concatenate([two[bigram < 0], three[trigram < 0]])
+        maybe = self.others.maybe(keys) if self.others else np.zeros(len(keys), bool)
+        return root, cost, at[maybe], keys[maybe]
 
 
 @dataclass
 class Model:
     automaton: Automaton
-    counts: DataFrame  # hash, c of every word
+    costs: DataFrame  # key, root (of words only), cost: of every word, bigram and trigram
 
 
-def _tallied(docs: DataFrame, text_column: str, keys_of) -> DataFrame:
-    """(key, c) over all rows; ``keys_of`` gives the keys of a slice's words."""
+def _tallied(docs: DataFrame, text_column: str) -> DataFrame:
+    """(key, c) of the words and ends of all rows."""
 
     def task(batches):
         tally = Tally()
         for piece in pieces(batches):
-            for done in tally.add(keys_of(Words(piece.column("text")))):
-                yield from _frames(*done)
-        yield from _frames(*tally.take())
-
-    def _frames(keys, counts):
-        for i in range(0, len(keys), 1 << 18):
-            yield pa.record_batch([as_long(keys[i : i + (1 << 18)]), pa.array(counts[i : i + (1 << 18)])], ["key", "c"])
+            words = Words(piece.column("text"))
+            for done in tally.add(np.concatenate([words.hash, np.full(words.rows, END)])):
+                yield from _frames(["key", "c"], *done)
+        yield from _frames(["key", "c"], *tally.take())
 
     rows = docs.select(F.col(text_column).alias("text")).mapInArrow(task, "key long, c long")
     return rows.groupBy("key").agg(F.sum("c").alias("c"))
 
 
-def _bounded(counted: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Keys with at least ``least`` occurrences, ascending, and their counts; bounded by the share."""
-    found = counted.filter(F.col("c") >= max(2, least)).toArrow()
-    keys = found.column("key").to_numpy().astype(np.int64).view(np.uint64)
+def _frames(names: list[str], *columns: np.ndarray):
+    for i in range(0, len(columns[0]), 1 << 18):
+        yield pa.record_batch([as_long(x[i : i + (1 << 18)]) for x in columns], names)
+
+
+def _pairs(docs: DataFrame, text_column: str, pairs_of) -> DataFrame:
+    """(a, b, c) of the pairs that occur LEAST times; ``pairs_of`` gives those of a slice's words."""
+
+    def tallied(held):
+        a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        at = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)])
+        yield from _frames(["a", "b", "c"], a[at], b[at], np.diff(np.append(at, len(a))))
+
+    def task(batches):
+        held, n = [], 0
+        for piece in pieces(batches):
+            held.append(pairs_of(Words(piece.column("text"))))
+            n += len(held[-1][0])
+            if n >= 1 << 21:
+                yield from tallied(held)
+                held, n = [], 0
+        if held:
+            yield from tallied(held)
+
+    rows = docs.select(F.col(text_column).alias("text")).mapInArrow(task, "a long, b long, c long")
+    return rows.groupBy("a", "b").agg(F.sum("c").alias("c")).filter(F.col("c") >= LEAST)
+
+
+def _keyed(pairs: DataFrame, key_of) -> DataFrame:
+    """``pairs`` with the key of each."""
+
+    def task(batches):
+        for batch in batches:
+            a, b = (batch.column(x).to_numpy().view(U64) for x in ("a", "b"))
+            yield pa.record_batch([as_long(key_of(a, b)), *batch.columns], ["key", *batch.schema.names])
+
+    return pairs.mapInArrow(task, "key long, a long, b long, c long")
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as stored table; shuffle files of steps that are over go once the driver has no use for them."""
+    found = stored(df, name)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return found
+
+
+def _frequent(table: DataFrame, least: float, *columns: str) -> tuple[np.ndarray, ...]:
+    """Keys with at least ``least`` occurrences, ascending, and their columns; bounded by the share."""
+    found = table.filter(F.col("c") >= max(LEAST, least)).select("key", *columns).toArrow()
+    keys = found.column("key").to_numpy().astype(np.int64).view(U64)
     order = np.argsort(keys)
-    return keys[order], found.column("c").to_numpy()[order].astype(float)
+    return keys[order], *[found.column(x).to_numpy()[order].astype(float) for x in columns]
+
+
+def _left(arcs: DataFrame) -> DataFrame:
+    """(key of a state, sum of its arcs' discounted counts)."""
+    return arcs.groupBy(F.col("a").alias("key")).agg(F.sum(F.col("c") - DISCOUNT).alias("sure"))
+
+
+def _fall(sure: str, c: str) -> Column:
+    """log10 of the mass left to the failure arc of a state; a state without arcs costs nothing."""
+    return F.coalesce(F.log10(F.when(F.col(sure).isNotNull(), F.greatest(1 - F.col(sure) / F.col(c), F.lit(1e-12)))), F.lit(0.0))
 
 
 def fit(train: DataFrame, text_column: str = "text", word_share: float = WORD_SHARE, gram_share: float = GRAM_SHARE) -> Model:
-    """The model of all rows of ``train``."""
-    context = train.sparkSession.sparkContext
+    """The model of all rows of ``train``; the shares say only what every task holds."""
+    spark = train.sparkSession
     rows = train.select(text_column)
-    counts = stored(_tallied(rows, text_column, lambda w: np.concatenate([w.hash, np.full(w.rows, END)])), "lm-words")
+    end, start = (int(x.astype(np.int64)) for x in (END, START))
+    counts = _kept(_tallied(rows, text_column), "lm-words")
     total, types, texts = counts.agg(
-        F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.max(F.when(F.col("key") == int(END), F.col("c"))), F.lit(0))
+        F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.max(F.when(F.col("key") == end, F.col("c"))), F.lit(0))
     ).first()
-    keys, c = _bounded(counts, word_share * total)
     norm = total + 0.5 * (types + 1)
-    model = Automaton(HashArray(keys), total, types, np.log10((c + 0.5) / norm))
-    n, least = len(keys), gram_share * total
-    if not n:  # nothing to learn from
-        model.log_word = np.zeros(0)
-    word_count = np.append(c, texts)  # of the states of one word
-
-    def arcs(sent, method):
-        return _tallied(rows, text_column, lambda w: getattr(sent.value, method)(*sent.value.tokens(w)[:2])[1])
-
-    # bigrams
-    sent = context.broadcast(model)
-    two, c2 = _bounded(arcs(sent, "bigram_keys"), least)
-    before, word = _unpack(two)
-    p2, model.fall_word = _smooth(c2, before, word_count, (c[word] + 0.5) / norm)
-    model.bigrams, model.log_bigram = HashArray(two), np.append(np.log10(p2), 0.0)
-    # trigrams
-    sent = context.broadcast(model)
-    three, c3 = _bounded(arcs(sent, "trigram_keys"), least)
-    state, last = _unpack(three)
-    lower = model.bigrams.find(_key(word[state], last)) if len(three) else np.zeros(0, int)
-    root = (c[last] + 0.5) / norm
-    lower_p = np.where(lower >= 0, 10.0 ** model.log_bigram[lower], 10.0 ** model.fall_word[word[state]] * root)
-    p3, model.fall_bigram = _smooth(c3, state, c2, lower_p)
-    model.trigrams, model.log_trigram = HashArray(three), np.append(np.log10(p3), 0.0)
-    return Model(model, counts)
 
+    def two(words):
+        _, hashes, first = sequence(words)
+        return bigrams_of(hashes, first)[0], hashes
 
-def _unmix(x: np.ndarray) -> np.ndarray:
-    """Inverse of ``mix``."""
+    bigrams = _keyed(_kept(_pairs(rows, text_column, two), "lm-bigrams"), lambda a, b: fold([a, b]))
+    sent = spark.sparkContext.broadcast(Bitmap(bigrams))
 
-    def unshift(v, k):
-        found = v
-        for _ in range(64 // k):
-            found = v ^ (found >> U64(k))
-        return found
+    def three(words):  # both bigrams of a trigram occur as often as it does
+        _, hashes, first = sequence(words)
+        keys = bigrams_of(hashes, first)[1]
+        often = sent.value.maybe(keys)
+        at = np.flatnonzero(~first & often & np.append(False, often[:-1])[: len(often)])
+        return keys[at - 1], keys[at]
 
-    x = unshift(x, 31) * U64(pow(0x94D049BB133111EB, -1, 1 << 64))
-    x = unshift(x, 27) * U64(pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
-    return unshift(x, 30)
+    trigrams = _keyed(_kept(_pairs(rows, text_column, three), "lm-trigrams"), trigram_key)
+    sent.destroy()
 
-
-def _unpack(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    plain = _unmix(keys)
-    return (plain >> U64(32)).astype(np.int64), (plain & U64(0xFFFFFFFF)).astype(np.int64)
-
-
-def _smooth(c: np.ndarray, state: np.ndarray, of_state: np.ndarray, lower: np.ndarray):
-    """(probability of each arc, log10 of the mass left to the failure arc of each state)."""
-    own = np.maximum(of_state, 1)
-    sure = (c - DISCOUNT) / own[state]
-    left = 1 - np.bincount(state, weights=sure, minlength=len(of_state))
-    left = np.clip(left, 1e-12, 1.0)
-    return sure + left[state] * lower, np.log10(left)
+    # words, and the start of a text
+    word = counts.union(spark.range(1).select(F.lit(start), F.lit(texts))).join(_left(bigrams), "key", "left")
+    word = _kept(word.select("key", "c", F.log10((F.col("c") + 0.5) / norm).alias("root"), _fall("sure", "c").alias("fall")), "lm-word-costs")
+    # bigrams
+    state = word.select(F.col("key").alias("a"), F.col("c").alias("own"), "fall")
+    last = word.select(F.col("key").alias("b"), "root")
+    bigram = bigrams.join(state, "a").join(last, "b").join(_left(trigrams), "key", "left")
+    way = F.col("fall") + F.col("root")
+    bigram = bigram.withColumn("log_p", F.log10((F.col("c") - DISCOUNT) / F.col("own") + F.pow(F.lit(10.0), way)))
+    bigram = _kept(bigram.select("key", "c", "log_p", (F.col("log_p") - way).alias("cost"), _fall("sure", "c").alias("fall")), "lm-bigram-costs")
+    # trigrams
+    state = bigram.select(F.col("key").alias("a"), F.col("c").alias("own"), "fall")
+    last = bigram.select(F.col("key").alias("b"), "log_p")
+    trigram = trigrams.join(state, "a").join(last, "b")
+    way = F.col("fall") + F.col("log_p")
+    more = F.log10((F.col("c") - DISCOUNT) / F.col("own") + F.pow(F.lit(10.0), way)) - way
+    trigram = _kept(trigram.select("key", "c", more.alias("cost")), "lm-trigram-costs")
+
+    # what every task holds
+    fall = word.filter(F.col("key") == start).first()["fall"]
+    least = gram_share * total
+    words = word.filter(F.col("key") != start)
+    keys, log_word, fall_word = _frequent(words, word_share * total, "root", "fall")
+    model = Automaton(HashArray(keys), total, types, log_word, np.append(fall_word, fall))
+    keys, model.cost_bigram, model.fall_bigram = _frequent(bigram, max(least, word_share * total), "cost", "fall")
+    model.bigrams = HashArray(keys)
+    keys, model.cost_trigram = _frequent(trigram, max(least, word_share * total), "cost")
+    model.trigrams = HashArray(keys)
+    rare = F.col("c") < max(LEAST, least, word_share * total)
+    model.others = Bitmap(bigram.filter(rare).select("key").union(trigram.filter(rare).select("key")))
+    none = F.lit(None).cast("double").alias("root")
+    costs = words.select("key", "root", (F.col("root") + F.col("fall")).alias("cost"))
+    costs = costs.union(bigram.filter(rare).select("key", none, F.col("cost") + F.col("fall")))
+    return Model(model, costs.union(trigram.filter(rare).select("key", none, "cost")))
 
 
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -211,46 +302,45 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
     kept = [id_column, *carry]
     source = docs.select(*kept, F.col(text_column).alias("__text"))
     sent = docs.sparkSession.sparkContext.broadcast(model.automaton)
-    kinds = [f"`{c}` {source.schema[c].dataType.simpleString()}" for c in kept]
-    schema = ", ".join(["__row long", "__hash long", "__rare boolean", *kinds, "n_tokens long", "__known long", "__base double", "__score double"])
+    kinds = [f"`{c}`: {source.schema[c].dataType.simpleString()}" for c in kept]
+    head = f"struct<{', '.join([*kinds, 'n_tokens: long', '__known: long', '__base: double', '__score: double'])}>"
+    names = [*kept, "n_tokens", "__known", "__base", "__score"]
 
     def task(batches):
         automaton, number = sent.value, TaskContext.get().partitionId() << 33
         for piece in pieces(batches, "__text"):
             known, before, rows, hashes = automaton.tokens(Words(piece.column("__text")))
             n = piece.num_rows
-            root, cost = automaton.costs(known, before)
+            root, cost, at, keys = automaton.look_up(hashes, known, before)
             ids = np.arange(number, number + n)
             number += n
             rare = np.flatnonzero(known < 0)
-            m = len(rare)
-            none = lambda kind: pa.nulls(m, kind)
-            join = lambda values, kind: pa.concat_arrays([pa.array(values, kind), none(kind)])
-            yield pa.record_batch(
+            heads = pa.StructArray.from_arrays(
                 [
-                    pa.array(np.concatenate([ids, ids[rows[rare]]])),
-                    # heads of rows are spread by their number; they match no word
-                    as_long(np.concatenate([mix(ids.astype(U64)), hashes[rare]])),
-                    pa.array(np.repeat([False, True], [n, m])),
-                    *[pa.concat_arrays([piece.column(c), none(piece.column(c).type)]) for c in kept],
-                    join(np.bincount(rows, minlength=n), pa.int64()),
-                    join(np.bincount(rows[known >= 0], minlength=n), pa.int64()),
-                    join(segment_sum(root, rows, n), pa.float64()),
-                    join(segment_sum(cost, rows, n), pa.float64()),
+                    *[piece.column(c) for c in kept],
+                    pa.array(np.bincount(rows, minlength=n)),
+                    pa.array(np.bincount(rows[known >= 0], minlength=n)),
+                    pa.array(segment_sum(root, rows, n)),
+                    pa.array(segment_sum(cost, rows, n)),
                 ],
-                ["__row", "__hash", "__rare", *kept, "n_tokens", "__known", "__base", "__score"],
+                names,
             )
+            # heads of rows are spread by their number; they match no n-gram
+            yield pa.record_batch([pa.array(ids), as_long(mix(ids.astype(U64))), heads], ["__row", "key", "__head"])
+            of, keys = ids[rows[np.concatenate([rare, at])]], np.concatenate([hashes[rare], keys])
+            for i in range(0, len(keys), 1 << 18):
+                part = keys[i : i + (1 << 18)]
+                yield pa.record_batch([pa.array(of[i : i + (1 << 18)]), as_long(part), pa.nulls(len(part), heads.type)], ["__row", "key", "__head"])
 
     automaton = model.automaton
-    norm = automaton.total + 0.5 * (automaton.types + 1)
-    counts = model.counts.select(F.col("key").alias("__hash"), "c")
-    c = F.when(F.col("__rare"), F.coalesce("c", F.lit(0)))
-    rare = F.log10((c + 0.5) / F.lit(norm))
-    joined = source.mapInArrow(task, schema).join(counts, "__hash", "left").select(
-        "__row", *kept, "n_tokens", (F.coalesce("__known", F.lit(0)) + F.coalesce((c > 0).cast("long"), F.lit(0))).alias("__known"),
-        F.coalesce("__base", rare).alias("__base"), F.coalesce("__score", rare).alias("__score"),
+    unknown = float(np.log10(0.5 / (automaton.total + 0.5 * (automaton.types + 1))))
+    joined = source.mapInArrow(task, f"__row long, key long, __head {head}").join(model.costs, "key", "left")
+    sums = joined.groupBy("__row").agg(
+        *[F.max(F.col("__head").getField(x)).alias(x) for x in names], F.count("root").alias("__more"),
+        F.coalesce(F.sum("root"), F.lit(0.0)).alias("__roots"), F.coalesce(F.sum("cost"), F.lit(0.0)).alias("__costs"),
+    ).withColumn("n_known", F.col("__known") + F.col("__more"))
+    missing = (F.col("n_tokens") - F.col("n_known")) * F.lit(unknown)
+    return sums.select(
+        *kept, "n_tokens", "n_known", (F.col("__base") + F.col("__roots") + missing).alias("base_score"),
+        (F.col("__score") + F.col("__costs") + missing).alias("score"),
     )
-    return joined.groupBy("__row").agg(
-        *[F.max(x).alias(x) for x in kept], F.max("n_tokens").alias("n_tokens"), F.sum("__known").alias("n_known"),
-        F.sum("__base").alias("base_score"), F.sum("__score").alias("score"),
-    ).drop("__row")

@@ -258,6 +258,39 @@ def test_lm_states_are_distributions(spark):
         assert total == pytest.approx(1, abs=1e-6) and len(scores) == len(probes)
 
 
+def test_lm_keeps_rare_arcs(spark):
+    """An n-gram below any share of the tokens has its arc: scores are those of a plain model."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(40)) for _ in range(60)] + ["rare pair here", "a rare pair here b", "once upon a", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    grams = Counter()
+    for t in texts:
+        w = ["<s>", *brute.words(t), "</s>"]
+        grams.update(tuple(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1))
+    words = {g[0]: c for g, c in grams.items() if len(g) == 1 and g[0] != "<s>"}
+    norm = sum(words.values()) + 0.5 * (len(words) + 1)
+
+    def p(history, w):
+        if not history:
+            return (words.get(w, 0) + 0.5) / norm
+        own, lower = grams[history], p(history[1:], w)
+        arcs = [c for g, c in grams.items() if g[:-1] == history and c >= 2]
+        if not arcs:
+            return lower
+        c = grams[(*history, w)]
+        return (c - 0.75 if c >= 2 else 0) / own + (1 - sum(c - 0.75 for c in arcs) / own) * lower
+
+    probes = [*texts[:5], *texts[-5:], "rare pair", "pair here b new", "a rare pair here"]
+    for shares in ((2.5e-7, 1e-6), (0.01, 0.02), (0.5, 0.5)):
+        model = lm_scoring.fit(df, word_share=shares[0], gram_share=shares[1])
+        found = lm_scoring.score(spark.createDataFrame(list(enumerate(probes)), "doc_id long, text string"), model).collect()
+        for r in found:
+            w = ["<s>", *brute.words(probes[r.doc_id]), "</s>"]
+            expected = sum(math.log10(p(tuple(w[max(0, i - 2) : i]), w[i])) for i in range(1, len(w)))
+            assert r.score == pytest.approx(expected) and r.n_known == sum(x in words for x in w)
+        assert len(found) == len(probes)
+
+
 def test_line_windows(spark, odd):
     texts = {
         1: "a\nb\nc\nd", 2: "x\nb\nc\nd\ny", 3: "a\n\nb\n \nc\nd\nlast", 4: "a\nb", 5: None, 6: "", 7: "q\nq\nq\nq\nq", 8: "a\nb\nc\nd", 9: "b\nc\nz",
