@@ -3,10 +3,12 @@
 A page is read once, tag by tag. Open elements are a stack; implied ends close what a new tag cannot
 be inside of (a paragraph by a block, an item by an item, a cell by a cell, …), an end tag closes up
 to its element, one without an element is ignored. What is not rendered gives no text: scripts,
-styles, the head, templates, comments, elements with ``hidden`` or a style that hides them. Blocks
-begin on a new line, some with an empty line around; list items have a bullet or number and are
-indented by depth; cells of a table are padded to their column's width, with ``colspan``;
-preformatted text keeps its white space, other white space collapses.
+styles, the head, templates, comments, fallbacks of media, dialogs that aren't open, elements with
+the attribute ``hidden`` or whose own style hides them. Blocks begin on a new line, some with an
+empty line around; list items have a bullet or number and are indented by depth; cells of a table
+are padded to their column's width, with ``colspan``; every option of a select and every text of a
+drawing has a line; preformatted text and text areas keep their white space, other white space
+collapses.
 
 Scale: pages are independent, one pass without a shuffle; the stack is explicit, so depth is no
 limit.
@@ -28,11 +30,11 @@ from pyspark.sql import DataFrame
 from ethospark.llm.text import pieces
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = set("head script style template noscript iframe object svg math select datalist audio video canvas textarea title dialog".split())
+UNSEEN = set("head script style template noscript iframe object datalist audio video canvas title".split())
 RAW = {"script", "style", "textarea", "title", "iframe", "noscript"}  # no tags inside
 PARAGRAPHS = set("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr menu".split())  # an empty line around
 BLOCKS = PARAGRAPHS | set(
-    "address article aside body caption center dd details div dt fieldset figcaption footer form header html legend li main nav section summary tr".split()
+    "address article aside body caption center dd details dialog div dt fieldset figcaption footer form header html legend li main nav section summary tr".split()
 )
 #: a tag ends these open elements, up to the nearest of the bounds
 IMPLIED = {
@@ -45,15 +47,45 @@ IMPLIED = {
     "th": ({"td", "th", "p"}, {"tr", "table"}),
     **{t: ({"tr", "td", "th", "thead", "tbody", "tfoot", "caption", "colgroup", "p"}, {"table"}) for t in ("thead", "tbody", "tfoot")},
     "body": ({"head"}, {"html"}),
+    "option": ({"option"}, {"select"}),
+    "optgroup": ({"option", "optgroup"}, {"select"}),
 }
+#: elements of drawings and formulas that show none of their text, those that hold HTML, and HTML that ends both
+FOREIGN_UNSEEN = set("defs desc metadata symbol clippath mask pattern marker annotation annotation-xml".split())
+FOREIGN_HTML = set("foreignobject mi mo mn ms mtext".split())
+BREAKS_OUT = set(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small"
+    " span strong strike sub sup table tt u ul var".split()
+)
 _TOKEN = re.compile(
     r"<!--(?P<comment>.*?)(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S
 )
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|style\s*=\s*(?:"[^"]*|'[^']*|\S*)(?:display\s*:\s*none|visibility\s*:\s*hidden)""", re.I)
-_NUMBER = re.compile(r"""\b(colspan|start)\s*=\s*["']?(-?\d{1,4})""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*))?)?""")
+_NEEDED = re.compile("hidden|style|colspan|start|open|label", re.I)  # attributes that are read
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_NUMBER = re.compile(r"\s*(-?\d{1,4})")
 _WHITE = re.compile(r"[ \t\n\r\f]+")
 
 
+def _attributes(rest: str) -> dict[str, str]:
+    """Name and value of a tag's attributes; the first of a name counts."""
+    found = {}
+    if _NEEDED.search(rest):
+        for name, *values in _ATTRIBUTE.findall(rest):
+            found.setdefault(name.lower(), html.unescape("".join(values)))
+    return found
+
+
+def _style(value: str) -> dict[str, str]:
+    """Property and value of declarations; the last counts, but for important ones."""
+    plain, important = {}, {}
+    for declaration in _COMMENT.sub("", value).lower().split(";"):
+        name, _, what = declaration.partition(":")
+        what, mark, _ = what.partition("!")
+        (important if mark else plain)[name.strip()] = what.strip()
+    return plain | important
+
+
 class Lines:
     """Text as lines; the one being written collapses white space."""
 
@@ -62,6 +94,9 @@ class Lines:
 
     def write(self, text: str, keep: bool = False) -> None:
         if keep:
+            if self.now and self.space:
+                self.now.append(" ")
+            self.space = False
             first, *more = text.replace("\r\n", "\n").split("\n")
             self.now.append(first)
             for line in more:
@@ -102,40 +137,69 @@ class Lines:
 
 
 class Page:
-    """One page: a stack of (tag, hidden, lines that the element collects or None, state)."""
+    """One page: a stack of (tag, hidden, lines that the element collects or None, state, mode around it)."""
 
     def __init__(self):
         self.stack = []
         self.out = [Lines()]  # of the elements that collect: cells, items, quotes
         self.unseen, self.kept = 0, 0
+        self.mode = (False, "", False)  # invisible by style, in svg or math, in a drawing outside its texts
+
+    def _shown(self) -> bool:
+        return not (self.unseen or self.mode[0] or self.mode[2])
 
     def text(self, text: str) -> None:
-        if text and not self.unseen:
+        if text and self._shown():
             state = self.stack[-1][3] if self.stack else None
             if state is not None and "rows" in state and not text.strip():
                 return
             self.out[-1].write(html.unescape(text), self.kept > 0)
 
     def open(self, tag: str, rest: str) -> None:
+        if self.mode[1] and tag in BREAKS_OUT:
+            while self.mode[1]:
+                self._pop()
+        if (self.mode[1] or tag in ("svg", "math")) and rest.endswith("/"):
+            return
         if tag in IMPLIED:
             ends, bounds = IMPLIED[tag]
             self._imply(ends, bounds)
         if tag == "br":
-            if not self.unseen:
+            if self._shown():
                 self.out[-1].end(not self.out[-1].now)
             return
         if not self.unseen and tag in BLOCKS:
             self.out[-1].block(1 if tag in PARAGRAPHS and not self._inside_list(tag) else 0)
         if tag in VOID:
-            if tag == "hr" and not self.unseen:
+            if tag == "hr" and self._shown():
                 self.out[-1].add(["---"])
                 self.out[-1].block(1)
             return
-        hidden = tag in UNSEEN or bool(_HIDDEN.search(rest))
-        numbers = {k.lower(): int(v) for k, v in _NUMBER.findall(rest)} if "=" in rest else {}
+        attributes = _attributes(rest)
+        style = _style(attributes.get("style", ""))
+        invisible, foreign, muted = mode = self.mode
+        hidden = tag in UNSEEN or "hidden" in attributes or style.get("display") == "none"
+        hidden = hidden or tag == "dialog" and "open" not in attributes or bool(foreign) and tag in FOREIGN_UNSEEN
+        if style.get("visibility") in ("hidden", "collapse", "visible"):
+            invisible = style["visibility"] != "visible"
+        if tag in ("svg", "math"):
+            foreign, muted = tag, tag == "svg"
+        elif foreign and tag in FOREIGN_HTML:
+            foreign, muted = "", False
+        elif foreign == "svg" and tag == "text":
+            muted = False
+        self.mode = (invisible, foreign, muted)
+        numbers = {k: int(v[1]) for k in ("colspan", "start") if (v := _NUMBER.match(attributes.get(k, "")))}
         state, lines = None, None
         if not (self.unseen or hidden):
-            if tag in ("ul", "ol", "menu"):
+            if tag in ("option", "optgroup") or tag == "text" and foreign == "svg":
+                state = {"line": True}
+                self.out[-1].block(0)
+                if tag != "text" and attributes.get("label"):  # is shown in place of the option's text
+                    self.text(html.escape(attributes["label"]))
+                    hidden = tag == "option"
+                    self.out[-1].block(0)
+            elif tag in ("ul", "ol", "menu"):
                 state = {"list": tag, "next": numbers.get("start", 1)}
             elif tag == "table":
                 state = {"rows": [], "caption": []}
@@ -146,11 +210,11 @@ class Page:
                 lines = Lines()
                 state = {"span": min(max(1, numbers.get("colspan", 1)), 100)}
                 self.out.append(lines)
-            elif tag == "pre":
+            elif tag in ("pre", "textarea"):
                 state = {"pre": True}
                 self.kept += 1
         self.unseen += hidden
-        self.stack.append((tag, hidden, lines, state))
+        self.stack.append((tag, hidden, lines, state, mode))
 
     def _inside_list(self, tag: str) -> bool:
         return tag in ("ul", "ol", "menu") and any(x[0] == "li" for x in self.stack[-3:])
@@ -180,7 +244,7 @@ class Page:
                 return
 
     def _pop(self) -> None:
-        tag, hidden, lines, state = self.stack.pop()
+        tag, hidden, lines, state, self.mode = self.stack.pop()
         self.unseen -= hidden
         if self.unseen or hidden:
             return
@@ -192,7 +256,7 @@ class Page:
         elif state and "rows" in state:
             self.out[-1].block(1)
             self.out[-1].add(state["caption"] + _table_lines(state["rows"]))
-        if tag in BLOCKS:
+        if tag in BLOCKS or state and "line" in state:
             self.out[-1].block(1 if tag in PARAGRAPHS and not self._inside_list(tag) else 0)
 
     def _collected(self, tag: str, lines: list[str], state: dict) -> None:
@@ -261,7 +325,9 @@ def extract(page: str) -> str:
         found.open(tag, token["rest"])
         if tag in RAW:
             end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I).search(page, at)
-            at = end.start() if end else size
+            begin, at = at, end.start() if end else size
+            if tag == "textarea":  # a line break at its beginning is not shown
+                found.text(re.sub(r"\A\r?\n", "", page[begin:at]))
     return found.finish()
 
 

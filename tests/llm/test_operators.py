@@ -137,6 +137,25 @@ def test_html():
     assert html_text.extract("<div>" * 30_000 + "x") == "x" and html_text.extract("1 < 2 &lt; 3") == "1 < 2 < 3"
 
 
+def test_html_keeps_visible_text():
+    """Only the attribute and the style themselves hide; fields, drawings and open dialogs are shown."""
+    for tag in ('div title="a hidden gem"', 'p class="nav hidden lg:flex"', "div data-style='display:none'", "p data-hidden", 'p title="x hidden=1"',
+                'p style="display:none; display:block"', 'p style="background:url(display:none)"', "dialog open", "div title='style=\"display:none\"'"):
+        assert html_text.extract(f"<{tag}>kept</{tag.split()[0]}>") == "kept", tag
+    for tag in ("p hidden", "p HIDDEN=''", "p class=x hidden=until-found", "p style='color:red;DISPLAY : none'", 'p title="a"hidden', "dialog",
+                "p style=display:none", "p style='display:none!important;display:block'", "p style='visibility:hidden'"):
+        assert html_text.extract(f"a<{tag}>gone</{tag.split()[0]}>") == "a", tag
+    assert html_text.extract('<body class="hidden x">a<p>b</body>') == "a\n\nb"
+    assert html_text.extract("<p style='visibility:hidden'>no <b style='visibility:visible'>yes</b> no</p>") == "yes"
+    assert html_text.extract("say <textarea>\nA &amp; <b>\n  two</textarea> end") == "say A & <b>\n  two end"
+    select = "pick <select><option>one<option selected>two</option><optgroup label='more'><option label='three'>x</optgroup></select> end"
+    assert html_text.extract(select).split("\n") == ["pick", "one", "two", "more", "three", "end"]
+    svg = "<svg><title>no</title><defs/><path d='1'/>no<text x=1>A<tspan>B</tspan></text><text>C</text><defs><text>no</text></defs></svg>end"
+    assert html_text.extract(svg).split() == ["AB", "C", "end"]
+    assert html_text.extract("<svg><g><p>broken out") == "broken out"
+    assert html_text.extract("<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math>.") == "x=1."
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, None, "t"), (2, "", "t"), (None, "<p>a", "t")], "page_id long, html string, text string")
     assert sorted((r.page_id or 0, r.text) for r in html_text.extract_text(df).collect() if r.text is not None) == [(0, "a"), (2, "")]
