@@ -7,7 +7,8 @@ are seeds in any case. Seeds that a document shares with an item mark a stretch
 item is aligned with that stretch (match 2, mismatch and gap -1 a word), so edited, cut or
 paraphrased copies score in proportion. The score is the alignment's value over that of the whole
 item; a document is contaminated when it reaches ``LEAST_SCORE`` and an alignment worth ``LEAST_WORDS``
-matching words (or the whole item, if shorter).
+matching words (or the whole item, if shorter), or with an alignment worth ``EXCERPT_WORDS`` matching
+words, however long the item is.
 
 Scale: the test items do not grow with the corpus, yet their size is checked: they go in blocks of at
 most about ``BLOCK_CHARS`` characters, each block is broadcast and all rows are searched against it,
@@ -34,6 +35,7 @@ from ethospark.llm.text import U64, Words, pieces
 SEED, SEED_RATE = 3, 1e-8
 MATCH, OTHER = 2, -1  # value of equal words; of a mismatch or a gap
 LEAST_SCORE, LEAST_WORDS = 0.5, 8
+EXCERPT_WORDS = 20
 BLOCK_CHARS = 4_000_000
 CELLS = 1 << 21  # of the alignment tables in memory at once
 
@@ -72,7 +74,8 @@ class Items:
     def least(self, item: np.ndarray) -> np.ndarray:
         """Value that an alignment with each item must reach."""
         n = self.length[item]
-        return np.maximum(LEAST_SCORE * MATCH * n, MATCH * np.minimum(n, LEAST_WORDS))
+        least = np.maximum(LEAST_SCORE * MATCH * n, MATCH * np.minimum(n, LEAST_WORDS))
+        return np.minimum(least, MATCH * EXCERPT_WORDS)
 
     def stretches(self, words: Words):
         """(row, item, begin, end) of the stretches of words around shared seeds."""

@@ -84,6 +84,17 @@ def test_decontamination(spark, documents, odd):
     assert decontaminate.matches(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_excerpts_of_long_items(spark):
+    rng = random.Random(5)
+    make = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
+    long, middle = make(1000), make(59)
+    docs = [make(40) + long[300:790] + make(40), make(9) + middle[10:35] + make(30), make(80) + long[500:520], make(20) + long[:15] + make(20), make(300)]
+    df = spark.createDataFrame([(k, " ".join(d)) for k, d in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(middle))], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r for r in decontaminate.matches(df, bench).collect()}
+    assert set(found) == {(0, 1), (1, 2), (2, 1)} and (found[0, 1].start_word, found[0, 1].end_word) == (40, 530)
+
+
 def test_decontamination_finds_all_contained_items(spark, documents):
     bench = {r.item_id: brute.words(r.text) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()}
     within = {
