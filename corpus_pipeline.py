@@ -44,7 +44,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in sequences of at most 1024: one row per piece."""
-    return packing.pack(docs, tokenizer())
+    return packing.pack(docs, tokenizer(), special=True)
 
 
 STAGES = [

@@ -10,7 +10,8 @@ Scale: no shuffle. Each task tokenises its rows and packs them from a pool of at
 pending pieces, so memory does not depend on the size of a partition; sequence ids carry the
 number of the partition.
 
-Ids are those of the tokenizer file; strings of its special tokens in a text are ordinary text.
+Ids are those of the tokenizer file; strings of its special tokens in a text are ordinary text, or with
+``special`` those tokens, as the tokenizer reads them unless told otherwise.
 Words repeat, so a task remembers the ids of the last words it met: a text is cut in front of each
 space that follows a non-space, where the tokenizer's pattern always begins a new token.
 
@@ -80,7 +81,9 @@ class Encoder(dict):
 
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        special, byte_of = {t["content"] for t in spec["added_tokens"]}, _byte_of()
+        special, byte_of = {t["content"]: t["id"] for t in spec["added_tokens"]}, _byte_of()
+        self.special = {t: i.to_bytes(4, "little") for t, i in special.items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")" if special else "(?!)")
         ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         self.bpe = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.before: dict[str, bytes] = {}
@@ -116,6 +119,13 @@ class Encoder(dict):
         return self.whole(parts[0]) + b"".join(map(self.__getitem__, parts[1:]))
 
 
+    def encode_special(self, text: str) -> bytes:
+        """Special tokens have their ids; what is between them is encoded by itself."""
+        if not self.cut.search(text):
+            return self.encode(text)
+        return b"".join(self.special[x] if x in self.special else self.encode(x) for x in self.cut.split(text) if x)
+
+
 class Packer:
     """The sequences of one task. A piece is (doc, start, ids, loss, total): ids and loss per token."""
 
@@ -204,11 +214,12 @@ class Packer:
 
 def pack(
     docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column: str = "text", capacity: int = CAPACITY,
-    max_segments: int = 256, max_loss: int | None = None, loss_column: str | None = None,
+    max_segments: int = 256, max_loss: int | None = None, loss_column: str | None = None, special: bool = False,
 ) -> DataFrame:
     """One row per piece: the id, start, length, ids (binary, little-endian 32 bits), n_loss,
     doc_tokens, sequence_id, offset. ``loss_column`` (boolean) says whether a text bears loss; all
-    do without it. ``max_loss`` limits loss-bearing tokens of a sequence, ``capacity`` by default."""
+    do without it. ``max_loss`` limits loss-bearing tokens of a sequence, ``capacity`` by default.
+    ``special`` reads strings of special tokens in a text as those tokens."""
     if capacity < 1 or max_segments < 1 or (max_loss is not None and max_loss < 1):
         raise ValueError("limits must be positive")
     most = capacity if max_loss is None else max_loss
@@ -222,6 +233,7 @@ def pack(
 
     def task(batches):
         encoder, rows, size = Encoder.load(tokenizer), [], 0
+        encode = encoder.encode_special if special else encoder.encode
 
         def emit(p, sequence, offset):
             nonlocal size
@@ -243,7 +255,7 @@ def pack(
                 id_type = piece.column("__id").type
                 packer = Packer(TaskContext.get().partitionId() << 33, capacity, max_segments, most, emit)
             for doc, text, loss in zip(*(piece.column(c).to_pylist() for c in ("__id", "__text", "__loss"))):
-                ids = np.frombuffer(encoder.encode(text or "") + END_ID.to_bytes(4, "little"), "<u4")
+                ids = np.frombuffer(encode(text or "") + END_ID.to_bytes(4, "little"), "<u4")
                 packer.add(doc, ids, np.full(len(ids), loss))
                 if size > 1 << 21:
                     yield batch()

@@ -80,7 +80,7 @@ def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op7_packing")
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
-    packed = packing.pack(table(spark, folder, "documents"), tokenizer())
+    packed = packing.pack(table(spark, folder, "documents"), tokenizer(), special=True)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

@@ -229,6 +229,22 @@ def test_packing(spark, documents, odd):
     assert packing.pack(odd.limit(0), tokenizer()).count() == 0
 
 
+def test_packing_special_tokens(spark):
+    """With ``special`` the ids are those of the tokenizer as it is loaded."""
+    from tokenizers import Tokenizer
+
+    reader = Tokenizer.from_file(tokenizer())
+    texts = ["<|endoftext|>", " a b <|endoftext|> c <|endoftext|><|endoftext|>\n x", "plain text <|endoftext>", "a<|endoftext|>b", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    parts = defaultdict(list)
+    for r in packing.pack(df, tokenizer(), special=True).collect():
+        parts[r.doc_id].append(r)
+    for k, text in enumerate(texts):
+        ids = np.array([*reader.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        own = sorted(parts[k], key=lambda x: x.start)
+        assert b"".join(bytes(x.ids) for x in own) == ids.tobytes() and {x.doc_tokens for x in own} == {len(ids)}
+
+
 def test_chats_round_trip(spark):
     texts = ["</s>[INST] ok [/INST]", "", None, "\\", "\\\\[\\INST]", "[ROLE]x[TEXT]", "<<SYS>> <</SYS>>\\n é🙂\n"]
     rows = [(k, t, role, texts[(k + t) % len(texts)], 1) for k in range(7) for t, role in enumerate(["system", "user", "assistant", "tool<s>", None])]
