@@ -15,11 +15,15 @@ from ethospark.llm import (
     language_id,
     line_dedup,
     lm_scoring,
+    merkle,
     packing,
     quality_rules,
     suffix_dedup,
+    token_files,
+    vector_codes,
 )
 from ethospark.llm.common import fold_of, table
+from ethospark.session import scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -162,3 +166,131 @@ LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g USING (doc_
 )
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, folder, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+def _vector_sql(rounds: int = 4) -> str:
+    """All parts against all entries in every round."""
+    nearest = """
+{to} AS (
+    SELECT vec_id, label, p, v, arg_min(e, (d, e)) AS e, min(d) AS d FROM (
+        SELECT x.vec_id, x.label, x.p, x.v, b.e,
+            CAST(list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+        FROM x JOIN {books} b ON b.p = x.p
+    ) GROUP BY vec_id, label, p, v
+)"""
+    moved = """
+{to} AS (
+    SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM {books} b LEFT JOIN (
+        SELECT p, e, list(c ORDER BY k) AS v FROM (
+            SELECT p, e, k, CAST(floor(CAST(sum(v[k]) AS DECIMAL(38,0)) / count(*)) AS BIGINT) AS c
+            FROM {near}, unnest(range(1, 1 + len(v))) AS u(k) GROUP BY p, e, k
+        ) GROUP BY p, e
+    ) m ON m.p = b.p AND m.e = b.e
+)"""
+    steps = []
+    for r in range(rounds):
+        steps += [nearest.format(to=f"n{r} ", books=f"b{r}"), moved.format(to=f"b{r + 1}", books=f"b{r}", near=f"n{r}")]
+    last = f"b{rounds}"
+    return f"""
+WITH usable AS (
+    SELECT vec_id, label, list_transform(embedding, lambda c: CAST(floor(1024 * CAST(c AS DOUBLE)) AS BIGINT)) AS v,
+        row_number() OVER (ORDER BY vec_id) - 1 AS e
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), x AS (
+    SELECT vec_id, label, e, p, v[p * len(v) // 4 + 1 : (p + 1) * len(v) // 4] AS v FROM usable, unnest(range(4)) AS u(p)
+), b0 AS (SELECT p, e, v FROM x WHERE e < 256), {",".join(steps)}, {nearest.format(to="z", books=last)}, coded AS (
+    SELECT vec_id, label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error
+    FROM z GROUP BY vec_id, label
+)
+SELECT vec_id, label, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+    (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) FROM {last}) AS codebooks_sha256
+FROM coded
+"""
+
+
+@query("op11_vector_codes", _vector_sql())
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    codebooks, coded = vector_codes.vector_codes(table(spark, folder, "embeddings"))
+    return coded.select(
+        "vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error",
+        F.lit(codebooks.sha256).alias("codebooks_sha256"), "label",
+    )
+
+
+_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+@query(
+    "op12_merkle_manifest",
+    r"""
+WITH RECURSIVE crc AS (
+    SELECT DISTINCT doc_id, list_reduce(
+        list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(8 * length(CAST(doc_id AS VARCHAR))),
+            lambda j: CASE WHEN j % 8 = 0 THEN ascii(substr(CAST(doc_id AS VARCHAR), j // 8 + 1, 1)) ELSE 0 END)),
+        lambda c, b: xor(xor(c, b) >> 1, (xor(c, b) & 1) * 3988292384)) AS c
+    FROM documents WHERE doc_id IS NOT NULL
+), d AS (
+    SELECT d.*, coalesce(xor(c, 4294967295) % 7 = 0, false) AS hit FROM documents d LEFT JOIN crc USING (doc_id)
+), lead_ AS (
+    SELECT doc_id, lang, sha256(p || n || t) AS leaf,
+        sha256(p || CASE WHEN hit AND n_chars IS NOT NULL THEN strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1) ELSE n END || t) AS own
+    FROM (
+        SELECT *, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                || coalesce(strlen(lang) || ':' || lang, '-') AS p,
+            coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS n, coalesce(strlen(text) || ':' || text, '-') AS t
+        FROM d
+    )
+), leaves AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r, count(*) OVER (PARTITION BY lang) AS n FROM lead_
+), low AS (
+    SELECT lang, 0 AS level, r, n, leaf AS h FROM leaves
+    UNION ALL
+    SELECT lang, level + 1, r // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY r))
+    FROM low WHERE n > 1 GROUP BY lang, level, r // 2, n
+), sub AS (
+    SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS r, count(*) OVER () AS n FROM low WHERE n = 1
+), high AS (
+    SELECT 0 AS level, r, n, h FROM sub
+    UNION ALL
+    SELECT level + 1, r // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY r)) FROM high WHERE n > 1 GROUP BY level, r // 2, n
+), climb AS (
+    SELECT l.doc_id, l.lang, l.leaf, l.own, 0 AS level, l.r, l.n, l.own AS h, '' AS proof, false AS up, l.r AS place FROM leaves l
+    UNION ALL
+    SELECT c.doc_id, c.lang, c.leaf, c.own,
+        CASE WHEN c.n > 1 THEN c.level + 1 ELSE 0 END, CASE WHEN c.n > 1 THEN c.r // 2 ELSE s.r END, CASE WHEN c.n > 1 THEN (c.n + 1) // 2 ELSE s.n END,
+        CASE WHEN c.n = 1 THEN c.h WHEN c.r % 2 = 0 THEN sha256(c.h || coalesce(b.h, t.h, '')) ELSE sha256(coalesce(b.h, t.h) || c.h) END,
+        CASE WHEN c.n = 1 THEN c.proof ELSE c.proof || coalesce(b.h, t.h, '') END, c.up OR c.n = 1, c.place
+    FROM climb c
+    LEFT JOIN low b ON NOT c.up AND c.n > 1 AND b.lang IS NOT DISTINCT FROM c.lang AND b.level = c.level AND b.r = xor(c.r, 1)
+    LEFT JOIN high t ON c.up AND c.n > 1 AND t.level = c.level AND t.r = xor(c.r, 1)
+    LEFT JOIN sub s ON s.lang IS NOT DISTINCT FROM c.lang
+    WHERE NOT (c.up AND c.n = 1)
+)
+SELECT c.doc_id, c.leaf, s.h AS subroot, g.h AS root, sha256(c.proof) AS proof_sha256, c.h AS folded_root, c.h = g.h AS verified
+FROM climb c LEFT JOIN sub s ON s.lang IS NOT DISTINCT FROM c.lang, (SELECT h FROM high WHERE n = 1) g
+WHERE c.up AND c.n = 1
+""",
+)
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.lit(False))
+    changed = [F.col(c) + 1 if c == "n_chars" else F.col(c) for c in _FIELDS]
+    leaves = docs.select(
+        "doc_id", "lang", merkle.leaf_digest(*map(F.col, _FIELDS)).alias("node"),
+        F.when(tampered, merkle.leaf_digest(*changed)).alias("tampered"),
+    )
+    tree = merkle.merkle_tree(leaves, "lang", ["doc_id"])
+    folded = tree.withColumn("folded_root", merkle.fold(F.coalesce("tampered", "node"), F.col("path")))
+    return folded.select(
+        "doc_id", F.col("node").alias("leaf"), "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+@query("op13_token_files")
+def op13_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_folder(spark, "token-files")
+    token_files.write_tokens(table(spark, folder, "documents"), path, tokenizer(), special=True)
+    read = token_files.read_documents(spark, path)
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
