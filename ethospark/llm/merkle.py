@@ -20,7 +20,7 @@ partitioning. Only DataFrame functions.
 Defined cases: null values are leaves' ``-``, so rows with nulls have distinct digests from those with
 empty texts; the null group is first; null order keys are first. Rows equal in group and order key follow the
 digest of the leaf; equal rows are equal leaves, each in its own place. An empty table gives an empty
-result. Columns that no argument names are not read.
+result.
 """
 
 from __future__ import annotations
@@ -115,17 +115,21 @@ def _tree(nodes: DataFrame, order: list[str], height: int, finish: Callable[[Dat
 def merkle_tree(leaves: DataFrame, group: str, order: list[str], height: int = HEIGHT) -> DataFrame:
     """``leaves`` plus ``subroot`` (of the group), ``root`` and ``path`` from the leaf to the root.
 
-    ``leaves`` has a column ``node``, the digests; names of columns that this adds are not allowed in it."""
+    ``leaves`` has a column ``node``, the digests; its other columns pass through, but for those named as the new ones."""
     def over_groups(subroots: DataFrame) -> DataFrame:
         kept = stored(subroots, "merkle-subroots")
         tops = kept.select(F.lit("").alias("group"), F.col("group").alias("name"), "node")
         top = _tree(tops, ["name"], height, lambda one: one.withColumns({"root": F.col("node"), "path": _no_path()}))
         return kept.join(top.select(F.col("name").alias("group"), "path", "root"), "group")
 
-    taken = {"group", "rank", "total", "part", "i", "before", "block", "top", "path", "rest", "subroot", "root"} & set(leaves.columns)
-    if taken:
-        raise ValueError(f"columns with names of the tree: {sorted(taken)}")
-    return _tree(leaves.withColumn("group", _key(group)), [*order, "node"], height, over_groups).drop("group")
+    keys = [f"o{k}" for k in range(len(order))]
+    own = leaves.select(
+        F.struct(*[leaves[c] for c in leaves.columns]).alias("row"), _key(group).alias("group"),
+        *[F.col(c).alias(k) for c, k in zip(order, keys)], "node",
+    )
+    tree = _tree(own, [*keys, "node"], height, over_groups)
+    kept = [F.col("row").getField(c).alias(c) for c in leaves.columns if c not in ("subroot", "root", "path")]
+    return tree.select(*kept, "subroot", "root", "path")
 
 
 def _no_path() -> Column:

@@ -167,7 +167,7 @@ def read_documents(spark: SparkSession, path: str, id_column: str = "doc_id", wa
         text = F.explode(F.arrays_zip("text_ids", "ordinals", "starts", "sizes")).alias("t")
         texts = shards.select("part", "first", text)
         found = texts.join(listed, texts["t.text_ids"].eqNullSafe(listed["__wanted"]), "left_semi")
-        lists = found.groupBy("part", "first").agg(F.sort_array(F.collect_list(F.struct("t.ordinals", "t.*"))).alias("t"))
+        lists = found.groupBy("part", "first").agg(F.sort_array(F.collect_list(F.struct("t.ordinals", "t.text_ids", "t.starts", "t.sizes"))).alias("t"))
         lists = lists.select("part", "first", *[F.col(f"t.{c}").alias(c) for c in ("text_ids", "ordinals", "starts", "sizes")])
         shards = shards.drop("text_ids", "ordinals", "starts", "sizes").join(lists, ["part", "first"])
     decoded = _decoded(shards, wanted is None)
