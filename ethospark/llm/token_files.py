@@ -156,6 +156,14 @@ def _decoded(shards: DataFrame, whole: bool) -> DataFrame:
     return shards.mapInArrow(task, f"part int, ordinal long, __id {kind}, start long, n_tokens long, at long, ids binary")
 
 
+def _only_cut(shards: DataFrame) -> DataFrame:
+    """``shards`` that hold a text in part, with these texts alone: at most two of a shard."""
+    lists = ["text_ids", "ordinals", "starts", "sizes"]
+    begins, ends = F.col("first"), F.col("first") + F.col("n_ids")
+    cut = F.filter(F.arrays_zip(*lists), lambda t: (t.starts < begins) | (t.starts + t.sizes > ends))
+    return shards.withColumn("cut", cut).filter(F.size("cut") > 0).withColumns({c: F.col(f"cut.{c}") for c in lists}).drop("cut")
+
+
 def read_documents(spark: SparkSession, path: str, id_column: str = "doc_id", wanted: DataFrame | None = None) -> DataFrame:
     """One row per text: the id, start (ids of all texts before), n_tokens, ids (little-endian 32 bits).
 
@@ -170,16 +178,15 @@ def read_documents(spark: SparkSession, path: str, id_column: str = "doc_id", wa
         lists = found.groupBy("part", "first").agg(F.sort_array(F.collect_list(F.struct("t.ordinals", "t.text_ids", "t.starts", "t.sizes"))).alias("t"))
         lists = lists.select("part", "first", *[F.col(f"t.{c}").alias(c) for c in ("text_ids", "ordinals", "starts", "sizes")])
         shards = shards.drop("text_ids", "ordinals", "starts", "sizes").join(lists, ["part", "first"])
-    decoded = _decoded(shards, wanted is None)
     cut = F.octet_length("ids") < 4 * F.col("n_tokens")
+    whole = _decoded(shards, wanted is None).filter(~cut).select("part", "__id", "start", "n_tokens", "ids")
     together = F.aggregate(F.sort_array(F.collect_list(F.struct("at", "ids"))), F.lit(b""), lambda ids, x: F.concat(ids, x.ids))
-    long_texts = (
-        decoded.filter(cut)
+    put_together = (
+        _decoded(_only_cut(shards), False)
         .groupBy("part", "ordinal")
         .agg(F.first("__id").alias("__id"), F.first("start").alias("start"), F.first("n_tokens").alias("n_tokens"), together.alias("ids"))
     )
-    texts = decoded.filter(~cut).select("part", "__id", "start", "n_tokens", "ids")
-    texts = texts.unionByName(long_texts.select("part", "__id", "start", "n_tokens", "ids"))
+    texts = whole.unionByName(put_together.drop("ordinal"))
     return texts.join(F.broadcast(parts.select("part", "before")), "part").select(
         F.col("__id").alias(id_column), (F.col("before") + F.col("start")).alias("start"), "n_tokens", "ids"
     )

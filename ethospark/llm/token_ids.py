@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from ethospark.llm.text import utf8
 
 SLICE_BYTES = 8 << 20
-TABLE_BYTES = 16 << 20
+TABLE_BYTES = 6 << 20
 #: Fixed value: the pattern of byte-level BPE that splits a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SPACE = np.zeros(256, bool)
