@@ -10,10 +10,8 @@ Scale: no shuffle. Each task tokenises its rows and packs them from a pool of at
 pending pieces, so memory does not depend on the size of a partition; sequence ids carry the
 number of the partition.
 
-Ids are those of the tokenizer file; strings of its special tokens in a text are ordinary text, or with
-``special`` those tokens, as the tokenizer reads them unless told otherwise.
-Words repeat, so a task remembers the ids of the last words it met: a text is cut in front of each
-space that follows a non-space, where the tokenizer's pattern always begins a new token.
+Ids are those of the tokenizer file (``token_ids``); strings of its special tokens in a text are ordinary
+text, or with ``special`` those tokens, as the tokenizer reads them unless told otherwise.
 
 Defined cases: a null or empty text is the end token alone; repeated rows are packed each; an empty
 table gives an empty table. Only the id and the text (and ``loss_column``, if given) are read.
@@ -21,10 +19,6 @@ table gives an empty table. Only the id and the text (and ``loss_column``, if gi
 
 from __future__ import annotations
 
-import json
-import re
-from array import array
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -32,122 +26,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ethospark.llm.text import pieces
+from ethospark.llm.token_ids import TokenIds, with_end
 
 CAPACITY = 1024
 POOL = 512
-CACHE = 250_000  # words of a generation; a task remembers the ids of two generations of words
+SLICE_BYTES = 4 << 20  # of text that is tokenised at once, or one text
 END_ID = 0
-#: Fixed value: the pattern of byte-level BPE that splits a text before merging.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_MIDDLE = re.compile(r"\s ")
-_WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([^\w\s]+)")
-
-
-def _byte_of() -> dict[str, int]:
-    """Characters that stand for bytes in the vocabulary: printable ones for themselves, the others
-    for those from U+0100 on."""
-    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-    other = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
-
-
-class _Marks(dict):
-    """Ids of runs of marks that follow a word."""
-
-    def __init__(self, encoder: Encoder):
-        self.encoder = encoder
-
-    def __missing__(self, marks: str) -> bytes:
-        found = self.encoder.whole(marks)
-        if len(marks) <= 8 and len(self) < 50_000:
-            self[marks] = found
-        return found
-
-
-class Encoder(dict):
-    """Texts → little-endian 32-bit ids of a byte-level BPE file; the dict has words after a space."""
-
-    _loaded: dict[str, Encoder] = {}
-
-    @classmethod
-    def load(cls, path: str) -> Encoder:
-        """One for each Python worker."""
-        if path not in cls._loaded:
-            cls._loaded[path] = cls(path)
-        return cls._loaded[path]
-
-    def __init__(self, path: str):
-        import tiktoken
-
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
-        special, byte_of = {t["content"]: t["id"] for t in spec["added_tokens"]}, _byte_of()
-        self.special = {t: i.to_bytes(4, "little") for t, i in special.items()}
-        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")" if special else "(?!)")
-        ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-        self.bpe = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.before: dict[str, bytes] = {}
-        self.marks = _Marks(self)
-
-    def whole(self, text: str) -> bytes:
-        return array("I", self.bpe.encode_ordinary(text)).tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        marked = _WORD_AND_MARKS.fullmatch(word)
-        if marked:  # letters, then marks: two tokens of the pattern
-            return self[marked[1]] + self.marks[marked[2]]
-        found = self.before.get(word) or self.whole(" " + word)
-        if len(word) <= 64:
-            if len(self) >= CACHE:
-                self.before = dict(self)
-                self.clear()
-            self[word] = found
-        return found
-
-    def encode(self, text: str) -> bytes:
-        parts = text.split(" ")
-        if len(parts) > 1 and _MIDDLE.search(text):  # spaces inside white space begin no token
-            joined = parts[:2]
-            for before, part in zip(parts[1:], parts[2:]):
-                if not before or before[-1].isspace():
-                    joined[-1] += " " + part
-                else:
-                    joined.append(part)
-            if joined[0][-1:].isspace():
-                joined[:2] = [joined[0] + " " + joined[1]]
-            parts = joined
-        return self.whole(parts[0]) + b"".join(map(self.__getitem__, parts[1:]))
-
-
-    def encode_special(self, text: str) -> bytes:
-        """Special tokens have their ids; what is between them is encoded by itself."""
-        if not self.cut.search(text):
-            return self.encode(text)
-        return b"".join(self.special[x] if x in self.special else self.encode(x) for x in self.cut.split(text) if x)
 
 
 class Packer:
-    """The sequences of one task. A piece is (doc, start, ids, loss, total): ids and loss per token."""
+    """The sequences of one task. A piece is (doc, start, ids, loss, total); all or none of its tokens bear loss."""
 
     def __init__(self, first_id: int, capacity: int, max_segments: int, max_loss: int, emit):
         self.limits = np.array([capacity, max_segments, max_loss], float)
         self.capacity, self.max_loss = capacity, max_loss
         self.sequence, self.emit = first_id, emit
-        self.pool, self.demands = [], []  # pending pieces and their (tokens, 1, loss-bearing tokens)
+        slots = POOL + 16
+        self.pieces = [None] * slots  # pending pieces, in slots
+        self.free = list(range(slots))
+        self.there = np.zeros(slots, bool)
+        self.demands = np.zeros((slots, 3))  # of each slot: tokens, 1, loss-bearing tokens
 
     @staticmethod
     def _cut(piece, n: int):
         """The first ``n`` tokens, and the rest."""
         doc, start, ids, loss, total = piece
-        return (doc, start, ids[:n], loss[:n], total), (doc, start + n, ids[n:], loss[n:], total)
+        return (doc, start, ids[:n], loss, total), (doc, start + n, ids[n:], loss, total)
 
-    def _fits(self, piece, tokens: int, loss: int) -> int:
+    @staticmethod
+    def _fits(piece, tokens: int, loss: int) -> int:
         """Tokens of the piece's head that respect both limits."""
-        n = min(tokens, len(piece[2]))
-        bearing = np.cumsum(piece[3][:n])
-        return int(np.searchsorted(bearing, loss, "right")) if n and bearing[-1] > loss else n
+        return min(tokens, len(piece[2]), loss) if piece[3] else min(tokens, len(piece[2]))
 
-    def add(self, doc, ids: np.ndarray, loss: np.ndarray) -> None:
+    def add(self, doc, ids: np.ndarray, loss: bool) -> None:
         piece = (doc, 0, ids, loss, len(ids))
         while len(piece[2]) >= self.capacity:
             n = self._fits(piece, self.capacity, self.max_loss)
@@ -155,17 +66,25 @@ class Packer:
                 n = 1 << (n.bit_length() - 1)
             head, piece = self._cut(piece, n)
             self._close([head])
-        self._pend(piece)
-        if len(self.pool) >= POOL:
+        self._pend((*piece[:2], piece[2].copy(), *piece[3:]))  # a copy: the slice's ids are let go
+        if len(self.free) <= 16:
             self._fill(POOL // 2)
 
     def finish(self) -> None:
         self._fill(0)
 
     def _pend(self, piece) -> None:
-        if len(piece[2]):
-            self.pool.append(piece)
-            self.demands.append((len(piece[2]), 1, np.count_nonzero(piece[3])))
+        tokens = len(piece[2])
+        if tokens:
+            slot = self.free.pop()
+            self.pieces[slot] = piece
+            self.there[slot] = True
+            self.demands[slot] = tokens, 1, tokens if piece[3] else 0
+
+    def _take(self, slot: int):
+        self.there[slot] = False
+        self.free.append(slot)
+        return self.pieces[slot]
 
     def _close(self, chosen) -> None:
         offset = 0
@@ -175,25 +94,21 @@ class Packer:
         self.sequence += 1
 
     def _fill(self, until: int) -> None:
-        while len(self.pool) > until:
-            demand = np.array(self.demands, float)
-            there, taken = np.ones(len(self.pool), bool), []
+        while len(self.pieces) - len(self.free) > until:
+            chosen, rest = [], []
             room = self.limits.copy()
             while True:
-                fits = np.flatnonzero(there & (demand <= room).all(axis=1))
+                fits = np.flatnonzero(self.there & (self.demands <= room).all(axis=1))
                 if not len(fits):
                     break
-                best = fits[np.argmax((demand[fits] / self.limits) @ (room / self.limits))]
-                there[best] = False
-                room -= demand[best]
-                taken.append(best)
-            chosen, rest = [self.pool[k] for k in taken], []
-            if room[0] and room[1] and there.any():
-                longest = int(np.argmax(np.where(there, demand[:, 0], -1)))
-                n = self._fits(self.pool[longest], int(room[0]), int(room[2]))
+                best = int(fits[np.argmax(self.demands[fits] @ (room / self.limits**2))])
+                room -= self.demands[best]
+                chosen.append(self._take(best))
+            if room[0] and room[1] and self.there.any():
+                longest = int(np.argmax(np.where(self.there, self.demands[:, 0], -1)))
+                n = self._fits(self.pieces[longest], int(room[0]), int(room[2]))
                 if n:
-                    there[longest] = False
-                    head, tail = self._cut(self.pool[longest], n)
+                    head, tail = self._cut(self._take(longest), n)
                     chosen.append(head)
                     rest.append(tail)
             total = sum(len(p[2]) for p in chosen)
@@ -205,8 +120,6 @@ class Packer:
                     chosen.append(head)
                 rest.append(last)
                 beyond -= len(last[2])
-            stay = np.flatnonzero(there)
-            self.pool, self.demands = [self.pool[k] for k in stay], [self.demands[k] for k in stay]
             for p in rest:
                 self._pend(p)
             self._close(chosen)
@@ -232,12 +145,11 @@ def pack(
     schema = f"__id {kind}, start long, length long, ids binary, n_loss long, doc_tokens long, sequence_id long, offset long"
 
     def task(batches):
-        encoder, rows, size = Encoder.load(tokenizer), [], 0
-        encode = encoder.encode_special if special else encoder.encode
+        encoder, rows, size = TokenIds.load(tokenizer), [], 0
 
         def emit(p, sequence, offset):
             nonlocal size
-            rows.append((p[0], p[1], len(p[2]), p[2].tobytes(), int(p[3].sum()), p[4], sequence, offset))
+            rows.append((p[0], p[1], len(p[2]), p[2].tobytes(), len(p[2]) if p[3] else 0, p[4], sequence, offset))
             size += 4 * len(p[2]) + 64
 
         def batch():
@@ -250,13 +162,14 @@ def pack(
             return made
 
         packer, id_type = None, None
-        for piece in pieces(batches, "__text"):
+        for piece in pieces(batches, "__text", SLICE_BYTES):
             if packer is None:
                 id_type = piece.column("__id").type
                 packer = Packer(TaskContext.get().partitionId() << 33, capacity, max_segments, most, emit)
-            for doc, text, loss in zip(*(piece.column(c).to_pylist() for c in ("__id", "__text", "__loss"))):
-                ids = np.frombuffer(encode(text or "") + END_ID.to_bytes(4, "little"), "<u4")
-                packer.add(doc, ids, np.full(len(ids), loss))
+            ids, offsets = with_end(*encoder.encode(piece.column("__text"), special), END_ID)
+            docs_and_loss = zip(piece.column("__id").to_pylist(), piece.column("__loss").to_pylist())
+            for (doc, loss), begin, end in zip(docs_and_loss, offsets.tolist(), offsets[1:].tolist()):
+                packer.add(doc, ids[begin:end], loss)
                 if size > 1 << 21:
                     yield batch()
         if packer:

@@ -68,6 +68,13 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat((starts - (ends - lengths)).astype(kind), lengths) + np.arange(total, dtype=kind)
 
 
+def _slices(words: pa.Array) -> list[bytes]:
+    """The values of a large binary array without nulls; many times faster than ``to_pylist``."""
+    offsets = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, 8 * words.offset)
+    data, offsets = words.buffers()[2].slice(int(offsets[0])).to_pybytes(), (offsets - offsets[0]).tolist()
+    return [data[a:b] for a, b in zip(offsets, offsets[1:])]
+
+
 class TokenIds:
     """Ids by one byte-level BPE file; keeps the ids of the words it met."""
 
@@ -142,7 +149,7 @@ class TokenIds:
             pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]
         )
         coded = pc.dictionary_encode(words)
-        distinct = coded.dictionary.to_pylist()
+        distinct = _slices(coded.dictionary)
         if self.table_bytes > TABLE_BYTES:
             self._forget()
         found = list(map(self.place.get, distinct))
