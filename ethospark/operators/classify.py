@@ -1,32 +1,39 @@
-"""Training, prediction and cross-validation with ``pyspark.ml`` learners."""
+"""Training, prediction and cross-validation.
+
+Random forests are those of ``pyspark.ml`` and see 0 for missing values; boosted trees are ``boosting``, whose
+splits send missing values to a learnt side.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ethospark.operators import crossval, evaluate
+from ethospark.operators import boosting, crossval, evaluate
+from ethospark.operators.boosting import BoostedTrees
 from ethospark.operators.matrix import augment_symmetric, balance, clean, model_columns
 from ethospark.operators.windows import quoted
 from ethospark.session import scratch_folder
 from ethospark.skeleton import LABEL_THRESHOLD, TRAINING_SEED
 
 FRAME = ["video", "identity", "frame"]
+FOLDS_AT_ONCE = 4  # folds whose jobs run beside each other
 
 
-def _forest(classes: int, seed: int, **params):
-    return RandomForestClassifier(**{"numTrees": 100, "maxDepth": 10, "seed": seed, **params})
+def _forest(vectors: DataFrame, width: int, classes: int, seed: int, **params) -> Model:
+    return RandomForestClassifier(**{"numTrees": 100, "maxDepth": 10, "seed": seed, **params}).fit(vectors)
 
 
-def _boosted(classes: int, seed: int, **params):
-    tree = GBTClassifier(**{"maxIter": 20, "maxDepth": 5, "seed": seed, **params})
-    return tree if classes <= 2 else OneVsRest(classifier=tree)
+def _boosted(vectors: DataFrame, width: int, classes: int, seed: int, maxIter: int = 20, maxDepth: int = 5, **params) -> BoostedTrees:
+    return boosting.fit(vectors, width, classes, maxIter, maxDepth, **params)
 
 
 # learners by name; the boosting libraries are not among them
@@ -39,26 +46,25 @@ LEARNERS: dict[str, Callable] = {
 class Classifier:
     """A fitted learner with the feature columns it expects, in order."""
 
-    def __init__(self, model: Model, columns: list[str], learner: str, classes: int):
+    def __init__(self, model: Model | BoostedTrees, columns: list[str], learner: str, classes: int):
         self.model, self.columns, self.learner, self.classes = model, columns, learner, classes
 
-    def _vectors(self, rows: DataFrame) -> DataFrame:
-        return _assemble(rows, self.columns, self.learner)
-
     def predict(self, rows: DataFrame) -> DataFrame:
         """Rows plus ``prediction`` and ``probs`` (one probability per class)."""
         others = [c for c in rows.columns if c not in self.columns]
         model_columns(rows, self.columns)  # raises when one is missing
-        out = self.model.transform(self._vectors(rows))
-        prediction = F.col("prediction").cast("int")
-        if "probability" in out.columns:
-            probs = vector_to_array("probability")
-        else:  # one model per class: only the raw scores are kept, so normalise them
-            raw = F.transform(vector_to_array("rawPrediction"), lambda m: 1 / (1 + F.exp(-2 * m)))
-            out = out.withColumn("_raw", raw)
-            total = F.aggregate("_raw", F.lit(0.0), lambda s, p: s + p)
-            probs = F.transform("_raw", lambda p: p / total)
-        return out.select(*map(quoted, others), prediction.alias("prediction"), probs.alias("probs"))
+        out = self.score(_assemble(rows, self.columns, self.learner))
+        return out.select(*map(quoted, others), "prediction", "probs")
+
+    def score(self, vectors: DataFrame) -> DataFrame:
+        """Rows with ``features`` plus ``prediction`` and ``probs``."""
+        if isinstance(self.model, BoostedTrees):
+            out = vectors.withColumn("probs", self.model.probabilities(F.col("features")))
+            best = F.array_position("probs", F.array_max("probs")) - 1
+            return out.withColumn("prediction", best.cast("int"))
+        out = self.model.transform(vectors)
+        found = {"prediction": F.col("prediction").cast("int"), "probs": vector_to_array("probability")}
+        return out.withColumns(found).drop("rawPrediction", "probability")
 
     def predict_frames(self, rows: DataFrame, frames: DataFrame) -> DataFrame:
         """Class and confidence for every row of ``frames``; frames without a row get -1 and 0."""
@@ -69,10 +75,9 @@ class Classifier:
         return evaluate.derive_predictions(filled).withColumnRenamed("confidence", "prob")
 
     def importance(self, limit: int = 20) -> list[tuple[str, float]]:
-        """Features by importance (2 decimals), highest first; empty if the learner has none."""
-        if not hasattr(self.model, "featureImportances"):
-            return []
-        weights = self.model.featureImportances.toArray()
+        """Features by importance (2 decimals), highest first."""
+        boosted = isinstance(self.model, BoostedTrees)
+        weights = self.model.importance() if boosted else self.model.featureImportances.toArray()
         ranked = sorted(
             zip(self.columns, (round(float(w), 2) for w in weights)), key=lambda p: p[1], reverse=True
         )
@@ -80,49 +85,58 @@ class Classifier:
 
 
 def _assemble(rows: DataFrame, columns: Sequence[str], learner: str) -> DataFrame:
-    # Spark's trees have no missing-value branch, so gaps are filled for every learner; the
-    # assembler resolves plain names only
+    """The other columns plus ``features``: a vector, or an array with gaps for boosted trees."""
     ready = clean(rows, columns, learner)
-    short = {c: f"f{i}" for i, c in enumerate(columns)}
-    others = [f"`{c}`" for c in rows.columns if c not in short]
-    renamed = ready.selectExpr(*others, *[f"coalesce(`{c}`, 0D) AS {n}" for c, n in short.items()])
-    assembler = VectorAssembler(inputCols=list(short.values()), outputCol="features")
-    return assembler.transform(renamed)
+    others = [c for c in rows.columns if c not in set(columns)]
+    if learner == "gradient_boosting":
+        return ready.select(*map(quoted, others), F.array(*map(quoted, columns)).cast("array<double>").alias("features"))
+    short = {c: f"f{i}" for i, c in enumerate(columns)}  # the assembler resolves plain names only
+    renamed = ready.selectExpr(*[f"`{c}`" for c in others], *[f"`{c}` AS {n}" for c, n in short.items()])
+    return VectorAssembler(inputCols=list(short.values()), outputCol="features").transform(renamed).drop(*short.values())
 
 
-def train(
-    rows: DataFrame,
-    columns: Sequence[str],
-    key: Sequence[str] = FRAME,
-    learner: str = "random_forest",
-    symmetric: bool = False,
-    balanced: bool = False,
-    seed: int = TRAINING_SEED,
-    **params,
-) -> Classifier:
-    """Fit on ``label`` (0, 1, …): mirror images first, then balancing, then the learner."""
+def _training_vectors(rows: DataFrame, columns: Sequence[str], key: Sequence[str], learner: str, symmetric: bool) -> DataFrame:
+    """Stored rows of ``key``, ``image`` (a mirror image), label and features, computed once."""
     if learner not in LEARNERS:
         raise ValueError(f"unknown learner {learner!r}, have {sorted(LEARNERS)}")
-    columns = list(columns)
     if symmetric:
-        rows = augment_symmetric(rows, columns)
-    rows = rows.withColumn("_image", F.xxhash64(*map(quoted, columns)))  # tells a row from its mirror image
-    key = [k for k in key if k in rows.columns]
+        rows = augment_symmetric(rows, columns, mark="image")
+    else:
+        rows = rows.withColumn("image", F.lit(False))
     label = F.col("label").cast("double").alias("label")
     path = scratch_folder(rows.sparkSession, "training-vectors")
-    _assemble(rows, columns, learner).select(*key, "_image", label, "features").write.parquet(path)
-    vectors = rows.sparkSession.read.parquet(path)  # features are computed once, whatever follows reads
+    _assemble(rows, columns, learner).select(*key, "image", label, "features").write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
+def _fit(vectors: DataFrame, columns: list[str], key: Sequence[str], learner: str, balanced: bool, seed: int, params: dict) -> Classifier:
     if balanced:
-        vectors = balance(vectors, [*key, "_image"], "label", seed)
+        vectors = balance(vectors, [*key, "image"], "label", seed)
     vectors = vectors.select("features", "label")
     seen = vectors.agg(F.countDistinct("label").alias("n"), F.max("label").alias("top")).first()
     if seen["n"] < 2:
         raise ValueError(f"training needs at least 2 classes, found {seen['n']}")
     classes = int(seen["top"]) + 1
-    model = LEARNERS[learner](classes, seed, **params).fit(vectors)
+    model = LEARNERS[learner](vectors, len(columns), classes, seed, **params)
     return Classifier(model, columns, learner, classes)
 
 
+def train(
+    rows: DataFrame,
+    columns: Sequence[str],
+    key: Sequence[str] = FRAME,
+    learner: str = "random_forest",
+    symmetric: bool = False,
+    balanced: bool = False,
+    seed: int = TRAINING_SEED,
+    **params,
+) -> Classifier:
+    """Fit on ``label`` (0, 1, …): mirror images first, then balancing, then the learner."""
+    columns, key = list(columns), [k for k in key if k in rows.columns]
+    vectors = _training_vectors(rows, columns, key, learner, symmetric)
+    return _fit(vectors, columns, key, learner, balanced, seed, params)
+
+
 def cross_validate(
     rows: DataFrame,
     columns: Sequence[str],
@@ -131,40 +145,46 @@ def cross_validate(
     excluded: DataFrame | None = None,
     threshold: int = LABEL_THRESHOLD,
     min_test_classes: int | None = None,
-    **training,
+    learner: str = "random_forest",
+    symmetric: bool = False,
+    balanced: bool = False,
+    seed: int = TRAINING_SEED,
+    **params,
 ) -> DataFrame:
     """Leave-one-group-out: one result row per fold.
 
-    ``rows`` has ``group_id``, ``label``, the key and the features; it is read once per fold, so
-    persist it. Folds are independent Spark jobs started from the driver, which holds the fold list
-    (one integer per fold) and one row of scores each.
+    ``rows`` has ``group_id``, ``label``, the key and the features. Its vectors are written once with their
+    group, whatever the number of folds; folds read them, ``FOLDS_AT_ONCE`` beside each other. The driver holds
+    the fold list and the count table (at most folds x classes²), which is scored once for all folds.
     """
-    spark = rows.sparkSession
-    counts = crossval.label_group_counts(rows)
-    validity = crossval.split_validity(counts, excluded, threshold, min_test_classes)
-    draw = F.xxhash64(F.lit(training.get("seed", TRAINING_SEED)), "group_id")  # the order that folds are drawn in
-    valid = validity.filter("valid").orderBy(draw, "group_id")
-    available = valid.count()
-    folds = crossval.resolve_splits(k, available)
-    schema = (
-        "fold int, test_group int, accuracy double, precision_macro double, recall_macro double, "
-        "f1_macro double, test_rows long, top_features array<string>"
-    )
-    results = []
-    for fold, group in enumerate((r["group_id"] for r in valid.limit(folds).collect()), 1):
-        training_rows = rows.filter(F.col("group_id") != group)
+    spark, columns = rows.sparkSession, list(columns)
+    key = [c for c in key if c in rows.columns and c != "group_id"]
+    vectors = _training_vectors(rows, columns, ["group_id", *key], learner, symmetric)
+    own = vectors.filter(~F.col("image"))  # mirror images are learnt from, never counted or tested
+    validity = crossval.split_validity(crossval.label_group_counts(own), excluded, threshold, min_test_classes)
+    draw = F.xxhash64(F.lit(seed), "group_id")  # the order that folds are drawn in
+    valid = [r["group_id"] for r in validity.filter("valid").orderBy(draw, "group_id").select("group_id").collect()]
+    groups = valid[: crossval.resolve_splits(k, len(valid))]
+
+    def run(numbered: tuple[int, int]) -> tuple[list[tuple], list[str]]:
+        fold, group = numbered
+        learnt = vectors.filter(F.col("group_id") != group)
         if excluded is not None:
-            training_rows = training_rows.join(excluded.select("group_id"), "group_id", "left_anti")
-        model = train(training_rows, columns, key, **training)
-        tested = model.predict(rows.filter(F.col("group_id") == group))
-        table = evaluate.confusion(tested)
-        # at most classes² rows: score them once and keep a single row
-        table = spark.createDataFrame(table.collect(), table.schema)
-        scores = evaluate.averaged_scores(table).first()
-        right = evaluate.accuracy(table).first()["accuracy"]
-        total = table.agg(F.sum("n")).first()[0]
-        results.append((
-            fold, int(group), right, scores["precision_macro"], scores["recall_macro"],
-            scores["f1_macro"], total, [n for n, _ in model.importance(10)],
-        ))
-    return spark.createDataFrame(results, schema)
+            learnt = learnt.join(excluded.select("group_id"), "group_id", "left_anti")
+        model = _fit(learnt, columns, key, learner, balanced, seed, params)
+        counts = evaluate.confusion(model.score(own.filter(F.col("group_id") == group))).collect()
+        table = [(fold, int(group), int(r["truth"]), r["predicted"], r["n"]) for r in counts]
+        return table, [name for name, _ in model.importance(10)]
+
+    with ThreadPoolExecutor(FOLDS_AT_ONCE) as pool:
+        found = list(pool.map(inheritable_thread_target(spark)(run), enumerate(groups, 1)))
+    by = ["fold", "test_group"]
+    counts = spark.createDataFrame(
+        [row for table, _ in found for row in table], "fold int, test_group int, truth int, predicted int, n long"
+    ).coalesce(1)
+    features = spark.createDataFrame([(i, top) for i, (_, top) in enumerate(found, 1)], "fold int, top_features array<string>")
+    scores = evaluate.averaged_scores(counts, by).join(evaluate.accuracy(counts, by), by)
+    scores = scores.join(counts.groupBy("fold").agg(F.sum("n").alias("test_rows")), "fold").join(features, "fold")
+    return scores.select(
+        *by, "accuracy", "precision_macro", "recall_macro", "f1_macro", "test_rows", "top_features"
+    ).orderBy("fold")

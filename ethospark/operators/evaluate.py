@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,47 +15,47 @@ def confusion(rows: DataFrame, truth: str = "label", predicted: str = "predictio
     )
 
 
-def accuracy(table: DataFrame) -> DataFrame:
+def accuracy(table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Share of right predictions, in all or per ``by``."""
     hit = F.when(F.col("truth") == F.col("predicted"), F.col("n")).otherwise(0)
-    return table.agg((F.sum(hit) / F.sum("n")).alias("accuracy"))
+    return table.groupBy(*by).agg((F.sum(hit) / F.sum("n")).alias("accuracy"))
 
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
 
-def class_scores(table: DataFrame) -> DataFrame:
-    """Precision, recall, F1 and support per class; 0 where undefined.
+def class_scores(table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Precision, recall, F1 and support per class (and ``by``); 0 where undefined.
 
     Classes are those that occur in truth or prediction.
     """
     n = F.col("n")
     sides = table.select(
-        F.explode(F.array(
+        *by, F.explode(F.array(
             F.struct(F.col("truth").alias("cls"), n.alias("t"), F.lit(0).cast("bigint").alias("p"),
                      F.when(F.col("truth") == F.col("predicted"), n).otherwise(0).alias("hit")),
             F.struct(F.col("predicted").alias("cls"), F.lit(0).cast("bigint").alias("t"), n.alias("p"),
                      F.lit(0).cast("bigint").alias("hit")),
         )).alias("s")
-    ).select("s.*")
-    sums = sides.groupBy("cls").agg(*[F.sum(c).alias(c) for c in ("t", "p", "hit")])
+    ).select(*by, "s.*")
+    sums = sides.groupBy(*by, "cls").agg(*[F.sum(c).alias(c) for c in ("t", "p", "hit")])
     precision, recall = _ratio(F.col("hit"), F.col("p")), _ratio(F.col("hit"), F.col("t"))
     f1 = _ratio(2 * F.col("hit"), F.col("t") + F.col("p"))
     return sums.select(
-        "cls", precision.alias("precision"), recall.alias("recall"), f1.alias("f1"),
+        *by, "cls", precision.alias("precision"), recall.alias("recall"), f1.alias("f1"),
         F.col("t").alias("support"),
     )
 
 
-def averaged_scores(table: DataFrame) -> DataFrame:
-    """Macro (mean over classes) and micro (pooled) precision, recall and F1."""
-    macro = class_scores(table).agg(
-        *[F.avg(c).alias(f"{c}_macro") for c in ("precision", "recall", "f1")]
-    )
+def averaged_scores(table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Macro (mean over classes) and micro (pooled) precision, recall and F1, in all or per ``by``."""
+    names = ("precision", "recall", "f1")
+    macro = class_scores(table, by).groupBy(*by).agg(*[F.avg(c).alias(f"{c}_macro") for c in names])
     # one prediction per row: pooled precision, recall and F1 are all the accuracy
-    micro = accuracy(table).select(
-        *[F.col("accuracy").alias(f"{c}_micro") for c in ("precision", "recall", "f1")]
-    )
+    micro = accuracy(table, by).select(*by, *[F.col("accuracy").alias(f"{c}_micro") for c in names])
+    if by:
+        return macro.join(micro, list(by))
     one = lambda df: df.withColumn("_one", F.lit(1))  # noqa: E731 (both sides are a single row)
     return one(macro).join(one(micro), "_one").drop("_one")
 

@@ -180,8 +180,8 @@ def mirrored_name(name: str) -> str:
     return re.sub("left|right", lambda m: swap[m.group()], name.lower())
 
 
-def augment_symmetric(features: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows plus their mirror images: left/right column pairs exchange values.
+def augment_symmetric(features: DataFrame, columns: Sequence[str], mark: str | None = None) -> DataFrame:
+    """Rows plus their mirror images: left/right column pairs exchange values. A column ``mark`` tells images.
 
     Names pair up without regard to case; a column whose partner does not exist keeps its values.
     Both copies come out of one pass over the input.
@@ -195,6 +195,7 @@ def augment_symmetric(features: DataFrame, columns: Sequence[str]) -> DataFrame:
     return twice.selectExpr(
         *[f"`{c}`" for c in others],
         *[f"IF(_mirror, `{partner[c]}`, `{c}`) AS `{c}`" for c in columns],
+        *([f"_mirror AS `{mark}`"] if mark else []),
     )
 
 

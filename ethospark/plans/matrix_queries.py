@@ -1,5 +1,7 @@
 """Feature-matrix, cross-validation, training and project queries."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from ethospark.operators import classify as C
@@ -492,6 +494,75 @@ def cross_validate(v):
         rows.unpersist()
 
 
+# Three classes that only the gaps of the features tell: nothing, the first or the second is missing.
+_GAPS = """
+    gaps AS (
+        SELECT event_id, user_id % 3 AS group_id,
+               CASE event_type WHEN 'error' THEN 1 WHEN 'signup' THEN 2 ELSE 0 END AS label FROM events)"""
+
+
+def _gaps(v):
+    kind = F.col("event_type")
+    label = F.when(kind == "error", 1).when(kind == "signup", 2).otherwise(0)
+    return v.table("events").select(
+        "event_id", (F.col("user_id") % 3).alias("group_id"), label.alias("label"),
+        F.when(label != 1, F.col("value")).alias("speed"), F.when(label != 2, F.col("value") * 2).alias("angle"),
+        (F.col("event_id") % 17).cast("double").alias("noise"),
+    )
+
+
+def _recall(rows):
+    """Rows per class, and whether nine of ten are found."""
+    right = F.count_if(F.col("prediction") == F.col("label")) / F.count(F.lit(1))
+    return rows.groupBy("label").agg(F.count(F.lit(1)).alias("frames"), (right > 0.9).alias("learnt"))
+
+
+@query(
+    "train_boosted_gaps",
+    f"WITH {_GAPS} SELECT (label > 0)::INT AS label, count(*) AS frames, TRUE AS learnt FROM gaps GROUP BY 1",
+)
+def train_boosted_gaps(v):
+    """Boosted trees send missing values to the side that tells the classes apart."""
+    rows = _gaps(v).withColumn("label", (F.col("label") > 0).cast("int"))
+    model = C.train(rows, ["speed", "angle", "noise"], ["event_id"], "gradient_boosting", maxIter=2, maxDepth=2)
+    return _recall(model.predict(rows))
+
+
+@query("train_boosted_gaps_multiclass", f"WITH {_GAPS} SELECT label, count(*) AS frames, TRUE AS learnt FROM gaps GROUP BY label")
+def train_boosted_gaps_multiclass(v):
+    rows = _gaps(v)
+    model = C.train(rows, ["speed", "angle", "noise"], ["event_id"], "gradient_boosting", maxIter=2, maxDepth=2)
+    return _recall(model.predict(rows))
+
+
+@query(
+    "cross_validate_multiclass",
+    f"WITH {_GAPS} SELECT group_id AS test_group, count(*) AS test_rows, TRUE AS learnt FROM gaps GROUP BY group_id",
+)
+def cross_validate_multiclass(v):
+    """Every group is the test side of one fold; forests see 0 for a gap, which no present value is."""
+    rows = _gaps(v).withColumns({c: F.col(c) + 1000 for c in ("speed", "angle")})
+    out = C.cross_validate(
+        rows, ["speed", "angle", "noise"], ["event_id"], k=math.inf, threshold=3, min_test_classes=2,
+        balanced=True, numTrees=5, maxDepth=4,
+    )
+    return out.select("test_group", "test_rows", (F.col("accuracy") > 0.9).alias("learnt"))
+
+
+@query(
+    "train_predict_totals",
+    f"""WITH {_MATRIX} SELECT quality AS label, count(*) AS documents, TRUE AS classes_known, TRUE AS confident
+    FROM matrix GROUP BY quality""",
+)
+def train_predict_totals(v):
+    """Every document has a class of the training and a confidence of at least one half."""
+    out = train_and_predict(v)
+    return out.groupBy("label").agg(
+        F.count(F.lit(1)).alias("documents"), F.bool_and(F.col("cls").isin(0, 1)).alias("classes_known"),
+        F.bool_and(F.col("confidence").between(0.5, 1)).alias("confident"),
+    )
+
+
 @query("classify_videos")
 def classify_videos(v):
     """Poses → features → window features → model → class and confidence for every frame."""
@@ -513,6 +584,20 @@ def classify_videos(v):
     return out.select(*FRAME, "cls", rounded("prob", 4).alias("prob"))
 
 
+@query(
+    "classify_videos_totals",
+    """SELECT video, count(*) AS frames, count(h.frame) AS classified, TRUE AS confident
+       FROM v_pose p LEFT JOIN v_pose_present h USING (video, identity, frame) GROUP BY video""",
+)
+def classify_videos_totals(v):
+    """Every frame with the animal has a class and every other one has none."""
+    has = F.col("cls") >= 0
+    return classify_videos(v).groupBy("video").agg(
+        F.count(F.lit(1)).alias("frames"), F.count_if(has).alias("classified"),
+        F.bool_and(F.when(has, F.col("prob") >= 0.5).otherwise(F.col("prob") == 0)).alias("confident"),
+    )
+
+
 @query("features_all_modules")
 def features_all_modules(v):
     """Every per-frame module at once (253 columns and the keys)."""
