@@ -42,35 +42,9 @@ def signed_distance(px: str, py: str, polygon_edges: str) -> str:
     )
 
 
-# Area moments of a polygon up to order 3 by Green's theorem, per edge; a is the edge's cross product.
-MOMENT_TERMS = {
-    "m00": "a / 2",
-    "m10": "a * (x0 + x1) / 6",
-    "m01": "a * (y0 + y1) / 6",
-    "m20": "a * (x0 * x0 + x0 * x1 + x1 * x1) / 12",
-    "m11": "a * (x0 * (2 * y0 + y1) + x1 * (y0 + 2 * y1)) / 24",
-    "m02": "a * (y0 * y0 + y0 * y1 + y1 * y1) / 12",
-    "m30": "a * (x0 + x1) * (x0 * x0 + x1 * x1) / 20",
-    "m21": "a * (x0 * x0 * (3 * y0 + y1) + 2 * x0 * x1 * (y0 + y1) + x1 * x1 * (y0 + 3 * y1)) / 60",
-    "m12": "a * (y0 * y0 * (3 * x0 + x1) + 2 * y0 * y1 * (x0 + x1) + y1 * y1 * (x0 + 3 * x1)) / 60",
-    "m03": "a * (y0 + y1) * (y0 * y0 + y1 * y1) / 20",
-}
-
-
-def polygon_moments(points: str) -> str:
-    """Raw area moments, counted positive whichever way the outline runs, as a struct."""
-    names = {"x0": "e.ax", "y0": "e.ay", "x1": "e.tx", "y1": "e.ty", "a": "(e.ax * e.ty - e.tx * e.ay)"}
-
-    def term(text: str) -> str:
-        return " ".join(names.get(w, w) for w in text.replace("(", "( ").replace(")", " )").split())
-
-    zero = ", ".join(f"'{m}', 0D" for m in MOMENT_TERMS)
-    step = ", ".join(f"'{m}', s.{m} + {term(t)}" for m, t in MOMENT_TERMS.items())
-    final = ", ".join(f"'{m}', IF(s.m00 < 0, -s.{m}, s.{m})" for m in MOMENT_TERMS)
-    return (
-        f"aggregate({edges(points)}, named_struct({zero}), (s, e) -> named_struct({step}), "
-        f"s -> named_struct({final}))"
-    )
+def polygon_area(points: str) -> str:
+    """Area by Green's theorem, positive whichever way the outline runs."""
+    return f"abs(aggregate({edges(points)}, 0D, (s, e) -> s + e.ax * e.ty - e.tx * e.ay)) / 2"
 
 
 def perimeter(points: str) -> str:

@@ -1,7 +1,8 @@
 """Per-frame features of an animal's segmentation contours.
 
-Input: contours by identity (video, identity, frame, contour, is_external, pts). Moments are exact
-polygon moments, holes counted negative; a rasterised contour differs by its border pixels.
+Input: contours by identity (video, identity, frame, contour, is_external, pts). Moments are those of the
+filled contours in pixels, outlines included (``functions.raster``); lengths, hulls and the area of holes
+are those of the polygons.
 """
 
 from __future__ import annotations
@@ -11,14 +12,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ethospark.functions import polygons
+from ethospark.functions import polygons, raster
 from ethospark.functions.angles import length
 from ethospark.operators.base_features import Features, gradient
 from ethospark.operators.frames import lookup_join, with_neighbours
 from ethospark.operators.pose import ANIMAL, scaled, trim_contours
 from ethospark.skeleton import DEFAULT_FPS
 
-RAW = list(polygons.MOMENT_TERMS)
 # The moments that become features.
 MOMENTS = [
     "m00", "mu20", "mu11", "mu02", "mu30", "mu21", "mu12", "mu03",
@@ -27,21 +27,20 @@ MOMENTS = [
 
 
 def shape_rows(contours: DataFrame, scales: DataFrame | None = None) -> DataFrame:
-    """One row per animal and frame: raw moments (pixels), outline length, hole area, all points.
+    """One row per animal and frame: raw moments of the filled contours, outline length, hole area, all points.
 
     An animal has a handful of contours per frame, so gathering its points is bounded.
     """
     rows = trim_contours(contours).selectExpr(
         *ANIMAL, "frame", "is_external", "pts", "IF(is_external, 1, -1) AS sign",
-        f"{polygons.polygon_moments('pts')} AS m", f"{polygons.perimeter('pts')} AS length",
+        f"IF(is_external, 0D, {polygons.polygon_area('pts')}) AS hole", f"{polygons.perimeter('pts')} AS length",
     )
     shapes = rows.groupBy(*ANIMAL, "frame").agg(*map(F.expr, [
-        *[f"sum(m.{n} * sign) AS {n}" for n in RAW],
-        "sum(length) AS outline",
-        "sum(IF(is_external, 0D, m.m00)) AS hole_area",
-        "double(sum(sign)) AS euler",
-        "flatten(collect_list(pts)) AS points",
+        "sum(length) AS outline", "sum(hole) AS hole_area", "double(sum(sign)) AS euler",
+        "collect_list(transform(pts, p -> struct(double(p.x) AS x, double(p.y) AS y))) AS contours",
     ]))
+    shapes = shapes.withColumn("m", raster.filled_moments(F.col("contours")))
+    shapes = shapes.select(*ANIMAL, "frame", "m.*", "outline", "hole_area", "euler", F.flatten("contours").alias("points"))
     return scaled(shapes, scales)
 
 

@@ -449,30 +449,51 @@ def features_food_hopper(v):
 
 # --- segmentation ---
 
-_AREA = "(x0 * y1 - x1 * y0)"
 _RAW = {
-    "m00": "a / 2",
-    "m10": "a * (x0 + x1) / 6",
-    "m01": "a * (y0 + y1) / 6",
-    "m20": "a * (x0 * x0 + x0 * x1 + x1 * x1) / 12",
-    "m11": "a * (2 * x0 * y0 + x0 * y1 + x1 * y0 + 2 * x1 * y1) / 24",
-    "m02": "a * (y0 * y0 + y0 * y1 + y1 * y1) / 12",
-    "m30": "a * (x0 * x0 * x0 + x0 * x0 * x1 + x0 * x1 * x1 + x1 * x1 * x1) / 20",
-    "m21": "a * (3 * x0 * x0 * y0 + x0 * x0 * y1 + 2 * x0 * x1 * y0 + 2 * x0 * x1 * y1 + x1 * x1 * y0 + 3 * x1 * x1 * y1) / 60",
-    "m12": "a * (3 * y0 * y0 * x0 + y0 * y0 * x1 + 2 * y0 * y1 * x0 + 2 * y0 * y1 * x1 + y1 * y1 * x0 + 3 * y1 * y1 * x1) / 60",
-    "m03": "a * (y0 * y0 * y0 + y0 * y0 * y1 + y0 * y1 * y1 + y1 * y1 * y1) / 20",
+    "m00": "1", "m10": "x", "m01": "y", "m20": "x * x", "m11": "x * y", "m02": "y * y",
+    "m30": "x * x * x", "m21": "x * x * y", "m12": "x * y * y", "m03": "y * y * y",
 }
-_SEGMENT = f"""WITH {_SCALE}, {CONTOUR_SQL},
-    contour_moments AS (
+# every pixel of a shape: between crossings of a pixel row, and on the outline
+_PIXELS = """
+    whole_edges AS (
+        SELECT video, identity, frame, x0::BIGINT AS x0, y0::BIGINT AS y0, x1::BIGINT AS x1, y1::BIGINT AS y1
+        FROM contour_edges),
+    slanted AS (
+        SELECT video, identity, frame, least(y0, y1) AS top, greatest(y0, y1) AS bottom,
+               CASE WHEN y0 < y1 THEN x0 ELSE x1 END AS xt, CASE WHEN y0 < y1 THEN x1 ELSE x0 END AS xb
+        FROM whole_edges WHERE y0 <> y1),
+    crossings AS (
+        SELECT video, identity, frame, y, xt * 65536 + (y - top) * (sign(xb - xt)::BIGINT * ((abs(xb - xt) * 65536) // (bottom - top))) AS x
+        FROM slanted, unnest(range(top, bottom)) AS r(y)),
+    spans AS (
+        SELECT video, identity, frame, y, (x + 32768) >> 16 AS first,
+               (lead(x) OVER w + 32768) >> 16 AS last, row_number() OVER w AS number
+        FROM crossings WINDOW w AS (PARTITION BY video, identity, frame, y ORDER BY x)),
+    lines AS (
+        SELECT video, identity, frame, least(x0, x1) AS xl, CASE WHEN x1 < x0 THEN y1 ELSE y0 END AS yl,
+               abs(x1 - x0) AS wide, abs(y1 - y0) AS high,
+               CASE WHEN x1 < x0 THEN sign(y0 - y1) ELSE sign(y1 - y0) END::BIGINT AS way
+        FROM whole_edges),
+    pixels AS (
+        SELECT video, identity, frame, x, y FROM spans, unnest(range(first, last + 1)) AS r(x) WHERE number % 2 = 1
+        UNION
+        SELECT video, identity, frame,
+               xl + CASE WHEN high > wide THEN (2 * i * wide + high - 1) // (2 * high) ELSE i END,
+               yl + way * CASE WHEN high > wide THEN i WHEN wide = 0 THEN 0 ELSE (2 * i * high + wide - 1) // (2 * wide) END
+        FROM lines, unnest(range(0, greatest(wide, high) + 1)) AS r(i)),"""
+_SEGMENT = f"""WITH {_SCALE}, {CONTOUR_SQL}, {_PIXELS}
+    raw_moments AS (
+        SELECT video, identity, frame, {', '.join(f'sum({e})::DOUBLE AS {n}' for n, e in _RAW.items())}
+        FROM pixels GROUP BY ALL),
+    contour_lengths AS (
         SELECT video, identity, frame, contour, sum(sqrt(power(x1 - x0, 2) + power(y1 - y0, 2))) AS outline,
-               {', '.join(f'sum({e}) * sign(sum(a)) AS {n}' for n, e in _RAW.items())}
-        FROM (SELECT *, {_AREA} AS a FROM contour_edges) GROUP BY ALL),
-    shapes AS (
-        SELECT video, identity, frame, sum(outline) AS outline,
-               coalesce(sum(m00) FILTER (contour = 1), 0) AS hole_area,
-               (sum(CASE WHEN contour = 0 THEN 1 ELSE -1 END))::DOUBLE AS euler,
-               {', '.join(f'sum({n} * CASE WHEN contour = 0 THEN 1 ELSE -1 END) AS {n}' for n in _RAW)}
-        FROM contour_moments GROUP BY ALL),
+               abs(sum(x0 * y1 - x1 * y0)) / 2 AS area
+        FROM contour_edges GROUP BY ALL),
+    outlines AS (
+        SELECT video, identity, frame, sum(outline) AS outline, coalesce(sum(area) FILTER (contour = 1), 0) AS hole_area,
+               (sum(CASE WHEN contour = 0 THEN 1 ELSE -1 END))::DOUBLE AS euler
+        FROM contour_lengths GROUP BY ALL),
+    shapes AS (SELECT * FROM outlines JOIN raw_moments USING (video, identity, frame)),
     means AS (SELECT *, m10 / m00 AS gx, m01 / m00 AS gy FROM shapes),
     central AS (
         SELECT *, m20 - gx * m10 AS mu20, m11 - gx * m01 AS mu11, m02 - gy * m01 AS mu02,
