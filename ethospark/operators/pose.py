@@ -16,7 +16,9 @@ from pyspark.sql import types as T
 
 from ethospark.functions import polygons
 from ethospark.functions.angles import direction
-from ethospark.operators.frames import lookup_join, piece_of, runs, spine
+from ethospark.operators import identities
+from ethospark.operators.frames import PIECE, lookup_join, piece_of, runs, spine
+from ethospark.session import scratch_folder
 from ethospark.skeleton import BODY, INDEX, MIN_CONFIDENCE, NUM_KEYPOINTS
 
 ANIMAL = ["video", "identity"]
@@ -311,12 +313,16 @@ def _busy_blocks(tracks: DataFrame) -> DataFrame:
     )
 
 
-def allocate_identities(instances: DataFrame) -> DataFrame:
+# a stretch with live tracks that has more track stretches than this is handed out in pieces
+ALLOCATED_AT_ONCE = 1 << 16
+
+
+def allocate_identities(instances: DataFrame, piece: int = PIECE, at_once: int = ALLOCATED_AT_ONCE) -> DataFrame:
     """Track → identity: a new track takes the lowest free identity.
 
-    An identity is free again in the first frame without its track. The scan reads one row per
-    track stretch (not per frame), sorted by start, in a stream of Arrow batches; memory is
-    bounded by the tracks alive at the same time.
+    An identity is free again in the first frame without its track; an interrupted track releases it each
+    time. A block of up to ``at_once`` track stretches is one walk in a stream of Arrow batches,
+    in memory bounded by the tracks alive; larger blocks go through ``identities.hand_out``, piece by piece.
     """
     tracks = _busy_blocks(track_table(instances))
     stretches = runs(
@@ -325,6 +331,31 @@ def allocate_identities(instances: DataFrame) -> DataFrame:
     rows = stretches.join(tracks, ["video", "track_id"]).select(
         "video", "block", "track_id", "start", "end", "instance", "first_frame", "last_frame"
     )
+    sizes = rows.groupBy("video", "block").agg(F.count(F.lit(1)).alias("_n"))
+    large = sizes.filter(F.col("_n") > at_once).select("video", "block")
+    if large.isEmpty():
+        return _walk_blocks(rows)
+    rows = _stored(rows, "track-stretches")
+    large = F.broadcast(_stored(large, "large-blocks"))  # at most a row for each ``at_once`` stretches
+    mine = rows.join(large, ["video", "block"]).withColumn("unit", F.concat_ws("/", F.col("block").cast("string"), "video"))
+    first = F.col("start") == F.col("first_frame")
+    handed = identities.hand_out(
+        mine.filter(first).select("unit", "track_id", "start", "instance", "end"),
+        mine.filter(~first).select("unit", "track_id", "end"), piece,
+    )
+    units = mine.select("unit", "video").distinct()
+    handed = handed.join(F.broadcast(units), "unit").select("video", "track_id", F.col("identity").cast("int").alias("identity"))
+    return _walk_blocks(rows.join(large, ["video", "block"], "left_anti")).unionByName(handed)
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _walk_blocks(rows: DataFrame) -> DataFrame:
+    """Allocation by one walk per block, rows of ``allocate_identities``."""
     fields = [rows.schema["video"], rows.schema["track_id"], T.StructField("identity", T.IntegerType())]
     names = ["video", "block", "track_id", "start", "end", "first_frame", "last_frame"]
 

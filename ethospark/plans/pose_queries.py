@@ -320,6 +320,12 @@ def pose_allocate_identities(v):
     return P.allocate_identities(v.track())
 
 
+@query("pose_allocate_in_pieces", f"{_ALLOCATED} SELECT * FROM allocated")
+def pose_allocate_in_pieces(v):
+    """The way of long videos: identities handed out token by token, over pieces of 16 frames."""
+    return P.allocate_identities(v.track(), piece=16, at_once=1)
+
+
 @query(
     "pose_identity_to_track",
     f"""{_ALLOCATED},

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ethospark.functions import polygons
 from ethospark.operators import base_features as BF
+from ethospark.operators import identities
 from ethospark.operators import pose as P
 
 
@@ -28,8 +29,9 @@ def brute_identities(frames):
     return owner
 
 
-@pytest.mark.parametrize("gaps", [False, True])
-def test_track_allocation(spark, gaps):
+@pytest.mark.parametrize("gaps, at_once", [(False, 1 << 16), (True, 1 << 16), (False, 20), (True, 20)])
+def test_track_allocation(spark, gaps, at_once):
+    """By walks, and with most blocks handed out in pieces of eight frames."""
     rng = random.Random(7 + gaps)
     videos = {}
     for v in range(12):
@@ -43,11 +45,35 @@ def test_track_allocation(spark, gaps):
         videos[f"v{v}"] = frames
     rows = [(v, f, t, i) for v, frames in videos.items() for f, ts in enumerate(frames) for i, t in enumerate(ts)]
     df = spark.createDataFrame(rows, "video string, frame int, track_id long, instance int")
-    got = {(r.video, r.track_id): r.identity for r in P.allocate_identities(df).collect()}
+    got = {(r.video, r.track_id): r.identity for r in P.allocate_identities(df, 8, at_once).collect()}
     expected = {(v, t): i for v, frames in videos.items() for t, i in brute_identities(frames).items()}
     assert got == expected
 
 
+def test_allocation_of_a_hot_video_in_many_tasks(spark, monkeypatch):
+    """One video with nine tenths of all tracks and one gap: no task sees more than its pieces."""
+    rng, frames, live, number = random.Random(3), [], {}, 0
+    for f in range(400):
+        live = {t: n - 1 for t, n in live.items() if n > 1}
+        while len(live) < 4 and rng.random() < 0.7:
+            live[number], number = rng.randint(2, 40), number + 1
+        frames.append([t for t in live if not (f == 30 and t == min(live))])
+    rows = [("hot", f, t, i) for f, ts in enumerate(frames) for i, t in enumerate(ts)] + [("cold", f, 0, 0) for f in range(9)]
+    df = spark.createDataFrame(rows, "video string, frame int, track_id long, instance int")
+    pieces, too_large = (spark.sparkContext.accumulator(0) for _ in range(2))
+    followed = identities._served
+
+    def counted(tracks, entries):
+        pieces.add(1)
+        too_large.add(len(tracks) > 40)
+        return followed(tracks, entries)
+
+    monkeypatch.setattr(identities, "_served", counted)
+    got = {(r.video, r.track_id): r.identity for r in P.allocate_identities(df, 32, 16).collect()}
+    assert got == {("cold", 0): 0} | {("hot", t): i for t, i in brute_identities(frames).items()}
+    assert number > 70 and pieces.value > 12 and too_large.value == 0
+
+
 def test_identity_out_of_range_raises(spark):
     raw = spark.createDataFrame(
         [("v", 0, 0, 0, 3)], "video string, frame int, instance int, id_mask int, embed_id int"
