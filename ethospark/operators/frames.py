@@ -18,6 +18,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ethospark.session import scratch_folder
+
 PIECE = 1 << 14
 
 
@@ -378,38 +380,49 @@ def smallest_per_group(
     )
 
 
+MIDDLE_VALUES = 4096  # different values that are ordered in one place
+
+
 def exact_median(
-    df: DataFrame, keys: Sequence[str], value: str, low: float = 0.0, high: float = 1.0, cells: int = 1024
+    df: DataFrame, keys: Sequence[str], value: str, cells: int = 1024, few: int = MIDDLE_VALUES
 ) -> DataFrame:
-    """Median of ``value`` (in [low, high]) per key, without gathering a key's values in one place.
+    """Median of ``value`` per key, without gathering a key's values in one place.
 
-    Equal values are counted together first. Counts per value cell tell which cells hold the middle
-    ranks; only those cells are ordered.
+    Equal values are counted together and written once. The range of a key is cut into cells, the cell that
+    holds a middle rank becomes the new range, from its smallest to its largest value, until it has at
+    most ``few`` different values; only these are ordered. The driver starts one job per refinement: for
+    any spread of values short of clusters within clusters that is one or two.
     """
     keys = list(keys)
-    cell = F.floor((F.col(value) - low) / (high - low) * cells).cast("int")
-    values = (
-        df.filter(F.col(value).isNotNull()).groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("_n")).withColumn("_cell", cell)
-    )
-    per_key = Window.partitionBy(*keys)
-    cells_of = values.groupBy(*keys, "_cell").agg(F.sum("_n").alias("_size"))
-    before = per_key.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells_of = cells_of.withColumns({
-        "_start": F.coalesce(F.sum("_size").over(before), F.lit(0)),
-        "_total": F.sum("_size").over(per_key),
-    })
-    lower, upper = F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2)
-
-    def holds(rank: Column, start: Column, size: Column) -> Column:
-        return (rank >= start) & (rank < start + size)
-
-    middle = cells_of.filter(
-        holds(lower, F.col("_start"), F.col("_size")) | holds(upper, F.col("_start"), F.col("_size"))
-    )
-    inside = Window.partitionBy(*keys, "_cell").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = values.join(middle, [*keys, "_cell"]).withColumn(
-        "_at", F.col("_start") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
-    )
-    at = lambda rank: F.max(F.when(holds(rank, F.col("_at"), F.col("_n")), F.col(value)))
-    return ranked.groupBy(*keys).agg(((at(lower) + at(upper)) / 2).alias("median"))
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_value"))
+    values = _written(counted.agg(F.count(F.lit(1)).alias("_n")), "median-values")
+    ends = values.groupBy(*keys).agg(F.sum("_n").alias("_total"), F.min("_value").alias("_low"), F.max("_value").alias("_high"))
+    middle = F.array_distinct(F.array(F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2)))
+    wanted = ends.select(*keys, F.explode(middle).alias("_rank"), F.lit(0).cast("bigint").alias("_before"), "_low", "_high")
+
+    def inside(wanted: DataFrame) -> DataFrame:
+        return lookup_join(values, wanted, keys, "inner").filter(F.col("_value").between(F.col("_low"), F.col("_high")))
+
+    while True:
+        share = (F.col("_value") - F.col("_low")) / (F.col("_high") - F.col("_low"))
+        cell = F.when(F.col("_high") > F.col("_low"), F.floor(share * cells)).otherwise(0).alias("_cell")
+        counts = inside(wanted).groupBy(*keys, "_rank", "_before", cell).agg(
+            F.sum("_n").alias("_size"), F.count(F.lit(1)).alias("_values"), F.min("_value").alias("_low"), F.max("_value").alias("_high")
+        )
+        earlier = Window.partitionBy(*keys, "_rank").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+        placed = counts.withColumn("_before", F.col("_before") + F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
+        here = (F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_size"))
+        wanted = _written(placed.filter(here).select(*keys, "_rank", "_before", "_low", "_high", "_values"), "median-cells")
+        if wanted.filter(F.col("_values") > few).isEmpty():
+            break
+        wanted = wanted.drop("_values")
+    ordered = Window.partitionBy(*keys, "_rank").orderBy("_value").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = inside(wanted).withColumn("_at", F.col("_before") + F.coalesce(F.sum("_n").over(ordered), F.lit(0)))
+    found = ranked.filter((F.col("_rank") >= F.col("_at")) & (F.col("_rank") < F.col("_at") + F.col("_n")))
+    return found.groupBy(*keys).agg(F.avg("_value").alias("median"))
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

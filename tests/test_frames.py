@@ -127,6 +127,14 @@ def test_exact_median(spark):
     assert len(got) == len(groups)
 
 
+def test_median_of_a_crowded_cell(spark):
+    """A million different values in one cell of the first cut: no key's cell is ordered as a whole."""
+    crowd = spark.range(1_000_000).selectExpr("0 AS k", "0.5D + id * 1e-12D AS x")
+    more = spark.createDataFrame([(0, 0.0), (0, 1e9), (1, -3.0), (1, None), (2, 1e300), (2, -1e300)], "k int, x double")
+    got = {r.k: r.median for r in FR.exact_median(crowd.unionByName(more), ["k"], "x", few=1000).collect()}
+    assert got == {0: pytest.approx(0.5 + 499_999.5e-12, abs=1e-15), 1: -3.0, 2: 0.0}
+
+
 def test_lookup_join_and_smallest_per_group(spark):
     big = spark.createDataFrame([(f"v{i % 2}", 0, i) for i in range(40)], "video string, identity int, frame int")
     small = spark.createDataFrame([("v0", 1.5)], "video string, scale double")
