@@ -30,16 +30,22 @@ from ethospark.operators.pose import (
 )
 from ethospark.skeleton import ANGLES, DEFAULT_FPS, INDEX, KEYPOINTS
 
+FrameRate = float | str  # one number, or the name of a column
 Features = dict[str, str]
 
 
+def rate(fps: FrameRate) -> str:
+    """Frames per second as SQL text: one number for all videos, or the column that has each video's."""
+    return f"`{fps}`" if isinstance(fps, str) else f"{float(fps)}D"
+
+
 def prepare(
     pose: DataFrame, scales: DataFrame | None = None, version: int = 4
 ) -> DataFrame:
     """Add what the feature modules share: presence, bearing, scale, hull centroid, neighbours.
 
     ``g_<name>`` is the gradient of a coordinate or of the centroid and ``next_bearing`` the bearing
-    one frame later. One windowed pass serves all modules.
+    one frame later. One windowed pass serves all modules. Facts of the video in ``scales`` come along.
     """
     rows = with_centroid(with_bearing(with_presence(scaled(pose, scales), version), video_facts(pose)))
     moving = [f"{a}_{k}" for a in "xy" for k in POINTS] + ["cx", "cy"]
@@ -80,16 +86,16 @@ def angles() -> Features:
     return out
 
 
-def angular_velocity(fps: float = DEFAULT_FPS) -> Features:
+def angular_velocity(fps: FrameRate = DEFAULT_FPS) -> Features:
     """Turn of the bearing to the next frame per second, the short way round."""
     diff = f"({wrap('next_bearing', 0)} - {wrap('bearing', 0)})"
     short = f"CASE WHEN {diff} > 180 THEN {diff} - 360 WHEN {diff} < -180 THEN {diff} + 360 ELSE {diff} END"
-    return {"angular_velocity angular_velocity": f"({short}) * {fps}D"}
+    return {"angular_velocity angular_velocity": f"({short}) * {rate(fps)}"}
 
 
-def point_speeds(fps: float = DEFAULT_FPS) -> Features:
+def point_speeds(fps: FrameRate = DEFAULT_FPS) -> Features:
     return {
-        f"point_speeds {n} speed": f"{length(f'g_x_{k}', f'g_y_{k}')} * {fps}D * scale"
+        f"point_speeds {n} speed": f"{length(f'g_x_{k}', f'g_y_{k}')} * {rate(fps)} * scale"
         for k, n in enumerate(KEYPOINTS)
     }
 
@@ -109,13 +115,13 @@ def centroid_velocity_dir() -> Features:
     return sine_cosine("centroid_velocity_dir centroid_velocity_dir", wrap(f"{motion} - bearing"))
 
 
-def centroid_velocity_mag(fps: float = DEFAULT_FPS) -> Features:
+def centroid_velocity_mag(fps: FrameRate = DEFAULT_FPS) -> Features:
     speed = length("g_cx", "g_cy")
-    return {"centroid_velocity_mag centroid_velocity_mag": f"{speed} * {fps}D * scale"}
+    return {"centroid_velocity_mag centroid_velocity_mag": f"{speed} * {rate(fps)} * scale"}
 
 
 # modules every pose version has
-MODULES: dict[str, Callable[[float], Features]] = {
+MODULES: dict[str, Callable[[FrameRate], Features]] = {
     "point_mask": lambda fps: point_mask(),
     "pairwise_distances": lambda fps: pairwise_distances(),
     "angles": lambda fps: angles(),
@@ -127,7 +133,7 @@ MODULES: dict[str, Callable[[float], Features]] = {
 }
 
 
-def base_features(fps: float = DEFAULT_FPS, modules: Sequence[str] | None = None) -> Features:
+def base_features(fps: FrameRate = DEFAULT_FPS, modules: Sequence[str] | None = None) -> Features:
     """The expressions of all (or the named) modules."""
     out: Features = {}
     for name, build in MODULES.items():

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from ethospark.operators import base_features, landmark_features, segmentation_features, social_features
+from ethospark.operators.base_features import FrameRate
 from ethospark.operators.matrix import (
     SEGMENTATION_MODULES,
     SOCIAL_MODULES,
@@ -29,18 +30,21 @@ def per_frame_table(
     version: int = 8,
     object_names: Sequence[str] = (),
     lixit_points: int = 0,
-    fps: float = DEFAULT_FPS,
+    fps: FrameRate = DEFAULT_FPS,
     modules: Sequence[str] | None = None,
     **settings,
 ) -> DataFrame:
     """Keys, frame, ``present`` and every per-frame feature the inputs and settings allow.
 
-    ``modules`` narrows the table to the named modules.
+    ``modules`` narrows the table to the named modules. Where ``scales`` has a column ``fps``, every video
+    has its own frame rate, and the table keeps it for the window features.
 
     ``version``, ``object_names`` and ``lixit_points`` describe what all videos have (see
     ``project.capability``); modules that need more are not planned at all.
     """
     rows = base_features.prepare(pose, scales, version)
+    own_rates = scales is not None and "fps" in scales.columns
+    fps = "fps" if own_rates else fps
     columns = base_features.base_features(fps, modules)
     allowed = set(available_modules(version, object_names, lixit_points))
     if modules is not None:
@@ -72,7 +76,7 @@ def per_frame_table(
         social = {n: c for n, c in social_features.social_features().items() if n.split(" ", 1)[0] in allowed}
         done = base_features.with_features(done, social)
         names += list(social)
-    table = done.selectExpr(*FRAME, "present", *[f"`{n}`" for n in names])
+    table = done.selectExpr(*FRAME, "present", *(["fps"] if own_rates else []), *[f"`{n}`" for n in names])
     if contours is not None and allowed & set(SEGMENTATION_MODULES) and settings.get("segmentation", True):
         shapes = segmentation_features.with_moments(segmentation_features.shape_rows(contours, scales))
         shapes = segmentation_features.with_outline(shapes)
@@ -88,14 +92,19 @@ def per_frame_table(
 
 
 def feature_columns(table: DataFrame) -> list[str]:
-    return [c for c in table.columns if c not in (*FRAME, "present")]
+    return [c for c in table.columns if c not in (*FRAME, "present", "fps")]
 
 
 def window_table(
-    per_frame: DataFrame, k: int, fps: float = DEFAULT_FPS, window: bool = True, fft: bool = True,
+    per_frame: DataFrame, k: int, fps: FrameRate | None = None, window: bool = True, fft: bool = True,
     carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Keys, frame and every window feature of size ``k``; point masks have none."""
+    """Keys, frame and every window feature of size ``k``; point masks have none.
+
+    ``fps`` is the table's own column, if it has one and no other rate is given.
+    """
+    if fps is None:
+        fps = "fps" if "fps" in per_frame.columns else DEFAULT_FPS
     names = [c for c in feature_columns(per_frame) if not c.startswith("point_mask ")]
     circular = {c: 0.0 if c.startswith("angles ") else -180.0 for c in names if is_circular(c)}
     linear = [c for c in names if c not in circular]
@@ -107,7 +116,7 @@ def window_table(
 
 
 def training_matrix(
-    per_frame: DataFrame, k: int, fps: float = DEFAULT_FPS, window: bool = True, fft: bool = True
+    per_frame: DataFrame, k: int, fps: FrameRate | None = None, window: bool = True, fft: bool = True
 ) -> DataFrame:
     """Per-frame and window features side by side, for frames with the animal present.
 

@@ -19,7 +19,7 @@ from ethospark.functions.angles import direction
 from ethospark.operators import identities
 from ethospark.operators.frames import PIECE, lookup_join, piece_of, runs, spine
 from ethospark.session import scratch_folder
-from ethospark.skeleton import BODY, INDEX, MIN_CONFIDENCE, NUM_KEYPOINTS
+from ethospark.skeleton import BODY, DEFAULT_FPS, INDEX, MIN_CONFIDENCE, NUM_KEYPOINTS
 
 ANIMAL = ["video", "identity"]
 POINTS = range(NUM_KEYPOINTS)
@@ -95,11 +95,18 @@ def with_bearing(pose: DataFrame, facts: DataFrame | None = None) -> DataFrame:
 
 
 def scaled(pose: DataFrame, scales: DataFrame | None) -> DataFrame:
-    """Add ``scale``: cm per pixel of the video, 1.0 where unknown or for pixel units."""
+    """Add ``scale``: cm per pixel of the video, 1.0 where unknown or for pixel units.
+
+    If ``scales`` has ``fps``, the frame rate of the video comes along (the default one where unknown).
+    """
     if scales is None:
         return pose.withColumn("scale", F.lit(1.0))
-    known = scales.select("video", F.col("cm_per_pixel").cast("double").alias("scale"))
-    return lookup_join(pose, known, ["video"]).withColumn("scale", F.coalesce("scale", F.lit(1.0)))
+    facts = {"scale": F.col("cm_per_pixel").cast("double")}
+    if "fps" in scales.columns:
+        facts["fps"] = F.col("fps").cast("double")
+    known = scales.select("video", *[c.alias(n) for n, c in facts.items()])
+    usual = {"scale": 1.0, "fps": DEFAULT_FPS}
+    return lookup_join(pose, known, ["video"]).withColumns({n: F.coalesce(n, F.lit(usual[n])) for n in facts})
 
 
 def to_cm(pose: DataFrame, scales: DataFrame) -> DataFrame:

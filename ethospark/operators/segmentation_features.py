@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ethospark.functions import polygons, raster
 from ethospark.functions.angles import length
-from ethospark.operators.base_features import Features, gradient
+from ethospark.operators.base_features import Features, FrameRate, gradient, rate
 from ethospark.operators.frames import lookup_join, with_neighbours
 from ethospark.operators.pose import ANIMAL, scaled, trim_contours
 from ethospark.skeleton import DEFAULT_FPS
@@ -118,14 +118,14 @@ def with_outline(shapes: DataFrame) -> DataFrame:
     return shapes.withColumn("_o", outline(F.expr(axis.format("x")), F.expr(axis.format("y")))).select("*", "_o.*").drop("_o")
 
 
-def with_centroid_speed(shapes: DataFrame, lengths: DataFrame, fps: float = DEFAULT_FPS) -> DataFrame:
+def with_centroid_speed(shapes: DataFrame, lengths: DataFrame, fps: FrameRate = DEFAULT_FPS) -> DataFrame:
     """Add ``centroid_speed`` in cm per second; needs the neighbour frames (NULL beside gaps)."""
     rows = lookup_join(shapes, lengths, ["video"]).selectExpr(
         "*", "m10 / m00 * scale AS mass_x", "m01 / m00 * scale AS mass_y"
     )
     rows = with_neighbours(rows, ANIMAL, ["mass_x", "mass_y"])
     speed = length(gradient("mass_x"), gradient("mass_y"))
-    return rows.selectExpr("*", f"{speed} * {fps}D AS centroid_speed").drop("before", "after")
+    return rows.selectExpr("*", f"{speed} * {rate(fps)} AS centroid_speed").drop("before", "after")
 
 
 def shape_descriptors() -> Features:

@@ -6,7 +6,7 @@ applies it as column expressions; ``window_matrix`` uses the numpy form for wide
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -75,15 +75,15 @@ def spectra(
     keys: Sequence[str],
     k: int,
     column: str,
-    fps: float = DEFAULT_FPS,
+    fps: float | str = DEFAULT_FPS,
     frame: str = "frame",
 ) -> DataFrame:
     """Add ``spectrum``: the amplitude array (k+1 bins) of each frame, inside the JVM.
 
-    Meant for one or a few columns; ``window_matrix`` is the path for wide tables.
+    ``fps`` is one number or the column that has each video's. Meant for one or a few columns; ``window_matrix`` is the path for wide tables.
     """
     (k,) = check_sizes([k])
-    matrix = transform_matrix(k, fps)
+    matrix, density = transform_matrix(k, 1.0), F.sqrt(_rate(fps))
     rows = missing_to_null(df, [column])
 
     def make(spec):
@@ -101,25 +101,30 @@ def spectra(
             lambda total, s: total + s["x"] * F.get(table, s["f"] - F.col(frame).cast("int") + k),
         )
 
-    bins = F.array(*[F.hypot(part(matrix[:, i].real), part(matrix[:, i].imag)) for i in range(k + 1)])
+    bins = F.array(*[F.hypot(part(matrix[:, i].real), part(matrix[:, i].imag)) / density for i in range(k + 1)])
     return sliding(rows, keys, frame, k, k, make).withColumn("spectrum", bins).drop("_samples")
 
 
-def summary_columns(k: int, fps: float = DEFAULT_FPS, spectrum: str = "spectrum") -> dict[str, Column]:
+def _rate(fps: float | str) -> Column:
+    return quoted(fps).cast("double") if isinstance(fps, str) else F.lit(float(fps))
+
+
+def summary_columns(k: int, fps: float | str = DEFAULT_FPS, spectrum: str = "spectrum") -> dict[str, Column]:
     """Band means and whole-spectrum statistics of a ``spectrum`` column; NULL where undefined."""
-    freq = frequencies(k, fps)
-    p = F.col(spectrum)
+    p, fps = F.col(spectrum), _rate(fps)
     n = k + 1
+    hertz = lambda i: i * fps / (2 * k + 1)
 
-    def mean(values: Column, count: int) -> Column:
+    def mean(values: Column, count: int | Column) -> Column:
         return F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / count
 
+    def within(lo: float, hi: float) -> Callable[[Column, Column], Column]:
+        return lambda x, i: (hertz(i) >= lo) & (hertz(i) < hi)
+
     out: dict[str, Column] = {}
     for lo, hi in BANDS:
-        inside = np.flatnonzero((freq >= lo) & (freq < hi))
-        band = F.slice(p, int(inside[0]) + 1, len(inside)) if len(inside) else None
-        value = F.lit(None).cast("double") if band is None else mean(band, len(inside))
-        out[f"fft_band-{lo}Hz-{hi}Hz"] = value
+        band = F.filter(p, within(lo, hi))
+        out[f"fft_band-{lo}Hz-{hi}Hz"] = F.when(F.size(band) > 0, mean(band, F.size(band)))
     centre = mean(p, n)
     moment = lambda power: mean(F.transform(p, lambda x: F.pow(x - centre, F.lit(power))), n)
     spread = moment(2.0)
@@ -134,5 +139,5 @@ def summary_columns(k: int, fps: float = DEFAULT_FPS, spectrum: str = "spectrum"
     out["psd_kurtosis"] = F.when(~flat, moment(4.0) / (spread * spread) - 3)
     out["psd_median"] = (F.get(ordered, F.lit((n - 1) // 2)) + F.get(ordered, F.lit(n // 2))) / 2
     top = F.array_position(p, F.array_max(p)).cast("int") - 1
-    out["psd_top_freq"] = F.get(F.array(*[F.lit(float(f)) for f in freq]), top)
+    out["psd_top_freq"] = hertz(top)
     return out

@@ -13,6 +13,7 @@ from collections.abc import Iterator, Mapping, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ethospark.operators import spectrum
@@ -78,7 +79,7 @@ def window_matrix(
     present: str = "present",
     ops: Sequence[str] = tuple(LINEAR_OPS),
     spectral_ops: Sequence[str] = tuple(spectrum.SUMMARY_OPS),
-    fps: float = DEFAULT_FPS,
+    fps: float | str = DEFAULT_FPS,
     frame: str = "frame",
     carry: Sequence[str] = (),
 ) -> DataFrame:
@@ -88,7 +89,7 @@ def window_matrix(
 
     ``circular_columns`` maps a column to the low end of its range (-180 or 0); they use only frames
     with ``present`` and are NULL on frames without. Linear columns get ``ops`` and
-    ``spectral_ops``.
+    ``spectral_ops``. ``fps`` is one number or the column that has each video's.
     """
     (k,) = check_sizes([k])
     keys, linear_columns = list(keys), list(linear_columns)
@@ -96,7 +97,9 @@ def window_matrix(
     inputs = [*linear_columns, *circular_columns]
     marks = [present] if circular_columns and present not in carry else []
     needed = list(dict.fromkeys([*carry, *inputs]))
-    rows = missing_to_null(df.select(*keys, frame, *marks, *map(quoted, needed)), inputs)
+    own_rates = isinstance(fps, str)
+    rates = [F.col(fps).cast("double").alias("_fps")] if own_rates else []
+    rows = missing_to_null(df.select(*keys, frame, *marks, *rates, *map(quoted, needed)), inputs)
     names = [window_name(c, op) for c in linear_columns for op in [*ops, *spectral_ops]]
     names += [window_name(c, op) for c in circular_columns for op in CIRCULAR_OPS]
     kept = [*keys, frame, *carry]
@@ -126,13 +129,23 @@ def window_matrix(
             padded = np.pad(values, k, constant_values=np.nan)
             return np.lib.stride_tricks.sliding_window_view(padded, 2 * k + 1)[where]
 
+        row_rates = pdf["_fps"].to_numpy(dtype=float)[own] if own_rates else np.full(len(where), float(fps))
+
+        def spectral(amplitude: np.ndarray) -> dict[str, np.ndarray]:
+            """Summaries of amplitudes at one frame per second, each row at its video's rate."""
+            found = {op: np.empty(len(amplitude)) for op in spectrum.SUMMARY_OPS}
+            for one in np.unique(row_rates):
+                here = row_rates == one
+                for op, v in spectrum.summaries(amplitude[here] / np.sqrt(one), k, one).items():
+                    found[op][here] = v
+            return found
+
         data: dict[str, np.ndarray] = {}
         for c in linear_columns:
             values = dense(pdf[c].to_numpy(dtype=float))
             stats = _statistics(segments(values), ops) if ops else {}
             if spectral_ops:
-                amplitude = spectrum.amplitudes(np.nan_to_num(values, nan=0.0), k, fps)[where]
-                found = spectrum.summaries(amplitude, k, fps)
+                found = spectral(spectrum.amplitudes(np.nan_to_num(values, nan=0.0), k, 1.0)[where])
                 stats |= {op: found[op] for op in spectral_ops}
             data.update({window_name(c, op): v for op, v in stats.items()})
         if circular_columns:

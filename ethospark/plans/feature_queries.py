@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ethospark.operators import base_features as B
+from ethospark.operators import feature_table as FT
 from ethospark.operators import landmark_features as LM
 from ethospark.operators import segmentation_features as SG
 from ethospark.operators import social_features as SO
@@ -620,3 +621,43 @@ _DESCRIPTORS = f"""{_SEGMENT},
 def features_shape_descriptors(v):
     shapes = SG.with_outline(SG.with_moments(_shapes(v)))
     return _select(SG.with_centroid_speed(shapes, video_lengths(shapes)), SG.shape_descriptors())
+
+
+# --- a frame rate for every video ---
+
+_RATE = "(CASE WHEN h.video IN ('v1', 'v3') THEN 15 ELSE 30 END)"
+
+
+def _facts(v):
+    slow = F.col("video").isin("v1", "v3")
+    known = v.static_object().select("video").distinct().join(scales(v), "video", "left")
+    return known.withColumn("fps", F.when(slow, 15).otherwise(30))
+
+
+_RATED = {
+    "angular_velocity angular_velocity":
+    f"(CASE WHEN {_TURN} > 180 THEN {_TURN} - 360 WHEN {_TURN} < -180 THEN {_TURN} + 360 ELSE {_TURN} END) * {_RATE}",
+    "point_speeds NOSE speed":
+    f"sqrt(power({gradient_sql('x_0')}, 2) + power({gradient_sql('y_0')}, 2)) * {_RATE} * h.scale",
+    "centroid_velocity_mag centroid_velocity_mag":
+    f"sqrt(power({gradient_sql('cx')}, 2) + power({gradient_sql('cy')}, 2)) * {_RATE} * h.scale",
+}
+
+
+@query("features_frame_rates", f"{_HERE} SELECT h.video, h.identity, h.frame, {_sql(_RATED)} {_AROUND}")
+def features_frame_rates(v):
+    """Speeds of videos with two frame rates, from the whole per-frame table."""
+    modules = [n.split()[0] for n in _RATED]
+    table = FT.per_frame_table(v.pose(), scales=_facts(v), modules=modules)
+    return table.selectExpr(*ANIMAL, "frame", *[f"round(`{n}`, 6) + 0D AS `{n}`" for n in _RATED])
+
+
+@query(
+    "features_shape_speed_rates",
+    _DESCRIPTORS.rsplit("    SELECT video, identity, frame, ", 1)[0]
+    + f"SELECT h.video, h.identity, h.frame, round(sqrt(dx * dx + dy * dy) * {_RATE}, 6) + 0.0 AS centroid_speed FROM moving h",
+)
+def features_shape_speed_rates(v):
+    shapes = SG.with_moments(SG.shape_rows(segments_by_identity(v.contour()), _facts(v)))
+    moving = SG.with_centroid_speed(shapes, video_lengths(shapes), "fps")
+    return moving.select("video", "identity", "frame", rounded("centroid_speed").alias("centroid_speed"))

@@ -146,6 +146,42 @@ def window_spectral_features(v):
     )
 
 
+# every second video at 15 frames per second
+_RATE = "CASE WHEN video IN ('video1', 'video3', 'video5') THEN 15 ELSE 30 END"
+_RATED = _SPECTRUM.replace("AS i) GROUP BY ALL)", "AS i) GROUP BY video, identity, frame, i)").replace("sqrt(30 * 3", f"sqrt({_RATE} * 3").replace("i * 30.0 /", f"i * {_RATE}::DOUBLE /")
+_PER_RATE = [f"fft_band-{lo}Hz-{hi}Hz" for lo, hi in S.BANDS] + ["psd_sum", "psd_top_freq"]
+
+
+def _rated(v):
+    slow = F.col("video").isin("video1", "video3", "video5")
+    return v.signal().withColumn("rate", F.when(slow, 15).otherwise(30))
+
+
+@query(
+    "window_spectral_rates",
+    _RATED + f""" SELECT video, identity, frame, {_BAND_SQL}, round(sum(a), 6) AS psd_sum, round(arg_max(hz, a), 6) AS psd_top_freq
+    FROM bins GROUP BY video, identity, frame""",
+)
+def window_spectral_rates(v):
+    """Every video has its own frame rate: columns of one signal."""
+    rows = S.spectra(_rated(v), KEYS, K, "value", "rate")
+    found = S.summary_columns(K, "rate")
+    return rows.select(*KEYS, "frame", *[rounded(found[op]).alias(op.replace("-", "_").replace(".", "p")) for op in _PER_RATE])
+
+
+@query(
+    "window_matrix_rates",
+    _RATED + f""" SELECT video, identity, frame, {_BAND_SQL}, round(sum(a), 6) AS psd_sum, round(arg_max(hz, a), 6) AS psd_top_freq
+    FROM bins GROUP BY video, identity, frame""",
+)
+def window_matrix_rates(v):
+    """The same over the wide path."""
+    rows = _rated(v).withColumnRenamed("value", "signal value")
+    out = window_matrix_of(rows, KEYS, K, ["signal value"], ops=(), spectral_ops=_PER_RATE, fps="rate")
+    names = {op: W.window_name("signal value", op) for op in _PER_RATE}
+    return out.select(*KEYS, "frame", *[rounded(W.quoted(c)).alias(op.replace("-", "_").replace(".", "p")) for op, c in names.items()])
+
+
 @query(
     "window_matrix",
     _SPECTRUM
