@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ethospark.operators.frames import running_total
 from ethospark.skeleton import LABEL_THRESHOLD
 
 STRATEGIES = ["individual", "video", "filename_pattern"]
@@ -50,15 +51,15 @@ def group_key(strategy: str, pattern: str | None = None) -> Column:
 def assign_groups(animals: DataFrame, strategy: str, pattern: str | None = None) -> DataFrame:
     """(video, identity) → ``group_id``: dense ids in video order, plus the group's ``group_key``.
 
-    Ids need one global order. Only one row per video (or pattern key) takes part in it; the
-    animals of a video are numbered within the video.
+    Ids need one global order. Only one row per video (or pattern key) takes part in it, numbered range by
+    range; the animals of a video are numbered within the video.
     """
     keyed = animals.select("video", "identity").distinct().withColumn("group_key", group_key(strategy, pattern))
     top = "group_key" if strategy == "filename_pattern" else "video"
     size = F.countDistinct("identity") if strategy == "individual" else F.lit(1)
     units = keyed.groupBy(top).agg(F.min("video").alias("_first"), size.alias("_size"))
-    earlier = Window.partitionBy(F.lit(0)).orderBy("_first", top).rowsBetween(Window.unboundedPreceding, -1)
-    starts = units.select(top, F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"))
+    units = units.withColumn("_size", F.col("_size").cast("long"))
+    starts = running_total(units, list(dict.fromkeys(["_first", top])), "_size", "_start").select(top, "_start")
     within = F.lit(0)
     if strategy == "individual":
         within = F.row_number().over(Window.partitionBy("video").orderBy("identity")) - 1

@@ -14,6 +14,7 @@ hundreds of columns is built in a fraction of the calls.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -380,6 +381,21 @@ def smallest_per_group(
     )
 
 
+def running_total(df: DataFrame, order: Sequence[str], size: str, name: str) -> DataFrame:
+    """Add ``name``: the sum of ``size`` over all rows before, in one global order, by ranges.
+
+    The rows are parted by ranges of the order and written; the driver adds up one number per part.
+    """
+    parted = _written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sums = sorted((r["_part"], r["_sum"]) for r in parted.groupBy("_part").agg(F.sum(size).alias("_sum")).collect())
+    starts = list(accumulate((n for _, n in sums), initial=0))
+    start = F.create_map(*[F.lit(x) for (part, _), s in zip(sums, starts) for x in (part, s)]) if sums else F.lit(None)
+    earlier = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum(size).over(earlier), F.lit(0))
+    total = F.element_at(start, F.col("_part")) + inside if sums else F.lit(0).cast("long")
+    return parted.withColumn(name, total).drop("_part")
+
+
 MIDDLE_VALUES = 4096  # different values that are ordered in one place
 
 

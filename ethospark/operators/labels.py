@@ -222,11 +222,13 @@ STRATEGIES = ["BEHAVIOR_WINS", "NOT_BEHAVIOR_WINS", "DESTINATION_WINS"]
 
 
 def merge(
-    destination: DataFrame, source: DataFrame, strategy: str, keys: Sequence[str] = TRACK
+    destination: DataFrame, source: DataFrame, strategy: str, keys: Sequence[str] = TRACK,
+    lengths: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """Merge two labellings of the same tracks, frame by frame.
 
-    Frames only one side labels are taken over; where both do, the strategy decides.
+    Frames only one side labels are taken over; where both do, the strategy decides. ``lengths`` of
+    both sides (keys or some of them, ``num_frames``) are compared: tracks of different lengths raise.
     """
     mine, theirs = F.col("_mine"), F.col("_theirs")
     if strategy == "BEHAVIOR_WINS":
@@ -238,9 +240,18 @@ def merge(
     else:
         raise ValueError(f"strategy must be one of {STRATEGIES}")
     # greatest/least skip NULL, so the one-sided case needs no branch
-    return destination.withColumnRenamed("label", "_mine").join(
+    merged = destination.withColumnRenamed("label", "_mine").join(
         source.withColumnRenamed("label", "_theirs"), [*keys, "frame"], "full_outer"
     ).select(*keys, "frame", both.alias("label"))
+    if lengths is None:
+        return merged
+    own, other = lengths
+    shared = [k for k in keys if k in own.columns]
+    differing = own.join(other.withColumnRenamed("num_frames", "_other"), shared).filter("num_frames <> _other")
+    text = F.concat_ws(" ", F.lit("cannot merge labels of different lengths:"), *shared)
+    odd = {c: F.lit(None).cast(merged.schema[c].dataType) for c in merged.columns if c != "frame"}
+    failing = F.raise_error(text).cast(merged.schema["frame"].dataType)
+    return merged.unionByName(differing.select(*[c.alias(n) for n, c in odd.items()], failing.alias("frame")))
 
 
 def merge_projects(
@@ -250,7 +261,8 @@ def merge_projects(
 
     Projects are dicts of ``videos`` (video, pose_hash, num_frames), ``behaviors`` (behavior, …)
     and ``labels`` (label frames). Videos and behaviours only the source has are added; labels
-    of a shared video are merged unless pose hash or length differ.
+    of a shared video are merged unless pose hash or length differ: those videos are listed
+    in ``skipped`` (video, reason).
     """
     videos = destination["videos"].unionByName(
         source["videos"].join(destination["videos"].select("video"), "video", "left_anti")
@@ -265,11 +277,14 @@ def merge_projects(
         ~F.col("pose_hash").eqNullSafe(F.col("_hash"))
         | ~F.col("num_frames").eqNullSafe(F.col("_frames"))
     )
+    same_pose = F.col("pose_hash").eqNullSafe(F.col("_hash"))
+    reason = F.when(same_pose, "length differs").otherwise("pose differs")
     usable = source["labels"].join(mismatch.select("video"), "video", "left_anti")
     return {
         "videos": videos,
         "behaviors": behaviors,
         "labels": merge(destination["labels"], usable, strategy),
+        "skipped": mismatch.select("video", reason.alias("reason")),
     }
 
 

@@ -254,8 +254,9 @@ def labels_merge_projects(v):
     return _merged_projects(v)["labels"]
 
 
-def _merged_projects(v):
+def _merged_projects(v, longer: str = ""):
     videos = v.num_frames().withColumn("pose_hash", F.md5("video"))
+    added = F.when(F.col("video") == longer, 1).otherwise(0)
     behavior = lambda *names: v.spark.createDataFrame([(n,) for n in names], "behavior string")
     changed = F.when(F.col("video") == "video3", F.lit("other")).otherwise(F.col("pose_hash"))
     destination = {
@@ -267,7 +268,7 @@ def _merged_projects(v):
         v.label_a().withColumn("behavior", F.lit("groom"))
     )
     source = {
-        "videos": videos.withColumn("pose_hash", changed).filter(F.col("video") != "video0"),
+        "videos": videos.withColumns({"pose_hash": changed, "num_frames": F.col("num_frames") + added}).filter("video <> 'video0'"),
         "behaviors": behavior("walk", "groom"),
         "labels": theirs.filter(F.col("video") != "video0"),
     }
@@ -282,6 +283,26 @@ def labels_merge_project_videos(v):
     return _merged_projects(v)["videos"]
 
 
+@query(
+    "labels_merge_project_skipped",
+    """SELECT video, CASE video WHEN 'video3' THEN 'pose differs' ELSE 'length differs' END AS reason
+       FROM v_num_frames WHERE video IN ('video2', 'video3')""",
+)
+def labels_merge_project_skipped(v):
+    """One video has another pose, one is a frame longer in the source."""
+    return _merged_projects(v, longer="video2")["skipped"]
+
+
+@query(
+    "labels_merge_checked",
+    """SELECT video, identity, frame, greatest(a.label, b.label)::INT AS label
+       FROM v_label_a a FULL JOIN v_label_b b USING (video, identity, frame)""",
+)
+def labels_merge_checked(v):
+    """With the lengths of both sides compared."""
+    return L.merge(v.label_a(), v.label_b(), "BEHAVIOR_WINS", ANIMAL, (v.lengths(), v.lengths()))
+
+
 # --- several behaviours ---
 
 

@@ -236,10 +236,26 @@ def source_predictions(v):
     """One behaviour; a video whose identity count is wrong is left out."""
     path = scratch_folder(v.spark, "predictions")
     T.write_predictions(v.prediction(), path)
+    return T.read_predictions(v.spark, path, "walk", identities=_expected_identities(v)).select(*FRAME, "behavior", "cls")
+
+
+def _expected_identities(v):
     extra = F.when(F.col("video") == "video4", 1).otherwise(0)
     counts = v.lengths().groupBy("video").agg(F.count(F.lit(1)).alias("n"))
-    expected = counts.select("video", (F.col("n") + extra).alias("num_identities"))
-    return T.read_predictions(v.spark, path, "walk", identities=expected).select(*FRAME, "behavior", "cls")
+    return counts.select("video", (F.col("n") + extra).alias("num_identities"))
+
+
+@query(
+    "source_unread_predictions",
+    """SELECT video, behavior, count(DISTINCT identity) AS found,
+              CASE WHEN video <> 'video2' THEN count(DISTINCT identity) + 1 END AS num_identities
+       FROM v_prediction WHERE video IN ('video2', 'video4') GROUP BY video, behavior""",
+)
+def source_unread_predictions(v):
+    """What the scan leaves out: a video with another number of identities, and one that is not known."""
+    path = scratch_folder(v.spark, "predictions")
+    T.write_predictions(v.prediction(), path)
+    return T.unread_predictions(v.spark, path, _expected_identities(v).filter("video <> 'video2'"))
 
 
 @query(

@@ -95,7 +95,7 @@ def read_predictions(
     """Scan predictions of one behaviour (only its folders are read) or of all.
 
     Rows of the other kind (binary / multi-class) raise. Videos whose identities do not number
-    ``num_identities`` are left out, as their file would be.
+    ``num_identities`` are left out, as their file would be; ``unread_predictions`` lists them.
     """
     rows = spark.read.parquet(path)
     if behavior is not None:
@@ -108,11 +108,24 @@ def read_predictions(
     )
     if identities is None:
         return rows
-    found = rows.groupBy("video", "behavior").agg(F.count_distinct("identity").alias("_n"))
-    matching = found.join(identities, "video").filter(F.col("_n") == F.col("num_identities"))
+    matching = _identity_counts(rows, identities).filter(F.col("found") == F.col("num_identities"))
     return rows.join(matching.select("video", "behavior"), ["video", "behavior"], "left_semi")
 
 
+def _identity_counts(rows: DataFrame, identities: DataFrame) -> DataFrame:
+    found = rows.groupBy("video", "behavior").agg(F.count_distinct("identity").alias("found"))
+    return found.join(identities.select("video", "num_identities"), "video", "left")
+
+
+def unread_predictions(spark: SparkSession, path: str, identities: DataFrame, behavior: str | None = None) -> DataFrame:
+    """(video, behavior, found, num_identities) of what ``read_predictions`` leaves out; videos that
+    ``identities`` does not know have no ``num_identities``."""
+    rows = spark.read.parquet(path)
+    if behavior is not None:
+        rows = rows.filter(F.col("behavior") == behavior)
+    return _identity_counts(rows, identities).filter(~F.col("found").eqNullSafe(F.col("num_identities")))
+
+
 # --- training sets -----------------------------------------------------------------------------
 
 # Learner codes of older exports.

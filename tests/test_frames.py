@@ -142,3 +142,11 @@ def test_lookup_join_and_smallest_per_group(spark):
     assert len(out) == 40 and all((r.scale == 1.5) == (r.video == "v0") for r in out)
     few = FR.smallest_per_group(big, ["video"], ["frame"], 3, F.col("frame") % 5)
     assert sorted(r.frame for r in few.collect()) == [0, 1, 2, 3, 4, 5]
+
+
+def test_running_total_by_ranges(spark):
+    rows = [(i, 1 + i % 3) for i in range(500)]
+    df = spark.createDataFrame(rows, "i int, n long").repartition(7)
+    out = FR.running_total(df, ["i"], "n", "before")
+    assert {r.i: r.before for r in out.collect()} == {i: sum(n for _, n in rows[:i]) for i, _ in rows}
+    assert FR.running_total(df.limit(0), ["i"], "n", "before").count() == 0

@@ -101,3 +101,13 @@ def test_label_counts_fall_back_for_old_files(spark):
     got = {r.video: r for r in L.label_counts(new, frag).collect()}
     assert got["new"].unfragmented_frames_behavior == 10 and got["new"].fragmented_frames_behavior == 4
     assert got["old"].unfragmented_frames_not == 5 and got["old"].unfragmented_bouts_not == 1
+
+
+def test_labels_of_different_lengths_do_not_merge(spark):
+    rows = spark.createDataFrame([("v", 0, 3, 1)], "video string, identity int, frame int, label int")
+    lengths = [spark.createDataFrame([("v", 0, n)], "video string, identity int, num_frames int") for n in (9, 9, 8)]
+    keys = ["video", "identity"]
+    same = L.merge(rows, rows, "BEHAVIOR_WINS", keys, (lengths[0], lengths[1]))
+    assert [tuple(r) for r in same.collect()] == [("v", 0, 3, 1)]
+    with pytest.raises(Exception, match="different lengths"):
+        L.merge(rows, rows, "BEHAVIOR_WINS", keys, (lengths[0], lengths[2])).collect()
