@@ -14,14 +14,31 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` into the shared folder and read it back: lineage ends here, work is done once."""
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
+    """Write ``df`` into the shared folder and read it back: lineage ends here, work is done once.
+
+    With ``tidy`` Spark removes the shuffle files of the write when it has ended."""
     spark = df.sparkSession
     path = scratch_folder(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(TIDY)
+    spark.conf.set(TIDY, "true" if tidy else before)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(TIDY, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(table: DataFrame) -> None:
+    """Replaces a table of ``stored`` that is not needed any more by an empty one."""
+    folders = {file.rsplit("/", 1)[0] for file in table.inputFiles()}
+    for folder in folders:
+        table.sparkSession.createDataFrame([], table.schema).write.mode("overwrite").parquet(folder)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, also where ``body`` uses it in a lambda."""
     return F.transform(F.array(value), body).getItem(0)

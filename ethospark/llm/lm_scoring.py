@@ -6,40 +6,44 @@ discount; where a state has no arc for a word, its failure arc leads to the stat
 word and costs the mass that the discounts left over. The root knows every word:
 (c + 0.5) / (N + 0.5 (V + 1)), with counts over all training tokens and one end token a text.
 
-The cost of a text is a sum over its words, bigrams and trigrams: a word adds its root cost and, as a
-history, its failure cost; a bigram adds what its arc costs more than the way by the root, and its
-failure cost; a trigram what its arc costs more than the way by the bigram. So n-grams are looked up
-independently of each other, and the costs of a row are added up.
-
-Scale: words, bigrams and trigrams with their costs are distributed tables that grow with the input;
-counts are added up inside a task before they are shuffled, and a row's n-grams meet their costs in
-one join. What is broadcast only saves shuffling and changes no result: the frequent n-grams (at
-most 1 / WORD_SHARE words and 1 / GRAM_SHARE bigrams and trigrams each, whatever the corpus) are
-looked up in sorted hash arrays, and a bitmap of 2**FILTER_BITS bits leaves out most n-grams that are
-in no table, as long as it isn't full. What is joined has few rows a key in the training table.
+A text is scored by one left-to-right traversal that carries the state: it follows failure arcs until a state
+has an arc for the next word (the root has one for every word), adds up their log-probabilities and
+moves on. The texts of a chunk are traversed side by side; a long text is cut into stretches that begin two
+words early, for two words determine the state.
+
+Scale: the model is one distributed table, a row for each word, bigram and trigram with its count and the
+discounted counts of its arcs; it grows with the input, and no part of it is in every task. Counts are
+added up inside a task before they are shuffled. Texts are taken in chunks of CHUNK_BYTES: a chunk
+asks for its distinct n-grams, one sorted array of keys for each part of the table, and is answered by arrays in the
+same order. Texts and answers of a chunk meet in one task, which builds the part of the automaton that the
+chunk can reach. A bitmap of 2**FILTER_BITS bits saves questions for most n-grams that are in no table, as
+long as it isn't full, and changes no result.
 
 Defined cases: a null or empty text is one end token; repeated rows are scored each; a null id is
 in the fold of the empty text; without training rows every token has probability 1. An empty table
-gives an empty table. Only the id and the text are read.
+gives an empty table. Only the id, the text and ``carry`` are read; they must be deterministic, for
+they are read for the questions and again with the answers.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ethospark.llm.common import stored
-from ethospark.llm.hash_array import HashArray, Tally
-from ethospark.llm.text import U64, Words, as_long, fold, mix, pieces, segment_sum
+from ethospark.llm.common import forget, stored
+from ethospark.llm.hash_array import Tally
+from ethospark.llm.text import U64, Words, as_long, fold, pieces, segment_sum
 
 LEAST = 2  # occurrences that make a bigram or trigram an arc
-WORD_SHARE = 2.5e-7  # words with at least this share of the tokens are known by every task
-GRAM_SHARE = 1e-6  # arcs with at least this share of the tokens are known by every task
+CHUNK_BYTES = 8 << 20  # of text, or one text
+STRETCH = 4096  # tokens of a text that are traversed one after the other
+PART_NODES = 1 << 17  # rows of the model that answer together
 FILTER_BITS = 28
 DISCOUNT = 0.75
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
@@ -47,10 +51,6 @@ START = np.uint64(0x57A257A257A257A2)
 _THREE = np.full(1, 0x3333333333333333, U64)
 
 
-def _none() -> np.ndarray:
-    return np.zeros(0)
-
-
 def sequence(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, hash, whether it is the first of its text) of every token, ends included."""
     n = len(words.hash) + words.rows
@@ -100,56 +100,89 @@ class Bitmap:
         return (self.bits[bit >> U64(3)] >> (bit & U64(7)).astype(np.uint8)) & 1 == 1
 
 
-@dataclass
 class Automaton:
-    """The part of the model that every task holds."""
-
-    words: HashArray
-    total: int = 0  # N
-    types: int = 0  # V
-    log_word: np.ndarray = field(default_factory=_none)
-    fall_word: np.ndarray = field(default_factory=_none)  # the last is the start of a text
-    bigrams: HashArray = field(default_factory=lambda: HashArray(np.zeros(0, U64)))
-    cost_bigram: np.ndarray = field(default_factory=_none)
-    fall_bigram: np.ndarray = field(default_factory=_none)
-    trigrams: HashArray = field(default_factory=lambda: HashArray(np.zeros(0, U64)))
-    cost_trigram: np.ndarray = field(default_factory=_none)
-    others: Bitmap | None = None  # the arcs that are only in the tables
-
-    def tokens(self, words: Words):
-        """(known word or -1, the one before it, row, hash) of every token, ends included."""
+    """The states and arcs that some texts can reach: sorted keys with counts, and the sums of 4 (c - DISCOUNT)
+    over the arcs of each state."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, sure: np.ndarray, total: int, types: int):
+        self.keys = keys
+        self.counts, self.sure = np.append(counts, 0).astype(float), np.append(sure, 0) / 4.0
+        self.norm = total + 0.5 * (types + 1)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each key; the last place stands for keys that are not there."""
+        at = np.searchsorted(self.keys, keys)
+        hit = at < len(self.keys)
+        hit[hit] = self.keys[at[hit]] == keys[hit]
+        return np.where(hit, at, len(self.keys))
+
+    def _fall(self, at: np.ndarray) -> np.ndarray:
+        """log10 of the mass left to the failure arc; a state without arcs costs nothing."""
+        share = self.sure[at] / np.maximum(self.counts[at], 1)
+        return np.where(share > 0, np.log10(np.maximum(1 - share, 1e-12)), 0.0)
+
+    def token_costs(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, count, log10 at the root, log10 along the automaton) of every token, ends included."""
         rows, hashes, first = sequence(words)
-        known = self.words.find(hashes).astype(np.int64)
-        before = np.empty(len(known), np.int64)
-        before[1:] = known[:-1]
-        before[first] = len(self.words)  # the start of a text
-        return known, before, rows, hashes
-
-    def costs(self, known, before) -> tuple[np.ndarray, np.ndarray]:
-        """log10 at the root and along the automaton, of what every task holds."""
-        return self.look_up(self.words.keys[known], known, before)[:2]
-
-    def look_up(self, hashes, known, before):
-        """(root cost, cost, tokens whose bigram or trigram may be in the tables, its key)."""
-        first = before == len(self.words)
-        two = bigrams_of(hashes, first)[1]
+        before, two = bigrams_of(hashes, first)
         later = np.flatnonzero(~first)
-        three = trigram_key(two[later - 1], two[later])
-        bigram, trigram = self.bigrams.find(two), self.trigrams.find(three)
-        root = np.append(self.log_word, 0.0)[known]
-        fall = np.append(self.fall_word, 0.0)[before]  # rare words (-1): from the tables
-        cost = root + fall + np.append(self.cost_bigram, 0.0)[bigram]
-        cost[later] += np.append(self.fall_bigram, 0.0)[bigram[later - 1]] + np.append(self.cost_trigram, 0.0)[trigram]
-        at = np.concatenate([np.flatnonzero(bigram < 0), later[trigram < 0]])
-        keys = np.concatenate([two[bigram < 0], three[trigram < 0]])
-        maybe = self.others.maybe(keys) if self.others else np.zeros(len(keys), bool)
-        return root, cost, at[maybe], keys[maybe]
+        count = self.counts[self._find(hashes)]
+        root = np.log10((count + 0.5) / self.norm)
+        state, arc = self._find(before), self._find(two)
+        has_two = self.counts[arc] >= LEAST
+        fall_one = self._fall(state)
+        way = fall_one + root
+        log_two = np.full(len(rows), -np.inf)
+        log_two[has_two] = np.log10((self.counts[arc] - DISCOUNT)[has_two] / self.counts[state][has_two] + 10.0 ** way[has_two])
+        # arcs of the state of two words: from the bigram that ends at the token before
+        third = np.full(len(rows), len(self.keys))
+        third[later] = self._find(trigram_key(two[later - 1], two[later]))
+        has_three = self.counts[third] >= LEAST
+        fall_two, own = np.zeros(len(rows)), np.ones(len(rows))
+        fall_two[later], own[later] = self._fall(arc[later - 1]), self.counts[arc[later - 1]]
+        log_three = np.full(len(rows), -np.inf)
+        way = fall_two[has_three] + log_two[has_three]
+        log_three[has_three] = np.log10((self.counts[third[has_three]] - DISCOUNT) / own[has_three] + 10.0**way)
+        cost = _traverse(np.flatnonzero(first), has_two, has_three, log_three, fall_two, log_two, fall_one, root)
+        return rows, count, root, cost
+
+
+def _traverse(begins, has_two, has_three, log_three, fall_two, log_two, fall_one, root) -> np.ndarray:
+    """The cost of every token, left to right; ``begins`` are the first tokens of the texts.
+
+    The state is carried as the number of words it remembers: one (the start of a text counts) or two."""
+    n = len(root)
+    ends = np.append(begins[1:], n)
+    cuts = -(-(ends - begins) // STRETCH)
+    number = np.arange(int(cuts.sum())) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+    own = np.repeat(begins, cuts) + number * STRETCH  # the first token that counts
+    at = np.where(number > 0, own - 2, own)
+    left = np.minimum(own + STRETCH, np.repeat(ends, cuts)) - at
+    order = np.argsort(-left, kind="stable")
+    at, own, left = at[order], own[order], left[order]
+    lanes = np.searchsorted(-left, -np.arange(1, int(left[0]) + 1), "right") if len(left) else []  # still going at each step
+    state, cost = np.ones(len(at), np.int8), np.zeros(n)
+    for step, going in enumerate(lanes):
+        t, remembers = at[:going] + step, state[:going]
+        long = remembers == 2
+        by_three = long & has_three[t]
+        fallen = long & ~by_three
+        by_two = ~by_three & has_two[t]
+        spent = np.where(fallen, fall_two[t], 0.0) + np.where(by_two, log_two[t], fall_one[t] + root[t])
+        spent = np.where(by_three, log_three[t], spent)
+        state[:going] = np.where(by_three | by_two, 2, 1)
+        counts = t >= own[:going]
+        cost[t[counts]] = spent[counts]
+    return cost
 
 
 @dataclass
 class Model:
-    automaton: Automaton
-    costs: DataFrame  # key, root (of words only), cost: of every word, bigram and trigram
+    nodes: DataFrame  # key, c, sure: of every word, the start of a text, every bigram and trigram with an arc
+    n_nodes: int
+    total: int  # N
+    types: int  # V
+    arcs: Bitmap  # of the bigrams and trigrams
 
 
 def _tallied(docs: DataFrame, text_column: str) -> DataFrame:
@@ -208,47 +241,25 @@ def _keyed(pairs: DataFrame, key_of) -> DataFrame:
     return pairs.mapInArrow(task, "key long, a long, b long, c long")
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as stored table; shuffle files of steps that are over go once the driver has no use for them."""
-    found = stored(df, name)
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return found
-
-
-def _frequent(table: DataFrame, least: float, *columns: str) -> tuple[np.ndarray, ...]:
-    """Keys with at least ``least`` occurrences, ascending, and their columns; bounded by the share."""
-    found = table.filter(F.col("c") >= max(LEAST, least)).select("key", *columns).toArrow()
-    keys = found.column("key").to_numpy().astype(np.int64).view(U64)
-    order = np.argsort(keys)
-    return keys[order], *[found.column(x).to_numpy()[order].astype(float) for x in columns]
-
+def _sure(arcs: DataFrame) -> DataFrame:
+    """(key of a state, sum of 4 (c - DISCOUNT) over its arcs), in whole numbers."""
+    return arcs.groupBy(F.col("a").alias("key")).agg(F.sum(4 * F.col("c") - int(4 * DISCOUNT)).alias("sure"))
 
-def _left(arcs: DataFrame) -> DataFrame:
-    """(key of a state, sum of its arcs' discounted counts)."""
-    return arcs.groupBy(F.col("a").alias("key")).agg(F.sum(F.col("c") - DISCOUNT).alias("sure"))
 
-
-def _fall(sure: str, c: str) -> Column:
-    """log10 of the mass left to the failure arc of a state; a state without arcs costs nothing."""
-    return F.coalesce(F.log10(F.when(F.col(sure).isNotNull(), F.greatest(1 - F.col(sure) / F.col(c), F.lit(1e-12)))), F.lit(0.0))
-
-
-def fit(train: DataFrame, text_column: str = "text", word_share: float = WORD_SHARE, gram_share: float = GRAM_SHARE) -> Model:
-    """The model of all rows of ``train``; the shares say only what every task holds."""
-    spark = train.sparkSession
-    rows = train.select(text_column)
+def fit(train: DataFrame, text_column: str = "text") -> Model:
+    """The model of all rows of ``train``."""
+    spark, rows = train.sparkSession, train.select(text_column)
     end, start = (int(x.astype(np.int64)) for x in (END, START))
-    counts = _kept(_tallied(rows, text_column), "lm-words")
+    counts = stored(_tallied(rows, text_column), "lm-words", tidy=True)
     total, types, texts = counts.agg(
         F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.max(F.when(F.col("key") == end, F.col("c"))), F.lit(0))
     ).first()
-    norm = total + 0.5 * (types + 1)
 
     def two(words):
         _, hashes, first = sequence(words)
         return bigrams_of(hashes, first)[0], hashes
 
-    bigrams = _keyed(_kept(_pairs(rows, text_column, two), "lm-bigrams"), lambda a, b: fold([a, b]))
+    bigrams = stored(_keyed(_pairs(rows, text_column, two), lambda a, b: fold([a, b])).drop("b"), "lm-bigrams", tidy=True)
     sent = spark.sparkContext.broadcast(Bitmap(bigrams))
 
     def three(words):  # both bigrams of a trigram occur as often as it does
@@ -258,89 +269,104 @@ def fit(train: DataFrame, text_column: str = "text", word_share: float = WORD_SH
         at = np.flatnonzero(~first & often & np.append(False, often[:-1])[: len(often)])
         return keys[at - 1], keys[at]
 
-    trigrams = _keyed(_kept(_pairs(rows, text_column, three), "lm-trigrams"), trigram_key)
+    trigrams = stored(_keyed(_pairs(rows, text_column, three), trigram_key).drop("b"), "lm-trigrams", tidy=True)
     sent.destroy()
+    words = counts.union(spark.range(1).select(F.lit(start), F.lit(texts)))
+    none = F.lit(0).cast("long").alias("sure")
+    nodes = words.join(_sure(bigrams), "key", "left")
+    nodes = nodes.unionByName(bigrams.select("key", "c").join(_sure(trigrams), "key", "left"))
+    nodes = nodes.unionByName(trigrams.select("key", "c", none)).withColumn("sure", F.coalesce("sure", F.lit(0)))
+    nodes = stored(nodes.select("key", "c", "sure"), "lm-nodes", tidy=True)
+    arcs = Bitmap(bigrams.select("key").union(trigrams.select("key")))
+    for table in (counts, bigrams, trigrams):
+        forget(table)
+    return Model(nodes, nodes.count(), total, types, arcs)
+
+
+def _questions(words: Words, arcs: Bitmap) -> np.ndarray:
+    """Sorted keys of the distinct words, bigrams and trigrams that may be in the model."""
+    _, hashes, first = sequence(words)
+    two = bigrams_of(hashes, first)[1]
+    often = arcs.maybe(two)
+    later = np.flatnonzero(~first & often & np.append(False, often[:-1])[: len(often)])
+    three = trigram_key(two[later - 1], two[later])
+    return np.unique(np.concatenate([np.append(hashes, START), two[often], three[arcs.maybe(three)]]))
+
 
-    # words, and the start of a text
-    word = counts.union(spark.range(1).select(F.lit(start), F.lit(texts))).join(_left(bigrams), "key", "left")
-    word = _kept(word.select("key", "c", F.log10((F.col("c") + 0.5) / norm).alias("root"), _fall("sure", "c").alias("fall")), "lm-word-costs")
-    # bigrams
-    state = word.select(F.col("key").alias("a"), F.col("c").alias("own"), "fall")
-    last = word.select(F.col("key").alias("b"), "root")
-    bigram = bigrams.join(state, "a").join(last, "b").join(_left(trigrams), "key", "left")
-    way = F.col("fall") + F.col("root")
-    bigram = bigram.withColumn("log_p", F.log10((F.col("c") - DISCOUNT) / F.col("own") + F.pow(F.lit(10.0), way)))
-    bigram = _kept(bigram.select("key", "c", "log_p", (F.col("log_p") - way).alias("cost"), _fall("sure", "c").alias("fall")), "lm-bigram-costs")
-    # trigrams
-    state = bigram.select(F.col("key").alias("a"), F.col("c").alias("own"), "fall")
-    last = bigram.select(F.col("key").alias("b"), "log_p")
-    trigram = trigrams.join(state, "a").join(last, "b")
-    way = F.col("fall") + F.col("log_p")
-    more = F.log10((F.col("c") - DISCOUNT) / F.col("own") + F.pow(F.lit(10.0), way)) - way
-    trigram = _kept(trigram.select("key", "c", more.alias("cost")), "lm-trigram-costs")
-
-    # what every task holds
-    fall = word.filter(F.col("key") == start).first()["fall"]
-    least = gram_share * total
-    words = word.filter(F.col("key") != start)
-    keys, log_word, fall_word = _frequent(words, word_share * total, "root", "fall")
-    model = Automaton(HashArray(keys), total, types, log_word, np.append(fall_word, fall))
-    keys, model.cost_bigram, model.fall_bigram = _frequent(bigram, max(least, word_share * total), "cost", "fall")
-    model.bigrams = HashArray(keys)
-    keys, model.cost_trigram = _frequent(trigram, max(least, word_share * total), "cost")
-    model.trigrams = HashArray(keys)
-    rare = F.col("c") < max(LEAST, least, word_share * total)
-    model.others = Bitmap(bigram.filter(rare).select("key").union(trigram.filter(rare).select("key")))
-    none = F.lit(None).cast("double").alias("root")
-    costs = words.select("key", "root", (F.col("root") + F.col("fall")).alias("cost"))
-    costs = costs.union(bigram.filter(rare).select("key", none, F.col("cost") + F.col("fall")))
-    return Model(model, costs.union(trigram.filter(rare).select("key", none, "cost")))
+def _packed(x: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(x).tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, 8 * n, "zstd", asbytes=True), np.int64)
 
 
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row: the id, ``carry`` columns, n_tokens, n_known, base_score, score."""
-    kept = [id_column, *carry]
-    source = docs.select(*kept, F.col(text_column).alias("__text"))
-    sent = docs.sparkSession.sparkContext.broadcast(model.automaton)
-    kinds = [f"`{c}`: {source.schema[c].dataType.simpleString()}" for c in kept]
-    head = f"struct<{', '.join([*kinds, 'n_tokens: long', '__known: long', '__base: double', '__score: double'])}>"
-    names = [*kept, "n_tokens", "__known", "__base", "__score"]
-
-    def task(batches):
-        automaton, number = sent.value, TaskContext.get().partitionId() << 33
-        for piece in pieces(batches, "__text"):
-            known, before, rows, hashes = automaton.tokens(Words(piece.column("__text")))
-            n = piece.num_rows
-            root, cost, at, keys = automaton.look_up(hashes, known, before)
-            ids = np.arange(number, number + n)
-            number += n
-            rare = np.flatnonzero(known < 0)
-            heads = pa.StructArray.from_arrays(
-                [
-                    *[piece.column(c) for c in kept],
-                    pa.array(np.bincount(rows, minlength=n)),
-                    pa.array(np.bincount(rows[known >= 0], minlength=n)),
-                    pa.array(segment_sum(root, rows, n)),
-                    pa.array(segment_sum(cost, rows, n)),
-                ],
-                names,
+    kept = {f"__{i}": c for i, c in enumerate([id_column, *carry])}
+    source = docs.select(*[F.col(c).alias(k) for k, c in kept.items()], F.col(text_column).alias("__text"))
+    sent = docs.sparkSession.sparkContext.broadcast(model.arcs)
+    bits = max(6, (max(model.n_nodes, 1) // PART_NODES).bit_length())
+    total, types = model.total, model.types
+    kinds = ", ".join(f"{k} {source.schema[k].dataType.simpleString()}" for k in kept)
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+        return enumerate(pieces(batches, "__text", CHUNK_BYTES), TaskContext.get().partitionId() << 31)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, piece in chunks(batches):
+            keys = _questions(Words(piece.column("__text")), sent.value)
+            part = (keys >> U64(64 - bits)).astype(np.int64)
+            cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            arrays = [k.tobytes() for k in np.split(keys, cuts[1:])]
+            yield pa.record_batch(
+                [pa.array(np.full(len(cuts), chunk)), pa.array(part[cuts]), pa.array(arrays, pa.binary())], ["chunk", "part", "keys"]
             )
-            # heads of rows are spread by their number; they match no n-gram
-            yield pa.record_batch([pa.array(ids), as_long(mix(ids.astype(U64))), heads], ["__row", "key", "__head"])
-            of, keys = ids[rows[np.concatenate([rare, at])]], np.concatenate([hashes[rare], keys])
-            for i in range(0, len(keys), 1 << 18):
-                part = keys[i : i + (1 << 18)]
-                yield pa.record_batch([pa.array(of[i : i + (1 << 18)]), as_long(part), pa.nulls(len(part), heads.type)], ["__row", "key", "__head"])
-
-    automaton = model.automaton
-    unknown = float(np.log10(0.5 / (automaton.total + 0.5 * (automaton.types + 1))))
-    joined = source.mapInArrow(task, f"__row long, key long, __head {head}").join(model.costs, "key", "left")
-    sums = joined.groupBy("__row").agg(
-        *[F.max(F.col("__head").getField(x)).alias(x) for x in names], F.count("root").alias("__more"),
-        F.coalesce(F.sum("root"), F.lit(0.0)).alias("__roots"), F.coalesce(F.sum("cost"), F.lit(0.0)).alias("__costs"),
-    ).withColumn("n_known", F.col("__known") + F.col("__more"))
-    missing = (F.col("n_tokens") - F.col("n_known")) * F.lit(unknown)
-    return sums.select(
-        *kept, "n_tokens", "n_known", (F.col("__base") + F.col("__roots") + missing).alias("base_score"),
-        (F.col("__score") + F.col("__costs") + missing).alias("score"),
+
+    def answer(nodes: pa.Table, questions: pa.Table) -> pa.Table:
+        known = nodes.column("key").to_numpy().astype(np.int64).view(U64)
+        order = np.argsort(known)
+        known = np.append(known[order], ~U64(0))
+        values = [np.append(nodes.column(c).to_numpy().astype(np.int64)[order], 0) for c in ("c", "sure")]
+        found = []
+        for raw in questions.column("keys").to_pylist():
+            keys = np.frombuffer(raw, U64)
+            at = np.searchsorted(known[:-1], keys)
+            at = np.where(known[at] == keys, at, len(known) - 1)
+            found.append([len(keys), *[_packed(v[at]) for v in values]])
+        columns = list(zip(*found)) if found else [[], [], []]
+        types_ = [pa.int64(), pa.binary(), pa.binary()]
+        return pa.table(
+            [questions.column("chunk"), questions.column("part"), *[pa.array(c, t) for c, t in zip(columns, types_)]],
+            ["chunk", "part", "n", "c", "sure"],
+        )
+
+    def put_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, piece in chunks(batches):
+            yield pa.record_batch([pa.array(np.full(piece.num_rows, chunk)), *piece.columns], ["chunk", *piece.schema.names])
+
+    def traverse(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        words = Words(texts.column("__text"))
+        answers = answers.sort_by("part")
+        counts, sure = (
+            np.concatenate([_unpacked(d, n) for d, n in zip(answers.column(c).to_pylist(), answers.column("n").to_pylist())])
+            for c in ("c", "sure")
+        )
+        automaton = Automaton(_questions(words, sent.value), counts, sure, total, types)
+        rows, count, root, cost = automaton.token_costs(words)
+        n = texts.num_rows
+        sums = [np.bincount(rows, minlength=n), np.bincount(rows[count > 0], minlength=n), segment_sum(root, rows, n), segment_sum(cost, rows, n)]
+        return pa.table(
+            [*[texts.column(k) for k in kept], *[pa.array(x) for x in sums]], [*kept, "n_tokens", "n_known", "base_score", "score"]
+        )
+
+    questions = source.mapInArrow(ask, "chunk long, part long, keys binary")
+    nodes = model.nodes.withColumn("part", F.shiftrightunsigned("key", 64 - bits))
+    answers = nodes.groupBy("part").cogroup(questions.groupBy("part")).applyInArrow(
+        answer, "chunk long, part long, n long, c binary, sure binary"
+    )
+    texts = source.mapInArrow(put_chunk, f"chunk long, {kinds}, __text string")
+    scored = texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
+        traverse, f"{kinds}, n_tokens long, n_known long, base_score double, score double"
     )
+    return scored.withColumnsRenamed(kept)

@@ -133,7 +133,7 @@ def op9_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     model = lm_scoring.fit(docs.filter(~F.col("held_out")))
     scored = lm_scoring.score(docs, model, carry=("held_out",))
     return scored.select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.automaton.total).cast("long").alias("train_tokens"),
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"),
         "base_score", "score",
     )
 

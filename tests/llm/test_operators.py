@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,6 +24,7 @@ from ethospark.llm import (
     suffix_dedup,
 )
 from ethospark.llm.queries import QUERIES, tokenizer
+from ethospark.llm.text import Words
 
 FOLDER = "/root/testdata/sf0.001"
 ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (4, "one"), (None, "a b c"), (5, "x " * 30_000), (6, "é🙂 ÀB\x0bC\n\n")]
@@ -286,26 +288,27 @@ def test_lm_states_are_distributions(spark):
     rng = random.Random(4)
     df = spark.createDataFrame([(k, " ".join(rng.choice("abcde") for _ in range(12))) for k in range(60)], "doc_id long, text string")
     model = lm_scoring.fit(df)
+    nodes = model.nodes.toPandas()
+    keys = nodes["key"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    counts, sure = (nodes[c].to_numpy()[order] for c in ("c", "sure"))
+    automaton = lm_scoring.Automaton(keys[order], counts, sure, model.total, model.types)
     for history in ("a b", "c", "b b"):
         probes = [f"{history} {w}" for w in [*"abcde", "unknown"]] + [history]
-        scores = {r.doc_id: r for r in lm_scoring.score(spark.createDataFrame(list(enumerate(probes)), "doc_id long, text string"), model).collect()}
-        # the score of "history w" includes an end after w: compare prefixes by scoring w alone
-        automaton = model.automaton
-        from ethospark.llm.text import Words
-        import pyarrow as pa
-
         total = 0.0
-        norm = automaton.total + 0.5 * (automaton.types + 1)
         for text in probes:
-            known, before, rows, hashes = automaton.tokens(Words(pa.array([text])))
-            _, cost = automaton.costs(known, before)
-            at = len(history.split())
-            total += 10 ** (cost[at] + (0 if known[at] >= 0 else math.log10(0.5 / norm)))
-        assert total == pytest.approx(1, abs=1e-6) and len(scores) == len(probes)
+            _, _, _, cost = automaton.token_costs(Words(pa.array([text])))
+            total += 10 ** cost[len(history.split())]
+        assert total == pytest.approx(1, abs=1e-6)
+    scores = lm_scoring.score(spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), model).first()
+    assert scores.score == pytest.approx(automaton.token_costs(Words(pa.array(["a b c"])))[3].sum())
 
 
-def test_lm_keeps_rare_arcs(spark):
+@pytest.mark.parametrize("chunk, stretch, bits", [(1 << 23, 4096, 28), (60, 3, 15), (1, 1, 16)])
+def test_lm_keeps_rare_arcs(spark, monkeypatch, chunk, stretch, bits):
     """An n-gram below any share of the tokens has its arc: scores are those of a plain model."""
+    for name, value in (("CHUNK_BYTES", chunk), ("STRETCH", stretch), ("FILTER_BITS", bits)):
+        monkeypatch.setattr(lm_scoring, name, value)
     rng = random.Random(6)
     texts = [" ".join(rng.choice("abcdefgh") for _ in range(40)) for _ in range(60)] + ["rare pair here", "a rare pair here b", "once upon a", "", None]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -327,14 +330,16 @@ def test_lm_keeps_rare_arcs(spark):
         return (c - 0.75 if c >= 2 else 0) / own + (1 - sum(c - 0.75 for c in arcs) / own) * lower
 
     probes = [*texts[:5], *texts[-5:], "rare pair", "pair here b new", "a rare pair here"]
-    for shares in ((2.5e-7, 1e-6), (0.01, 0.02), (0.5, 0.5)):
-        model = lm_scoring.fit(df, word_share=shares[0], gram_share=shares[1])
-        found = lm_scoring.score(spark.createDataFrame(list(enumerate(probes)), "doc_id long, text string"), model).collect()
-        for r in found:
-            w = ["<s>", *brute.words(probes[r.doc_id]), "</s>"]
-            expected = sum(math.log10(p(tuple(w[max(0, i - 2) : i]), w[i])) for i in range(1, len(w)))
-            assert r.score == pytest.approx(expected) and r.n_known == sum(x in words for x in w)
-        assert len(found) == len(probes)
+    model = lm_scoring.fit(df)
+    asked = spark.createDataFrame([(k, t, {"k": k}) for k, t in enumerate(probes)], "doc_id long, text string, score map<string,int>")
+    found = lm_scoring.score(asked, model, carry=("score",)).toArrow().to_pylist()
+    assert len(found) == len(probes)
+    scores = lm_scoring.score(asked.drop("score"), model).collect()
+    for r in scores:
+        w = ["<s>", *brute.words(probes[r.doc_id]), "</s>"]
+        expected = sum(math.log10(p(tuple(w[max(0, i - 2) : i]), w[i])) for i in range(1, len(w)))
+        assert r.score == pytest.approx(expected) and r.n_known == sum(x in words for x in w)
+    assert len(scores) == len(probes)
 
 
 def test_line_windows(spark, odd):
