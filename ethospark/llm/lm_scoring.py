@@ -37,13 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ethospark.llm.common import forget, stored
-from ethospark.llm.hash_array import Tally
+from ethospark.llm.hash_array import HashArray, Tally
 from ethospark.llm.text import U64, Words, as_long, fold, pieces, segment_sum
 
 LEAST = 2  # occurrences that make a bigram or trigram an arc
-CHUNK_BYTES = 8 << 20  # of text, or one text
+CHUNK_BYTES = 4 << 20  # of text, or one text
 STRETCH = 4096  # tokens of a text that are traversed one after the other
-PART_NODES = 1 << 17  # rows of the model that answer together
+PART_NODES = 1 << 18  # rows of the model, or tokens, that one part of the keys has about
 FILTER_BITS = 28
 DISCOUNT = 0.75
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
@@ -76,27 +76,29 @@ def trigram_key(state: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 
 class Bitmap:
-    """Which leading FILTER_BITS bits keys have: a fixed size, compressed on its way to the tasks."""
+    """Which leading bits keys have (15 of them at least): a fixed size, compressed on its way to the tasks."""
 
-    def __init__(self, keys: DataFrame):
-        bit = F.shiftrightunsigned("key", 64 - FILTER_BITS) + 1
+    def __init__(self, keys: DataFrame, leading: int = FILTER_BITS):
+        self.leading = leading
+        bit = F.shiftrightunsigned("key", 64 - leading) + 1
         found = (
             keys.select(F.bitmap_bucket_number(bit).alias("at"), F.bitmap_bit_position(bit).alias("bit"))
             .groupBy("at").agg(F.bitmap_construct_agg("bit").alias("bits")).toArrow()
         )
-        self.bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+        self.bits = np.zeros((1 << leading) // 8, np.uint8)
         for at, bits in zip(found.column("at").to_pylist(), found.column("bits"), strict=True):
             self.bits[(at - 1) * 4096 : at * 4096] = np.frombuffer(bits.as_py(), np.uint8)
 
     def __getstate__(self):
-        return len(self.bits), pa.compress(self.bits.tobytes(), "zstd", asbytes=True)
+        return self.leading, len(self.bits), pa.compress(self.bits.tobytes(), "zstd", asbytes=True)
 
     def __setstate__(self, state):
-        self.bits = np.frombuffer(pa.decompress(state[1], state[0], "zstd", asbytes=True), np.uint8)
+        self.leading = state[0]
+        self.bits = np.frombuffer(pa.decompress(state[2], state[1], "zstd", asbytes=True), np.uint8)
 
     def maybe(self, keys: np.ndarray) -> np.ndarray:
         """False where a key is not one of those given."""
-        bit = keys >> U64(64 - FILTER_BITS)
+        bit = keys >> U64(64 - self.leading)
         return (self.bits[bit >> U64(3)] >> (bit & U64(7)).astype(np.uint8)) & 1 == 1
 
 
@@ -105,59 +107,60 @@ class Automaton:
     over the arcs of each state."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, sure: np.ndarray, total: int, types: int):
-        self.keys = keys
+        self.keys = HashArray(keys)
         self.counts, self.sure = np.append(counts, 0).astype(float), np.append(sure, 0) / 4.0
         self.norm = total + 0.5 * (types + 1)
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         """Place of each key; the last place stands for keys that are not there."""
-        at = np.searchsorted(self.keys, keys)
-        hit = at < len(self.keys)
-        hit[hit] = self.keys[at[hit]] == keys[hit]
-        return np.where(hit, at, len(self.keys))
+        return self.keys.find(keys)  # -1: the last one
 
     def _fall(self, at: np.ndarray) -> np.ndarray:
         """log10 of the mass left to the failure arc; a state without arcs costs nothing."""
         share = self.sure[at] / np.maximum(self.counts[at], 1)
         return np.where(share > 0, np.log10(np.maximum(1 - share, 1e-12)), 0.0)
 
-    def token_costs(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def token_costs(self, words: Words, stretch: int = STRETCH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(row, count, log10 at the root, log10 along the automaton) of every token, ends included."""
         rows, hashes, first = sequence(words)
-        before, two = bigrams_of(hashes, first)
+        two = bigrams_of(hashes, first)[1]
+        word, arc = self._find(hashes), self._find(two)
+        state = np.append(self._find(np.full(1, START)), word[:-1])[: len(word)]
+        state[first] = state[:1]
         later = np.flatnonzero(~first)
-        count = self.counts[self._find(hashes)]
+        count = self.counts[word]
         root = np.log10((count + 0.5) / self.norm)
-        state, arc = self._find(before), self._find(two)
         has_two = self.counts[arc] >= LEAST
         fall_one = self._fall(state)
         way = fall_one + root
         log_two = np.full(len(rows), -np.inf)
         log_two[has_two] = np.log10((self.counts[arc] - DISCOUNT)[has_two] / self.counts[state][has_two] + 10.0 ** way[has_two])
         # arcs of the state of two words: from the bigram that ends at the token before
-        third = np.full(len(rows), len(self.keys))
-        third[later] = self._find(trigram_key(two[later - 1], two[later]))
+        third = np.full(len(rows), -1)
+        later = later[has_two[later - 1]]
+        both = later[has_two[later]]
+        third[both] = self._find(trigram_key(two[both - 1], two[both]))
         has_three = self.counts[third] >= LEAST
         fall_two, own = np.zeros(len(rows)), np.ones(len(rows))
         fall_two[later], own[later] = self._fall(arc[later - 1]), self.counts[arc[later - 1]]
         log_three = np.full(len(rows), -np.inf)
         way = fall_two[has_three] + log_two[has_three]
         log_three[has_three] = np.log10((self.counts[third[has_three]] - DISCOUNT) / own[has_three] + 10.0**way)
-        cost = _traverse(np.flatnonzero(first), has_two, has_three, log_three, fall_two, log_two, fall_one, root)
+        cost = _traverse(np.flatnonzero(first), stretch, has_two, has_three, log_three, fall_two, log_two, fall_one, root)
         return rows, count, root, cost
 
 
-def _traverse(begins, has_two, has_three, log_three, fall_two, log_two, fall_one, root) -> np.ndarray:
+def _traverse(begins, stretch, has_two, has_three, log_three, fall_two, log_two, fall_one, root) -> np.ndarray:
     """The cost of every token, left to right; ``begins`` are the first tokens of the texts.
 
     The state is carried as the number of words it remembers: one (the start of a text counts) or two."""
     n = len(root)
     ends = np.append(begins[1:], n)
-    cuts = -(-(ends - begins) // STRETCH)
+    cuts = -(-(ends - begins) // stretch)
     number = np.arange(int(cuts.sum())) - np.repeat(np.cumsum(cuts) - cuts, cuts)
-    own = np.repeat(begins, cuts) + number * STRETCH  # the first token that counts
-    at = np.where(number > 0, own - 2, own)
-    left = np.minimum(own + STRETCH, np.repeat(ends, cuts)) - at
+    own = np.repeat(begins, cuts) + number * stretch  # the first token that counts
+    at = np.where(number > 0, np.maximum(own - 2, np.repeat(begins, cuts)), own)
+    left = np.minimum(own + stretch, np.repeat(ends, cuts)) - at
     order = np.argsort(-left, kind="stable")
     at, own, left = at[order], own[order], left[order]
     lanes = np.searchsorted(-left, -np.arange(1, int(left[0]) + 1), "right") if len(left) else []  # still going at each step
@@ -205,40 +208,70 @@ def _frames(names: list[str], *columns: np.ndarray):
         yield pa.record_batch([as_long(x[i : i + (1 << 18)]) for x in columns], names)
 
 
-def _pairs(docs: DataFrame, text_column: str, pairs_of) -> DataFrame:
-    """(a, b, c) of the pairs that occur LEAST times; ``pairs_of`` gives those of a slice's words."""
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)
+    return keys[np.append(True, keys[1:] != keys[:-1])[: len(keys)]]
 
-    def tallied(held):
-        a, b = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        at = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)])
-        yield from _frames(["a", "b", "c"], a[at], b[at], np.diff(np.append(at, len(a))))
+
+def _starts(ordered: np.ndarray) -> np.ndarray:
+    """Where a new value begins."""
+    return np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)])
+
+
+def _packed(x: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(x).tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, 8 * n, "zstd", asbytes=True), np.int64)
+
+
+def _bits(n: int) -> int:
+    """Leading bits of a key that tell its part, for ``n`` rows."""
+    return max(6, (n // PART_NODES).bit_length())
+
+
+def _grams(docs: DataFrame, text_column: str, bits: int, grams_of) -> DataFrame:
+    """(key, a, c) of the n-grams that occur LEAST times; ``grams_of`` gives (key, state a) of a slice's words.
+
+    A task sends the n-grams it has counted as one sorted array for each part of the keys."""
+
+    def counted(held):
+        keys, states = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(keys)
+        keys = keys[order]
+        at = _starts(keys)
+        counts, states = np.diff(np.append(at, len(keys))), states[order][at]
+        keys = keys[at]
+        part = (keys >> U64(64 - bits)).astype(np.int64)
+        cuts = np.append(_starts(part), len(part))
+        rows = [(int(part[i]), int(j - i), keys[i:j].tobytes(), states[i:j].tobytes(), _packed(counts[i:j])) for i, j in zip(cuts, cuts[1:])]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["part", "n", "keys", "states", "counts"])
 
     def task(batches):
         held, n = [], 0
         for piece in pieces(batches):
-            held.append(pairs_of(Words(piece.column("text"))))
+            held.append(grams_of(Words(piece.column("text"))))
             n += len(held[-1][0])
-            if n >= 1 << 21:
-                yield from tallied(held)
+            if n >= 1 << 22:
+                yield counted(held)
                 held, n = [], 0
-        if held:
-            yield from tallied(held)
-
-    rows = docs.select(F.col(text_column).alias("text")).mapInArrow(task, "a long, b long, c long")
-    return rows.groupBy("a", "b").agg(F.sum("c").alias("c")).filter(F.col("c") >= LEAST)
+        if n:
+            yield counted(held)
 
+    def add_up(arrays: pa.Table) -> pa.Table:
+        keys, states = (np.frombuffer(b"".join(arrays.column(c).to_pylist()), U64) for c in ("keys", "states"))
+        counts = np.concatenate([_unpacked(d, n) for d, n in zip(arrays.column("counts").to_pylist(), arrays.column("n").to_pylist())])
+        order = np.argsort(keys)
+        keys = keys[order]
+        at = _starts(keys)
+        counts = np.add.reduceat(counts[order], at)
+        often = counts >= LEAST
+        return pa.table([as_long(keys[at][often]), as_long(states[order][at][often]), pa.array(counts[often])], ["key", "a", "c"])
 
-def _keyed(pairs: DataFrame, key_of) -> DataFrame:
-    """``pairs`` with the key of each."""
-
-    def task(batches):
-        for batch in batches:
-            a, b = (batch.column(x).to_numpy().view(U64) for x in ("a", "b"))
-            yield pa.record_batch([as_long(key_of(a, b)), *batch.columns], ["key", *batch.schema.names])
-
-    return pairs.mapInArrow(task, "key long, a long, b long, c long")
+    rows = docs.select(F.col(text_column).alias("text")).mapInArrow(task, "part long, n long, keys binary, states binary, counts binary")
+    return rows.groupBy("part").applyInArrow(add_up, "key long, a long, c long")
 
 
 def _sure(arcs: DataFrame) -> DataFrame:
@@ -246,7 +279,7 @@ def _sure(arcs: DataFrame) -> DataFrame:
     return arcs.groupBy(F.col("a").alias("key")).agg(F.sum(4 * F.col("c") - int(4 * DISCOUNT)).alias("sure"))
 
 
-def fit(train: DataFrame, text_column: str = "text") -> Model:
+def fit(train: DataFrame, text_column: str = "text", filter_bits: int = FILTER_BITS) -> Model:
     """The model of all rows of ``train``."""
     spark, rows = train.sparkSession, train.select(text_column)
     end, start = (int(x.astype(np.int64)) for x in (END, START))
@@ -255,21 +288,24 @@ def fit(train: DataFrame, text_column: str = "text") -> Model:
         F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.max(F.when(F.col("key") == end, F.col("c"))), F.lit(0))
     ).first()
 
+    bits = _bits(total)
+
     def two(words):
         _, hashes, first = sequence(words)
-        return bigrams_of(hashes, first)[0], hashes
+        before, keys = bigrams_of(hashes, first)
+        return keys, before
 
-    bigrams = stored(_keyed(_pairs(rows, text_column, two), lambda a, b: fold([a, b])).drop("b"), "lm-bigrams", tidy=True)
-    sent = spark.sparkContext.broadcast(Bitmap(bigrams))
+    bigrams = stored(_grams(rows, text_column, bits, two), "lm-bigrams", tidy=True)
+    sent = spark.sparkContext.broadcast(Bitmap(bigrams, filter_bits))
 
     def three(words):  # both bigrams of a trigram occur as often as it does
         _, hashes, first = sequence(words)
         keys = bigrams_of(hashes, first)[1]
         often = sent.value.maybe(keys)
         at = np.flatnonzero(~first & often & np.append(False, often[:-1])[: len(often)])
-        return keys[at - 1], keys[at]
+        return trigram_key(keys[at - 1], keys[at]), keys[at - 1]
 
-    trigrams = stored(_keyed(_pairs(rows, text_column, three), trigram_key).drop("b"), "lm-trigrams", tidy=True)
+    trigrams = stored(_grams(rows, text_column, bits, three), "lm-trigrams", tidy=True)
     sent.destroy()
     words = counts.union(spark.range(1).select(F.lit(start), F.lit(texts)))
     none = F.lit(0).cast("long").alias("sure")
@@ -277,7 +313,7 @@ def fit(train: DataFrame, text_column: str = "text") -> Model:
     nodes = nodes.unionByName(bigrams.select("key", "c").join(_sure(trigrams), "key", "left"))
     nodes = nodes.unionByName(trigrams.select("key", "c", none)).withColumn("sure", F.coalesce("sure", F.lit(0)))
     nodes = stored(nodes.select("key", "c", "sure"), "lm-nodes", tidy=True)
-    arcs = Bitmap(bigrams.select("key").union(trigrams.select("key")))
+    arcs = Bitmap(bigrams.select("key").union(trigrams.select("key")), filter_bits)
     for table in (counts, bigrams, trigrams):
         forget(table)
     return Model(nodes, nodes.count(), total, types, arcs)
@@ -290,34 +326,29 @@ def _questions(words: Words, arcs: Bitmap) -> np.ndarray:
     often = arcs.maybe(two)
     later = np.flatnonzero(~first & often & np.append(False, often[:-1])[: len(often)])
     three = trigram_key(two[later - 1], two[later])
-    return np.unique(np.concatenate([np.append(hashes, START), two[often], three[arcs.maybe(three)]]))
-
-
-def _packed(x: np.ndarray) -> bytes:
-    return pa.compress(np.ascontiguousarray(x).tobytes(), "zstd", asbytes=True)
-
-
-def _unpacked(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(data, 8 * n, "zstd", asbytes=True), np.int64)
+    return _distinct(np.concatenate([np.append(hashes, START), two[often], three[arcs.maybe(three)]]))
 
 
-def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def score(
+    docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", carry: tuple[str, ...] = (),
+    chunk_bytes: int = CHUNK_BYTES, stretch: int = STRETCH,
+) -> DataFrame:
     """Per row: the id, ``carry`` columns, n_tokens, n_known, base_score, score."""
     kept = {f"__{i}": c for i, c in enumerate([id_column, *carry])}
     source = docs.select(*[F.col(c).alias(k) for k, c in kept.items()], F.col(text_column).alias("__text"))
     sent = docs.sparkSession.sparkContext.broadcast(model.arcs)
-    bits = max(6, (max(model.n_nodes, 1) // PART_NODES).bit_length())
+    bits = _bits(model.n_nodes)
     total, types = model.total, model.types
     kinds = ", ".join(f"{k} {source.schema[k].dataType.simpleString()}" for k in kept)
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
-        return enumerate(pieces(batches, "__text", CHUNK_BYTES), TaskContext.get().partitionId() << 31)
+        return enumerate(pieces(batches, "__text", chunk_bytes), TaskContext.get().partitionId() << 31)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, piece in chunks(batches):
             keys = _questions(Words(piece.column("__text")), sent.value)
             part = (keys >> U64(64 - bits)).astype(np.int64)
-            cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            cuts = _starts(part)
             arrays = [k.tobytes() for k in np.split(keys, cuts[1:])]
             yield pa.record_batch(
                 [pa.array(np.full(len(cuts), chunk)), pa.array(part[cuts]), pa.array(arrays, pa.binary())], ["chunk", "part", "keys"]
@@ -353,7 +384,7 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
             for c in ("c", "sure")
         )
         automaton = Automaton(_questions(words, sent.value), counts, sure, total, types)
-        rows, count, root, cost = automaton.token_costs(words)
+        rows, count, root, cost = automaton.token_costs(words, stretch)
         n = texts.num_rows
         sums = [np.bincount(rows, minlength=n), np.bincount(rows[count > 0], minlength=n), segment_sum(root, rows, n), segment_sum(cost, rows, n)]
         return pa.table(

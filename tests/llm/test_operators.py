@@ -305,10 +305,8 @@ def test_lm_states_are_distributions(spark):
 
 
 @pytest.mark.parametrize("chunk, stretch, bits", [(1 << 23, 4096, 28), (60, 3, 15), (1, 1, 16)])
-def test_lm_keeps_rare_arcs(spark, monkeypatch, chunk, stretch, bits):
+def test_lm_keeps_rare_arcs(spark, chunk, stretch, bits):
     """An n-gram below any share of the tokens has its arc: scores are those of a plain model."""
-    for name, value in (("CHUNK_BYTES", chunk), ("STRETCH", stretch), ("FILTER_BITS", bits)):
-        monkeypatch.setattr(lm_scoring, name, value)
     rng = random.Random(6)
     texts = [" ".join(rng.choice("abcdefgh") for _ in range(40)) for _ in range(60)] + ["rare pair here", "a rare pair here b", "once upon a", "", None]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -330,11 +328,11 @@ def test_lm_keeps_rare_arcs(spark, monkeypatch, chunk, stretch, bits):
         return (c - 0.75 if c >= 2 else 0) / own + (1 - sum(c - 0.75 for c in arcs) / own) * lower
 
     probes = [*texts[:5], *texts[-5:], "rare pair", "pair here b new", "a rare pair here"]
-    model = lm_scoring.fit(df)
+    model = lm_scoring.fit(df, filter_bits=bits)
     asked = spark.createDataFrame([(k, t, {"k": k}) for k, t in enumerate(probes)], "doc_id long, text string, score map<string,int>")
-    found = lm_scoring.score(asked, model, carry=("score",)).toArrow().to_pylist()
-    assert len(found) == len(probes)
-    scores = lm_scoring.score(asked.drop("score"), model).collect()
+    carried = lm_scoring.score(asked.withColumnRenamed("score", "extra"), model, carry=("extra",)).collect()
+    assert all(r.extra == {"k": r.doc_id} for r in carried)
+    scores = lm_scoring.score(asked, model, chunk_bytes=chunk, stretch=stretch).collect()
     for r in scores:
         w = ["<s>", *brute.words(probes[r.doc_id]), "</s>"]
         expected = sum(math.log10(p(tuple(w[max(0, i - 2) : i]), w[i])) for i in range(1, len(w)))
