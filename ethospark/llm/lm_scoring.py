@@ -254,7 +254,7 @@ def _grams(docs: DataFrame, text_column: str, bits: int, grams_of) -> DataFrame:
         for piece in pieces(batches):
             held.append(grams_of(Words(piece.column("text"))))
             n += len(held[-1][0])
-            if n >= 1 << 22:
+            if n >= 1 << 20:
                 yield counted(held)
                 held, n = [], 0
         if n:
