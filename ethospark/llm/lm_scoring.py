@@ -226,6 +226,20 @@ def _unpacked(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(data, 8 * n, "zstd", asbytes=True), np.int64)
 
 
+def _packed_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as their differences, in as many bytes each as the largest one needs."""
+    steps = np.diff(keys, prepend=U64(0))
+    width = (int(steps[1:].max()).bit_length() + 7) // 8 if len(keys) > 1 else 1
+    return keys[:1].tobytes() + bytes([width]) + steps[1:].view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _unpacked_keys(data: bytes, n: int) -> np.ndarray:
+    steps = np.zeros((n, 8), np.uint8)
+    steps[0] = np.frombuffer(data, np.uint8, 8)
+    steps[1:, : data[8]] = np.frombuffer(data, np.uint8, offset=9).reshape(n - 1, data[8])
+    return np.cumsum(steps.view(U64).ravel(), dtype=U64)
+
+
 def _bits(n: int) -> int:
     """Leading bits of a key that tell its part, for ``n`` rows."""
     return max(6, (n // PART_NODES).bit_length())
@@ -245,7 +259,7 @@ def _grams(docs: DataFrame, text_column: str, bits: int, grams_of) -> DataFrame:
         keys = keys[at]
         part = (keys >> U64(64 - bits)).astype(np.int64)
         cuts = np.append(_starts(part), len(part))
-        rows = [(int(part[i]), int(j - i), keys[i:j].tobytes(), states[i:j].tobytes(), _packed(counts[i:j])) for i, j in zip(cuts, cuts[1:])]
+        rows = [(int(part[i]), int(j - i), _packed_keys(keys[i:j]), states[i:j].tobytes(), _packed(counts[i:j])) for i, j in zip(cuts, cuts[1:])]
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["part", "n", "keys", "states", "counts"])
 
@@ -261,8 +275,10 @@ def _grams(docs: DataFrame, text_column: str, bits: int, grams_of) -> DataFrame:
             yield counted(held)
 
     def add_up(arrays: pa.Table) -> pa.Table:
-        keys, states = (np.frombuffer(b"".join(arrays.column(c).to_pylist()), U64) for c in ("keys", "states"))
-        counts = np.concatenate([_unpacked(d, n) for d, n in zip(arrays.column("counts").to_pylist(), arrays.column("n").to_pylist())])
+        sizes = arrays.column("n").to_pylist()
+        keys = np.concatenate([_unpacked_keys(d, n) for d, n in zip(arrays.column("keys").to_pylist(), sizes)])
+        states = np.frombuffer(b"".join(arrays.column("states").to_pylist()), U64)
+        counts = np.concatenate([_unpacked(d, n) for d, n in zip(arrays.column("counts").to_pylist(), sizes)])
         order = np.argsort(keys)
         keys = keys[order]
         at = _starts(keys)
@@ -349,10 +365,11 @@ def score(
             keys = _questions(Words(piece.column("__text")), sent.value)
             part = (keys >> U64(64 - bits)).astype(np.int64)
             cuts = _starts(part)
-            arrays = [k.tobytes() for k in np.split(keys, cuts[1:])]
+            arrays = np.split(keys, cuts[1:])
             yield pa.record_batch(
-                [pa.array(np.full(len(cuts), chunk)), pa.array(part[cuts]), pa.array(arrays, pa.binary())], ["chunk", "part", "keys"]
-            )
+                [pa.array(np.full(len(cuts), chunk)), pa.array(part[cuts]), pa.array([len(k) for k in arrays], pa.int64()),
+                 pa.array(map(_packed_keys, arrays), pa.binary())], ["chunk", "part", "n", "keys"]
+            )
 
     def answer(nodes: pa.Table, questions: pa.Table) -> pa.Table:
         known = nodes.column("key").to_numpy().astype(np.int64).view(U64)
@@ -360,15 +377,14 @@ def score(
         known = np.append(known[order], ~U64(0))
         values = [np.append(nodes.column(c).to_numpy().astype(np.int64)[order], 0) for c in ("c", "sure")]
         found = []
-        for raw in questions.column("keys").to_pylist():
-            keys = np.frombuffer(raw, U64)
+        for raw, n in zip(questions.column("keys").to_pylist(), questions.column("n").to_pylist()):
+            keys = _unpacked_keys(raw, n)
             at = np.searchsorted(known[:-1], keys)
             at = np.where(known[at] == keys, at, len(known) - 1)
-            found.append([len(keys), *[_packed(v[at]) for v in values]])
-        columns = list(zip(*found)) if found else [[], [], []]
-        types_ = [pa.int64(), pa.binary(), pa.binary()]
+            found.append([_packed(v[at]) for v in values])
+        columns = [pa.array(c, pa.binary()) for c in zip(*found)] if found else [pa.array([], pa.binary())] * 2
         return pa.table(
-            [questions.column("chunk"), questions.column("part"), *[pa.array(c, t) for c, t in zip(columns, types_)]],
+            [questions.column(c) for c in ("chunk", "part", "n")] + columns,
             ["chunk", "part", "n", "c", "sure"],
         )
 
@@ -391,11 +407,12 @@ def score(
             [*[texts.column(k) for k in kept], *[pa.array(x) for x in sums]], [*kept, "n_tokens", "n_known", "base_score", "score"]
         )
 
-    questions = source.mapInArrow(ask, "chunk long, part long, keys binary")
+    questions = source.mapInArrow(ask, "chunk long, part long, n long, keys binary")
     nodes = model.nodes.withColumn("part", F.shiftrightunsigned("key", 64 - bits))
     answers = nodes.groupBy("part").cogroup(questions.groupBy("part")).applyInArrow(
         answer, "chunk long, part long, n long, c binary, sure binary"
     )
+    answers = stored(answers, "lm-answers", tidy=True)
     texts = source.mapInArrow(put_chunk, f"chunk long, {kinds}, __text string")
     scored = texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
         traverse, f"{kinds}, n_tokens long, n_known long, base_score double, score double"
