@@ -42,6 +42,7 @@ from ethospark.llm.text import U64, Words, as_long, fold, pieces, segment_sum
 
 LEAST = 2  # occurrences that make a bigram or trigram an arc
 CHUNK_BYTES = 4 << 20  # of text, or one text
+SLICE_BYTES = 1 << 20  # of a chunk that is in arrays at once, or one text
 STRETCH = 4096  # tokens of a text that are traversed one after the other
 PART_NODES = 1 << 18  # rows of the model, or tokens, that one part of the keys has about
 FILTER_BITS = 28
@@ -335,8 +336,12 @@ def fit(train: DataFrame, text_column: str = "text", filter_bits: int = FILTER_B
     return Model(nodes, nodes.count(), total, types, arcs)
 
 
-def _questions(words: Words, arcs: Bitmap) -> np.ndarray:
-    """Sorted keys of the distinct words, bigrams and trigrams that may be in the model."""
+def _questions(batch: pa.RecordBatch, arcs: Bitmap) -> np.ndarray:
+    """Sorted keys of the distinct words, bigrams and trigrams of the texts that may be in the model."""
+    return _distinct(np.concatenate([_keys_of(Words(p.column("__text")), arcs) for p in pieces([batch], "__text", SLICE_BYTES)]))
+
+
+def _keys_of(words: Words, arcs: Bitmap) -> np.ndarray:
     _, hashes, first = sequence(words)
     two = bigrams_of(hashes, first)[1]
     often = arcs.maybe(two)
@@ -362,7 +367,7 @@ def score(
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, piece in chunks(batches):
-            keys = _questions(Words(piece.column("__text")), sent.value)
+            keys = _questions(piece, sent.value)
             part = (keys >> U64(64 - bits)).astype(np.int64)
             cuts = _starts(part)
             arrays = np.split(keys, cuts[1:])
@@ -393,16 +398,20 @@ def score(
             yield pa.record_batch([pa.array(np.full(piece.num_rows, chunk)), *piece.columns], ["chunk", *piece.schema.names])
 
     def traverse(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        words = Words(texts.column("__text"))
+        batch = texts.combine_chunks().to_batches()[0]
         answers = answers.sort_by("part")
         counts, sure = (
             np.concatenate([_unpacked(d, n) for d, n in zip(answers.column(c).to_pylist(), answers.column("n").to_pylist())])
             for c in ("c", "sure")
         )
-        automaton = Automaton(_questions(words, sent.value), counts, sure, total, types)
-        rows, count, root, cost = automaton.token_costs(words, stretch)
-        n = texts.num_rows
-        sums = [np.bincount(rows, minlength=n), np.bincount(rows[count > 0], minlength=n), segment_sum(root, rows, n), segment_sum(cost, rows, n)]
+        automaton = Automaton(_questions(batch, sent.value), counts, sure, total, types)
+        sums = []
+        for piece in pieces([batch], "__text", SLICE_BYTES):
+            rows, count, root, cost = automaton.token_costs(Words(piece.column("__text")), stretch)
+            n = piece.num_rows
+            tokens, known = (np.bincount(r, minlength=n) for r in (rows, rows[count > 0]))
+            sums.append([tokens, known, segment_sum(root, rows, n), segment_sum(cost, rows, n)])
+        sums = [np.concatenate(x) for x in zip(*sums)]
         return pa.table(
             [*[texts.column(k) for k in kept], *[pa.array(x) for x in sums]], [*kept, "n_tokens", "n_known", "base_score", "score"]
         )
