@@ -19,7 +19,9 @@ id), and a list does not emit all its pairs. First each list compares its member
 one; what links is one component. Then only pairs across components of a list are left: short lists
 give all of them, long lists let further members (16, 256, …) meet all members of other
 components, until no list has two components whose members have not met. So a group of g near
-copies costs about g comparisons, and no link between different components is lost.
+copies costs about g comparisons, and no link between different components is lost. Members meet
+under the bound of their sketches: 256 parities of a set's shingles differ in at most as many places
+as the sets differ in shingles, so a pair whose sketches are farther apart than links allow is no link.
 
 Scale: the text is read for the sizes, the frequent shingles, the keys, the entries and, in each round, the sets of pairs that
 share enough lists; it is never shuffled. Shuffled are one key for each probe list entry, the few
@@ -40,16 +42,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ethospark.llm.common import stored
+from ethospark.llm.common import forget, stored
 from ethospark.llm.components import components
 from ethospark.llm.text import Words, as_long, fold, mix, pieces
 
 SIZE, PERCENT = 4, 85
-LONG = 64  # documents that make an inverted list a long one
+LONG = 16  # documents that make an inverted list a long one
 PIVOTS = 16  # members that meet their whole long list in a round; sixteen times as many in the next
 OFTEN = 16  # reported occurrences that make the shingles of a cell frequent
 CELLS = range(1 << 22)
 CELL = np.uint64(len(CELLS) - 1)
+SKETCH = ["s0", "s1", "s2", "s3"]  # words of the sketch of a set, 64 parities each
 MAP_BITS = (20, 30)  # least and greatest size of the bit map, as a power of two
 
 
@@ -121,7 +124,7 @@ def _frequent(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def _summaries(docs: DataFrame, size: int) -> DataFrame:
-    """(id, n, d1, d2): size and 128-bit digest of every row's set."""
+    """(id, n, d1, d2, sketch): size, 128-bit digest and parities of every row's set."""
 
     def task(batches):
         for piece in pieces(batches):
@@ -131,9 +134,19 @@ def _summaries(docs: DataFrame, size: int) -> DataFrame:
             for salt in (1, 2):  # sums of mixed hashes, over 64 bits
                 sums = np.append(np.uint64(0), np.cumsum(mix(grams + np.uint64(salt * 0x5851F42D4C957F2D))))
                 digests.append(mix(sums[bounds[1:]] - sums[bounds[:-1]] + n.astype(np.uint64)))
-            yield pa.record_batch([piece.column("id"), pa.array(n), *map(as_long, digests)], ["id", "n", "d1", "d2"])
+            columns = [piece.column("id"), pa.array(n), *map(as_long, digests), *map(as_long, _parities(grams, bounds))]
+            yield pa.record_batch(columns, ["id", "n", "d1", "d2", *SKETCH])
 
-    return docs.mapInArrow(task, f"id {_kind(docs)}, n long, d1 long, d2 long")
+    words = ", ".join(f"{s} long" for s in SKETCH)
+    return docs.mapInArrow(task, f"id {_kind(docs)}, n long, d1 long, d2 long, {words}")
+
+
+def _parities(grams: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """The words of each set's sketch: a bit tells whether an odd number of its shingles fall into it."""
+    mixed = mix(grams)
+    word, bit = mixed >> np.uint64(62), np.uint64(1) << (mixed & np.uint64(63))
+    sums = [np.append(np.uint64(0), np.bitwise_xor.accumulate(np.where(word == k, bit, np.uint64(0)))) for k in range(len(SKETCH))]
+    return [s[bounds[1:]] ^ s[bounds[:-1]] for s in sums]
 
 
 def _kind(docs: DataFrame) -> str:
@@ -239,22 +252,32 @@ def _possible(percent: int):
     return F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= _overlap(F.col("na") + F.col("nb"), percent)
 
 
+def _near(percent: int):
+    """Sketches no farther apart than partners' sets (a and b with their sizes and sketches)."""
+    apart = sum((F.bit_count(F.col(f"a{s}").bitwiseXOR(F.col(f"b{s}"))) for s in SKETCH), F.lit(0))
+    both = F.col("na") + F.col("nb")
+    return apart <= both - 2 * _overlap(both, percent)
+
+
 def link_classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(summaries, classes) of ``docs`` (id, text): (id, n, d1, d2) of every row, and (id, component)
+    """(summaries, classes) of ``docs`` (id, text): (id, n, d1, d2, sketch) of every row, and (id, component)
     of every representative that has a link."""
     summaries = stored(_summaries(docs, size), "jaccard-rows")
+    least = F.min(F.struct("id", *SKETCH)).alias("r")
     representatives = stored(
-        summaries.filter("n > 0 and id is not null").groupBy("d1", "d2", "n").agg(F.min("id").alias("id")).select("id", "n"), "jaccard-classes"
+        summaries.filter("n > 0 and id is not null").groupBy("d1", "d2", "n").agg(least).select("r.*", "n"), "jaccard-classes"
     )
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, size))
-    repeated = stored(_repeated_keys(docs, size, percent, frequent), "jaccard-keys")
-    entries = stored(_lists(docs, repeated, representatives, size, percent, frequent), "jaccard-entries")
+    repeated = stored(_repeated_keys(docs, size, percent, frequent), "jaccard-keys", tidy=True)
+    entries = stored(_lists(docs, repeated, representatives, size, percent, frequent), "jaccard-entries", tidy=True)
+    forget(repeated)
     sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "n", "place")).alias("first")).filter("c > 1")
     lists = stored(
         entries.join(sizes, "key").select("key", "id", "n", "place", "c", F.col("first.id").alias("p"), F.col("first.n").alias("pn"), F.col("first.place").alias("pp")),
-        "jaccard-lists",
+        "jaccard-lists", tidy=True,
     )
-    keys = stored(lists.groupBy("id").agg(F.collect_list("key").alias("keys")), "jaccard-keys-of")
+    forget(entries)
+    keys = stored(lists.groupBy("id").agg(F.collect_list("key").alias("keys")), "jaccard-keys-of", tidy=True)
 
     def linked(rows: DataFrame) -> DataFrame:
         """Links among possible pairs: they share enough probe lists, then enough of their sets."""
@@ -284,14 +307,14 @@ def link_classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> t
     while True:
         labelled = left.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key", "lo")
-        rows = stored(labelled.join(mixed, "key"), "jaccard-mixed")
+        rows = stored(labelled.join(mixed, "key").join(representatives.drop("n"), "id"), "jaccard-mixed")
         if rows.isEmpty():
             return summaries, found
         short = rows.filter(F.col("c") <= LONG)
         ranked = _chosen(rows.filter((F.col("c") > LONG) & (F.col("component") != F.col("lo"))), pivots)
-        one = short.unionByName(ranked).select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("component").alias("ca"), F.col("c").alias("ac"))
-        two = rows.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("component").alias("cb"))
-        pairs = one.join(two, "key").filter((F.col("ca") != F.col("cb")) & ((F.col("a") < F.col("b")) | (F.col("ac") > LONG)))
+        one = short.unionByName(ranked).select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("component").alias("ca"), F.col("c").alias("ac"), *(F.col(s).alias(f"a{s}") for s in SKETCH))
+        two = rows.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("component").alias("cb"), *(F.col(s).alias(f"b{s}") for s in SKETCH))
+        pairs = one.join(two, "key").filter(_near(percent) & (F.col("ca") != F.col("cb")) & ((F.col("a") < F.col("b")) | (F.col("ac") > LONG)))
         links = stored(links.unionByName(linked(pairs)), "jaccard-links")
         found = components(links)
         left = stored(rows.filter(F.col("c") > LONG).join(ranked.select("key", "id"), ["key", "id"], "left_anti").select("key", "id", "n", "place", "c"), "jaccard-left")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 import brute
@@ -21,7 +22,7 @@ def near(rng, base, edits):
     return w
 
 
-@pytest.mark.parametrize("long", [3, 64])
+@pytest.mark.parametrize("long", [3, 8, 64])
 def test_classes_are_those_of_all_pairs(spark, monkeypatch, long):
     """Groups of near copies, shared passages, chains; with a low bound most lists are long ones."""
     monkeypatch.setattr(J, "LONG", long)
@@ -65,3 +66,15 @@ def test_components_of_a_long_chain_and_a_hub(spark):
     df = spark.createDataFrame([(b, a) for a, b in links], "a long, b long")
     found = {r.id: r.component for r in components(df).collect()}
     assert found == {k: (100 if 100 <= k < 200 else 5) for k in [*range(100, 161), 5, *range(300, 400)]}
+
+
+def test_sketches_differ_no_more_than_sets():
+    rng = np.random.default_rng(3)
+    one = rng.integers(0, 2**63, 300).astype(np.uint64)
+    for gone, new in [(0, 0), (1, 0), (5, 7), (40, 40), (300, 300)]:
+        two = np.append(one[gone:], rng.integers(0, 2**63, new).astype(np.uint64))
+        words = J._parities(np.append(one, two), np.array([0, 300, 300 + len(two), 300 + len(two)]))
+        apart = sum(int(w[0] ^ w[1]).bit_count() for w in words)
+        assert apart <= gone + new and (gone + new - apart) % 2 == 0
+        assert all(w[2] == 0 for w in words)  # an empty set
+        assert gone < 40 or apart > 30
