@@ -104,15 +104,9 @@ def _frequent(docs: DataFrame, size: int) -> np.ndarray:
     """
 
     def task(batches):
-        counts, waiting, n = np.zeros(len(CELLS), np.int32), [], 0
+        counts = np.zeros(len(CELLS), np.int32)
         for piece in pieces(batches):
-            waiting.append((shingle_sets(Words(piece.column("text")), size)[0] & CELL).astype(np.int64))
-            n += len(waiting[-1])
-            if n >= len(CELLS) // 4:
-                counts += np.bincount(np.concatenate(waiting), minlength=len(CELLS)).astype(np.int32)
-                waiting, n = [], 0
-        if waiting:
-            counts += np.bincount(np.concatenate(waiting), minlength=len(CELLS)).astype(np.int32)
+            np.add.at(counts, (shingle_sets(Words(piece.column("text")), size)[0] & CELL).astype(np.int64), np.int32(1))
         mean = counts.mean()
         many = np.flatnonzero(counts > mean + 6 * np.sqrt(mean) + 4)
         yield pa.record_batch([pa.array(many), pa.array(counts[many].astype(np.int64))], ["cell", "c"])
@@ -143,10 +137,13 @@ def _summaries(docs: DataFrame, size: int) -> DataFrame:
 
 def _parities(grams: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     """The words of each set's sketch: a bit tells whether an odd number of its shingles fall into it."""
-    mixed = mix(grams)
-    word, bit = mixed >> np.uint64(62), np.uint64(1) << (mixed & np.uint64(63))
-    sums = [np.append(np.uint64(0), np.bitwise_xor.accumulate(np.where(word == k, bit, np.uint64(0)))) for k in range(len(SKETCH))]
-    return [s[bounds[1:]] ^ s[bounds[:-1]] for s in sums]
+    mixed, words = mix(grams), []
+    for k in range(len(SKETCH)):
+        here = np.flatnonzero(mixed >> np.uint64(62) == k)
+        sums = np.append(np.uint64(0), np.bitwise_xor.accumulate(np.uint64(1) << (mixed[here] & np.uint64(63))))
+        at = np.searchsorted(here, bounds)
+        words.append(sums[at[1:]] ^ sums[at[:-1]])
+    return words
 
 
 def _kind(docs: DataFrame) -> str:
@@ -263,10 +260,8 @@ def link_classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> t
     """(summaries, classes) of ``docs`` (id, text): (id, n, d1, d2, sketch) of every row, and (id, component)
     of every representative that has a link."""
     summaries = stored(_summaries(docs, size), "jaccard-rows")
-    least = F.min(F.struct("id", *SKETCH)).alias("r")
-    representatives = stored(
-        summaries.filter("n > 0 and id is not null").groupBy("d1", "d2", "n").agg(least).select("r.*", "n"), "jaccard-classes"
-    )
+    classes = summaries.filter("n > 0 and id is not null").groupBy("d1", "d2", "n", *SKETCH)  # equal sets have equal sketches
+    representatives = stored(classes.agg(F.min("id").alias("id")).select("id", "n", *SKETCH), "jaccard-classes")
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, size))
     repeated = stored(_repeated_keys(docs, size, percent, frequent), "jaccard-keys", tidy=True)
     entries = stored(_lists(docs, repeated, representatives, size, percent, frequent), "jaccard-entries", tidy=True)
