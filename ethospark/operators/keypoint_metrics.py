@@ -6,12 +6,15 @@ visible, x1…y2, optional area). ``points`` are arrays of (x, y).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ethospark.operators.frames import number_frames
 from ethospark.session import ensure_checkpoint_dir
 
 # Thresholds 0.50, 0.55 … 0.95 and 101 recall levels.
@@ -72,6 +75,7 @@ def pair_table(
 # --- matching ---------------------------------------------------------------------------------
 
 MATCH = ["threshold", "image", "det"]
+PART = 4096  # detections of an image that one task matches
 
 
 def _candidates(pairs: DataFrame, thresholds: Sequence[float]) -> DataFrame:
@@ -83,24 +87,64 @@ def _candidates(pairs: DataFrame, thresholds: Sequence[float]) -> DataFrame:
     )
 
 
-def _match_in_rounds(open_pairs: DataFrame) -> DataFrame:
+def _in_parts(pairs: DataFrame) -> DataFrame:
+    """Add ``_rank`` (ascending: best score first) and ``_part``: ``PART`` detections of an image by score."""
+    worst_last = "CASE WHEN isnan(score) THEN -double('inf') ELSE coalesce(-score, double('inf')) END"
+    ranked = pairs.withColumn("_rank", F.expr(worst_last))
+    detections = ranked.select("image", "det", "_rank").distinct()
+    cell = "CAST(floor(greatest(least(_rank, 1e9), -1e9) * 1024) AS BIGINT)"
+    numbered = number_frames(detections, ["image"], ["_rank", "det"], cell, "_part")
+    numbered = numbered.withColumn("_part", F.floor(F.col("_part") / PART).cast("int"))
+    return ranked.join(numbered.select("image", "det", "_part"), ["image", "det"])
+
+
+def _proposals(pairs: DataFrame) -> DataFrame:
+    """The greedy matching inside every part, as if there were no other: (threshold, image, det, _rank, gt)."""
+    names = ["threshold", "image", "_part", "det", "_rank", "gt"]
+    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
+    out = ["threshold", "image", "det", "_rank", "gt"]
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unit, proposing, taken, found = None, None, set(), []
+        for batch in batches:
+            for threshold, image, part, det, rank, gt in zip(*(batch[n].tolist() for n in names)):
+                if (threshold, image, part) != unit:
+                    unit, proposing, taken = (threshold, image, part), None, set()
+                if det != proposing and gt not in taken:
+                    taken.add(gt)
+                    proposing = det
+                    found.append((threshold, image, det, rank, gt))
+            yield pd.DataFrame(found, columns=out)
+            found = []
+
+    ordered = pairs.repartition("threshold", "image", "_part").sortWithinPartitions(
+        "threshold", "image", "_part", "_rank", "det", F.desc("similarity"), F.desc("gt")
+    )
+    return ordered.select(*names).mapInPandas(stream, ", ".join(f"{n} {kinds[n]}" for n in out))
+
+
+def _match_in_parts(open_pairs: DataFrame) -> DataFrame:
     """Greedy matching, whatever the size of an image.
 
-    Every detection proposes to its best open ground truth, which keeps the proposal with the
-    highest score; the others strike that pair and propose again. Since all ground truths rank
-    detections alike, this ends in exactly the greedy result.
+    The detections of an image are cut into parts by score. Every part settles its own conflicts in
+    one pass; a ground truth that several parts want keeps the proposal with the highest score, and its pairs with
+    weaker detections are struck, which propose again. Since all ground truths rank detections
+    alike, this ends in exactly the greedy result. The first part of an image is final after one round, the
+    second after two at most, and so on; images without a refusal leave after the round.
     """
     ensure_checkpoint_dir(open_pairs.sparkSession)
-    best = Window.partitionBy(*MATCH).orderBy(F.desc("similarity"), F.desc("gt"))
-    strongest = Window.partitionBy("threshold", "image", "gt").orderBy(F.desc("score"), F.asc("det"))
-    pairs = open_pairs.checkpoint()
+    unit = ["threshold", "image"]
+    strongest = Window.partitionBy(*unit, "gt").orderBy("_rank", "det")
+    pairs, final = _in_parts(open_pairs).checkpoint(), []
     while True:
-        proposals = pairs.withColumn("_r", F.row_number().over(best)).filter("_r = 1").drop("_r")
-        judged = proposals.withColumn("_r", F.row_number().over(strongest)).checkpoint()
-        refused = judged.filter("_r > 1").select(*MATCH, "gt")
-        if refused.isEmpty():
-            return judged.select(*MATCH, "gt")
-        pairs = pairs.join(refused, [*MATCH, "gt"], "left_anti").checkpoint()
+        judged = _proposals(pairs).withColumn("_r", F.row_number().over(strongest)).checkpoint()
+        again = judged.filter("_r > 1").select(*unit).distinct()
+        if again.isEmpty():
+            return reduce(DataFrame.unionByName, [*final, judged.select(*MATCH, "gt")])
+        final.append(judged.join(again, unit, "left_anti").select(*MATCH, "gt"))
+        held = judged.filter("_r = 1").select(*unit, "gt", F.struct("_rank", "det").alias("_held"))
+        left = pairs.join(again, unit, "left_semi").join(held, [*unit, "gt"], "left")
+        pairs = left.filter(F.col("_held").isNull() | (F.struct("_rank", "det") <= F.col("_held"))).drop("_held").checkpoint()
 
 
 def greedy_match(
@@ -115,7 +159,7 @@ def greedy_match(
     """
     near = _candidates(pairs, thresholds)
     plain = near.filter(~F.col("crowd"))
-    matched = _match_in_rounds(plain.select("threshold", "image", "det", "gt", "score", "similarity"))
+    matched = _match_in_parts(plain.select("threshold", "image", "det", "gt", "score", "similarity"))
     absorbed = near.filter("crowd").select(*MATCH).distinct().withColumn("_crowd", F.lit(True))
     levels = F.array(*[F.lit(float(t)) for t in thresholds])
     every = detection.select(F.explode(levels).alias("threshold"), "image", "det", "score")

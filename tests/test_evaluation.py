@@ -134,7 +134,9 @@ def greedy(sim, scores, crowd, threshold):
     return out
 
 
-def test_matching(spark):
+@pytest.mark.parametrize("part", [2, 4096])
+def test_matching(spark, monkeypatch, part):
+    monkeypatch.setattr(M, "PART", part)
     rng = np.random.default_rng(5)
     images = []
     for _ in range(12):
@@ -163,6 +165,25 @@ def test_matching_one_image_of_chained_conflicts(spark):
     assert {r.det: (r.gt, r.ignored) for r in got} == expected and len(got) == n
 
 
+def test_rounds_of_matching_grow_with_the_parts_of_an_image(spark, monkeypatch):
+    """One image holds all detections, in a chain of refusals much longer than its parts are many."""
+    n = 600
+    pairs = [(0, d, g, 1.0 - d / 1000, False, 0.9 - (g - d + 1) / 50) for d in range(n) for g in range(max(0, d - 1), min(n, d + 3))]
+    table = spark.createDataFrame(pairs, "image int, det int, gt int, score double, crowd boolean, similarity double")
+    sim = np.zeros((n, n))
+    for _, d, g, _, _, value in pairs:
+        sim[d, g] = value
+    expected = greedy(sim, np.array([1.0 - d / 1000 for d in range(n)]), np.array([False] * n), 0.5)
+    monkeypatch.setattr(M, "PART", 100)
+    parts = M._in_parts(table.withColumn("threshold", F.lit(0.5)))
+    sizes = [r["n"] for r in parts.groupBy("_part").agg(F.countDistinct("det").alias("n")).collect()]
+    assert sizes == [100] * 6
+    rounds, inside = [], M._proposals
+    monkeypatch.setattr(M, "_proposals", lambda pairs: rounds.append(1) or inside(pairs))
+    got = M.greedy_match(table, table.select("image", "det", "score").distinct(), [0.5]).collect()
+    assert {r.det: (r.gt, r.ignored) for r in got} == expected and len(rounds) <= 6
+
+
 def test_oks(spark):
     schema = "p array<struct<x:double,y:double>>, t array<struct<x:double,y:double>>, v array<int>, a double"
     df = spark.createDataFrame([([(0.0, 3.0), (9.0, 9.0)], [(0.0, 0.0), (0.0, 0.0)], [2, 0], 10.0)], schema)
