@@ -130,6 +130,22 @@ def _documents(v):
     return A.write_documents(blocks, L.fragmented(v.label_frame(), v.present()), v.num_frames())
 
 
+@query(
+    "source_document_parts",
+    """SELECT video, identity, behavior, "start", "end", present,
+              (row_number() OVER (PARTITION BY video ORDER BY "start", "end", identity, behavior) - 1) // 3 AS part
+       FROM v_label_block""",
+)
+def source_document_parts(v):
+    """Written in parts of three blocks and read back: the blocks as drawn, each with its part."""
+    fragmented = L.fragmented(v.label_frame(), v.present())
+    parts = A.write_document_parts(v.label_block(), fragmented, v.num_frames(), size=3)
+    path = scratch_folder(v.spark, "document-parts")
+    parts.write.parquet(path)
+    blocks = A.load_blocks(A.parse_documents(v.spark.read.parquet(path)))
+    return blocks.withColumn("part", F.shiftright("position", 31)).drop("position")
+
+
 @query("source_document_blocks", 'SELECT video, identity, behavior, "start", "end", present FROM v_label_block')
 def source_document_blocks(v):
     """Written to JSON and read back: the blocks as drawn."""
@@ -326,6 +342,27 @@ def source_keypoint_annotations(v):
     )
 
 
+@query(
+    "source_keypoint_annotation_parts",
+    f"""WITH kept AS (SELECT *, {_SURE} AS sure FROM v_raw_instance WHERE {_SURE} >= 0.48),
+        whole AS (SELECT video, instance, avg(rx_0) AS nose_x, avg(ry_11) AS tip_y, avg(sure) AS sure
+                  FROM kept GROUP BY video, instance)
+        SELECT k.video, k.instance AS identity, (frame // 8)::BIGINT AS part, count(*)::INT AS kept,
+               min(frame)::BIGINT AS first_frame, max(frame)::BIGINT AS last_frame, round(any_value(w.nose_x), 6) AS nose_x,
+               round(any_value(w.tip_y), 6) AS tip_y, round(any_value(w.sure), 6) AS mean_confidence
+        FROM kept k JOIN whole w ON w.video = k.video AND w.instance = k.instance
+        GROUP BY k.video, k.instance, frame // 8""",
+)
+def source_keypoint_annotation_parts(v):
+    out = T.keypoint_annotation_parts(_keypoints(v), 0.48, size=8)
+    at = lambda k, a: F.get(F.get("keypoints", F.lit(k)), F.lit(a))
+    return out.select(
+        *ANIMAL, "part", F.size("kept_frame_indices").alias("kept"), F.array_min("kept_frame_indices").alias("first_frame"),
+        F.array_max("kept_frame_indices").alias("last_frame"), rounded(at(0, 0)).alias("nose_x"),
+        rounded(at(11, 1)).alias("tip_y"), rounded("mean_confidence").alias("mean_confidence"),
+    )
+
+
 @query(
     "source_inference_runs",
     """SELECT 'video' || label AS path, count(*) AS frame_count, 'uniform' AS strategy, 256 AS input_width,

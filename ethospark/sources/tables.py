@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ethospark import schemas
-from ethospark.operators.frames import piece_of
+from ethospark.operators.frames import PIECE, lookup_join, piece_of
 from ethospark.operators.project import FEATURE_VERSION
 from ethospark.operators.windows import quoted
 
@@ -210,6 +210,32 @@ def keypoint_annotations(frames: DataFrame, threshold: float, keys: Sequence[str
     )
 
 
+def keypoint_annotation_parts(
+    frames: DataFrame, threshold: float, keys: Sequence[str] = ANIMAL, size: int = PIECE
+) -> DataFrame:
+    """The aggregated form in parts: a row lists the kept ones among ``size`` frames of an animal.
+
+    ``part`` numbers the stretches of frames; those without a kept frame have no row. Mean points and
+    confidence are those of the whole animal, as in ``keypoint_annotations``, from sums of the parts.
+    """
+    kept = frames.filter(F.col("confidence") >= threshold).withColumn("part", piece_of("frame_index", size))
+    first = kept.select(F.size("keypoints").alias("n")).first()  # a property of the data set
+    places = [(k, a) for k in range(first["n"] if first else 0) for a in range(2)]
+    number = {f"_{k}_{a}": F.get(F.get("keypoints", F.lit(k)), F.lit(a)) for k, a in places} | {"_c": F.col("confidence")}
+    parts = kept.groupBy(*keys, "part").agg(
+        F.array_sort(F.collect_list("frame_index")).alias("kept_frame_indices"),
+        *[F.sum(value).alias(name) for name, value in number.items()],
+        *[F.count(value).alias(f"{name}_n") for name, value in number.items()],
+    )
+    totals = parts.groupBy(*keys).agg(*[F.sum(c).alias(c) for name in number for c in (name, f"{name}_n")])
+    *mean, sure = [F.try_divide(name, f"{name}_n") for name in number]
+    whole = totals.select(
+        *keys, F.array(*[F.array(x, y) for x, y in zip(mean[::2], mean[1::2])]).alias("keypoints"),
+        sure.alias("mean_confidence"),
+    )
+    return lookup_join(parts.select(*keys, "part", "kept_frame_indices"), whole, keys)
+
+
 def inference_runs(records: DataFrame) -> DataFrame:
     """Run metadata rows in the stored schema; ``extra`` (a struct or map) becomes JSON text."""
     extra = F.coalesce(F.to_json("extra"), F.lit("{}")) if "extra" in records.columns else F.lit("{}")

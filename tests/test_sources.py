@@ -44,6 +44,39 @@ def test_documents_prefer_blocks_as_drawn(spark):
     assert {r.video: r.end for r in A.load_blocks(docs).collect()} == {"new": 4, "old": 1}
 
 
+def test_parts_hold_the_document(spark):
+    """One video has nearly all blocks; no part holds more of them than asked for."""
+    blocks = spark.range(5000).selectExpr(
+        "'hot' AS video", "id % 3 AS identity", "IF(id % 2 = 0, 'walk', 'rest') AS behavior",
+        "CAST(20 * id AS INT) AS start", "CAST(20 * id + 9 AS INT) AS end", "id % 7 > 0 AS present",
+    )
+    lengths = spark.createDataFrame([("hot", 100_000), ("bare", 5)], "video string, num_frames int")
+    tag = "named_struct('video', 'hot', 'start', start, 'end', end, 'tag', 't', 'color', 'c', 'description', 'd', 'identity', identity)"
+    notes = blocks.limit(150).selectExpr(f"{tag} AS s").select("s.*")
+    parts = A.write_document_parts(blocks, blocks.filter("start < 2000"), lengths, notes, size=100)
+    documents = A.parse_documents(parts).cache()
+    assert documents.count() == 51  # fifty of one, one of the other
+    read = A.load_blocks(documents)
+    assert sorted(map(tuple, read.drop("position").collect())) == sorted(map(tuple, blocks.collect()))
+    per_part = read.groupBy(F.shiftright("position", 31)).count().collect()
+    assert {r["count"] for r in per_part} == {100}
+    assert A.load_blocks(documents, False).count() == 100
+    assert documents.selectExpr("sum(size(doc.annotations)) AS n").first()["n"] == 150
+    ordered = read.orderBy("identity", "behavior", "position").collect()
+    assert ordered == sorted(ordered, key=lambda r: (r.identity, r.behavior, r.start))
+
+
+def test_parts_of_kept_frames(spark):
+    rows = [("v", 0, f, [[float(f), 1.0], [None if f % 2 else 3.0, 2.0]], 0.9 if f % 3 else 0.1) for f in range(40)]
+    schema = "video string, identity int, frame_index long, keypoints array<array<double>>, confidence double"
+    frames = spark.createDataFrame(rows, schema)
+    whole = T.keypoint_annotations(frames, 0.5).first()
+    parts = T.keypoint_annotation_parts(frames, 0.5, size=8).orderBy("part").collect()
+    assert sum((p.kept_frame_indices for p in parts), []) == whole.kept_frame_indices and len(parts) == 5
+    assert all(p.keypoints == whole.keypoints and p.mean_confidence == pytest.approx(whole.mean_confidence) for p in parts)
+    assert T.keypoint_annotation_parts(frames.limit(0), 0.5).count() == 0
+
+
 def test_clip_carries_the_last_sample(spark):
     lengths = spark.createDataFrame([("a", 30), ("b", 5)], "video string, num_frames int")
     starts = P.clip_starts(lengths, 10, 6)
