@@ -5,13 +5,16 @@ be inside of (a paragraph by a block, an item by an item, a cell by a cell, …)
 to its element, one without an element is ignored. What is not rendered gives no text: scripts,
 styles, the head, templates, comments, fallbacks of media, dialogs that aren't open, elements with
 the attribute ``hidden`` or whose own style hides them. Blocks begin on a new line, some with an
-empty line around; list items have a bullet or number and are indented by depth; cells of a table
-are padded to their column's width, with ``colspan``; every option of a select and every text of a
+empty line around; list items have a bullet or number (``start``, ``value``, ``reversed``) and are indented
+by depth; cells of a table are padded to their column's width, with ``colspan`` (at most 1,000), ``rowspan``
+(up to the end of the row group) and all lines they hold; every option of a select and every text of a
 drawing has a line; preformatted text and text areas keep their white space, other white space
 collapses.
 
-Scale: pages are independent, one pass without a shuffle; the stack is explicit, so depth is no
-limit.
+Scale: pages are independent, one pass without a shuffle; the stack is explicit and knows where each
+tag is open, so depth costs nothing. Column widths follow lines of at most ``WIDE`` characters, longer ones
+stick out; a table whose padding would exceed ``PADDING`` times its text has none, each row is one line
+then. Row spans are followed in the first ``SPANNED`` columns.
 
 Defined cases: a null page gives null text; an empty page, or one without visible text, empty text;
 unclosed tags and comments end with the page; repeated rows are extracted each; null ids pass
@@ -23,6 +26,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -61,9 +66,10 @@ _TOKEN = re.compile(
     r"<!--(?P<comment>.*?)(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S
 )
 _ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*))?)?""")
-_NEEDED = re.compile("hidden|style|colspan|start|open|label", re.I)  # attributes that are read
+_NEEDED = re.compile("hidden|style|colspan|rowspan|start|value|reversed|open|label", re.I)  # attributes that are read
 _COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
-_NUMBER = re.compile(r"\s*(-?\d{1,4})")
+_NUMBER = re.compile(r"\s*([-+]?\d{1,9})(?!\d)")  # longer ones are no number
+WIDE, PADDING, SPANNED = 120, 16, 256
 _WHITE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -141,6 +147,8 @@ class Page:
 
     def __init__(self):
         self.stack = []
+        self.at = defaultdict(list)  # places of the open elements of each tag
+        self.tables, self.rows, self.lists = [], [], []  # states of those that are shown
         self.out = [Lines()]  # of the elements that collect: cells, items, quotes
         self.unseen, self.kept = 0, 0
         self.mode = (False, "", False)  # invisible by style, in svg or math, in a drawing outside its texts
@@ -189,7 +197,7 @@ class Page:
         elif foreign == "svg" and tag == "text":
             muted = False
         self.mode = (invisible, foreign, muted)
-        numbers = {k: int(v[1]) for k in ("colspan", "start") if (v := _NUMBER.match(attributes.get(k, "")))}
+        numbers = {k: int(v[1]) for k in ("colspan", "rowspan", "start", "value") if (v := _NUMBER.match(attributes.get(k, "")))}
         state, lines = None, None
         if not (self.unseen or hidden):
             if tag in ("option", "optgroup") or tag == "text" and foreign == "svg":
@@ -200,51 +208,56 @@ class Page:
                     hidden = tag == "option"
                     self.out[-1].block(0)
             elif tag in ("ul", "ol", "menu"):
-                state = {"list": tag, "next": numbers.get("start", 1)}
+                state = {"list": tag, "next": numbers.get("start"), "items": []}
+                state["back"] = tag == "ol" and "reversed" in attributes
+                self.lists.append(state)
             elif tag == "table":
                 state = {"rows": [], "caption": []}
-            elif tag == "tr" and self._table():
+                self.tables.append(state)
+            elif tag in ("thead", "tbody", "tfoot") and self.tables:
+                self.tables[-1]["rows"].append(None)  # row spans end here
+            elif tag == "tr" and self.tables:
                 state = {"cells": []}
-                self._table()["rows"].append(state["cells"])
+                self.rows.append(state)
+                self.tables[-1]["rows"].append(state["cells"])
             elif tag in ("td", "th", "li", "blockquote", "caption"):
                 lines = Lines()
-                state = {"span": min(max(1, numbers.get("colspan", 1)), 100)}
+                state = {"span": min(max(1, numbers.get("colspan", 1)), 1000), "value": numbers.get("value")}
+                state["down"] = numbers["rowspan"] or 65534 if numbers.get("rowspan", -1) >= 0 else 1
                 self.out.append(lines)
             elif tag in ("pre", "textarea"):
                 state = {"pre": True}
                 self.kept += 1
         self.unseen += hidden
+        self.at[tag].append(len(self.stack))
         self.stack.append((tag, hidden, lines, state, mode))
 
     def _inside_list(self, tag: str) -> bool:
         return tag in ("ul", "ol", "menu") and any(x[0] == "li" for x in self.stack[-3:])
 
-    def _table(self):
-        return next((x[3] for x in reversed(self.stack) if x[3] and "rows" in x[3]), None)
+    def _last(self, tags) -> int:
+        """Place of the innermost open element of these tags."""
+        return max((self.at[t][-1] for t in tags if self.at[t]), default=-1)
 
     def _imply(self, ends: set, bounds: set) -> None:
-        last = None
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] in bounds:
-                break
-            if self.stack[k][0] in ends:
-                last = k
-        while last is not None and len(self.stack) > last:
+        within = self._last(bounds)
+        inside = [self.at[t][k] for t in ends if (k := bisect_right(self.at[t], within)) < len(self.at[t])]
+        while inside and len(self.stack) > min(inside):
             self._pop()
 
     def close(self, tag: str) -> None:
-        if tag == "p" and not any(x[0] == "p" for x in self.stack):
-            return
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                while len(self.stack) > k:
-                    self._pop()
-                return
-            if self.stack[k][0] in ("td", "th", "table") and tag not in ("tr", "table", "tbody", "thead", "tfoot", "html", "body"):
-                return
+        bounds = () if tag in ("tr", "table", "tbody", "thead", "tfoot", "html", "body") else ("td", "th", "table")
+        place = self._last([tag])
+        if place >= 0 and place >= self._last(bounds):
+            while len(self.stack) > place:
+                self._pop()
 
     def _pop(self) -> None:
         tag, hidden, lines, state, self.mode = self.stack.pop()
+        self.at[tag].pop()
+        for kind, states in (("rows", self.tables), ("cells", self.rows), ("list", self.lists)):
+            if state and kind in state:
+                states.pop()
         self.unseen -= hidden
         if self.unseen or hidden:
             return
@@ -256,30 +269,41 @@ class Page:
         elif state and "rows" in state:
             self.out[-1].block(1)
             self.out[-1].add(state["caption"] + _table_lines(state["rows"]))
+        elif state and state.get("items"):  # a list that counts down knows its numbers at its end
+            number = len(state["items"]) if state["next"] is None else state["next"]
+            for value, item in state["items"]:
+                number = number if value is None else value
+                self._item(f"{number}. ", item)
+                number -= 1
         if tag in BLOCKS or state and "line" in state:
             self.out[-1].block(1 if tag in PARAGRAPHS and not self._inside_list(tag) else 0)
 
     def _collected(self, tag: str, lines: list[str], state: dict) -> None:
-        if tag in ("td", "th"):
-            row = next((x[3]["cells"] for x in reversed(self.stack) if x[3] and "cells" in x[3]), None)
-            if row is not None:
-                row.append((" ".join(x.strip() for x in lines if x.strip()), state["span"]))
-                return
-        if tag == "caption" and self._table():
-            self._table()["caption"] += lines
+        if tag in ("td", "th") and self.rows:
+            self.rows[-1]["cells"].append(([x for x in lines if x.strip()], state["span"], state["down"]))
+            return
+        if tag == "caption" and self.tables:
+            self.tables[-1]["caption"] += lines
             return
         if tag == "blockquote":
             self.out[-1].add(["> " + x if x else ">" for x in lines])
         elif tag == "li" and lines:
-            owner = next((x[3] for x in reversed(self.stack) if x[3] and "list" in x[3]), None)
-            mark = "- "
-            if owner and owner["list"] == "ol":
-                mark = f"{owner['next']}. "
-                owner["next"] += 1
-            self.out[-1].add([mark + lines[0], *[" " * len(mark) + x if x else "" for x in lines[1:]]])
+            owner = self.lists[-1] if self.lists else None
+            if not owner or owner["list"] != "ol":
+                self._item("- ", lines)
+            elif owner["back"]:
+                owner["items"].append((state["value"], lines))
+            else:
+                following = 1 if owner["next"] is None else owner["next"]
+                number = following if state["value"] is None else state["value"]
+                owner["next"] = number + 1
+                self._item(f"{number}. ", lines)
         else:
             self.out[-1].add(lines)
 
+    def _item(self, mark: str, lines: list[str]) -> None:
+        self.out[-1].add([mark + lines[0], *[" " * len(mark) + x if x else "" for x in lines[1:]]])
+
     def finish(self) -> str:
         while self.stack:
             self._pop()
@@ -288,22 +312,44 @@ class Page:
 
 
 def _table_lines(rows: list) -> list[str]:
-    """Cells padded to the width of their column; a cell over several columns takes their widths."""
-    width: dict[int, int] = {}
-    for row in rows:
-        at = 0
-        for text, span in row:
-            if span == 1:
-                width[at] = max(width.get(at, 0), len(text))
-            at += span
-    lines = []
-    for row in rows:
+    """Rows of (lines, columns, rows spanned) cells as text; None ends a group of rows."""
+    width, until, placed = defaultdict(int), {}, []  # until: the row that a column is free again in
+    for r, row in enumerate(rows):
+        if row is None:
+            until = {}
+            continue
         at, cells = 0, []
-        for text, span in row:
-            cells.append(text.ljust(sum(width.get(at + k, 0) for k in range(span)) + 3 * (span - 1)))
+        for lines, span, down in row:
+            while until.get(at, 0) > r:
+                at += 1
+            cells.append((at, span, lines))
+            if down > 1:
+                until |= dict.fromkeys(range(at, min(at + span, SPANNED)), r + down)
+            if span == 1:
+                width[at] = max([width[at], *[len(x) for x in lines if len(x) <= WIDE]])
             at += span
-        lines.append(" | ".join(cells).rstrip())
-    return [x for x in lines if x.strip(" |")]
+        if cells:
+            placed.append(cells)
+    edge = [0]  # sums of the widths
+    for c in range(max(width, default=-1) + 1):
+        edge.append(edge[-1] + width.get(c, 0))
+    wide = lambda a, b: edge[min(b, len(edge) - 1)] - edge[min(a, len(edge) - 1)] + 3 * max(b - a - 1, 0)
+    height = [max([1, *[len(lines) for _, _, lines in cells]]) for cells in placed]
+    text = sum(3 + sum(map(len, lines)) for cells in placed for _, _, lines in cells)
+    out = []
+    if sum(n * wide(0, cells[-1][0]) for n, cells in zip(height, placed)) > PADDING * text + 1000:
+        out = [" | ".join(" ".join(x.strip() for x in lines) for _, _, lines in cells) for cells in placed]
+        height, placed = [], []
+    for n, cells in zip(height, placed):
+        for k in range(n):
+            parts, at = [], 0
+            for begin, span, lines in cells:
+                if begin > at:  # columns that cells of earlier rows span
+                    parts += [" " * wide(c, c + 1) for c in range(at, begin)]
+                parts.append((lines[k] if k < len(lines) else "").ljust(wide(begin, begin + span)))
+                at = begin + span
+            out.append(" | ".join(parts))
+    return [x.rstrip() for x in out if x.strip(" |")]
 
 
 def extract(page: str) -> str:

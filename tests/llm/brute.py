@@ -41,3 +41,42 @@ def jaccard_components(texts, size=4, percent=85):
         if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])
     ]
     return components(ids, linked), {i: len(s) for i, s in sets.items()}
+
+
+def table_text(rows):
+    """Rows of (text, columns, rows spanned) cells: laid out on a grid of squares, then padded."""
+    taken, cells = set(), []
+    for r, row in enumerate(rows):
+        c = 0
+        for text, span, down in row:
+            while (r, c) in taken:
+                c += 1
+            taken |= {(r + i, c + k) for i in range(down) for k in range(span)}
+            cells.append((r, c, text, span))
+            c += span
+    columns = 1 + max((c + span - 1 for _, c, _, span in cells), default=0)
+    width = [max([len(t) for _, c, t, span in cells if span == 1 and c == k], default=0) for k in range(columns)]
+    out = []
+    for r in range(len(rows)):
+        here = {c: (t, span) for q, c, t, span in cells if q == r}
+        line, c = [], 0
+        while c <= max(here, default=-1):
+            t, span = here.get(c, ("", 1))
+            line.append(t.ljust(sum(width[c : c + span]) + 3 * (span - 1)))
+            c += span
+        out.append(" | ".join(line).rstrip())
+    return [x for x in out if x.strip(" |")]
+
+
+def list_text(items, depth=0):
+    """Nested lists (start, reversed, [(value, text, list below or None)]) as lines; start None and no order: bullets."""
+    order, start, back, entries = items
+    number = start if start is not None else (len(entries) if back else 1)
+    out = []
+    for value, text, below in entries:
+        number = value if value is not None and order else number
+        mark = f"{number}. " if order else "- "
+        number += -1 if back else 1
+        inner = [text] + (list_text(below) if below else [])
+        out += [mark + inner[0]] + [" " * len(mark) + x for x in inner[1:]]
+    return out

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -374,3 +375,52 @@ def test_pipeline(spark):
     groups, _ = brute.jaccard_components(texts, 5, 80)
     assert len(set(groups.values())) == len(texts)
     assert {r.doc_id for r in stages[-1][1](spark, docs, FOLDER).collect()} == set(texts)
+
+
+def test_html_tables_against_a_grid():
+    rng = random.Random(8)
+    for _ in range(300):
+        rows = [
+            [("".join(rng.choice("abc") for _ in range(rng.randint(0, 6))), rng.choice([1, 1, 1, 2, 3]), rng.choice([1, 1, 1, 2, 3])) for _ in range(rng.randint(1, 4))]
+            for _ in range(rng.randint(1, 5))
+        ]
+        cell = lambda t, span, down: f"<td{f' colspan={span}' if span > 1 else ''}{f' rowspan=\"{down}\"' if down > 1 else ''}>{t}"
+        page = "<table>" + "".join("<tr>" + "".join(cell(*c) for c in row) for row in rows) + "</table>"
+        assert html_text.extract(page) == "\n".join(brute.table_text(rows)), page
+
+
+def test_html_lists_against_a_plain_version():
+    rng = random.Random(9)
+
+    def make(depth):
+        order = rng.random() < 0.6
+        entries = [
+            (rng.choice([None, None, None, rng.randint(-9, 99999)]), rng.choice(["one", "two words"]), make(depth - 1) if depth and rng.random() < 0.4 else None)
+            for _ in range(rng.randint(1, 4))
+        ]
+        return order, rng.choice([None, None, 4, 123456]) if order else None, order and rng.random() < 0.4, entries
+
+    def markup(items):
+        order, start, back, entries = items
+        tag = "ol" if order else "ul"
+        inside = "".join(f"<li{f' value={v}' if v is not None else ''}>{t}{markup(below) if below else ''}" for v, t, below in entries)
+        return f"<{tag}{f' start={start}' if start is not None else ''}{' reversed' if back else ''}>{inside}</{tag}>"
+
+    for _ in range(200):
+        items = make(2)
+        assert html_text.extract(markup(items)) == "\n".join(brute.list_text(items)), markup(items)
+
+
+def test_html_cells_keep_their_lines_and_padding_is_bounded():
+    page = "<table><tr><td><ul><li>a<li>b</ul><td>q<tr><td><pre>x\n  y</pre><td>z</table>"
+    assert html_text.extract(page).split("\n") == ["- a | q", "- b |", "x   | z", "  y |"]
+    groups = "<table><tbody><tr><td rowspan=0>A<td>b<tr><td>c<tbody><tr><td>d<td>e</table>"
+    assert html_text.extract(groups).split("\n") == ["A | b", "  | c", "d | e"]
+    cells = "".join(f"<td rowspan=0>{'w' * 100}" for _ in range(200))
+    page = f"<table><tr>{cells}" + "<tr><td>x" * 2000 + "</table>"
+    text = html_text.extract(page)
+    assert len(text) < 2 * len(page) and text.count("x") == 2000 and text.count("w") == 20_000
+    begin = time.perf_counter()
+    assert html_text.extract("<p><button>" + "<div>" * 50_000 + "x" + "</p>" * 50_000) == "x"
+    assert time.perf_counter() - begin < 5
+    assert html_text.extract("<ol start=99999999999999999999999><li>a</ol>") == "1. a"
