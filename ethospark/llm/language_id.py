@@ -8,9 +8,9 @@ languages share one sorted array per order: an n-gram seen in any language has,
 its finished probability and the weight of its history, so a text needs one look-up per letter and
 order it falls back to.
 
-Fitting: the models learn from a sample of labelled rows, drawn by a hash of the text at a rate that
-makes it about ``TRAIN_CHARS`` characters a language; this documented bound is what keeps the models
-small enough to broadcast at any size of the corpus. A tenth of the sample is held back: it sets the
+Fitting: the models learn from a sample of the labelled rows' different texts, drawn by their hash, of
+``TRAIN_CHARS`` characters a language (and the rest of its last text); this documented bound is what keeps
+the models small enough to broadcast at any size of the corpus. Every tenth text is held back: it sets the
 temperature of the score and, per language, the cross-entropy from which a text is rejected: halfway
 between texts of the language and texts of the others under the same model, and higher for short
 texts, by ``DEVIATIONS`` times the usual deviation over the root of the length.
@@ -31,7 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ethospark.llm.common import stored
@@ -40,6 +40,7 @@ from ethospark.llm.text import PIECE_BYTES, U64, fold, pieces, segment_sum
 
 ORDER = 4
 TRAIN_CHARS = 8_000_000  # characters of the sample for each language
+SURE = 64  # expected texts of a language below its rate, at least
 UNKNOWN = "und"
 DISCOUNT = 0.75
 ALPHABET = 2_000  # letters of the uniform floor
@@ -122,14 +123,10 @@ def fit(
     rows = train.filter(F.col(label_column).isNotNull() & F.col(text_column).isNotNull()).select(
         F.col(label_column).alias("lang"), F.col(text_column).alias("text")
     )
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.char_length("text")).alias("n")).collect() if r["n"]}
-    languages = sorted(sizes)
-    if not languages:
+    sample = _sample(rows, train_chars)
+    if sample is None:
         return Profile([], [], [], [])
-    rate = F.element_at(F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, train_chars / sizes[k]))]), F.col("lang"))
-    draw = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1_000_000.0
-    part = F.pmod(F.xxhash64(F.lit(7), "text"), F.lit(10))
-    sample = stored(rows.filter(F.col("lang").isin(languages) & (draw < rate)).withColumn("held", part == 0), "language-sample")
+    languages = sorted(r["lang"] for r in sample.select("lang").distinct().collect())
     number = {k: i for i, k in enumerate(languages)}
 
     def grams(batches):
@@ -151,6 +148,29 @@ def fit(
     return profile
 
 
+def _sample(rows: DataFrame, train_chars: int) -> DataFrame | None:
+    """(lang, text, held): different texts of every language, drawn by their hash; every tenth is held back.
+
+    A language's texts are taken in the order of their hashes until they have ``train_chars`` characters,
+    so a language goes over the bound by less than its last text, and none with a text goes without. Copies count once.
+    Only those below a rate that leaves some twice the bound, or ``SURE`` texts, are ordered. Broadcast is a hash for
+    each text taken, different texts of ``train_chars`` characters in all.
+    """
+    keyed = rows.withColumn("h", F.xxhash64("text"))
+    texts = stored(keyed.groupBy("lang", "h").agg(F.max(F.char_length("text")).alias("n")).filter("n > 0"), "language-texts")
+    found = texts.groupBy("lang").agg(F.sum("n").alias("chars"), F.count(F.lit(1)).alias("texts")).collect()
+    if not found:
+        return None
+    rates = {r["lang"]: min(1.0, max(2 * train_chars / r["chars"], SURE / r["texts"])) for r in found}
+    rate = F.element_at(F.create_map(*[F.lit(x) for pair in rates.items() for x in pair]), F.col("lang"))
+    drawn = texts.filter(F.pmod("h", F.lit(1_000_000)) / 1_000_000.0 < rate)
+    order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1_000_000)), "h")
+    ranked = drawn.withColumn("before", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+    taken = ranked.withColumn("place", F.row_number().over(order)).filter(F.col("before") < train_chars)
+    taken = taken.select("lang", "h", (F.col("place") % 10 == 0).alias("held"))
+    return stored(keyed.join(F.broadcast(taken), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "text", "held"), "language-sample")
+
+
 def _smooth(counted: pa.Table, languages: list[str], order: int) -> Profile:
     """Interpolated Kneser-Ney from the distinct n-grams of the highest order (bounded by the sample)."""
     lang = counted.column("lang").to_numpy()

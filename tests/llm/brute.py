@@ -1,5 +1,6 @@
 """Plain versions of the operators, for small fixtures."""
 
+from collections import Counter
 import re
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -80,3 +81,24 @@ def list_text(items, depth=0):
         inner = [text] + (list_text(below) if below else [])
         out += [mark + inner[0]] + [" " * len(mark) + x for x in inner[1:]]
     return out
+
+
+def kneser_ney(texts, order, discount, alphabet):
+    """Interpolated Kneser-Ney over letters: the probability of an n-gram's last letter after the others."""
+    counts = {order: Counter()}
+    for text in texts:
+        padded = " " * (order - 1) + text
+        counts[order].update(padded[j : j + order] for j in range(len(text)))
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(gram[1:] for gram in counts[n + 1])
+
+    def p(gram):
+        if not gram:
+            return 1 / alphabet
+        after = {g: c for g, c in counts[len(gram)].items() if g[:-1] == gram[:-1]}
+        if not after:
+            return p(gram[1:])
+        total = sum(after.values())
+        return max(after.get(gram, 0) - discount, 0) / total + discount * len(after) / total * p(gram[1:])
+
+    return p

@@ -424,3 +424,37 @@ def test_html_cells_keep_their_lines_and_padding_is_bounded():
     assert html_text.extract("<p><button>" + "<div>" * 50_000 + "x" + "</p>" * 50_000) == "x"
     assert time.perf_counter() - begin < 5
     assert html_text.extract("<ol start=99999999999999999999999><li>a</ol>") == "1. a"
+
+
+def test_language_sample_of_copies_and_few_texts(spark):
+    rows = [("x", "le chat dort sur la chaise verte")] * 3000 + [("y", f"the dog number {k} sleeps on a chair") for k in range(200)]
+    rows += [("z", "ein sehr langer Satz " * 500), ("n", "12 34"), ("e", "")]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    sample = language_id._sample(df, 2000).collect()
+    assert len(sample) == len({(r.lang, r.text) for r in sample})
+    assert {r.lang for r in sample} == {"x", "y", "z", "n"}
+    assert 2000 <= sum(len(r.text) for r in sample if r.lang == "y") < 2050
+    assert sum(r.held for r in sample) == sum(r.lang == "y" for r in sample) // 10
+    profile = language_id.fit(df, train_chars=2000)
+    found = language_id.predict(df.filter("lang in ('x', 'y', 'z')"), profile).groupBy("lang", "lang_pred").count().collect()
+    assert {(r.lang, r.lang_pred) for r in found} == {("x", "x"), ("y", "y"), ("z", "z")}
+
+
+def test_language_models_against_plain_kneser_ney(spark):
+    rng = random.Random(4)
+    texts = {k: ["".join(rng.choice(letters) for _ in range(rng.randint(1, 30))) for _ in range(12)] for k, letters in (("p", "aab c"), ("q", "abbd "))}
+    df = spark.createDataFrame([(k, t) for k, many in texts.items() for t in many], "lang string, text string")
+    profile = language_id.fit(df, train_chars=10**6)
+    taught = defaultdict(list)
+    for r in language_id._sample(df, 10**6).collect():
+        if not r.held:
+            taught[r.lang].append(r.text)
+    new = ["".join(rng.choice("abcde ") for _ in range(25)) for _ in range(30)]
+    entropy, length = profile.cross_entropy(pa.array(new))
+    for k, lang in enumerate(profile.languages):
+        p = brute.kneser_ney(map(language_id._clean, taught[lang]), language_id.ORDER, language_id.DISCOUNT, language_id.ALPHABET)
+        for i, text in enumerate(map(language_id._clean, new)):
+            if text:
+                padded = " " * (language_id.ORDER - 1) + text
+                costs = [-math.log(p(padded[j : j + language_id.ORDER])) for j in range(len(text))]
+                assert length[i] == len(text) and entropy[i, k] == pytest.approx(sum(costs) / len(text), rel=1e-4)
