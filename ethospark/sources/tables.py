@@ -6,6 +6,7 @@ import hashlib
 import json
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -246,11 +247,23 @@ def inference_runs(records: DataFrame) -> DataFrame:
 # --- reports ------------------------------------------------------------------------------------
 
 
+def _decimals(value: Column, digits: int) -> Column:
+    """The number as text, rounded by its exact binary value and to even on ties, as ``printf`` does.
+
+    ``format_string`` rounds ties up, so 1/128 would become 0.007813."""
+
+    @F.arrow_udf("string")
+    def text(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else f"{v:.{digits}f}" for v in values.to_pylist()], pa.string())
+
+    return text(value.cast("double"))
+
+
 def bout_report(per_bout: DataFrame) -> DataFrame:
     """Report rows of missing keypoints per bout, numbers as text with six decimals."""
     missing = [c for c in per_bout.columns if c.startswith("missing_")]
     overall = sum((F.col(c) for c in missing), F.lit(0.0)) / len(missing)
-    text = lambda c: F.format_string("%.6f", c)
+    text = lambda c: _decimals(c, 6)
     return per_bout.select(
         "video", "identity", F.col("start").alias("start_frame"), F.col("end").alias("end_frame"), "duration",
         *[text(F.col(c)).alias(f"{c.removeprefix('missing_').lower()}_missing_pct") for c in missing],
@@ -260,7 +273,7 @@ def bout_report(per_bout: DataFrame) -> DataFrame:
 
 def frame_report(frames: DataFrame) -> DataFrame:
     """Report rows of selected frames, numbers as text with four decimals."""
-    text = lambda c: F.format_string("%.4f", c)
+    text = lambda c: _decimals(c, 4)
     return frames.select(
         "video", "frame", text(F.col("missing")).alias("labeled_identity_missing_pct"),
         F.when(F.col("others_missing").isNull(), "N/A").otherwise(text(F.col("others_missing")))

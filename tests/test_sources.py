@@ -105,6 +105,17 @@ def test_upsert_replaces_only_named_folders(spark):
     assert got == [("v", "a", 2), ("v", "b", 1), ("w", "a", 1)]
 
 
+def test_report_numbers_round_ties_to_even(spark):
+    rows = [("v", 0, 0, n - 1, n, k / n) for n, k in ((128, 1), (128, 3), (4, 1))]
+    schema = "video string, identity int, start int, end int, duration int, missing_NOSE double"
+    report = T.bout_report(spark.createDataFrame(rows, schema)).collect()
+    expected = ["0.007812", "0.023438", "0.250000"]
+    assert [r.nose_missing_pct for r in report] == [r.overall_missing_pct for r in report] == expected
+    frames = spark.createDataFrame([("v", 0, 0.03125, None), ("v", 1, 0.5, 0.03125)], "video string, frame int, missing double, others_missing double")
+    got = [tuple(r)[2:] for r in T.frame_report(frames).collect()]
+    assert got == [("0.0312", "N/A"), ("0.5000", "0.0312")]
+
+
 def test_unknown_learner_code(spark):
     old = spark.createDataFrame([("2", None)], "learner string, distance_unit string")
     with pytest.raises(Exception, match="unknown learner"):
