@@ -62,7 +62,7 @@ def _circular(segments: np.ndarray, low: float, ops: Sequence[str]) -> dict[str,
         s = np.where(known, np.sin(turn), 0.0).sum(axis=1) / n
         c = np.where(known, np.cos(turn), 0.0).sum(axis=1) / n
         degrees = np.degrees(np.arctan2(s, c))
-        length = np.minimum(1.0, np.hypot(s, c))
+        length = np.minimum(1.0, np.sqrt(s * s + c * c))
         out = {
             "mean": degrees - 360 * np.floor((degrees - low) / 360),
             "std_dev": np.degrees(np.sqrt(-2 * np.log(length))),

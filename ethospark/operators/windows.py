@@ -62,7 +62,7 @@ def circular(column: Column, spec: WindowSpec, op: str, low: float) -> Column:
         degrees = F.degrees(F.atan2(sine, cosine))
         return degrees - 360 * F.floor((degrees - low) / 360).cast("double")
     if op == "std_dev":
-        length = F.least(F.lit(1.0), F.hypot(sine, cosine))
+        length = F.least(F.lit(1.0), F.sqrt(sine * sine + cosine * cosine))
         return F.degrees(F.sqrt(-2 * F.ln(length)))
     raise ValueError(f"unknown circular operation {op!r}")
 

@@ -104,5 +104,16 @@ def test_circular_mean_wraps(spark):
         )
 
 
+def test_direction_length_is_the_root_of_squares(spark):
+    """Both paths round as the statement does, also where all angles of a window are equal."""
+    for angle in (98.95099999999996, 1.46, 36.5, -17.9):
+        df = spark.createDataFrame([(0, 0, angle, True)], "identity int, frame int, `m a` double, present boolean")
+        s, c = math.sin(math.radians(angle)), math.cos(math.radians(angle))
+        expected = math.degrees(math.sqrt(-2 * math.log(min(1.0, math.sqrt(s * s + c * c)))))
+        wide = WM.window_matrix(df, KEY, 1, circular_columns={"m a": -180.0}).first()
+        narrow = W.window_features(df, KEY, 1, circular_columns=["m a"], present="present").first()
+        assert wide["m std_dev a"] == pytest.approx(expected, abs=1e-9) == narrow["m std_dev a"]
+
+
 def test_names():
     assert W.window_name("angles angle A-B-C", "mean") == "angles mean angle A-B-C"
