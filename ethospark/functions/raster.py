@@ -12,6 +12,8 @@ whose moments are matched.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
@@ -23,6 +25,7 @@ RAW_MOMENTS = [
     ("m02", 0, 2), ("m30", 3, 0), ("m21", 2, 1), ("m12", 1, 2), ("m03", 0, 3),
 ]
 _ONE = 1 << 16
+STEPS = 1 << 17  # steps along outlines whose arrays are in memory at once (some 40 MB); one row is never cut
 
 
 def _steps(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,14 +66,20 @@ def _line_runs(row, x0, y0, x1, y1):
     return row[edge], y0[edge] + way[edge] * j, x0[edge] + begin, x0[edge] + end
 
 
+def _following(contour_starts: np.ndarray, size: int) -> np.ndarray:
+    """The vertex after each one along its contour."""
+    following = np.arange(1, size + 1)
+    ends = np.append(contour_starts[1:], size)
+    some = ends > contour_starts
+    following[ends[some] - 1] = contour_starts[some]
+    return following
+
+
 def filled_runs(row: np.ndarray, x: np.ndarray, y: np.ndarray, contour_starts: np.ndarray) -> tuple[np.ndarray, ...]:
     """Disjoint runs (row, y, x0, x1) of the shapes; ``row`` is that of each vertex, contours follow each other."""
     if not len(x):
         return (np.zeros(0, np.int64),) * 4
-    following = np.arange(1, len(x) + 1)
-    ends = np.append(contour_starts[1:], len(x))
-    some = ends > contour_starts
-    following[ends[some] - 1] = contour_starts[some]
+    following = _following(contour_starts, len(x))
     edges = (row, x, y, x[following], y[following])
     row, y, x0, x1 = (np.concatenate(p) for p in zip(_fill_runs(*edges), _line_runs(*edges)))
     order = np.lexsort((x0, y, row))
@@ -99,6 +108,31 @@ def run_moments(rows: int, row: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: n
     return {name: np.bincount(row, across[p] * y.astype(float) ** q, rows) for name, p, q in RAW_MOMENTS}
 
 
+def _slices(costs: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Cuts rows into stretches of at most ``limit`` together, or of one row."""
+    ends, begin = np.cumsum(costs), 0
+    while begin < len(costs):
+        done = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, done + limit, "right")))
+        yield begin, end
+        begin = end
+
+
+def sliced_moments(per_row: np.ndarray, per_contour: np.ndarray, x: np.ndarray, y: np.ndarray, limit: int = STEPS) -> dict[str, np.ndarray]:
+    """Raw moments of rows of ``per_row`` contours of ``per_contour`` vertices, a bounded number of steps at a time."""
+    contours = np.concatenate([[0], np.cumsum(per_row)])
+    points = np.concatenate([[0], np.cumsum(per_contour)])
+    row = np.repeat(np.repeat(np.arange(len(per_row)), per_row), per_contour)
+    steps = np.abs(y[_following(points[:-1], len(y))] - y) + 1
+    parts = [run_moments(0, *filled_runs(row[:0], x[:0], y[:0], points[:0]))]
+    for begin, end in _slices(np.bincount(row, steps, len(per_row)), limit):
+        first, last = points[contours[begin]], points[contours[end]]
+        starts = points[contours[begin] : contours[end]] - first
+        runs = filled_runs(row[first:last] - begin, x[first:last], y[first:last], starts)
+        parts.append(run_moments(end - begin, *runs))
+    return {name: np.concatenate([p[name] for p in parts]) for name in parts[0]}
+
+
 def filled_moments(contours: Column) -> Column:
     """Raw moments (a struct) of a list of contours, each a list of points (x, y)."""
 
@@ -108,10 +142,9 @@ def filled_moments(contours: Column) -> Column:
         points = lists.flatten()
         per_row = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         per_contour = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        row = np.repeat(np.repeat(np.arange(len(column)), per_row), per_contour)
         axes = dict(zip((f.name for f in points.type), points.flatten()))
         x, y = (axes[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in "xy")
-        found = run_moments(len(column), *filled_runs(row, x, y, np.cumsum(per_contour) - per_contour))
+        found = sliced_moments(per_row, per_contour, x, y)
         return pa.StructArray.from_arrays([pa.array(v) for v in found.values()], list(found))
 
     return moments(contours)

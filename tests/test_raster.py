@@ -78,3 +78,23 @@ def test_moments_of_columns(spark):
         pixels = plain_pixels(s)
         assert found[i].m00 == len(pixels) and found[i].m21 == pytest.approx(sum(x * x * y for x, y in pixels))
     assert found[99].m00 == found[100].m00 == 0
+
+
+def test_moments_come_in_bounded_slices(monkeypatch):
+    """Arrays follow STEPS, not the rows of a batch; slices give what the whole gives."""
+    rng = np.random.default_rng(5)
+    per_row = rng.integers(0, 4, 300)
+    per_contour = rng.integers(0, 9, per_row.sum())
+    x, y = rng.integers(0, 200, (2, per_contour.sum()))
+    row = np.repeat(np.repeat(np.arange(len(per_row)), per_row), per_contour)
+    whole = raster.run_moments(len(per_row), *raster.filled_runs(row, x, y, np.cumsum(per_contour) - per_contour))
+    sizes, steps = [], raster._steps
+    monkeypatch.setattr(raster, "_steps", lambda counts: sizes.append(int(counts.sum())) or steps(counts))
+    for limit in (1, 5000, 1 << 30):
+        sizes.clear()
+        sliced = raster.sliced_moments(per_row, per_contour, x, y, limit)
+        assert sliced.keys() == whole.keys() and all((sliced[n] == whole[n]).all() for n in whole)
+        assert limit != 5000 or max(sizes) <= limit < sum(sizes)
+    none = np.zeros(0, np.int64)
+    assert all(len(v) == 0 for v in raster.sliced_moments(none, none, none, none).values())
+    assert raster.STEPS <= 1 << 20
