@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,21 @@ def stored(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20  # Spark's 64 MB are held several times by every task
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs started inside hand Arrow batches of about ``BATCH_BYTES`` to Python."""
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
+
+
 def forget(table: DataFrame) -> None:
     """Replaces a table of ``stored`` that is not needed any more by an empty one."""
     folders = {file.rsplit("/", 1)[0] for file in table.inputFiles()}

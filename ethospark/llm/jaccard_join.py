@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ethospark.llm.common import forget, stored
+from ethospark.llm.common import forget, small_batches, stored
 from ethospark.llm.components import components
 from ethospark.llm.text import Words, as_long, fold, mix, pieces
 
@@ -259,6 +259,11 @@ def _near(percent: int):
 def link_classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(summaries, classes) of ``docs`` (id, text): (id, n, d1, d2, sketch) of every row, and (id, component)
     of every representative that has a link."""
+    with small_batches(docs.sparkSession):  # texts and sets are long rows
+        return _link_classes(docs, size, percent)
+
+
+def _link_classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     summaries = stored(_summaries(docs, size), "jaccard-rows")
     classes = summaries.filter("n > 0 and id is not null").groupBy("d1", "d2", "n", *SKETCH)  # equal sets have equal sketches
     representatives = stored(classes.agg(F.min("id").alias("id")).select("id", "n", *SKETCH), "jaccard-classes")

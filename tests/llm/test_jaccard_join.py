@@ -1,9 +1,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import brute
+from ethospark.llm import common
 from ethospark.llm import jaccard_join as J
 from ethospark.llm.components import components
 
@@ -78,3 +81,24 @@ def test_sketches_differ_no_more_than_sets():
         assert apart <= gone + new and (gone + new - apart) % 2 == 0
         assert all(w[2] == 0 for w in words)  # an empty set
         assert gone < 40 or apart > 30
+
+
+def test_classes_read_texts_in_bounded_batches(spark, monkeypatch):
+    """Batches of texts are bounded by their bytes, and the session keeps its own setting."""
+    docs = spark.range(4000, numPartitions=1).withColumn("text", F.repeat(F.lit("ab cd "), 1000))
+
+    def task(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.nbytes])], ["n"])
+
+    before, seen = spark.conf.get(common.BATCH), []
+    summaries = J._summaries
+
+    def watched(rows, size):
+        seen.extend(r.n for r in rows.mapInArrow(task, "n long").collect())
+        return summaries(rows.limit(2), size)
+
+    monkeypatch.setattr(J, "_summaries", watched)
+    J.link_classes(docs)
+    assert sum(seen) > 4000 * 6000 and max(seen) < 2 * common.BATCH_BYTES
+    assert spark.conf.get(common.BATCH) == before
