@@ -32,7 +32,7 @@ class HashArray:
 class Tally:
     """Adds up counts of 64-bit keys within a task; gives them out when many are held."""
 
-    def __init__(self, hold: int = 1 << 21):
+    def __init__(self, hold: int = 1 << 19):
         self.hold, self.raw, self.n = hold, [], 0
         self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 

@@ -266,7 +266,7 @@ def predict(docs: DataFrame, profile: Profile, text_column: str = "text") -> Dat
     def task(batches):
         model = sent.value
         names = np.array([*model.languages, UNKNOWN], object)
-        for piece in pieces(batches, text_column, PIECE_BYTES // max(4, len(model.languages))):
+        for piece in pieces(batches, text_column, 4 * PIECE_BYTES // max(4, len(model.languages))):
             n = piece.num_rows
             best, score, least, rejected = np.full(n, len(names) - 1), np.zeros(n), np.zeros(n), np.ones(n, bool)
             if model.languages:

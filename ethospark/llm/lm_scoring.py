@@ -13,9 +13,9 @@ words early, for two words determine the state.
 
 Scale: the model is one distributed table, a row for each word, bigram and trigram with its count and the
 discounted counts of its arcs; it grows with the input, and no part of it is in every task. Counts are
-added up inside a task before they are shuffled. Texts are taken in chunks of CHUNK_BYTES: a chunk
-asks for its distinct n-grams, one sorted array of keys for each part of the table, and is answered by arrays in the
-same order. Texts and answers of a chunk meet in one task, which builds the part of the automaton that the
+added up inside a task before they are shuffled. Texts are taken in chunks, Arrow batches of some BATCH_BYTES: a
+chunk asks for its distinct n-grams, one sorted array of keys for each part of the table, and is answered by arrays
+in the same order. Texts and answers of a chunk meet in one task, which builds the part of the automaton that the
 chunk can reach. A bitmap of 2**FILTER_BITS bits saves questions for most n-grams that are in no table, as
 long as it isn't full, and changes no result.
 
@@ -36,14 +36,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ethospark.llm.common import forget, stored
+from ethospark.llm.common import BATCH_BYTES, forget, small_batches, stored
 from ethospark.llm.hash_array import HashArray, Tally
 from ethospark.llm.text import U64, Words, as_long, fold, pieces, segment_sum
 
 LEAST = 2  # occurrences that make a bigram or trigram an arc
-CHUNK_BYTES = 4 << 20  # of text, or one text
-SLICE_BYTES = 1 << 20  # of a chunk that is in arrays at once, or one text
-STRETCH = 4096  # tokens of a text that are traversed one after the other
+CHUNK_BYTES = 2 * BATCH_BYTES  # of text, or one text; at most what an Arrow batch holds
+STRETCH = 256  # tokens of a text that are traversed one after the other
 PART_NODES = 1 << 18  # rows of the model, or tokens, that one part of the keys has about
 FILTER_BITS = 28
 DISCOUNT = 0.75
@@ -243,7 +242,7 @@ def _unpacked_keys(data: bytes, n: int) -> np.ndarray:
 
 def _bits(n: int) -> int:
     """Leading bits of a key that tell its part, for ``n`` rows."""
-    return max(6, (n // PART_NODES).bit_length())
+    return max(8, (n // PART_NODES).bit_length())
 
 
 def _grams(docs: DataFrame, text_column: str, bits: int, grams_of) -> DataFrame:
@@ -298,6 +297,11 @@ def _sure(arcs: DataFrame) -> DataFrame:
 
 def fit(train: DataFrame, text_column: str = "text", filter_bits: int = FILTER_BITS) -> Model:
     """The model of all rows of ``train``."""
+    with small_batches(train.sparkSession):
+        return _fit(train, text_column, filter_bits)
+
+
+def _fit(train: DataFrame, text_column: str, filter_bits: int) -> Model:
     spark, rows = train.sparkSession, train.select(text_column)
     end, start = (int(x.astype(np.int64)) for x in (END, START))
     counts = stored(_tallied(rows, text_column), "lm-words", tidy=True)
@@ -338,7 +342,7 @@ def fit(train: DataFrame, text_column: str = "text", filter_bits: int = FILTER_B
 
 def _questions(batch: pa.RecordBatch, arcs: Bitmap) -> np.ndarray:
     """Sorted keys of the distinct words, bigrams and trigrams of the texts that may be in the model."""
-    return _distinct(np.concatenate([_keys_of(Words(p.column("__text")), arcs) for p in pieces([batch], "__text", SLICE_BYTES)]))
+    return _distinct(np.concatenate([_keys_of(Words(p.column("__text")), arcs) for p in pieces([batch], "__text")]))
 
 
 def _keys_of(words: Words, arcs: Bitmap) -> np.ndarray:
@@ -354,8 +358,14 @@ def score(
     docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", carry: tuple[str, ...] = (),
     chunk_bytes: int = CHUNK_BYTES, stretch: int = STRETCH,
 ) -> DataFrame:
-    """Per row: the id, ``carry`` columns, n_tokens, n_known, base_score, score."""
-    kept = {f"__{i}": c for i, c in enumerate([id_column, *carry])}
+    """Per row: the id, ``carry`` columns, n_tokens, n_known, base_score, score; stored, for the texts are read
+    in the same batches for the questions and for the answers."""
+    with small_batches(docs.sparkSession):
+        return stored(_score(docs, model, [id_column, *carry], text_column, chunk_bytes, stretch), "lm-scores", tidy=True)
+
+
+def _score(docs: DataFrame, model: Model, columns: list[str], text_column: str, chunk_bytes: int, stretch: int) -> DataFrame:
+    kept = {f"__{i}": c for i, c in enumerate(columns)}
     source = docs.select(*[F.col(c).alias(k) for k, c in kept.items()], F.col(text_column).alias("__text"))
     sent = docs.sparkSession.sparkContext.broadcast(model.arcs)
     bits = _bits(model.n_nodes)
@@ -406,7 +416,7 @@ def score(
         )
         automaton = Automaton(_questions(batch, sent.value), counts, sure, total, types)
         sums = []
-        for piece in pieces([batch], "__text", SLICE_BYTES):
+        for piece in pieces([batch], "__text"):
             rows, count, root, cost = automaton.token_costs(Words(piece.column("__text")), stretch)
             n = piece.num_rows
             tokens, known = (np.bincount(r, minlength=n) for r in (rows, rows[count > 0]))

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-PIECE_BYTES = 1 << 20  # bytes of text whose arrays are in memory at once; one text is never cut
+PIECE_BYTES = 1 << 18  # bytes of text whose arrays are in memory at once; one text is never cut
 _BASE = U64(0x9E3779B97F4A7C55)  # odd, so it has an inverse modulo 2**64
 _INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
 _SEPARATOR = np.zeros(256, bool)

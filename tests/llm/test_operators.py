@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 import brute
 from ethospark.llm import (
     chat_format,
+    common,
     decontaminate,
     html_text,
     language_id,
@@ -341,6 +342,25 @@ def test_lm_keeps_rare_arcs(spark, chunk, stretch, bits):
     assert len(scores) == len(probes)
 
 
+def test_lm_reads_texts_in_bounded_batches(spark, monkeypatch):
+    """No chunk holds more than an Arrow batch of bounded bytes, and the session keeps its own setting."""
+    docs = spark.range(3000, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab cd "), 1000).alias("text"))
+    before, sizes = spark.conf.get(common.BATCH), []
+    score = lm_scoring._score
+
+    def watched(rows, *rest):
+        task = lambda batches: (pa.record_batch([pa.array([b.nbytes])], ["n"]) for b in batches)
+        sizes.extend(r.n for r in rows.mapInArrow(task, "n long").collect())
+        return score(rows, *rest)
+
+    monkeypatch.setattr(lm_scoring, "_score", watched)
+    few = docs.limit(3)
+    scored = lm_scoring.score(docs, lm_scoring.fit(few)).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("score").alias("scores")).first()
+    assert scored.n == 3000 and scored.scores == 1
+    assert sum(sizes) > 3000 * 6000 and max(sizes) < 2 * common.BATCH_BYTES
+    assert spark.conf.get(common.BATCH) == before
+
+
 def test_line_windows(spark, odd):
     texts = {
         1: "a\nb\nc\nd", 2: "x\nb\nc\nd\ny", 3: "a\n\nb\n \nc\nd\nlast", 4: "a\nb", 5: None, 6: "", 7: "q\nq\nq\nq\nq", 8: "a\nb\nc\nd", 9: "b\nc\nz",
