@@ -1,17 +1,19 @@
 """The corpus pipeline: raw documents → packed training sequences, in five stages.
 
-Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
-of ``documents``. Rows that share an id stay or go together; rows with a null id stay where a stage
+Every stage takes (spark, docs, sf_dir) and returns a stored table, for texts go to Python in small Arrow
+batches, which holds for jobs that the stage itself runs; all but the last return the columns of ``documents``. Rows that share an id stay or go together; rows with a null id stay where a stage
 decides by id.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ethospark.llm import decontaminate, jaccard_join, language_id, line_dedup, packing
-from ethospark.llm.common import stored, table
+from ethospark.llm.common import small_batches, stored, table
 from ethospark.llm.queries import tokenizer
 
 
@@ -47,21 +49,32 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer(), special=True)
 
 
+def _stored(name: str, stage: Callable) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with small_batches(spark):
+            return stored(stage(spark, docs, sf_dir), f"pipeline-{name}", tidy=True)
+
+    return run_stage
+
+
 STAGES = [
-    ("language_id", identify_language),
-    ("line_dedup", dedup_lines),
-    ("jaccard_join", dedup_documents),
-    ("decontamination", drop_benchmark),
-    ("packing", pack),
+    (name, _stored(name, stage))
+    for name, stage in (
+        ("language_id", identify_language),
+        ("line_dedup", dedup_lines),
+        ("jaccard_join", dedup_documents),
+        ("decontamination", drop_benchmark),
+        ("packing", pack),
+    )
 ]
 ORACLE_SQL = None  # language models and alignments are not SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for _, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+    return docs
 
 
 QUERIES = {"pipeline": run}

@@ -397,6 +397,26 @@ def test_pipeline(spark):
     assert {r.doc_id for r in stages[-1][1](spark, docs, FOLDER).collect()} == set(texts)
 
 
+def test_pipeline_reads_texts_in_bounded_batches(spark, monkeypatch, tmp_path):
+    """Language ID of the pipeline is handed batches of bounded bytes, and the session keeps its own setting."""
+    import corpus_pipeline
+
+    docs = spark.range(3000, numPartitions=1).select(
+        F.col("id").alias("doc_id"), F.repeat(F.lit("ab cd "), 1000).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(6000).alias("n_chars")
+    )
+    before, sizes, predict = spark.conf.get(common.BATCH), [], language_id.predict
+
+    def watched(rows, profile):
+        task = lambda batches: (pa.record_batch([pa.array([b.nbytes])], ["n"]) for b in batches)
+        sizes.extend(r.n for r in rows.mapInArrow(task, "n long").collect())
+        return predict(rows, profile)
+
+    monkeypatch.setattr(language_id, "predict", watched)
+    assert dict(corpus_pipeline.STAGES)["language_id"](spark, docs, str(tmp_path)).columns == docs.columns
+    assert sum(sizes) > 3000 * 6000 and max(sizes) < 2 * common.BATCH_BYTES
+    assert spark.conf.get(common.BATCH) == before
+
+
 def test_html_tables_against_a_grid():
     rng = random.Random(8)
     for _ in range(300):
