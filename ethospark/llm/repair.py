@@ -14,7 +14,6 @@ import numpy as np
 
 from ethospark.llm.token_ids import ragged
 
-_BUCKETS_LOG2 = 20
 _MULTIPLIERS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77))  # odd, of no other meaning
 
 
@@ -71,26 +70,28 @@ def _replaced(symbols: np.ndarray, threshold: int, new: int) -> tuple[np.ndarray
     if len(symbols) < 2:
         return symbols, none
     a, b = symbols[:-1], symbols[1:]
+    buckets_log2 = 16 if threshold >= 256 else 18 if threshold >= 16 else 20  # few counters stay in the cache
     bucket = a.view(np.uint32) * _MULTIPLIERS[0]
     bucket += b.view(np.uint32) * _MULTIPLIERS[1]
-    bucket >>= np.uint32(32 - _BUCKETS_LOG2)
-    often = np.bincount(bucket, minlength=1 << _BUCKETS_LOG2) >= threshold
-    at = np.flatnonzero(often[bucket])  # a superset: pairs may share a bucket
+    bucket >>= np.uint32(32 - buckets_log2)
+    bucket = bucket.astype(np.intp)
+    often = np.bincount(bucket, minlength=1 << buckets_log2) >= threshold
+    at = np.flatnonzero(often.take(bucket))  # a superset: pairs may share a bucket
     if not len(at):
         return symbols, none
-    keys = (a[at].astype(np.int64) << 32) | b[at]
-    order = np.argsort(keys)
-    ordered = keys[order]
+    ordered, at = _in_pair_order(a, b, at)
     begins = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     counts = np.diff(begins, append=len(ordered))
-    pair = np.empty(len(at), np.int64)
-    pair[order] = np.repeat(np.arange(len(begins)), counts)
-    use = counts[pair] >= threshold
-    at, pair = at[use], pair[use]
+    use = counts >= threshold
+    at, begins, counts = at[np.repeat(use, counts)], begins[use], counts[use]
+    pair_at = np.full(len(symbols), -1, np.int32)
+    pair_at[at] = np.repeat(np.arange(len(begins), dtype=np.int32), counts)
+    at = np.flatnonzero(pair_at >= 0)
+    pair = pair_at[at]
     # of overlapping places in a row, every other one
     first = np.concatenate([[True], at[1:] != at[:-1] + 1]) if len(at) else np.zeros(0, bool)
     run = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0)) if len(at) else np.zeros(0, np.int64)
-    free = (np.arange(len(at)) - run) % 2 == 0
+    free = (np.arange(len(at)) - run) & 1 == 0
     at, pair = at[free], pair[free]
     left = np.bincount(pair, minlength=len(begins))
     worth = left[pair] >= 2  # overlaps may have left a pair alone
@@ -108,6 +109,25 @@ def _replaced(symbols: np.ndarray, threshold: int, new: int) -> tuple[np.ndarray
     return made[stay], np.stack([chosen >> 32, chosen & 0xFFFFFFFF], axis=1).astype(symbols.dtype)
 
 
+def _in_pair_order(a: np.ndarray, b: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(left << 32 | right of the places ``at``, ascending; the places in that order). Pair and place are sorted as
+    one number where they fit into it, which is faster than sorting places by pair."""
+    bits, place = int(max(a.max(), b.max())).bit_length(), len(a).bit_length()
+    keys = a[at].astype(np.int64)
+    if 2 * bits + place > 63:
+        keys = keys << 32 | b[at]
+        order = np.argsort(keys)
+        return keys[order], at[order]
+    keys <<= bits
+    keys |= b[at]
+    keys <<= place
+    keys |= at
+    keys.sort()
+    at = keys & ((1 << place) - 1)
+    keys >>= place
+    return (keys >> bits) << 32 | keys & ((1 << bits) - 1), at
+
+
 def compress(ids: np.ndarray, least: int = 4, gain: float = 1 / 64) -> Grammar:
     """The grammar of ``ids`` (non-negative). Pairs found ``least`` times become rules, in rounds whose
     threshold falls by a factor of four, until a round at ``least`` shortens the sequence by less than ``gain``."""

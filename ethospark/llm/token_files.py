@@ -2,7 +2,7 @@
 
 ``write_tokens`` puts two Parquet tables under a path:
 
-* ``shards``: a row for each run of up to ``SHARD_IDS`` ids. ``part`` (the number of the task that wrote it,
+* ``shards``: a row for each run of up to ``SHARD_IDS`` ids, which ends where a text ends if it can. ``part`` (the number of the task that wrote it,
   ascending with the texts), ``first`` (ids of the part before), ``n_ids``; a Re-Pair grammar
   (``repair``): ``base``, ``n_symbols`` and ``symbols``, ``n_rules`` and ``rules`` (left, right, left, …), both as
   ``pack_numbers`` writes them, and ``lengths`` (ids that each rule stands for, little-endian 32 bits) for decoding from
@@ -13,7 +13,7 @@
 ``read_documents`` decodes them: whole shards, or of wanted texts only the symbols that cover them.
 
 Scale: one range partitioning by id, whose sort spills; a task holds the ids of one shard and of the texts of
-one slice. A text longer than a shard is cut at shard ends and put together when it is read. Only ``parts``, one row
+one slice. Only a text longer than a shard is cut at shard ends and put together when it is read. Only ``parts``, one row
 for each writing task, is numbered in one place and broadcast.
 
 Defined cases: a null or empty text is its end id; null ids are first; rows that share an id are all
@@ -57,7 +57,13 @@ class _Part:
         self.written += len(ids)
         self.count += len(names)
         while self.written - self.first >= self.shard_ids:
-            yield self.shard(self.shard_ids)
+            yield self.shard(self._length())
+
+    def _length(self) -> int:
+        """Of the next shard: up to the last text that ends in it, or a cut through a text that no shard holds."""
+        ends = np.concatenate([starts + sizes for _, _, starts, sizes in self.texts])
+        whole = int(np.searchsorted(ends, self.first + self.shard_ids, "right"))
+        return int(ends[whole - 1]) - self.first if whole else self.shard_ids
 
     def shard(self, n: int) -> pa.RecordBatch:
         ids = np.concatenate(self.ids)

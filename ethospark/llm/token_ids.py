@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,7 @@ _PLAIN[0x21:0x7F] = True
 _SOLID = _PLAIN.copy()  # last bytes of words that surely end in no white space
 _LEADS = np.zeros(256, bool)  # first bytes of the characters among which wide spaces are
 _LEADS[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+_BLANK, _SURE = _SPACE.tolist(), _SOLID.tolist()  # for single bytes: lists are read faster
 
 
 def _byte_of() -> dict[str, int]:
@@ -110,19 +112,18 @@ class TokenIds:
         self.ids = np.zeros(1 << 16, np.int32)
         self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def _append(self, words: list[bytes]) -> None:
-        """Ids of new words, in one go; what begins without or ends in white space stands at an end of a
+    def _append(self, words: list[bytes]) -> np.ndarray:
+        """Places of new words, encoded in one go; what begins without or ends in white space stands at an end of a
         text and is encoded alone, for its tokens depend on that end."""
-        alone = [w for w in words if not w or not _SPACE[w[0]] or not _SOLID[w[-1]]]
-        if alone:
-            apart = set(alone)
-            words = [w for w in words if w not in apart] + alone
+        alone = np.fromiter((not w or not _BLANK[w[0]] or not _SURE[w[-1]] for w in words), bool, len(words))
+        order = np.argsort(alone, kind="stable")  # those alone come last
+        words = [words[i] for i in order.tolist()]
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        n_joined = len(words) - len(alone)
-        joined = self.bpe.encode_ordinary(b"".join(words[:n_joined]).decode())
-        single = [self.bpe.encode_ordinary(w.decode()) for w in alone]
-        ids = np.array(joined + [i for w in single for i in w], np.int32)
-        ends = np.searchsorted(np.cumsum(self.token_bytes[ids[: len(joined)]]), np.cumsum(sizes[:n_joined])) + 1
+        n_joined = len(words) - int(alone.sum())
+        joined = self.bpe.encode_to_numpy(b"".join(words[:n_joined]).decode(), disallowed_special=()).astype(np.int32)
+        single = [self.bpe.encode_ordinary(w.decode()) for w in words[n_joined:]]
+        ids = np.concatenate([joined, np.array([i for w in single for i in w], np.int32)])
+        ends = np.searchsorted(np.cumsum(self.token_bytes[joined]), np.cumsum(sizes[:n_joined])) + 1
         lengths = np.concatenate([np.diff(ends, prepend=0), [len(w) for w in single]]).astype(np.int64)
         n, known = len(ids), len(self.place)
         while self.used + n > len(self.ids):
@@ -136,6 +137,9 @@ class TokenIds:
         self.used += n
         self.place.update(zip(words, range(known, known + len(words))))
         self.table_bytes += int(sizes.sum())
+        places = np.empty(len(words), np.int64)
+        places[order] = known + np.arange(len(words))
+        return places
 
     def encode(self, texts: pa.Array, special: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of the texts in them) of a string column."""
@@ -152,12 +156,10 @@ class TokenIds:
         distinct = _slices(coded.dictionary)
         if self.table_bytes > TABLE_BYTES:
             self._forget()
-        found = list(map(self.place.get, distinct))
-        new = [w for w, k in zip(distinct, found) if k is None]
-        if new:
-            self._append(new)
-            found = list(map(self.place.__getitem__, distinct))
-        places = np.array(found, np.int64)
+        places = np.fromiter(map(self.place.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(places < 0)
+        if len(new):
+            places[new] = self._append([distinct[i] for i in new.tolist()])
         at = places[coded.indices.to_numpy(zero_copy_only=False)]
         lengths = self.lengths[at]
         ids = self.ids[ragged(self.starts[at], lengths)]

@@ -70,6 +70,15 @@ def test_grammars_give_back_any_range(ids, a, b):
         assert np.array_equal(repair.unpack_numbers(repair.pack_numbers(x), len(x)), x)
 
 
+@pytest.mark.parametrize("largest", [50_000, 1 << 30])
+def test_pairs_and_places_in_order(largest):
+    x = np.random.default_rng(1).integers(0, largest, 500).astype(np.int32) // (largest // 9) * (largest // 9)
+    at = np.arange(0, 499, 2)
+    pairs, places = repair._in_pair_order(x[:-1], x[1:], at)
+    assert sorted(places.tolist()) == at.tolist() and (np.diff(pairs) >= 0).all()
+    assert np.array_equal(pairs, x[places].astype(np.int64) << 32 | x[places + 1])
+
+
 def test_grammars_are_smaller():
     ids = np.array([1, 2, 3, 4, 5, 6, 7, 8] * 500, np.int32)
     grammar = repair.compress(ids)
@@ -105,6 +114,16 @@ def test_token_files(spark, tmp_path, reader, shard_ids):
     assert shards.filter(F.col("n_ids") > shard_ids).count() == 0
 
 
+def test_only_long_texts_are_cut(spark, tmp_path):
+    rows = [(k, "a b c" if k != 4 else "a b c " * 20) for k in range(12)]
+    path = str(tmp_path / "files")
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    token_files.write_tokens(df, path, tokenizer(), shard_ids=10)
+    shards = spark.read.parquet(f"{path}/shards")
+    assert [r.text_ids for r in token_files._only_cut(shards).select("text_ids").distinct().collect()] == [[4]]
+    assert [r.doc_id for r in token_files.read_documents(spark, path).orderBy("start").collect()] == list(range(12))
+
+
 def test_token_files_of_nothing(spark, tmp_path):
     path = str(tmp_path / "files")
     token_files.write_tokens(spark.createDataFrame([], "doc_id long, text string"), path, tokenizer())
