@@ -1,8 +1,9 @@
 """The corpus pipeline: raw documents → packed training sequences, in five stages.
 
 Every stage takes (spark, docs, sf_dir) and returns a stored table, for texts go to Python in small Arrow
-batches, which holds for jobs that the stage itself runs; all but the last return the columns of ``documents``. Rows that share an id stay or go together; rows with a null id stay where a stage
-decides by id.
+batches, which holds for jobs that the stage itself runs; what a stage stored on its way is emptied when its own table is
+written; all but the last return the columns of ``documents``. Rows that share an id stay or go together; rows with
+a null id stay where a stage decides by id.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ethospark.llm import decontaminate, jaccard_join, language_id, line_dedup, packing
-from ethospark.llm.common import small_batches, stored, table
+from ethospark.llm.common import forget, passing, small_batches, stored, table
 from ethospark.llm.queries import tokenizer
 
 
@@ -52,7 +53,12 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def _stored(name: str, stage: Callable) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         with small_batches(spark):
-            return stored(stage(spark, docs, sf_dir), f"pipeline-{name}", tidy=True)
+            with passing(spark) as spent:
+                result = stage(spark, docs, sf_dir)
+            result = stored(result, f"pipeline-{name}", tidy=True, codec="zstd")
+            for made in spent:
+                forget(made)
+            return result
 
     return run_stage
 
@@ -72,8 +78,12 @@ ORACLE_SQL = None  # language models and alignments are not SQL
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before = None
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if before is not None:
+            forget(before)
+        before = docs
     return docs
 
 

@@ -18,19 +18,38 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
+_inside: list[list[DataFrame]] = []  # what ``stored`` has made inside each open ``passing``
+
+
+def stored(df: DataFrame, name: str, tidy: bool = False, codec: str | None = None) -> DataFrame:
     """Write ``df`` into the shared folder and read it back: lineage ends here, work is done once.
 
-    With ``tidy`` Spark removes the shuffle files of the write when it has ended."""
+    With ``tidy`` Spark removes the shuffle files of the write when it has ended. ``codec``: Parquet's, if not the session's."""
     spark = df.sparkSession
     path = scratch_folder(spark, name)
     before = spark.conf.get(TIDY)
     spark.conf.set(TIDY, "true" if tidy else before)
     try:
-        df.write.parquet(path)
+        (df.write.option("compression", codec) if codec else df.write).parquet(path)
+    finally:
+        spark.conf.set(TIDY, before)
+    made = spark.read.schema(df.schema).parquet(path)
+    for tables in _inside[-1:]:
+        tables.append(made)
+    return made
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """The tables that ``stored`` makes inside, for the caller to ``forget``; their shuffle files go with each write."""
+    before = spark.conf.get(TIDY)
+    spark.conf.set(TIDY, "true")
+    _inside.append([])
+    try:
+        yield _inside[-1]
     finally:
+        _inside.pop()
         spark.conf.set(TIDY, before)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"

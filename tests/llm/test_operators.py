@@ -1,6 +1,7 @@
 """Small fixtures for the operators: plain versions, odd rows, empty tables."""
 
 import math
+import os
 import random
 import time
 import re
@@ -397,6 +398,22 @@ def test_pipeline(spark):
     assert {r.doc_id for r in stages[-1][1](spark, docs, FOLDER).collect()} == set(texts)
 
 
+def test_pipeline_stages_leave_their_own_table_only(spark):
+    """What a stage stored on its way to near copies is emptied; the setting of shuffle files is the session's again."""
+    import corpus_pipeline
+
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(k, text if k < 3 else f"{k} other {k * 7} words {k * k}", "en", "s", 9) for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    folder, before = spark.sparkContext.getCheckpointDir().removeprefix("file:"), spark.conf.get(common.TIDY)
+    older = set(os.listdir(folder))
+    left = dict(corpus_pipeline.STAGES)["jaccard_join"](spark, docs, FOLDER)
+    made = [n for n in os.listdir(folder) if n not in older and os.path.exists(f"{folder}/{n}/_SUCCESS")]
+    assert any(n.startswith("jaccard-") for n in made)
+    assert {n.split("-")[0] for n in made if spark.read.parquet(f"{folder}/{n}").count()} == {"pipeline"}
+    assert sorted(r.doc_id for r in left.collect()) == [0, 3, 4, 5] and spark.conf.get(common.TIDY) == before
+
+
 def test_pipeline_reads_texts_in_bounded_batches(spark, monkeypatch, tmp_path):
     """Language ID of the pipeline is handed batches of bounded bytes, and the session keeps its own setting."""
     import corpus_pipeline
