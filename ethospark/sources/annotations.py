@@ -97,10 +97,11 @@ def write_document_parts(
         one = F.struct("start", "end", "tag", "color", "description", "identity")
         listed = _in_parts(annotations, ["tag"], size).groupBy(*keys)
         views["annotations"] = listed.agg(F.array_sort(F.collect_list(one)).alias("annotations"))
-    parts = [lengths.select("video", F.lit(0).alias("part")), *(v.select(*keys) for v in views.values())]
-    docs = reduce(DataFrame.unionByName, parts).distinct().join(lengths.select("video", "num_frames"), "video")
-    for view in views.values():
-        docs = docs.join(view, keys, "left")
+    # a row for each view of a part, put together by one grouping, so that every view is computed once
+    begun = lengths.select("video", F.lit(0).alias("part"))
+    rows = reduce(lambda one, other: one.unionByName(other, allowMissingColumns=True), [begun, *views.values()])
+    docs = rows.groupBy(*keys).agg(*[F.first(name, ignorenulls=True).alias(name) for name in views])
+    docs = docs.join(lengths.select("video", "num_frames"), "video")
     fields = [F.lit(1).alias("version"), F.col("video").alias("file"), "num_frames", *views]
     return docs.select(*keys, F.to_json(F.struct(*fields)).alias("json"))
 

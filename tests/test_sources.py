@@ -66,6 +66,17 @@ def test_parts_hold_the_document(spark):
     assert ordered == sorted(ordered, key=lambda r: (r.identity, r.behavior, r.start))
 
 
+def test_parts_compute_each_view_once(spark):
+    """Numbering reads a view twice; putting the parts together does not read it again."""
+    blocks = spark.range(20).selectExpr(
+        "'v' AS video", "id AS identity", "'walk' AS behavior", "CAST(9 * id AS INT) AS start", "CAST(9 * id + 3 AS INT) AS end", "true AS present"
+    )
+    lengths = spark.createDataFrame([("v", 200)], "video string, num_frames int")
+    parts = A.write_document_parts(blocks, blocks.filter("start > 50"), lengths, size=4)
+    assert parts._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 4
+    assert parts.count() == 5
+
+
 def test_parts_of_kept_frames(spark):
     rows = [("v", 0, f, [[float(f), 1.0], [None if f % 2 else 3.0, 2.0]], 0.9 if f % 3 else 0.1) for f in range(40)]
     schema = "video string, identity int, frame_index long, keypoints array<array<double>>, confidence double"
