@@ -183,12 +183,21 @@ def runs_of_intervals(
     key = listed(keys)
     here = f"OVER (PARTITION BY {key}, _piece ORDER BY start)"
 
-    def begins(over: str) -> str:
-        equal = [f"lag(end) {over} + 1 = start", *[f"lag(`{s}`) {over} <=> `{s}`" for s in state]]
-        return f"CASE WHEN {' AND '.join(equal)} THEN 0 ELSE 1 END AS _new"
-
-    def number(over: str) -> str:
-        return f"sum(_new) {over[:-1]} ROWS UNBOUNDED PRECEDING) AS _run"
+    def merged(rows: DataFrame, over: str, ways: Sequence[str]) -> DataFrame:
+        """Rows that continue the one before become one: its first row, with the end of its last.
+
+        Only windows of one order, so a part is sorted once and no table of runs is held beside it.
+        """
+        before = " AND ".join([f"lag(end) {over} + 1 = start", *[f"lag(`{s}`) {over} <=> `{s}`" for s in state]])
+        after = " AND ".join([f"lead(start) {over} = end + 1", *[f"lead(`{s}`) {over} <=> `{s}`" for s in state]])
+        ends = rows.selectExpr(
+            "*", f"NOT coalesce({before}, FALSE) AS _head", f"NOT coalesce({after}, FALSE) AS _tail"
+        ).filter("_head OR _tail")
+        of_last = ["end", *ways]
+        kept = [f"`{c}`" for c in ends.columns if c not in of_last]
+        return ends.selectExpr(
+            *kept, *[f"CASE WHEN _tail THEN `{c}` ELSE lead(`{c}`) {over} END AS `{c}`" for c in of_last]
+        ).filter("_head")
 
     def touching(over: str, first: str, last: str, known: bool) -> list[str]:
         out = []
@@ -202,45 +211,26 @@ def runs_of_intervals(
         return out
 
     plain = [f"`{c}`" for c in [*keys, *state]]
-    firsts = [F.expr(f"first(`{s}`) AS `{s}`") for s in state]
-    local = (
-        df.selectExpr(
-            *plain, f"`{start}` AS start", f"`{end}` AS end", f"{piece_sql(f'`{start}`', piece)} AS _piece"
-        )
-        .selectExpr("*", begins(here))
-        .selectExpr("*", number(here))
-        .groupBy(*keys, "_piece", "_run")
-        .agg(F.expr("min(start) AS start"), F.expr("max(end) AS end"), *firsts)
-        .selectExpr(
-            *plain, "_piece", "start", "end",
-            f"row_number() {here} = 1 AND _piece > 0 AS _first",
-            f"lead(start) {here} IS NULL AND {piece_sql('end + 1', piece)} > _piece AS _last",
-            *touching(here, "", "", False),
-        )
+    given = df.selectExpr(
+        *plain, f"`{start}` AS start", f"`{end}` AS end", f"{piece_sql(f'`{start}`', piece)} AS _piece"
+    )
+    local = merged(given, here, []).selectExpr(
+        *plain, "_piece", "start", "end",
+        f"row_number() {here} = 1 AND _piece > 0 AS _first",
+        f"lead(start) {here} IS NULL AND {piece_sql('end + 1', piece)} > _piece AS _last",
+        *touching(here, "", "", False),
     )
     # Only the first and last run of a piece can continue in another piece (frames start at 0, so
     # nothing precedes piece 0). Those edge runs, at most two per piece, meet in one group per key
     # and are joined there; all others stay in a group of their piece, where they are final.
     side = "CASE WHEN _first OR _last THEN -1 ELSE _piece END AS _side"
     across = f"OVER (PARTITION BY {key}, _side ORDER BY start)"
-    outer = [
-        F.expr(f"{pick}(`{way}_{s}`, start) AS `{way}_{s}`")
-        for s in state
-        for pick, way in (("min_by", "prev"), ("max_by", "next"))
-    ]
+    sided = local.selectExpr("*", side).selectExpr(
+        *plain, "_side", "start", "end", *touching(across, "_first", "_last", True)
+    )
     keep = [c for s in state for c in (f"`prev_{s}`", f"`next_{s}`")]
-    return (
-        local.selectExpr("*", side)
-        .selectExpr(
-            *plain, "_side", "start", "end", begins(across), *touching(across, "_first", "_last", True)
-        )
-        .selectExpr("*", number(across))
-        .groupBy(*keys, "_side", "_run")
-        .agg(F.expr("min(start) AS _start"), F.expr("max(end) AS end"), *firsts, *outer)
-        .selectExpr(
-            *plain[: len(keys)], "_start AS start", "end", *plain[len(keys):], *keep,
-            "end - _start + 1 AS duration",
-        )
+    return merged(sided, across, [f"next_{s}" for s in state]).selectExpr(
+        *plain[: len(keys)], "start", "end", *plain[len(keys):], *keep, "end - start + 1 AS duration",
     )
 
 

@@ -17,6 +17,7 @@ from ethospark.operators.frames import frames_of, lookup_join, overlap_join, run
 TRACK = ["video", "identity", "behavior"]
 NONE, NOT_BEHAVIOR, BEHAVIOR, MIX, PAD = -1, 0, 1, 2, 3
 NO_BEHAVIOR_TRACK = "None"  # reserved track: explicit background in multi-class labelling
+LEAST_PARTS = 200  # parts that painted frames are dealt to, more if the session shuffles to more
 
 
 # --- blocks and frames -----------------------------------------------------------------
@@ -34,7 +35,19 @@ def blocks_to_frames(
     )
     if order is None:
         return painted.select(*keys, "frame", "label")
-    return painted.groupBy(*keys, "frame").agg(F.max_by("label", order).alias("label"))
+    return _latest(painted, [*keys, "frame"], "label", F.col(order))
+
+
+def _latest(painted: DataFrame, keys: Sequence[str], value: str, order: Column) -> DataFrame:
+    """``value`` of the last row in ``order`` per frame (``keys``).
+
+    Hardly any frame is painted twice, so a count in advance would hold all frames in the task that paints them; and
+    painted frames pack so well that shuffled parts of the usual size are some 100 times larger in memory. So
+    rows are dealt out first, to a number of parts that Spark does not join again.
+    """
+    parts = max(int(painted.sparkSession.conf.get("spark.sql.shuffle.partitions")), LEAST_PARTS)
+    dealt = painted.repartition(parts, *keys)
+    return dealt.groupBy(*keys).agg(F.max_by(value, order).alias(value))
 
 
 def frames_to_blocks(frames: DataFrame, keys: Sequence[str] = TRACK) -> DataFrame:
@@ -63,11 +76,8 @@ def edit(
         )
         painted = here.unionByName(painted.filter(F.col("label") == NONE))
     base = frames.select(*keys, "frame", "label", F.lit(None).cast("bigint").alias("seq"))
-    latest = (
-        base.unionByName(painted.withColumn("seq", F.col("seq").cast("bigint")))
-        .groupBy(*keys, "frame")
-        .agg(F.max_by("label", F.coalesce("seq", F.lit(-1))).alias("label"))
-    )
+    layers = base.unionByName(painted.withColumn("seq", F.col("seq").cast("bigint")))
+    latest = _latest(layers, [*keys, "frame"], "label", F.coalesce("seq", F.lit(-1)))
     return latest.filter(F.col("label") != NONE)
 
 
@@ -363,9 +373,7 @@ def exclusive_edits(frames: DataFrame, edits: DataFrame, multiclass: bool = True
     painted = frames_of(
         edits.select("video", "identity", "start", "end", target.alias("behavior"), "seq")
     )
-    latest = painted.groupBy("video", "identity", "frame").agg(
-        F.max_by("behavior", "seq").alias("behavior")
-    )
+    latest = _latest(painted, ["video", "identity", "frame"], "behavior", F.col("seq"))
     untouched = frames.join(latest.select("video", "identity", "frame"), ["video", "identity", "frame"], "left_anti")
     return untouched.select(*TRACK, "frame", "label").unionByName(
         latest.select(*TRACK, "frame", F.lit(BEHAVIOR).alias("label"))

@@ -44,6 +44,14 @@ def test_runs_break_at_missing_frames(spark):
     assert got == {(0, 2, None, None), (5, 6, None, None), (9, 9, None, None)}
 
 
+def test_runs_sort_a_part_once(spark, capsys):
+    """In the pieces and across them, beside no grouping that holds the runs again."""
+    df = spark.createDataFrame([("a", f, f // 3 % 2) for f in range(40)], "k string, frame int, state int")
+    FR.runs(df, ["k"]).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Sort [") == 2 and "Aggregate" not in plan
+
+
 def test_intervals_longer_than_a_piece(spark):
     rows = [(0, 0, 9, 1), (0, 10, 10, 1), (0, 11, 30, 0), (0, 31, 31, 0), (0, 33, 40, 0)]
     df = spark.createDataFrame(rows, "identity int, start int, end int, state int")

@@ -1,6 +1,7 @@
 """Labels, merging and annotations."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from ethospark.operators import labels as L
 
@@ -71,6 +72,17 @@ def test_exclusive_edit_clears_other_tracks(spark, track):
     assert (1, "walk", 1) in binary and (1, "rest", 1) in binary and (2, "rest", 0) in binary
 
 
+def test_painted_frames_are_dealt_to_many_parts(spark, track):
+    """Also where they pack well: no task counts all frames of one long edit."""
+    edits = spark.createDataFrame(
+        [("v", 0, "walk", 0, 3999, True, 0)], f"{TRACK}, start int, end int, positive boolean, seq int"
+    )
+    for multiclass in (False, True):
+        edited = L.exclusive_edits(track([[0, 0, 0]], "walk").limit(0), edits, multiclass)
+        parts = edited.groupBy(F.spark_partition_id()).count().collect()
+        assert sum(r["count"] for r in parts) == 4000 and max(r["count"] for r in parts) < 100
+
+
 def test_rename_rejects_used_names(track):
     blocks = L.frames_to_blocks(track([[1, 1]], "walk"))
     assert L.rename_behavior(blocks, "walk", "run").first().behavior == "run"
