@@ -335,14 +335,13 @@ def allocate_identities(instances: DataFrame, piece: int = PIECE, at_once: int =
     stretches = runs(
         instances.select("video", "frame", "track_id"), ["video", "track_id"], []
     ).select("video", "track_id", "start", "end")
-    rows = stretches.join(tracks, ["video", "track_id"]).select(
+    rows = _stored(stretches.join(tracks, ["video", "track_id"]).select(
         "video", "block", "track_id", "start", "end", "instance", "first_frame", "last_frame"
-    )
+    ), "track-stretches")
     sizes = rows.groupBy("video", "block").agg(F.count(F.lit(1)).alias("_n"))
     large = sizes.filter(F.col("_n") > at_once).select("video", "block")
     if large.isEmpty():
         return _walk_blocks(rows)
-    rows = _stored(rows, "track-stretches")
     large = F.broadcast(_stored(large, "large-blocks"))  # at most a row for each ``at_once`` stretches
     mine = rows.join(large, ["video", "block"]).withColumn("unit", F.concat_ws("/", F.col("block").cast("string"), "video"))
     first = F.col("start") == F.col("first_frame")

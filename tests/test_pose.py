@@ -3,8 +3,10 @@
 import heapq
 import math
 import random
+from operator import itemgetter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +76,40 @@ def test_allocation_of_a_hot_video_in_many_tasks(spark, monkeypatch):
     assert number > 70 and pieces.value > 12 and too_large.value == 0
 
 
+def test_pieces_are_one_stream():
+    """500 pieces of four frames, some over two batches: what a task hands back is one batch, not one per piece."""
+
+    def batches(rows, columns, size=7):
+        return iter([pd.DataFrame(rows[i : i + size], columns=columns) for i in range(0, len(rows), size)])
+
+    def only(results):
+        (batch,) = results
+        return list(batch.itertuples(index=False, name=None))
+
+    dealt = ["unit", "cell", "track_id", "start", "instance", "end", "identity"]
+    short = [("u", c, c, 4 * c, 0, 4 * c + 1, -1) for c in range(500)]
+    long = [("u", c, 1000 + c, 4 * c + 2, 0, 4 * c + 5, -1) for c in range(500)]
+    entries = [("u", c, 0, 4 * c + 1, 0, 4 * c + 1, 0) for c in range(1, 500)]
+    in_order = itemgetter(1, 3)
+    answers = only(identities._exits(batches(sorted(short + long + entries, key=in_order), dealt)))
+    assert answers == sorted([("u", c, -1, 4 * c + 5) for c in range(500)] + [("u", c, 4 * c + 1, 4 * c + 5) for c in range(1, 500)])
+    held = batches([(*a, -1, 3) for a in answers], ["unit", "cell", "held", "leaves", "since", "identity"])
+    real = only(identities._walk(held, 4))
+    assert real == [("u", 0, -1, 3)] + [("u", c, 4 * c + 1, 3) for c in range(1, 500)]
+    entries = [("u", c, 0, h, 0, h, i) for _, c, h, i in real]
+    marked = only(identities._marked(batches(sorted(short + long + entries, key=in_order), dealt), identities._served))
+    assert {m[2] for m in marked if m[6] == 3} == {0, *range(1000, 1500)} and {m[6] for m in marked} == {3, -1}
+
+
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_allocation_in_pieces_keeps_the_kind_of_track_ids(spark, kind):
+    rows = [("v", f, t, t % 2) for t in range(30) for f in range(3 * t, 3 * t + 5)]
+    df = spark.createDataFrame(rows, "video string, frame int, track_id int, instance int")
+    got = P.allocate_identities(df.withColumn("track_id", F.col("track_id").cast(kind)), 4, 1)
+    assert dict(got.dtypes)["track_id"] == kind
+    assert {int(r.track_id): r.identity for r in got.collect()} == {t: t % 2 for t in range(30)}
+
+
 def test_identity_out_of_range_raises(spark):
     raw = spark.createDataFrame(
         [("v", 0, 0, 0, 3)], "video string, frame int, instance int, id_mask int, embed_id int"
